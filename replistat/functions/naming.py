@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import bind, regex_groups
+
 # The accepted spellings.
 TIMEPOINT = r"(?i)^(?:(?:day|d|t)\s*)?(\d+)$"
 COPY_SUFFIX = r"(?i)(?:\s*\(\d+\)|[ _-]+copy(?:[ _]*\d+)?)$"
@@ -44,20 +46,16 @@ def is_baseline(text) -> Column:
 
 def normalise_condition(raw) -> Column:
     """Canonical condition, or NULL when it is empty or ambiguous."""
-    text = F.regexp_replace(_col(raw), r"^[\s_]+|[\s_]+$", "")
-    joined = F.regexp_replace(text, r"[ _]+", "")
-    single = text == joined
-    depth = _group(joined, STIFFNESS, 2)
-    return (
-        F.when(joined == "", F.lit(None).cast("string"))
-        .when(single & (F.lower(joined) == CONTROL.lower()), F.lit(CONTROL))
-        .when(
-            joined.rlike(STIFFNESS),
-            F.concat(F.lit("S"), F.regexp_extract(joined, STIFFNESS, 1),
-                     F.coalesce(F.concat(F.lit("D"), depth), F.lit(""))),
-        )
-        .when(single & joined.rlike(PLAIN_TOKEN), joined)
-    )
+    def decide(text: Column) -> Column:
+        def with_joined(joined: Column) -> Column:
+            single = text == joined
+            return (
+                F.when(joined == "", F.lit(None).cast("string"))
+                .when(single & (F.lower(joined) == CONTROL.lower()), F.lit(CONTROL))
+                .when(joined.rlike(STIFFNESS), F.upper(joined))
+                .when(single & joined.rlike(PLAIN_TOKEN), joined))
+        return bind(F.regexp_replace(text, r"[ _]+", ""), with_joined)
+    return bind(F.regexp_replace(_col(raw), r"^[\s_]+|[\s_]+$", ""), decide)
 
 
 def file_stem(path) -> Column:
@@ -77,40 +75,40 @@ def parse_stem(stem, folder_timepoint=None) -> Column:
     ``error`` is NULL on success, else ``copy_suffix``, ``unmatched`` or ``ambiguous_condition``;
     the copy test comes first so a duplicated file can never be paired twice.
     """
-    s = F.trim(_col(stem))
-    named = s.rlike(DAY_NAME)
     if folder_timepoint is None:
-        folder_day = F.lit(None).cast("bigint")
+        folder_day = F.lit(None).cast("string")
     else:
-        folder_day = parse_timepoint(folder_timepoint)
-    by_folder = ~named & s.rlike(DAYLESS_NAME) & folder_day.isNotNull()
-
-    def pick(with_day: int, without_day: int) -> Column:
-        return (
-            F.when(named, F.regexp_extract(s, DAY_NAME, with_day))
-            .when(by_folder, F.regexp_extract(s, DAYLESS_NAME, without_day))
-        )
-
-    day = F.when(named, F.regexp_extract(s, DAY_NAME, 1).try_cast("bigint")).when(by_folder, folder_day)
-    condition = normalise_condition(pick(2, 1))
-    error = (
-        F.when(s.rlike(COPY_SUFFIX), "copy_suffix")
-        .when(~(named | by_folder), "unmatched")
-        .when(condition.isNull(), "ambiguous_condition")
-    )
-    ok = error.isNull()
-    replicate = F.concat(F.lit("gel"), pick(3, 2).try_cast("bigint").cast("string"))
-    fov = zero_padded(pick(4, 3).try_cast("bigint"), 4)
-    return F.struct(
-        F.when(ok, s).alias("image_id"),
-        F.when(ok, F.concat(F.lit("t"), day.cast("string"))).alias("timepoint"),
-        F.when(ok, day).alias("timepoint_day"),
-        F.when(ok, condition).alias("condition"),
-        F.when(ok, replicate).alias("replicate"),
-        F.when(ok, fov).alias("fov"),
-        F.when(ok, F.concat_ws("_", condition, replicate, fov)).alias("pair_key"),
-        error.alias("error"),
-    )
+        folder_day = parse_timepoint(folder_timepoint).cast("string")
+
+    def read(s: Column) -> Column:
+        with_day = regex_groups(s, DAY_NAME, 4)
+        without = bind(regex_groups(s, DAYLESS_NAME, 3), lambda g: F.when(
+            g.isNotNull() & folder_day.isNotNull(), F.concat(F.array(folder_day), g)))
+        return bind(F.coalesce(with_day, without), lambda g: bind(normalise_condition(g[1]), lambda c: record(s, g, c)))
+
+    def record(s: Column, g: Column, condition: Column) -> Column:
+        error = (
+            F.when(s.rlike(COPY_SUFFIX), "copy_suffix")
+            .when(g.isNull(), "unmatched")
+            .when(condition.isNull(), "ambiguous_condition"))
+        whole = F.struct(g[0].try_cast("bigint").alias("day"),
+                         F.concat(F.lit("gel"), g[2].try_cast("bigint").cast("string")).alias("replicate"),
+                         zero_padded(g[3].try_cast("bigint"), 4).alias("fov"), error.alias("error"))
+
+        def fields(w: Column) -> Column:
+            ok = w["error"].isNull()
+            return F.struct(
+                F.when(ok, s).alias("image_id"),
+                F.when(ok, F.concat(F.lit("t"), w["day"].cast("string"))).alias("timepoint"),
+                F.when(ok, w["day"]).alias("timepoint_day"),
+                F.when(ok, condition).alias("condition"),
+                F.when(ok, w["replicate"]).alias("replicate"),
+                F.when(ok, w["fov"]).alias("fov"),
+                F.when(ok, F.concat_ws("_", condition, w["replicate"], w["fov"])).alias("pair_key"),
+                w["error"].alias("error"))
+        return bind(whole, fields)
+
+    return bind(F.trim(_col(stem)), read)
 
 
 def parse_channel(name) -> Column:
@@ -121,13 +119,9 @@ def parse_channel(name) -> Column:
 
 def parse_field(base) -> Column:
     """Struct of the parts of a two-channel field name; all NULL when the name does not fit."""
-    b = _col(base)
-    fits = b.rlike(FIELD_NAME)
-    part = lambda i: F.when(fits, F.regexp_extract(b, FIELD_NAME, i))
-    return F.struct(
-        part(1).alias("cell_line"),
-        part(2).alias("day"),
-        part(4).alias("material"),
-        part(5).alias("replicate"),
-        F.when(fits, F.coalesce(_group(b, FIELD_NAME, 6), F.lit("1"))).alias("subfield"),
-    )
+    return bind(regex_groups(_col(base), FIELD_NAME, 6), lambda g: F.struct(
+        g[0].alias("cell_line"),
+        g[1].alias("day"),
+        g[3].alias("material"),
+        g[4].alias("replicate"),
+        F.when(g.isNotNull(), F.coalesce(F.nullif(g[5], F.lit("")), F.lit("1"))).alias("subfield")))
