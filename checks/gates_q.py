@@ -1 +1,174 @@
-"""To come."""
+"""Gates, samples and flags."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from replistat.operators import gates as g
+from replistat.operators.matching import choose_override
+from replistat.params import PairGate, SizeGate
+
+from . import views as v
+from .columns_q import manifest
+from .registry import query
+from .views import r
+
+
+@query("object_gate_g1", "SELECT object_id, qc_flag, qc_reasons FROM v_gated", "v_gated")
+def object_gate(spark, d):
+    return v.gated(spark, d).select("object_id", "qc_flag", "qc_reasons")
+
+
+@query("object_gate_with_box_g1", """SELECT o_orderkey, CASE WHEN f <> '' THEN 'FAIL' WHEN w <> '' THEN 'REVIEW' ELSE 'PASS' END AS qc_flag,
+  CASE WHEN f <> '' THEN f WHEN w <> '' THEN w ELSE 'None' END AS qc_reasons FROM (SELECT o_orderkey,
+    concat_ws('; ', CASE WHEN d < 40 THEN 'debris_undersized' END, CASE WHEN d > 1500 THEN 'oversized_artifact' END,
+      CASE WHEN c0 < 15 OR c0 + 60 > 1185 THEN 'touches_image_border' END, CASE WHEN c < 1.0 - 0.9 - 1e-7 THEN 'insufficient_dark_contrast' END) AS f,
+    concat_ws('; ', CASE WHEN s < 0.65 THEN 'low_circularity' END, CASE WHEN s < 0.85 THEN 'low_solidity' END, CASE WHEN s > 0.82 THEN 'high_eccentricity' END,
+      CASE WHEN d > 1200 THEN 'outside_pass_diameter' END) AS w
+    FROM (SELECT o_orderkey, o_totalprice / 200.0 AS d, o_custkey % 1200 AS c0, 0.09 + (o_orderkey % 50) / 100.0 AS c, (o_orderkey % 97) / 96.0 AS s FROM orders))""")
+def object_gate_with_box(spark, d):
+    k = F.col("o_orderkey")
+    o = v.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 200.0).alias("equivalent_diameter_um"), (F.col("o_custkey") % 1200).alias("min_col"),
+                                           (0.09 + (k % 50) / 100.0).alias("contrast_ratio"), ((k % 97) / 96.0).alias("s"))
+    o = o.withColumns({"min_row": F.lit(500), "max_row": F.lit(560), "max_col": F.col("min_col") + 60, "image_h": F.lit(1200), "image_w": F.lit(1200)})
+    out = g.morphology_gate(o, circularity="s", solidity="s", eccentricity="s")
+    return out.select("o_orderkey", "qc_flag", g.reason_text("qc_codes").alias("qc_reasons"))
+
+
+@query("calibration_and_segment_gate_g2", """SELECT object_id, CASE WHEN seg IS NOT NULL THEN seg WHEN loose AND qc_flag <> 'FAIL' THEN 'REVIEW' ELSE qc_flag END AS qc_flag,
+  CASE WHEN nullif(concat_ws('; ', nullif(qc_reasons, 'None'), CASE WHEN loose THEN 'uncalibrated_optical_scale' END, CASE WHEN seg IS NOT NULL THEN 'segmentation_failure_implausible_mask' END), '') IS NULL THEN 'None'
+    ELSE concat_ws('; ', nullif(qc_reasons, 'None'), CASE WHEN loose THEN 'uncalibrated_optical_scale' END, CASE WHEN seg IS NOT NULL THEN 'segmentation_failure_implausible_mask' END) END AS qc_reasons
+  FROM (SELECT *, plane = 0 AS loose, CASE WHEN other_plane = 3 THEN 'SEG_FAIL' END AS seg FROM v_gated)""", "v_gated")
+def calibration_and_segment_gate(spark, d):
+    m = v.measured(spark, d).withColumn("cal", F.col("plane") != 0).withColumn("seg", F.when(F.col("other_plane") == 3, "SEG_FAIL"))
+    out = g.morphology_gate(m, v.GATE, solidity=None, eccentricity=None, box=None, calibrated="cal", segment_flag="seg")
+    return out.select("object_id", "qc_flag", g.reason_text("qc_codes").alias("qc_reasons"))
+
+
+@query("image_limits_and_ids_g3", """SELECT object_id, clean_label, CASE WHEN clean_label > 5 AND f = 'PASS' THEN 'REVIEW' ELSE f END AS qc_flag,
+  coalesce(nullif(concat_ws('; ', CASE WHEN big THEN 'exceeds_max_area_limit' END, nullif(qc_reasons, 'None'), CASE WHEN clean_label > 5 THEN 'exceeds_max_objects_per_fov' END), ''), 'None') AS qc_reasons,
+  concat(pair_key, '_', timepoint, CASE WHEN clean_label IS NULL THEN concat('_fail', object_id) ELSE concat('_obj', CAST(clean_label AS BIGINT)) END) AS new_id
+  FROM (SELECT *, CASE WHEN f <> 'FAIL' THEN CAST(sum(CASE WHEN f <> 'FAIL' THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY object_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS clean_label
+    FROM (SELECT *, area_px / 19000.0 > 0.25 AS big, CASE WHEN area_px / 19000.0 > 0.25 THEN 'FAIL' ELSE qc_flag END AS f FROM v_gated))""", "v_gated")
+def image_limits_and_ids(spark, d):
+    out = g.image_limits(v.gated(spark, d), ["image_id"], "object_id", F.col("area_px") / 19000.0, replace(v.GATE, max_objects_per_image=5))
+    return out.select("object_id", "clean_label", "qc_flag", g.reason_text("qc_codes").alias("qc_reasons"),
+                      g.object_ids(F.col("pair_key").cast("string"), "timepoint", "clean_label", "object_id").alias("new_id"))
+
+
+@query("pair_gate_g4", """SELECT o_orderkey, d0 >= 60 AS denominator_gate_pass, CASE WHEN dead THEN 'FAIL' WHEN f0 = 'REVIEW' OR f7 = 'REVIEW' OR fc < 0.1 OR fc > 20 THEN 'REVIEW' ELSE 'PASS' END AS combined_qc_flag,
+  coalesce(nullif(concat_ws('; ', CASE WHEN v7 <= 0 THEN 'VANISHED_SPHEROID' END, CASE WHEN f0 = 'FAIL' THEN 't0_FAIL' END, CASE WHEN f7 = 'FAIL' THEN 't7_FAIL' END,
+    CASE WHEN NOT dead AND f0 = 'REVIEW' THEN 't0_REVIEW' END, CASE WHEN NOT dead AND f7 = 'REVIEW' THEN 't7_REVIEW' END, CASE WHEN NOT dead AND fc < 0.1 THEN 'extreme_shrinkage' END,
+    CASE WHEN NOT dead AND fc > 20 THEN 'extreme_expansion' END, CASE WHEN NOT dead AND d0 < 60 THEN 'sub_denominator_baseline' END), ''), 'None') AS qc_reasons
+  FROM (SELECT *, f0 = 'FAIL' OR f7 = 'FAIL' OR v7 <= 0 AS dead FROM (SELECT o_orderkey, o_totalprice / 3000.0 AS d0, CASE WHEN o_custkey % 11 = 0 THEN 0.0 ELSE o_totalprice END AS v7,
+    (CASE WHEN o_custkey % 11 = 0 THEN 0.0 ELSE o_totalprice END) / 20000.0 AS fc,
+    CASE o_orderstatus WHEN 'P' THEN 'REVIEW' ELSE 'PASS' END AS f0, CASE o_orderpriority WHEN '1-URGENT' THEN 'FAIL' WHEN '5-LOW' THEN 'REVIEW' ELSE 'PASS' END AS f7 FROM orders))""")
+def pair_gate(spark, d):
+    v7 = F.when(F.col("o_custkey") % 11 == 0, 0.0).otherwise(F.col("o_totalprice"))
+    pr = F.col("o_orderpriority")
+    o = v.table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 3000.0).alias("t0_eq_diameter_um"), v7.alias("t7_volume_sphere_um3"), (v7 / 20000.0).alias("fold_change_volume"),
+        F.when(F.col("o_orderstatus") == "P", "REVIEW").otherwise("PASS").alias("t0_qc_flag"),
+        F.when(pr == "1-URGENT", "FAIL").when(pr == "5-LOW", "REVIEW").otherwise("PASS").alias("t7_qc_flag"))
+    return g.pair_gate(o, PairGate()).select("o_orderkey", "denominator_gate_pass", "combined_qc_flag", g.reason_text("qc_codes").alias("qc_reasons"))
+
+
+SIZE = SizeGate(min_um3=60000.0, max_um3=700000.0, reference_um3=200000.0)
+
+
+@query("size_gate_g5", "SELECT image_id, object_id, row_number() OVER (PARTITION BY image_id ORDER BY object_id) AS new_label FROM v_measured WHERE volume_sphere_um3 BETWEEN 60000 AND 700000", "v_measured")
+def size_gate(spark, d):
+    kept, _ = g.size_gate(v.measured(spark, d), ["image_id"], "object_id", "volume_sphere_um3", SIZE)
+    return kept.select("image_id", "object_id", "new_label")
+
+
+@query("size_gate_counts_g5", """SELECT image_id, count(*) FILTER (WHERE volume_sphere_um3 < 60000) AS n_removed_small, count(*) FILTER (WHERE volume_sphere_um3 > 700000) AS n_removed_large,
+  count(*) FILTER (WHERE volume_sphere_um3 BETWEEN 60000 AND 700000) AS n_kept FROM v_measured GROUP BY image_id""", "v_measured")
+def size_gate_counts(spark, d):
+    return g.size_gate(v.measured(spark, d), ["image_id"], "object_id", "volume_sphere_um3", SIZE)[1]
+
+
+@query("border_flags_g6", """SELECT object_id, edge, coalesce(nullif(concat_ws(';', CASE WHEN edge THEN 'edge_touching' END, CASE WHEN plane = 0 THEN 'excluded_border' END,
+    CASE WHEN v < 150 THEN 'debris' END, CASE WHEN v > 4000 THEN 'merged' END), ''), 'none') AS flags
+  FROM (SELECT *, centroid_y - 10 <= 5 OR centroid_x - 10 <= 5 OR centroid_y + 10 >= 505 OR centroid_x + 10 >= 505 AS edge, volume_sphere_um3 / 200.0 AS v FROM v_measured)""", "v_measured")
+def border_flags(spark, d):
+    m = v.measured(spark, d).withColumns({"r0": F.col("centroid_y") - 10, "c0": F.col("centroid_x") - 10, "r1": F.col("centroid_y") + 10, "c1": F.col("centroid_x") + 10})
+    m = m.withColumn("edge", g.border_touch(("r0", "c0", "r1", "c1"), (F.lit(510), F.lit(510)), 5))
+    return m.select("object_id", "edge", g.nucleus_flags(F.col("edge"), F.col("plane") == 0, F.col("volume_sphere_um3") / 200.0).alias("flags"))
+
+
+@query("image_plausibility_g7", """SELECT image_id, n_clean, CASE WHEN n_clean = 0 THEN 'SEG_FAIL: 0 objects' WHEN c IS NOT NULL THEN 'SEG_FAIL: single mask over limit' WHEN w IS NOT NULL THEN 'SEG_FAIL: raw mask over limit' ELSE 'PASS' END AS status,
+  CASE WHEN n_clean > 0 THEN coalesce(c, w) END AS first_label FROM (SELECT image_id, count(*) FILTER (WHERE qc_flag <> 'FAIL') AS n_clean, min(object_id) FILTER (WHERE qc_flag <> 'FAIL' AND area_px > 4750) AS c,
+    min(object_id) FILTER (WHERE area_px > 4750) AS w FROM v_gated GROUP BY image_id)""", "v_gated")
+def image_plausibility(spark, d):
+    o = v.gated(spark, d).withColumn("image_area", F.lit(19000.0))
+    return g.image_plausibility(o, ["image_id"], "object_id", "area_px", "image_area")
+
+
+@query("analysed_pairs_g8", "SELECT object_id FROM v_gated WHERE equivalent_diameter_um >= 60 AND qc_flag IN ('PASS', 'REVIEW') AND contrast_ratio > 0", "v_gated")
+def analysed_pairs(spark, d):
+    o = v.gated(spark, d).withColumn("ok", F.col("equivalent_diameter_um") >= 60).withColumn("l2", F.when(F.col("contrast_ratio") > 0, F.log2("contrast_ratio")))
+    return g.analysed(o, True, "l2", "ok", "qc_flag").select("object_id")
+
+
+@query("balanced_images_g9", """WITH u AS (SELECT condition, is_matched_pair AS m, CASE WHEN is_matched_pair THEN pair_key ELSE image_id END AS own, count(*) AS size FROM v_manifest GROUP BY 1, 2, 3),
+  rr AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY NOT m, own) AS rnd FROM u),
+  c AS (SELECT *, sum(size) OVER (ORDER BY rnd, condition ROWS UNBOUNDED PRECEDING) AS upto FROM rr)
+  SELECT image_id FROM (SELECT v.image_id, 75 - (c.upto - c.size) AS room, row_number() OVER (PARTITION BY c.condition, c.m, c.own ORDER BY v.image_id) AS i FROM c JOIN v_manifest v
+    ON v.condition = c.condition AND v.is_matched_pair = c.m AND CASE WHEN v.is_matched_pair THEN v.pair_key ELSE v.image_id END = c.own WHERE c.upto - c.size < 75) WHERE i <= room""", "v_manifest")
+def balanced_images(spark, d):
+    return g.balanced_images(manifest(spark, d), 75).select("image_id")
+
+
+@query("stratified_fields_g10", """SELECT run, image_id, material FROM (SELECT *, row_number() OVER (PARTITION BY material ORDER BY key) AS rn FROM (SELECT *, concat(image_id, run) AS key FROM v_field)) ORDER BY rn, material LIMIT 40""", "v_field")
+def stratified_fields(spark, d):
+    f = v.fields(spark, d).withColumn("key", F.concat("image_id", "run"))
+    return g.stratified_sample(f, "material", "key", 40).select("run", "image_id", "material")
+
+
+@query("split_decisions_g11", """SELECT image_id, greatest(coalesce(n, 0), 1) AS n_children, coalesce(n, 0) > 1 AND inside AS accepted,
+  CASE WHEN coalesce(n, 0) <= 1 THEN 'single_seed' WHEN NOT inside THEN why ELSE '' END AS reason
+  FROM (SELECT image_id, sum(area_px) AS total FROM v_measured GROUP BY 1) p LEFT JOIN (SELECT image_id AS i, count(*) AS n, bool_and(volume_sphere_um3 BETWEEN 60000 AND 700000) AS inside,
+    arg_min(CASE WHEN volume_sphere_um3 < 60000 THEN 'child_below_min' ELSE 'child_above_max' END, object_id) FILTER (WHERE volume_sphere_um3 NOT BETWEEN 60000 AND 700000) AS why FROM v_measured WHERE plane > 0 GROUP BY 1) ON i = image_id
+  WHERE total * 10.0 > 2.0 * 200000.0""", "v_measured")
+def split_decisions(spark, d):
+    m = v.measured(spark, d)
+    parents = m.groupBy("image_id").agg((F.sum("area_px") * 10.0).alias("pv"))
+    out = g.split_decisions(parents, m.filter("plane > 0"), ["image_id"], "pv", "volume_sphere_um3", "object_id", SIZE)
+    return out.select("image_id", "n_children", "accepted", "reason")
+
+
+@query("manual_mask_choice_g12", """SELECT c_custkey, nm AS manual_mask, CASE WHEN nm IS NULL THEN 'automated' ELSE 'manual_review' END AS mask_source FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN concat(CAST(c_custkey AS VARCHAR), '_mask.png') WHEN c_custkey % 4 = 2 THEN concat('P', CAST(c_nationkey AS VARCHAR), '_t0.tif')
+    WHEN c_custkey % 4 = 3 AND EXISTS (SELECT 1 FROM customer c2 WHERE c2.c_custkey % 4 = 2 AND c2.c_nationkey = c.c_nationkey) THEN concat('P', CAST(c_nationkey AS VARCHAR), '_t0.tif')
+    WHEN c_custkey % 4 = 3 THEN concat(CAST(c_custkey AS VARCHAR), '.tiff')
+    WHEN EXISTS (SELECT 1 FROM customer c2 WHERE c2.c_custkey % 4 = 2 AND c2.c_nationkey = c.c_nationkey) THEN concat('P', CAST(c_nationkey AS VARCHAR), '_t0.tif') END AS nm FROM customer c)""")
+def manual_mask_choice(spark, d):
+    k = F.col("c_custkey")
+    c = v.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("P"), F.col("c_nationkey").cast("string")).alias("pk"), F.lit("t0").alias("tp"))
+    masks = c.select(F.when(k % 4 == 1, F.concat(k.cast("string"), F.lit("_mask.png"))).when(k % 4 == 2, F.concat("pk", F.lit("_t0.tif")))
+                     .when(k % 4 == 3, F.concat(k.cast("string"), F.lit(".tiff"))).alias("name")).filter("name is not null")
+    return choose_override(c, masks, "c_custkey", "pk", "tp", "name").select("c_custkey", "manual_mask", "mask_source")
+
+
+@query("rejected_sample_g13", "SELECT object_id FROM v_gated WHERE qc_flag = 'FAIL' ORDER BY md5(concat_ws('/', '42', CAST(object_id AS VARCHAR))), object_id LIMIT 20", "v_gated")
+def rejected_sample(spark, d):
+    return g.keyed_sample(v.gated(spark, d).filter("qc_flag = 'FAIL'"), ["object_id"], 20).select("object_id")
+
+
+_COHORT = """WITH f AS (SELECT *, run || image_id AS id FROM v_field), q AS (SELECT material, count(*) AS n, count(*) FILTER (WHERE dens > 0) AS nd,
+    quantile_cont(dens, 0.25) FILTER (WHERE dens > 0) AS d25, quantile_cont(dens, 0.75) FILTER (WHERE dens > 0) AS d75, quantile_cont(CAST(n_nuclei AS DOUBLE), 0.25) AS c25, quantile_cont(CAST(n_nuclei AS DOUBLE), 0.75) AS c75
+    FROM (SELECT *, nuclei_per_mm2 AS dens FROM f) GROUP BY material),
+  j AS (SELECT f.*, n >= 3 AND nd >= 3 AND (nuclei_per_mm2 < d25 - 1.5 * (d75 - d25) OR nuclei_per_mm2 > d75 + 1.5 * (d75 - d25)) AS dens_out,
+    n >= 3 AND (n_nuclei < c25 - 1.5 * (c75 - c25) OR n_nuclei > c75 + 1.5 * (c75 - c25)) AS count_out, low < (SELECT quantile_cont(low, 0.1) FROM f) AS blur FROM f JOIN q USING (material))
+  SELECT run, image_id, dens_out AS flag_density_outlier, count_out AS flag_count_outlier, blur AS flag_blurry, (peak > 100) OR blur AS flag_any,
+    concat_ws(';', CASE WHEN dens_out THEN 'density_outlier' END, CASE WHEN count_out THEN 'count_outlier' END, CASE WHEN peak > 100 THEN 'saturated' END, CASE WHEN blur THEN 'blurry' END) AS flags_list FROM j"""
+
+
+@query("cohort_flags_a12", _COHORT, "v_field")
+def cohort_flags(spark, d):
+    f = v.fields(spark, d).withColumn("flag_saturated", F.col("peak") > 100)
+    out = g.cohort_flags(f, laplacian="low", own_flags=["saturated"], blur_percentile=10.0)
+    return out.select("run", "image_id", "flag_density_outlier", "flag_count_outlier", "flag_blurry", "flag_any", "flags_list")

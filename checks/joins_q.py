@@ -1 +1,247 @@
-"""To come."""
+"""Joins, matching and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from replistat.operators import matching as m, sets as s
+from replistat.operators.gates import reason_text
+from replistat.operators.scan import first_per_key
+from replistat.plans.growth import pair
+from replistat.sources.files import channel_inventory
+from replistat.streaming.incremental import complete_runs, pending, run_fingerprint, work_key
+
+from . import views as v
+from .registry import query
+from .views import big, r
+
+
+@query("matched_pairs_j1", "SELECT pair_key, count(DISTINCT timepoint) >= 2 AS matched, count(*) AS n FROM v_object GROUP BY pair_key", "v_object")
+def matched_pairs(spark, d):
+    o = m.mark_matched(v.objects(spark, d), "pair_key", "timepoint", "matched")
+    return o.groupBy("pair_key", "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("matched_and_single_keys_j1", """SELECT pair_key, CASE WHEN count(DISTINCT timepoint) = 2 THEN 'matched' WHEN min(timepoint) = 't0' THEN 'only_first' ELSE 'only_second' END AS state FROM v_object GROUP BY pair_key""", "v_object")
+def matched_and_single_keys(spark, d):
+    return m.matched_keys(v.objects(spark, d), "pair_key", "timepoint")
+
+
+_CHAN = """WITH p AS (SELECT base, min(name) FILTER (WHERE channel = '00') AS first_file, min(name) FILTER (WHERE channel = '02') AS second_file,
+  count(DISTINCT name) FILTER (WHERE channel = '00') AS n_first, count(DISTINCT name) FILTER (WHERE channel = '02') AS n_second FROM v_channel WHERE channel IN ('00', '02') GROUP BY base),
+  s AS (SELECT name, max(side) AS side, max(tax) AS tax FROM v_channel GROUP BY name)
+  SELECT base, first_file, second_file, n_first, n_second, CASE WHEN n_first > 1 OR n_second > 1 THEN 'collision' WHEN n_first = 0 THEN 'missing_first' WHEN n_second = 0 THEN 'missing_second'
+    WHEN a.side > 25 AND b.side <= 25 THEN 'shape_mismatch' WHEN a.tax > 0 AND b.tax > 0 AND abs(b.tax - a.tax) > 0.01 * a.tax THEN 'pixel_size_mismatch' ELSE 'paired' END AS state
+  FROM p LEFT JOIN s a ON a.name = first_file LEFT JOIN s b ON b.name = second_file"""
+
+
+@query("channel_pairing_j2", _CHAN, "v_channel")
+def channel_pairing(spark, d):
+    f = channel_inventory(v.field_names(spark, d))
+    p = m.pair_channels(f.select("base", "channel", "name").distinct(), "base", "channel", "name")
+    props = f.groupBy("name").agg(F.max("side").alias("side"), F.max("tax").alias("tax"))
+    a = props.select(F.col("name").alias("first_file"), F.col("side").alias("sa"), F.col("tax").alias("ta"))
+    b = props.select(F.col("name").alias("second_file"), F.col("side").alias("sb"), F.col("tax").alias("tb"))
+    p = p.join(a, "first_file", "left").join(b, "second_file", "left")
+    wide_a, wide_b = F.col("sa") > 25, (F.col("sb") > 25) | (F.col("sa") <= 25)
+    out = m.field_state(p, wide_a, F.when(wide_a, wide_b).otherwise(False), F.col("ta"), F.col("tb"), F.col("ta") > 0, F.col("tb") > 0)
+    return out.select("base", "first_file", "second_file", "n_first", "n_second", "state")
+
+
+@query("material_qualifying_j2", """SELECT material, count(*) AS n FROM (SELECT DISTINCT concat(regexp_extract(base, p, 1), '_D', regexp_extract(base, p, 2), '_', regexp_extract(base, p, 4)) AS material, base FROM v_channel,
+    (SELECT '^(\\S+)\\s+Spheroid\\s+D(\\d+(?:\\.\\d+)?)(?:\\s+([^_]+?))?\\s*_([A-Za-z0-9][A-Za-z0-9._]*?)-([Gg]el\\d+)(?:-(.+))?$' AS p) WHERE regexp_matches(base, p)) GROUP BY 1""", "v_channel")
+def material_qualifying(spark, d):
+    f = channel_inventory(v.field_names(spark, d)).filter("material is not null").select("base", "cell_line", "day", "material").distinct()
+    return m.qualify_materials(f).groupBy("material").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EDGE = """WITH g AS (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL'), e AS (SELECT a.object_id AS t0_id, b.object_id AS t7_id,
+    sqrt((a.centroid_x - b.centroid_x) * (a.centroid_x - b.centroid_x) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y)) AS dist,
+    greatest(50.0, (a.equivalent_diameter_px + b.equivalent_diameter_px) / 4.0 * 1.5) AS lim
+  FROM g a JOIN g b ON a.pair_key = b.pair_key AND a.timepoint = 't0' AND b.timepoint = 't7')"""
+
+
+def _edges(spark, d):
+    o = v.gated(spark, d)
+    return m.admissible_edges(o.filter("timepoint = 't0'"), o.filter("timepoint = 't7'"), "pair_key")
+
+
+@query("admissible_edges_j3", _EDGE + " SELECT t0_id, t7_id, round(dist, 6) AS distance FROM e WHERE dist <= lim", "v_gated")
+def admissible_edges(spark, d):
+    return _edges(spark, d).select(F.col("a_object_id").alias("t0_id"), F.col("b_object_id").alias("t7_id"), r("distance").alias("distance"))
+
+
+@query("single_edge_matches_j3", _EDGE + """, k AS (SELECT *, count(*) OVER (PARTITION BY t0_id) AS c0, count(*) OVER (PARTITION BY t7_id) AS c7 FROM e WHERE dist <= lim)
+  SELECT t0_id, t7_id, round(dist, 6) AS distance FROM k WHERE c0 = 1 AND c7 = 1""", "v_gated")
+def single_edge_matches(spark, d):
+    lone, _ = m.lone_edges(_edges(spark, d), "a_object_id", "b_object_id")
+    return lone.select(F.col("a_object_id").alias("t0_id"), F.col("b_object_id").alias("t7_id"), r("distance").alias("distance"))
+
+
+def growth_pairs(spark, d):
+    o = v.gated(spark, d).withColumnsRenamed({"cond": "condition"}).withColumn("volume_ellipsoid_um3", F.col("volume_sphere_um3"))
+    o = o.withColumn("pair_key", F.col("pair_key").cast("string"))
+    return pair(o, order="object_id")
+
+
+@query("optimal_pairs_j3")
+def optimal_pairs(spark, d):
+    p, _ = growth_pairs(spark, d)
+    return p.select("pair_id", "t0_object_id", "t7_object_id", r("centroid_distance_px").alias("distance"), r("fold_change_volume").alias("fc"), "combined_qc_flag", "qc_reasons")
+
+
+@query("greedy_pairs_j4")
+def greedy_pairs(spark, d):
+    return m.greedy_matching(_edges(spark, d), "a_object_id", "b_object_id", "a_object_id", "b_object_id")
+
+
+@query("pair_id_assignment_j5", """WITH p AS (SELECT pair_key, min(object_id) FILTER (WHERE timepoint = 't0' AND qc_flag <> 'FAIL') AS a, min(object_id) FILTER (WHERE timepoint = 't7') AS b FROM v_gated GROUP BY pair_key)
+  SELECT object_id, CASE WHEN qc_flag = 'FAIL' THEN 'UNPAIRED' ELSE coalesce(concat(CAST(p.pair_key AS VARCHAR), '_pair1'), 'UNPAIRED') END AS pair_id
+  FROM v_gated g LEFT JOIN p ON (g.object_id = p.a OR g.object_id = p.b) AND p.a IS NOT NULL AND p.b IS NOT NULL""", "v_gated")
+def pair_id_assignment(spark, d):
+    o = v.gated(spark, d)
+    p = o.groupBy("pair_key").agg(F.min(F.when((F.col("timepoint") == "t0") & (F.col("qc_flag") != "FAIL"), F.col("object_id"))).alias("t0_object_id"),
+                                  F.min(F.when(F.col("timepoint") == "t7", F.col("object_id"))).alias("t7_object_id")).dropna()
+    p = p.withColumn("pair_id", F.concat(F.col("pair_key").cast("string"), F.lit("_pair1")))
+    return m.assign_pair_ids(o, p).select("object_id", "pair_id")
+
+
+@query("duplicate_id_check_j5", "SELECT l_orderkey * 10 + l_linenumber AS object_id, count(*) AS n_rows FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_id_check(spark, d):
+    li = v.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("object_id"))
+    return m.duplicate_ids(li)
+
+
+_DUP = """WITH g AS (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL'), e AS (SELECT a.object_id AS a, b.object_id AS b,
+    sqrt((a.centroid_x - b.centroid_x) * (a.centroid_x - b.centroid_x) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y)) AS dist,
+    CASE WHEN abs(a.contrast_ratio - b.contrast_ratio) > 0.02 THEN CASE WHEN a.contrast_ratio > b.contrast_ratio THEN b.object_id ELSE a.object_id END
+      WHEN a.circularity - b.circularity >= 0 THEN b.object_id ELSE a.object_id END AS loser
+  FROM g a JOIN g b ON a.cond = b.cond AND a.pair_key = b.pair_key AND a.timepoint = b.timepoint AND a.plane <> b.plane AND a.object_id < b.object_id),
+  d AS (SELECT * FROM e WHERE dist <= 80 / 1.5)"""
+
+
+def duplicate_edges(spark, d):
+    return m.duplicate_edges(v.gated(spark, d), ["cond", "pair_key", "timepoint"], "plane", "object_id", "object_id", max_um=80.0)
+
+
+@query("duplicate_edges_j6", _DUP + " SELECT a, b, round(dist, 6) AS distance, loser FROM d", "v_gated")
+def duplicate_edges_q(spark, d):
+    return duplicate_edges(spark, d).select(F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), r("distance").alias("distance"), m.loser_id("object_id").alias("loser"))
+
+
+@query("duplicate_first_losers_j6", _DUP + """, v AS (SELECT a AS n, dist, a, b FROM d UNION ALL SELECT b, dist, a, b FROM d),
+  l AS (SELECT n, arg_min(a, rn) AS fa, arg_min(b, rn) AS fb FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY dist, a, b) AS rn FROM v) GROUP BY n)
+  SELECT d.a, d.b, d.loser FROM d JOIN l x ON x.n = d.a AND x.fa = d.a AND x.fb = d.b JOIN l y ON y.n = d.b AND y.fa = d.a AND y.fb = d.b""", "v_gated")
+def duplicate_first_losers(spark, d):
+    """Edges that come first at both ends: each object keeps only its nearest partner, as an aggregate."""
+    e = duplicate_edges(spark, d).select(F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), "distance", m.loser_id("object_id").alias("loser"))
+    rank = F.struct("distance", "a", "b")
+    first = e.select(F.explode(F.array("a", "b")).alias("n"), rank.alias("rk")).groupBy("n").agg(F.min("rk").alias("rk"))
+    x, y = first.select(F.col("n").alias("xn"), F.col("rk").alias("xr")), first.select(F.col("n").alias("yn"), F.col("rk").alias("yr"))
+    e = e.withColumn("rk", rank)
+    return e.join(x, (F.col("a") == F.col("xn")) & (F.col("rk") == F.col("xr"))).join(y, (F.col("b") == F.col("yn")) & (F.col("rk") == F.col("yr"))).select("a", "b", "loser")
+
+
+@query("duplicates_resolved_j6")
+def duplicates_resolved(spark, d):
+    return m.resolve_duplicates(duplicate_edges(spark, d), "object_id", "object_id").select("loser", "winner", r("distance").alias("distance"))
+
+
+@query("overlap_edges_j7", """WITH n AS (SELECT image_id, cand_id, count(*) AS n, md5(string_agg(elem, chr(1) ORDER BY elem)) AS sig FROM v_set GROUP BY 1, 2),
+  rep AS (SELECT image_id, min(cand_id) AS cand_id, any_value(n) AS n FROM n GROUP BY image_id, sig), x AS (SELECT s.* FROM v_set s JOIN rep USING (image_id, cand_id)),
+  i AS (SELECT a.image_id, a.cand_id AS ca, b.cand_id AS cb, count(*) AS k FROM x a JOIN x b ON a.image_id = b.image_id AND a.elem = b.elem AND a.cand_id < b.cand_id GROUP BY 1, 2, 3)
+  SELECT i.image_id, CASE WHEN p.n >= q.n THEN ca ELSE cb END AS first, CASE WHEN p.n >= q.n THEN cb ELSE ca END AS second, k AS n_both, round(k / (p.n + q.n - k), 6) AS iou
+  FROM i JOIN rep p ON p.image_id = i.image_id AND p.cand_id = ca JOIN rep q ON q.image_id = i.image_id AND q.cand_id = cb WHERE k / (p.n + q.n - k) > 0.5""", "v_set")
+def overlap_edges(spark, d):
+    return s.overlap_edges(v.sets(spark, d), "image_id", "cand_id", "elem").select("image_id", "first", "second", "n_both", r("iou").alias("iou"))
+
+
+@query("overlaps_suppressed_j7")
+def overlaps_suppressed(spark, d):
+    return s.suppress_overlaps(v.sets(spark, d), "image_id", "cand_id", "elem")
+
+
+@query("elements_claimed_j7")
+def elements_claimed(spark, d):
+    w = v.sets(spark, d)
+    size = w.groupBy("image_id", "cand_id").agg(F.count(F.lit(1)).alias("n"))
+    o = w.join(size, ["image_id", "cand_id"]).withColumn("ord", F.struct(-F.col("n"), F.col("cand_id")))
+    got = s.claim_elements(o, "image_id", "cand_id", "elem", "ord")
+    return got.groupBy("image_id", "cand_id").agg(F.count(F.lit(1)).alias("n_claimed"))
+
+
+@query("merged_tables_j8", """SELECT a.image_id, a.material, a.replicate, a.n_nuclei AS n_qc, b.n_nuclei AS n_feat, coalesce(b.n_nuclei, a.n_nuclei) AS n_any, coalesce(c.flag_summary, 'clean') AS flags
+  FROM (SELECT * FROM v_field WHERE run = 'click') a JOIN (SELECT * FROM v_field WHERE run = 'view') b USING (image_id, material, replicate)
+  LEFT JOIN (SELECT * FROM v_field WHERE run = 'error') c USING (image_id)""", "v_field")
+def merged_tables(spark, d):
+    f = v.fields(spark, d)
+    a = f.filter("run = 'click'").select("image_id", "material", "replicate", F.col("n_nuclei").alias("n_qc"))
+    b = f.filter("run = 'view'").select("image_id", "material", "replicate", F.col("n_nuclei").alias("n_feat"))
+    c = f.filter("run = 'error'").select("image_id", F.col("flag_summary").alias("fl"))
+    return a.join(b, ["image_id", "material", "replicate"]).join(c, "image_id", "left").select(
+        "image_id", "material", "replicate", "n_qc", "n_feat", F.coalesce("n_feat", "n_qc").alias("n_any"), F.coalesce("fl", F.lit("clean")).alias("flags"))
+
+
+@query("mask_agreement_j9", """WITH a AS (SELECT DISTINCT image_id, elem FROM v_set JOIN documents ON doc_id = cand_id WHERE length(source) = 4), b AS (SELECT DISTINCT image_id, elem FROM v_set JOIN documents ON doc_id = cand_id WHERE length(source) <> 4),
+  u AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, (a.elem IS NOT NULL)::INT AS x, (b.elem IS NOT NULL)::INT AS y FROM a FULL JOIN b ON a.image_id = b.image_id AND a.elem = b.elem)
+  SELECT image_id, CAST(sum(x) AS BIGINT) AS n_auto, CAST(sum(y) AS BIGINT) AS n_manual, CAST(sum(x * y) AS BIGINT) AS n_both, round(2.0 * sum(x * y) / (sum(x) + sum(y)), 6) AS dice,
+    round(sum(x * y) / (sum(x) + sum(y) - sum(x * y)), 6) AS iou FROM u GROUP BY image_id""", "v_set")
+def mask_agreement(spark, d):
+    w = v.sets(spark, d).join(v.table(spark, d, "documents").select(F.col("doc_id").alias("cand_id"), (F.length("source") == 4).alias("short")), "cand_id")
+    out = s.agreement(w.filter("short"), w.filter("not short"), "image_id", "elem")
+    return out.select("image_id", big("n_auto").alias("n_auto"), big("n_manual").alias("n_manual"), big("n_both").alias("n_both"), r("dice").alias("dice"), r("iou").alias("iou"))
+
+
+@query("common_images_j10", "SELECT image_id, count(DISTINCT run) AS n_sources, count(DISTINCT run) = (SELECT count(DISTINCT run) FROM v_field) AS in_all FROM v_field GROUP BY image_id", "v_field")
+def common_images(spark, d):
+    return s.common_members(v.fields(spark, d), "image_id", "run")
+
+
+_KEY = "sha256(concat('img:', sha256(text), '|params:', sha256('{\"diameter\":30.0,\"seed\":42}'), '|model:', sha256('none'), '|pkg:', sha256('1')))"
+
+
+@query("pending_work_j11", f"""WITH k AS (SELECT doc_id, source, {_KEY} AS work_key FROM documents) SELECT doc_id, work_key FROM k
+  WHERE work_key NOT IN (SELECT k2.work_key FROM k k2 JOIN labels l ON l.doc_id = k2.doc_id)""")
+def pending_work(spark, d):
+    params = {"seed": 42, "diameter": 30.0}
+    docs = v.table(spark, d, "documents").select("doc_id", work_key(F.sha2("text", 256), params, version="1").alias("work_key"))
+    return pending(docs, docs.join(v.table(spark, d, "labels"), "doc_id", "left_semi"))
+
+
+@query("run_fingerprints_j11")
+def run_fingerprints(spark, d):
+    f = run_fingerprint(v.fields(spark, d), ["run"], ["image_id", "n_nuclei"], {"seed": 42})
+    return complete_runs(f, f.filter("run <> 'view'"), ["run"])
+
+
+@query("radial_distance_j12", """SELECT object_id, round(sqrt((centroid_x - cx) * (centroid_x - cx) + (centroid_y - cy) * (centroid_y - cy)) / greatest(1.0, rad), 6) AS dist
+  FROM v_object JOIN (SELECT image_id, (min(centroid_x) + max(centroid_x)) / 2 AS cx, (min(centroid_y) + max(centroid_y)) / 2 AS cy, max(perimeter_px) AS rad FROM v_object GROUP BY 1) USING (image_id)""", "v_object")
+def radial_distance(spark, d):
+    o = v.objects(spark, d)
+    mid = lambda c: (F.min(c) + F.max(c)) / 2
+    e = o.groupBy("image_id").agg(mid("centroid_x").alias("cx"), mid("centroid_y").alias("cy"), F.max("perimeter_px").alias("rad"))
+    return m.radial_distance(o, e, "image_id", "centroid_x", "centroid_y", "cx", "cy", "rad").select("object_id", r("normalized_radial_distance").alias("dist"))
+
+
+@query("first_row_per_key_w3", "SELECT run, image_id, o_orderkey FROM (SELECT o_orderpriority AS run, o_custkey AS image_id, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def first_row_per_key(spark, d):
+    o = v.table(spark, d, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_custkey").alias("image_id"), "o_orderkey", "o_totalprice")
+    return first_per_key(o, ["run", "image_id"], ["o_totalprice", "o_orderkey"]).select("run", "image_id", "o_orderkey")
+
+
+@query("image_union_x1", "SELECT image_id FROM v_field WHERE run = 'click' UNION SELECT image_id FROM v_field WHERE run = 'view'", "v_field")
+def image_union(spark, d):
+    f = v.fields(spark, d)
+    return f.filter("run = 'click'").select("image_id").union(f.filter("run = 'view'").select("image_id")).distinct()
+
+
+@query("common_and_dropped_x2", """SELECT image_id, 'common' AS part FROM (SELECT image_id FROM v_field WHERE run = 'click' INTERSECT SELECT image_id FROM v_field WHERE run = 'view')
+  UNION ALL SELECT image_id, 'dropped' FROM (SELECT image_id FROM v_field WHERE run IN ('click', 'view') EXCEPT (SELECT image_id FROM v_field WHERE run = 'click' INTERSECT SELECT image_id FROM v_field WHERE run = 'view'))""", "v_field")
+def common_and_dropped(spark, d):
+    f = s.common_members(v.fields(spark, d).filter("run in ('click', 'view')"), "image_id", "run")
+    return f.select("image_id", F.when(F.col("in_all"), "common").otherwise("dropped").alias("part"))
+
+
+@query("one_sided_keys_x3", "SELECT image_id FROM v_field WHERE run = 'click' EXCEPT SELECT image_id FROM v_field WHERE run = 'view'", "v_field")
+def one_sided_keys(spark, d):
+    return s.only_in(v.fields(spark, d), "image_id", "run", F.col("run") == "click", F.col("run") == "view")
