@@ -97,7 +97,7 @@ def greedy_pairs(spark, d):
 
 @query("pair_id_assignment_j5", """WITH p AS (SELECT pair_key, min(object_id) FILTER (WHERE timepoint = 't0' AND qc_flag <> 'FAIL') AS a, min(object_id) FILTER (WHERE timepoint = 't7') AS b FROM v_gated GROUP BY pair_key)
   SELECT object_id, CASE WHEN qc_flag = 'FAIL' THEN 'UNPAIRED' ELSE coalesce(concat(CAST(p.pair_key AS VARCHAR), '_pair1'), 'UNPAIRED') END AS pair_id
-  FROM v_gated g LEFT JOIN p ON (g.object_id = p.a OR g.object_id = p.b) AND p.a IS NOT NULL AND p.b IS NOT NULL""", "v_gated")
+  FROM v_gated g LEFT JOIN (SELECT pair_key, a AS oid FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT pair_key, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL) p ON g.object_id = p.oid""", "v_gated")
 def pair_id_assignment(spark, d):
     o = v.gated(spark, d)
     p = o.groupBy("pair_key").agg(F.min(F.when((F.col("timepoint") == "t0") & (F.col("qc_flag") != "FAIL"), F.col("object_id"))).alias("t0_object_id"),

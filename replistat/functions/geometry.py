@@ -12,18 +12,17 @@ PI = math.pi
 def num(c) -> Column:
     """A double column with NaN turned into NULL."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(~F.isnan(c), c)
+    return F.nullif(c, F.lit(float("nan")))
 
 
 def finite(c) -> Column:
     """A double column that is NULL unless the value is a finite number."""
-    c = num(c)
-    return F.when(F.abs(c) < float("inf"), c)
+    return F.nullif(F.nullif(num(c), F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def clip_low(c, low: float = 0.0) -> Column:
     c = num(c)
-    return F.when(c < low, F.lit(low)).otherwise(c)
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
 
 
 def pixel_size(c, strict: bool = False) -> Column:
@@ -36,13 +35,11 @@ def pixel_size(c, strict: bool = False) -> Column:
 
 
 def sphere_volume(d) -> Column:
-    d = clip_low(d)
-    return F.lit(PI / 6.0) * d * d * d
+    return F.lit(PI / 6.0) * F.pow(clip_low(d), F.lit(3.0))
 
 
 def ellipsoid_volume(major, minor) -> Column:
-    b = clip_low(minor)
-    return F.lit(PI / 6.0) * clip_low(major) * b * b
+    return F.lit(PI / 6.0) * clip_low(major) * F.pow(clip_low(minor), F.lit(2.0))
 
 
 def disk_diameter(area) -> Column:
@@ -76,9 +73,8 @@ def volume_discrepancy(sphere, ellipsoid) -> Column:
 
 
 def circularity(area_px, perimeter_px) -> Column:
-    p = clip_low(perimeter_px, 1e-4)
-    raw = F.lit(4.0 * PI) * clip_low(area_px) / (p * p)
-    return F.when(raw > 1.0, F.lit(1.0)).otherwise(raw)
+    raw = F.lit(4.0 * PI) * clip_low(area_px) / F.pow(clip_low(perimeter_px, 1e-4), F.lit(2.0))
+    return F.when(num(area_px).isNotNull() & num(perimeter_px).isNotNull(), F.least(raw, F.lit(1.0)))
 
 
 def areal_density(n, area_um2) -> Column:
@@ -109,7 +105,7 @@ def object_measures(
     scale = clip_low(px_um, 1e-6)
     area = num(area_px)
     perimeter = F.when(num(perimeter_px) > 0, num(perimeter_px)).otherwise(F.lit(1.0))
-    d_px = F.when(area > 0, disk_diameter(area)).otherwise(F.lit(0.0))
+    d_px = disk_diameter(area)
 
     def axis(c) -> Column:
         if c is None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite, num, sphere_volume, disk_diameter
 from ..params import FieldQC, ObjectGate, PairGate, SizeGate
+from ..session import cut_lineage
 from .scan import HOT_ROWS, group_summary, numeric_bucket, row_numbers, running
 
 REJECTED = ("FAIL", "SEG_FAIL")
@@ -223,6 +224,7 @@ def balanced_images(manifest: DataFrame, n: int, condition: str = "condition", u
     units = rows.groupBy(condition, "_single", "_own").agg(F.count(F.lit(1)).alias("_size"))
     # the ordering value joins "pairs first" and the unit name, so its prefix stays order preserving
     units = units.withColumn("_o", F.concat(F.col("_single").cast("string"), F.lit("|"), F.col("_own")))
+    units = cut_lineage(units)   # one row per unit, scanned twice below
     units = row_numbers(units, [condition], ["_o"], "_round", F.substring("_o", 1, 8), hot_rows=hot_rows)
     units = running(units, [], ["_round", condition], {"_upto": ("sum", F.col("_size"))},
                     numeric_bucket("_round"), hot_rows=hot_rows)

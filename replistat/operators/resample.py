@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite
-from ..params import Inference
+from ..session import cut_lineage
 from .scan import HOT_ROWS, group_summary, numeric_bucket, row_numbers, running, text_bucket
 
 TOLERANCE = 1e-12
@@ -117,6 +117,7 @@ def permutation_test(df: DataFrame, group: str, cluster: str, value: str, contro
     units = unit_summary(df.filter(F.col(cluster).isNotNull()), [group, cluster], value, "median", hot_rows)
     units = units.filter(F.col("unit_value").isNotNull()).select(
         F.col(group).alias("_g"), F.col(cluster).cast("string").alias("_u"), F.col("unit_value").alias("_x"))
+    units = cut_lineage(units)   # one row per unit, read several times below
     return _permute(df.select(F.col(group).alias("_g")).distinct(), units, group, control, n_perm, seed, exact_limit, hot_rows)
 
 
@@ -204,6 +205,7 @@ def adjust_pvalues(df: DataFrame, family: Sequence[str], p: str, method: str = "
     if method not in ("holm", "bh", "fdr_bh"):
         raise ValueError(f"unknown adjustment {method!r}")
     family = list(family)
+    df = cut_lineage(df)     # p-values are costly and small: compute them once, not once per scan
     tested = df.filter(F.col(p).isNotNull())
     if family:
         m = tested.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))

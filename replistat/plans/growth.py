@@ -14,6 +14,7 @@ from ..operators.resample import adjust_pvalues, bootstrap_interval, permutation
 from ..operators.rollup import backend_mix
 from ..operators.scan import HOT_ROWS, group_summary
 from ..params import DUPLICATE_DISTANCE_UM, Inference, ObjectGate, PairGate
+from ..session import cut_lineage
 
 
 def measure(regions: DataFrame, gate: ObjectGate = ObjectGate(), image_area: str = "image_area_px") -> DataFrame:
@@ -123,6 +124,7 @@ def growth(regions: DataFrame, object_gate: ObjectGate = ObjectGate(), gate: Pai
            params: Inference = Inference()) -> dict[str, DataFrame]:
     """Regions to objects, pairs and condition summary."""
     objects = remove_duplicates(measure(regions, object_gate))
-    pairs, objects = pair(objects, gate)
+    pairs, objects = pair(cut_lineage(objects), gate)
+    pairs = cut_lineage(pairs)
     return {"objects": objects, "pairs": pairs, "condition_summary": condition_summary(pairs, objects, params),
             "rejected": objects.filter(F.col("qc_flag").isin(*REJECTED))}
