@@ -1 +1,192 @@
-"""To come."""
+"""Aggregates of the growth analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from replistat.functions.geometry import growth
+from replistat.operators import matching as m, rollup as ru
+from replistat.operators.gates import pair_gate, reason_text
+from replistat.params import Inference
+from replistat.plans.growth import condition_summary, pair_population
+
+from . import views as v
+from .columns_q import manifest
+from .joins_q import growth_pairs
+from .registry import query
+from .views import big, r
+
+
+def simple_pairs(spark, d):
+    """One pair per key made of its first accepted object at each timepoint."""
+    o = v.gated(spark, d).filter("qc_flag <> 'FAIL'")
+    at = lambda tp, c: F.min_by(F.col(c), F.when(F.col("timepoint") == tp, F.col("object_id")))
+    g = o.groupBy("cond", "replicate", "pair_key", "fov").agg(*[
+        at(tp, c).alias(f"{tp}_{n}") for tp in ("t0", "t7") for c, n in (("volume_sphere_um3", "volume_sphere_um3"), ("equivalent_diameter_um", "eq_diameter_um"), ("qc_flag", "qc_flag"))])
+    g = g.dropna().withColumns(growth("t0_volume_sphere_um3", "t7_volume_sphere_um3", "t0_eq_diameter_um", "t7_eq_diameter_um"))
+    return pair_gate(g).withColumn("qc_reasons", reason_text("qc_codes")).withColumnRenamed("cond", "condition")
+
+
+_PAIR = """WITH k AS (SELECT cond AS condition, replicate, pair_key, fov, arg_min(volume_sphere_um3, object_id) FILTER (WHERE timepoint = 't0') AS v0, arg_min(volume_sphere_um3, object_id) FILTER (WHERE timepoint = 't7') AS v7,
+    arg_min(equivalent_diameter_um, object_id) FILTER (WHERE timepoint = 't0') AS d0, arg_min(qc_flag, object_id) FILTER (WHERE timepoint = 't0') AS f0, arg_min(qc_flag, object_id) FILTER (WHERE timepoint = 't7') AS f7
+  FROM v_gated WHERE qc_flag <> 'FAIL' GROUP BY ALL),
+  pr AS (SELECT *, v7 / greatest(v0, 1e-6) AS fc, v7 - v0 AS dv, d0 >= 60 AS ok, CASE WHEN f0 = 'REVIEW' OR f7 = 'REVIEW' OR v7 / v0 < 0.1 OR v7 / v0 > 20 THEN 'REVIEW' ELSE 'PASS' END AS flag,
+    v7 / v0 < 0.1 OR v7 / v0 > 20 AS extreme FROM k WHERE v0 IS NOT NULL AND v7 IS NOT NULL)"""
+
+
+@query("condition_population_a2", _PAIR + """ SELECT condition, n_matched_pairs, n_pass_pairs, n_denominator_excluded, n_review_pairs, n_gels, n_spheroids, v0_median_um3, v0_iqr_um3, delta_v_median_um3, fold_change_median, fold_change_iqr, fold_change_mean, fold_change_std, log2fc_median FROM
+  (SELECT condition, count(*) AS n_matched_pairs, count(*) FILTER (WHERE flag = 'PASS') AS n_pass_pairs, count(*) FILTER (WHERE NOT ok) AS n_denominator_excluded, count(*) FILTER (WHERE flag = 'REVIEW') AS n_review_pairs FROM pr GROUP BY 1)
+  JOIN (SELECT condition, count(DISTINCT replicate) AS n_gels, count(*) AS n_spheroids, round(median(v0), 3) AS v0_median_um3, round(quantile_cont(v0, 0.75) - quantile_cont(v0, 0.25), 3) AS v0_iqr_um3, round(median(dv), 3) AS delta_v_median_um3,
+    round(median(fc), 6) AS fold_change_median, round(quantile_cont(fc, 0.75) - quantile_cont(fc, 0.25), 6) AS fold_change_iqr, round(avg(fc), 6) AS fold_change_mean, round(stddev_samp(fc), 6) AS fold_change_std, round(median(log2(fc)), 6) AS log2fc_median
+    FROM pr WHERE ok AND flag = 'PASS' GROUP BY 1) USING (condition)""", "v_gated")
+def condition_population(spark, d):
+    s = pair_population(simple_pairs(spark, d))
+    return s.select("condition", "n_matched_pairs", "n_pass_pairs", "n_denominator_excluded", "n_review_pairs", "n_gels", "n_spheroids",
+                    *[r(c, 3).alias(c) for c in ("v0_median_um3", "v0_iqr_um3", "delta_v_median_um3")],
+                    *[r(c).alias(c) for c in ("fold_change_median", "fold_change_iqr", "fold_change_mean", "fold_change_std", "log2fc_median")])
+
+
+@query("condition_summary_a2")
+def condition_summary_q(spark, d):
+    p, o = growth_pairs(spark, d)
+    s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA", n_boot=50))
+    return s.select("condition", "n_spheroids", "n_gels", r("fold_change_median").alias("fc"), r("log2fc_ci_95_low").alias("lo"), r("log2fc_ci_95_high").alias("hi"),
+                    r("p_raw").alias("p_raw"), r("p_adj").alias("p_adj"), "significance", "backend_counts", "ci_method")
+
+
+@query("backend_mix_a3", "SELECT cond, string_agg(concat(seg_backend, ':', n), ';' ORDER BY seg_backend) AS backend_counts FROM (SELECT cond, seg_backend, count(*) AS n FROM v_object GROUP BY 1, 2) GROUP BY cond", "v_object")
+def backend_mix(spark, d):
+    return ru.backend_mix(v.objects(spark, d), ["cond"], "seg_backend")
+
+
+@query("exclusion_audit_a4", _PAIR + """, o AS (SELECT *, timepoint = 't0' AS b, CASE WHEN plane = 0 THEN 'UNPAIRED' ELSE 'x' END AS pid FROM v_gated), a AS (SELECT count(DISTINCT image_id) FILTER (WHERE b) AS i0, count(DISTINCT image_id) FILTER (WHERE NOT b) AS i7,
+    count(*) FILTER (WHERE qc_reasons LIKE '%debris%') AS e3, count(*) FILTER (WHERE qc_reasons LIKE '%oversized%') AS e4, count(*) FILTER (WHERE qc_reasons LIKE '%contrast%') AS e6,
+    count(*) FILTER (WHERE pid = 'UNPAIRED' AND qc_flag <> 'FAIL' AND b) AS u0, count(*) FILTER (WHERE pid = 'UNPAIRED' AND qc_flag <> 'FAIL' AND NOT b) AS u7 FROM o),
+  q AS (SELECT count(*) FILTER (WHERE NOT ok) AS e8, count(*) FILTER (WHERE extreme) AS e9, count(*) FILTER (WHERE flag = 'PASS') AS e10 FROM pr)
+  SELECT 'E1' AS stage, 'E1_images_t0' AS metric, i0 AS n FROM a UNION ALL SELECT 'E1', 'E1_images_t7', i7 FROM a UNION ALL SELECT 'E1', 'E1_images_total', i0 + i7 FROM a UNION ALL SELECT 'E2', 'E2_plausibility_fallbacks', 0 UNION ALL
+  SELECT 'E3', 'E3_debris_undersized', e3 FROM a UNION ALL SELECT 'E4', 'E4_oversized_artifact', e4 FROM a UNION ALL SELECT 'E5', 'E5_border_touching', 0 UNION ALL SELECT 'E6', 'E6_insufficient_contrast', e6 FROM a UNION ALL
+  SELECT 'E7', 'E7_unpaired_t0', u0 FROM a UNION ALL SELECT 'E7', 'E7_unpaired_t7', u7 FROM a UNION ALL SELECT 'E7', 'E7_unpaired_total', u0 + u7 FROM a UNION ALL SELECT 'E8', 'E8_denominator_excluded', e8 FROM q UNION ALL
+  SELECT 'E9', 'E9_extreme_trajectory_review', e9 FROM q UNION ALL SELECT 'E10', 'E10_final_pass_pairs', e10 FROM q""", "v_gated")
+def exclusion_audit(spark, d):
+    o = v.gated(spark, d).withColumn("pair_id", F.when(F.col("plane") == 0, "UNPAIRED").otherwise("x"))
+    return ru.exclusion_audit(o, simple_pairs(spark, d))
+
+
+def _well_fields(o):
+    return o.groupBy("cond", "replicate", "timepoint").agg(F.count_distinct("plane").alias("n_fields"))
+
+
+@query("well_growth_a5", """WITH f AS (SELECT cond, replicate, count(DISTINCT plane) FILTER (WHERE timepoint = 't0') AS f0, count(DISTINCT plane) FILTER (WHERE timepoint = 't7') AS f7 FROM v_gated GROUP BY 1, 2),
+  s AS (SELECT cond, replicate, sum(volume_sphere_um3) FILTER (WHERE timepoint = 't0') AS v0, sum(volume_sphere_um3) FILTER (WHERE timepoint = 't7') AS v7, count(*) FILTER (WHERE timepoint = 't0') AS n0, count(*) FILTER (WHERE timepoint = 't7') AS n7 FROM v_gated WHERE qc_flag = 'PASS' GROUP BY 1, 2)
+  SELECT cond, replicate, n0 AS count_t0, n7 AS count_t7, f0 AS effective_fovs_t0, f7 AS effective_fovs_t7, round(v0 / 1e6, 4) AS total0, round(v7 / v0, 6) AS fc_total_volume, round(n7 / n0, 6) AS fc_count, round((v7 / n7) / (v0 / n0), 6) AS fc_mean_volume,
+    round((n7 / f7) / (n0 / f0), 6) AS fc_count_density, round((v7 / f7) / (v0 / f0), 6) AS fc_pooled_vol_density FROM s JOIN f USING (cond, replicate)""", "v_gated")
+def well_growth(spark, d):
+    o = v.gated(spark, d)
+    w = ru.well_growth(o, _well_fields(o), ("cond", "replicate"))
+    return w.select("cond", "replicate", "count_t0", "count_t7", "effective_fovs_t0", "effective_fovs_t7", r(F.col("total_volume_um3_t0") / 1e6, 4).alias("total0"),
+                    *[r(c).alias(c) for c in ("fc_total_volume", "fc_count", "fc_mean_volume", "fc_count_density", "fc_pooled_vol_density")])
+
+
+@query("effective_fields_a6", """WITH RECURSIVE o AS (SELECT image_id AS well, plane AS f, CASE WHEN contrast_ratio >= 0.07 THEN other_plane END AS o FROM v_object), sz AS (SELECT well, f, count(*) AS n FROM o GROUP BY 1, 2),
+  lk AS (SELECT l.well, f1, f2 FROM (SELECT well, least(f, o) AS f1, greatest(f, o) AS f2, count(*) AS k FROM o WHERE o IS NOT NULL AND o <> f GROUP BY 1, 2, 3) l JOIN sz a ON a.well = l.well AND a.f = f1 JOIN sz b ON b.well = l.well AND b.f = f2 WHERE k / least(a.n, b.n) >= 0.65 OR k >= 3),
+  e AS (SELECT well, f1 AS a, f2 AS b FROM lk UNION ALL SELECT well, f2, f1 FROM lk), reach AS (SELECT well, f AS s, f AS t FROM sz UNION SELECT r.well, r.s, e.b FROM reach r JOIN e ON e.well = r.well AND e.a = r.t)
+  SELECT well AS image_id, count(DISTINCT root) AS n_fields FROM (SELECT well, s, min(t) AS root FROM reach GROUP BY 1, 2) GROUP BY well""", "v_object")
+def effective_fields(spark, d):
+    o = v.objects(spark, d)
+    return m.effective_fields(o, ["image_id"], "plane", F.when(F.col("contrast_ratio") >= 0.07, F.col("other_plane")))
+
+
+@query("population_summary_a7", """SELECT cond, count(*) FILTER (WHERE timepoint = 't0') AS n_t0, count(*) FILTER (WHERE timepoint = 't7') AS n_t7, round(median(volume_sphere_um3) FILTER (WHERE timepoint = 't0'), 3) AS v0, round(median(volume_sphere_um3) FILTER (WHERE timepoint = 't7'), 3) AS v7,
+  round(median(volume_sphere_um3) FILTER (WHERE timepoint = 't7') / median(volume_sphere_um3) FILTER (WHERE timepoint = 't0'), 6) AS fc, CASE WHEN cond = 'ASIA' THEN 'unadjusted' WHEN cond = 'EUROPE' THEN 'Holm-adjusted' ELSE '—' END AS p_type, 'ns' AS significance FROM v_gated WHERE qc_flag = 'PASS' GROUP BY cond""", "v_gated")
+def population_summary(spark, d):
+    reg = v.table(spark, d, "region").select(F.col("r_name").alias("cond"), F.when(F.col("r_name") == "EUROPE", 0.2).alias("p_adj"), F.when(F.col("r_name") == "ASIA", 0.1).alias("p_raw"), F.lit(None).cast("string").alias("significance"))
+    s = ru.population_summary(v.gated(spark, d), reg, "cond")
+    return s.select("cond", "n_t0", "n_t7", r("median_v0_um3", 3).alias("v0"), r("median_v7_um3", 3).alias("v7"), r("pop_fold_change").alias("fc"), "p_type", "significance")
+
+
+@query("call_rate_a8", """WITH mk AS (SELECT pair_key FROM v_gated GROUP BY 1 HAVING count(DISTINCT timepoint) >= 2) SELECT (SELECT count(*) FROM mk) AS n_matched, (SELECT count(*) FROM (SELECT pair_key FROM v_gated WHERE qc_flag = 'PASS' AND pair_key IN (SELECT pair_key FROM mk) GROUP BY 1 HAVING count(DISTINCT timepoint) >= 2)) AS n_called,
+  round(100.0 * (SELECT count(*) FROM (SELECT pair_key FROM v_gated WHERE qc_flag = 'PASS' AND pair_key IN (SELECT pair_key FROM mk) GROUP BY 1 HAVING count(DISTINCT timepoint) >= 2)) / (SELECT count(*) FROM mk), 6)::DOUBLE AS call_rate""", "v_gated")
+def call_rate(spark, d):
+    o = v.gated(spark, d)
+    return ru.call_rate(o, o).select("n_matched", "n_called", r("call_rate").alias("call_rate"))
+
+
+@query("effective_scales_a8", "SELECT um AS pixel_size_um, source AS scale_source, count(*) AS n_images FROM (SELECT user_id, arg_min(um, (um, event_type)) AS um, arg_min(event_type, (um, event_type)) AS source FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4 AS um FROM events) GROUP BY 1) GROUP BY 1, 2")
+def effective_scales(spark, d):
+    t = v.tags(spark, d).join(v.table(spark, d, "events").select(F.col("event_id").alias("image_id"), "user_id"), "image_id")
+    return ru.effective_scales(t.select(F.col("user_id").alias("image_id"), F.col("um_per_px").alias("pixel_size_um"), F.col("source").alias("scale_source")))
+
+
+@query("qc_yield_a20", """SELECT cond, count(*) FILTER (WHERE qc_flag = 'PASS') AS n_pass, count(*) FILTER (WHERE qc_flag = 'REVIEW') AS n_review, count(*) FILTER (WHERE qc_flag = 'FAIL') AS n_fail, count(*) AS n_total,
+  round(100.0 * count(*) FILTER (WHERE qc_flag = 'PASS') / count(*), 6)::DOUBLE AS pct_pass FROM v_gated GROUP BY cond""", "v_gated")
+def qc_yield(spark, d):
+    return ru.qc_yield(v.gated(spark, d), "cond").select("cond", "n_pass", "n_review", "n_fail", "n_total", r("pct_pass").alias("pct_pass"))
+
+
+@query("rejection_counts_a20", """SELECT unnest(['Border Clipped', 'Low Contrast', 'Undersized', 'Multi-Focal Duplicate', 'Oversized']) AS reason, unnest([count(*) FILTER (WHERE qc_reasons LIKE '%touches_image_border%'), count(*) FILTER (WHERE qc_reasons LIKE '%insufficient_dark_contrast%'),
+  count(*) FILTER (WHERE qc_reasons LIKE '%debris_undersized%'), count(*) FILTER (WHERE qc_reasons LIKE '%duplicate_focal_plane%'), count(*) FILTER (WHERE qc_reasons LIKE '%oversized%')]) AS n FROM v_gated WHERE qc_flag = 'FAIL'""", "v_gated")
+def rejection_counts(spark, d):
+    return ru.rejection_counts(v.gated(spark, d))
+
+
+@query("diameter_histogram_a22", """WITH b AS (SELECT qc_flag, least(38, greatest(0, CAST(floor(ln(equivalent_diameter_um / 20.0) / (ln(75.0) / 39)) AS BIGINT))) AS bin, count(*) AS n FROM v_gated WHERE equivalent_diameter_um BETWEEN 20 AND 1500 GROUP BY 1, 2)
+  SELECT qc_flag, bin, n, round(n / (sum(n) OVER (PARTITION BY qc_flag) * (20.0 * exp((bin + 1) * ln(75.0) / 39) - 20.0 * exp(bin * ln(75.0) / 39))), 6) AS density FROM b""", "v_gated")
+def diameter_histogram(spark, d):
+    h = ru.histogram(v.gated(spark, d), ["qc_flag"], "equivalent_diameter_um", 20.0, 1500.0, 39, log=True)
+    return h.select("qc_flag", "bin", "n", r("density").alias("density"))
+
+
+@query("distribution_feed_a23", """SELECT cond, timepoint, round(quantile_cont(volume_sphere_um3, 0.25), 3) AS q1, round(median(volume_sphere_um3), 3) AS med, round(quantile_cont(volume_sphere_um3, 0.75), 3) AS q3, count(*) AS n, round(min(volume_sphere_um3), 3) AS low, round(max(volume_sphere_um3), 3) AS high
+  FROM v_gated WHERE qc_flag = 'PASS' AND volume_sphere_um3 > 0 GROUP BY 1, 2""", "v_gated")
+def distribution_feed(spark, d):
+    f = ru.distribution_feed(v.gated(spark, d).filter("qc_flag = 'PASS'"), ["cond", "timepoint"], "volume_sphere_um3")
+    return f.select("cond", "timepoint", *[r(c, 3).alias(c) for c in ("q1", "med", "q3")], "n", r("low", 3).alias("low"), r("high", 3).alias("high"))
+
+
+@query("preflight_audit_a24", """WITH k AS (SELECT pair_key, count(DISTINCT timepoint) AS t FROM v_manifest GROUP BY 1) SELECT 'no_matched_pairs' AS rule, 'fatal' AS severity, CAST(count(*) FILTER (WHERE t >= 2) = 0 AS BIGINT) AS n FROM k
+  UNION ALL SELECT 'single_timepoint', 'warning', count(*) FILTER (WHERE t < 2) FROM k UNION ALL SELECT 'unreadable_names', 'warning', (SELECT count(DISTINCT stem) FROM v_parsed WHERE error IS NOT NULL)
+  UNION ALL SELECT 'control_missing', 'warning', CAST((SELECT count(*) FROM v_manifest WHERE condition = 'Mat') = 0 AS BIGINT)""", "v_manifest")
+def preflight_audit(spark, d):
+    from replistat.sources.files import rejected_names
+    mf = manifest(spark, d)
+    keys = mf.groupBy("pair_key").agg(F.count_distinct("timepoint").alias("t"))
+    paths = v.names(spark, d).select(F.concat(F.lit("/in/"), F.col("stem"), F.lit(".tif")).alias("path")).distinct()
+    bad = rejected_names(paths)
+    rules = [("no_matched_pairs", "fatal", keys.agg((F.count_if("t >= 2") == 0).cast("int").alias("n"), F.lit(None).alias("sample"))),
+             ("single_timepoint", "warning", keys.filter("t < 2").agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("sample"))),
+             ("unreadable_names", "warning", bad.agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("sample"))),
+             ("control_missing", "warning", mf.agg((F.count_if(F.col("condition") == "Mat") == 0).cast("int").alias("n"), F.lit(None).alias("sample")))]
+    return ru.preflight_rules(rules).select("rule", "severity", "n")
+
+
+@query("image_status_s6", """SELECT image_id, CASE WHEN pair_key % 50 = 0 THEN 'READ_FAIL' WHEN n_pass = 0 THEN 'SEG_FAIL' ELSE 'OK' END AS status, n AS n_objects, n_pass FROM (SELECT image_id, pair_key, count(*) AS n, count(*) FILTER (WHERE qc_flag = 'PASS') AS n_pass FROM v_gated GROUP BY 1, 2)""", "v_gated")
+def image_status(spark, d):
+    o = v.gated(spark, d)
+    mf = o.groupBy("image_id", "pair_key").agg(F.count_if(F.col("qc_flag") == "PASS").alias("np"))
+    return ru.image_status(mf, o, read_ok=F.col("pair_key") % 50 != 0, plausible=F.col("np") > 0).select("image_id", "status", "n_objects", "n_pass")
+
+
+@query("run_status_a25", "SELECT count(*) AS n_images, count(*) FILTER (WHERE np > 0) AS n_ok, count(*) FILTER (WHERE np = 0) AS n_failed, 'COMPLETED_WITH_ERRORS' AS run_status FROM (SELECT image_id, count(*) FILTER (WHERE qc_flag = 'PASS') AS np FROM v_gated GROUP BY 1)", "v_gated")
+def run_status(spark, d):
+    st = v.gated(spark, d).groupBy("image_id").agg(F.when(F.count_if(F.col("qc_flag") == "PASS") > 0, "OK").otherwise("SEG_FAIL").alias("status"))
+    return ru.run_status(st, failed_steps=1)
+
+
+@query("ordered_methods_a25", """SELECT role, string_agg(w, ',' ORDER BY c, p) AS methods FROM (SELECT role, w, min(k)[1] AS c, min(k)[2] AS p FROM (SELECT role, w, [conv_id * 1000 + turn, i] AS k FROM (SELECT role, conv_id, turn, unnest(string_split(text, ' '))  AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations)) WHERE length(w) = 2 GROUP BY role, w) GROUP BY role""")
+def ordered_methods(spark, d):
+    c = v.table(spark, d, "conversations").withColumn("items", F.split("text", " "))
+    u = ru.ordered_union(c, ["role"], "items", ["conv_id", "turn"], "methods")
+    return u.select("role", F.concat_ws(",", F.filter("methods", lambda w: F.length(w) == 2)).alias("methods"))
+
+
+@query("control_first_order_w6", "SELECT cond, n, row_number() OVER (ORDER BY cond <> 'EUROPE', cond) AS place FROM (SELECT cond, count(*) AS n FROM v_unit_value GROUP BY 1)", "v_unit_value")
+def control_first_order(spark, d):
+    from replistat.operators.scan import row_numbers
+    g = v.unit_values(spark, d).groupBy("cond").agg(F.count(F.lit(1)).alias("n")).withColumn("first", (F.col("cond") != "EUROPE").cast("int"))
+    return row_numbers(g, [], ["first", "cond"], "place", F.col("first")).select("cond", "n", big("place").alias("place"))
+
+
+@query("pair_numbers_w1", "SELECT object_id, row_number() OVER (PARTITION BY pair_key ORDER BY object_id) AS k FROM v_object", "v_object")
+def pair_numbers(spark, d):
+    from replistat.operators.scan import numeric_bucket, row_numbers
+    return row_numbers(v.objects(spark, d), ["pair_key"], ["object_id"], "k", numeric_bucket("object_id")).select("object_id", "k")

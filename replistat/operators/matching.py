@@ -52,6 +52,7 @@ def admissible_edges(t0: DataFrame, t7: DataFrame, key: str, gate: PairGate = Pa
 
 def lone_edges(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """Split edges into those that are a whole component on their own and the rest."""
+    edges = cut_lineage(edges)      # read three times below
     da = edges.groupBy(a).agg(F.count(F.lit(1)).alias("_da")).withColumnRenamed(a, "_ka")
     db = edges.groupBy(b).agg(F.count(F.lit(1)).alias("_db")).withColumnRenamed(b, "_kb")
     both = edges.join(da, F.col(a) == F.col("_ka")).join(db, F.col(b) == F.col("_kb")).drop("_ka", "_kb")
@@ -127,7 +128,6 @@ def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance
     never leave Spark expressions; the others go to a small solver, one component per group.
     """
     edges = edges.select(F.col(a).alias("a_id"), F.col(b).alias("b_id"), F.col(distance).alias("distance"))
-    edges = cut_lineage(edges)
     lone, rest = lone_edges(edges, "a_id", "b_id")
     tagged = rest.select(
         F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")).alias("_p"),

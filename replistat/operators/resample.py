@@ -57,7 +57,11 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
                      finite(value).alias("_x")).filter(F.col("_x").isNotNull() & F.col("_c").isNotNull())
     sizes = rows.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"))
     sizes = row_numbers(sizes, group, ["_c"], "_ci", text_bucket("_c", 8), hot_rows=hot_rows)
-    sizes = sizes.withColumn("_ci", F.col("_ci") - 1)
+    sizes = cut_lineage(sizes.withColumn("_ci", F.col("_ci") - 1))    # one row per cluster
+    # the largest cluster and group decide whether the split for hot groups is needed at all
+    top = sizes.groupBy(*group).agg(F.sum("_n").alias("_g"), F.max("_n").alias("_m")).agg(F.max("_g"), F.max("_m")).first()
+    in_group = hot_rows if (top[0] or 0) > hot_rows else None
+    in_cluster = hot_rows if (top[1] or 0) > hot_rows else None
     key = [F.col(g).cast("string") for g in group]
 
     plan = sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
@@ -68,11 +72,11 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
     draws = _spread(chosen.drop("_k", "_ci"), "_n", "_o", [*group, "_rep", "_slot"])
     draws = draws.withColumn("_xi", keyed_draw(F.col("_n"), seed, *key, F.col("_rep"), F.col("_slot"), F.col("_o")))
     # equal values are interchangeable, so the position by value is a complete index
-    placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi", numeric_bucket("_x"), hot_rows=hot_rows)
+    placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi", numeric_bucket("_x"), hot_rows=in_cluster)
     placed = placed.withColumn("_xi", F.col("_xi") - 1)
     pool = draws.select(*group, "_rep", "_c", "_xi").join(placed, [*group, "_c", "_xi"])
     if stat is None:
-        est = group_summary(pool, [*group, "_rep"], {"_t": (F.col("_x"), 0.5)}, hot_rows=hot_rows)
+        est = group_summary(pool, [*group, "_rep"], {"_t": (F.col("_x"), 0.5)}, hot_rows=in_group)
     else:
         est = pool.groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
     tail = (1.0 - level) / 2.0
@@ -124,7 +128,7 @@ def permutation_test(df: DataFrame, group: str, cluster: str, value: str, contro
 def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows) -> DataFrame:
     ref = units.filter(F.col("_g") == control)
     n_ref = ref.agg(F.count(F.lit(1)).alias("n")).scalar()
-    med = group_summary(units, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_nt")], hot_rows)
+    med = cut_lineage(group_summary(units, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_nt")], hot_rows))
     ref_m = med.filter(F.col("_g") == control).select("_m").scalar()
     tests = (
         groups.filter(F.col("_g") != control).join(med.withColumnRenamed("_g", "_gm"), F.col("_g") == F.col("_gm"), "left")
@@ -135,7 +139,7 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows)
     total = F.col("n_ref") + F.col("n_treat")
     tests = tests.withColumn("_lc", F.when(usable, log_choose(total, F.col("n_ref"))))
     exact = F.col("_lc") <= math.log(exact_limit + 0.5)
-    tests = tests.withColumn("_exact", exact)
+    tests = cut_lineage(tests.withColumn("_exact", exact))     # one row per group
 
     mine = tests.join(units, F.col("_t") == F.col("_g")).withColumn("_is_ref", F.lit(0))
     shared = tests.withColumn("_ctl", F.lit(control)).join(ref, F.col("_ctl") == F.col("_g")).drop("_ctl").withColumn("_is_ref", F.lit(1))
@@ -156,9 +160,10 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows)
 
     many = pool.filter(~F.col("_exact")).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     who = F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_g"), F.col("_u"))
-    shuffled = row_numbers(many.withColumn("_h", F.md5(who)), ["_t", "_rep"], ["_h"], "_pos", text_bucket("_h"), hot_rows=hot_rows)
+    # every relabelling has the same number of rows, the units of two groups, so none is hot
+    shuffled = row_numbers(many.withColumn("_h", F.md5(who)), ["_t", "_rep"], ["_h"], "_pos", text_bucket("_h"), hot_rows=None)
     sides = group_summary(shuffled.withColumn("_side", F.when(F.col("_pos") <= F.col("n_ref"), 0).otherwise(1)),
-                          ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")], hot_rows)
+                          ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")], None)
     drawn = sides.groupBy("_t", "_rep").agg(F.abs(F.max(F.when(F.col("_side") == 1, F.col("_sm")))
                                                   - F.max(F.when(F.col("_side") == 0, F.col("_sm")))).alias("_d"),
                                             F.first("obs_diff").alias("obs_diff"))
@@ -166,7 +171,9 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows)
         ((F.count_if(F.col("_d") >= F.col("obs_diff") - TOLERANCE) + 1) / F.lit(n_perm + 1.0)).alias("_p"))
     floor = F.when(F.col("n_ref") == F.col("n_treat"), 2.0).otherwise(1.0) / F.exp("_lc")
     sampled = sampled.withColumn("_f", F.lit(None).cast("double"))
-    found = enumerated.unionByName(sampled).withColumnRenamed("_t", "_t3")
+    kinds = {row[0] for row in tests.select("_exact").distinct().collect()}      # at most three values
+    found = enumerated if False not in kinds else sampled if True not in kinds else enumerated.unionByName(sampled)
+    found = found.withColumnRenamed("_t", "_t3")
     out = tests.join(found, F.col("_t") == F.col("_t3"), "left")
     low = F.when(usable, F.coalesce("_f", floor))
     method = F.when(~usable, "untested").when(F.col("_exact"), "exact").otherwise("monte_carlo")
@@ -181,6 +188,9 @@ def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm
     rows = df.select(F.col(group).alias("_g"), F.concat_ws("|", *[F.col(c).cast("string") for c in row_id]).alias("_u"),
                      finite(value).alias("_x")).filter(F.col("_x").isNotNull())
     med = group_summary(rows, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_n")], hot_rows)
+    med = cut_lineage(med)
+    top = med.agg(F.max("_n")).first()[0] or 0
+    hot_rows = hot_rows if 2 * top > hot_rows else None
     base = med.filter(F.col("_g") == control)
     tests = med.filter(F.col("_g") != control).select(F.col("_g").alias("_t"), F.col("_n").alias("_nt"), "_m").withColumn(
         "_rm", base.select("_m").scalar()).withColumn("obs_diff", F.abs(F.col("_m") - F.col("_rm")))

@@ -4,7 +4,8 @@ A window partitioned by the group key sends a whole group to one task. Here a gr
 than ``hot_rows`` rows is first cut into ordered buckets: each bucket is one window partition,
 bucket totals (a few thousand rows per group) are accumulated separately and added back. Groups
 below the limit keep the plain window, and when no group is hot adaptive execution drops the
-extra branch because its build side is empty.
+extra branch because its build side is empty. ``hot_rows=None`` leaves the extra branch out: for
+callers that have already checked the size of the largest group.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
                      *[c for c in df.columns if c not in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
 
@@ -65,7 +66,7 @@ def running(
     aggs: dict[str, tuple[str, Column]],
     bucket: Column,
     descending: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add running ``sum``/``count``/``max``/``min`` columns over ``order`` within ``keys``.
 
@@ -75,6 +76,9 @@ def running(
     base = df if keys else df.withColumn("_all", F.lit(0))
     group = list(keys) or ["_all"]
     out_cols = df.columns + list(aggs)
+    if hot_rows is None:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return base.select("*", *[_AGG[f](e).over(w).alias(n) for n, (f, e) in aggs.items()]).select(*out_cols)
     hot = _prefixed(hot_groups(base, group, hot_rows).withColumn("_hot", F.lit(True)), group, "_h_")
     cut = (
         base.join(hot, _same(base, hot, group, "_h_"), "left")
@@ -100,7 +104,7 @@ def running(
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
-                bucket: Column, descending: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                bucket: Column, descending: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Position 1, 2, ... of each row within its group."""
     return running(df, keys, order, {name: ("count", F.lit(1))}, bucket, descending, hot_rows)
 
@@ -118,7 +122,7 @@ def group_summary(
     keys: Sequence[str],
     quantiles: dict[str, tuple[Column, float]],
     aggs: Sequence[Column] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One row per key: exact linear quantiles ``{name: (value, share)}`` next to plain aggregates.
 
@@ -137,6 +141,10 @@ def group_summary(
     base = base.select("*", *values)
     spec = {n: (value_names[str(c)], float(p)) for n, (c, p) in quantiles.items()}
 
+    if hot_rows is None:
+        out = base.groupBy(*group).agg(
+            *aggs, *[F.percentile(F.col(v), F.lit(p)).alias(n) for n, (v, p) in spec.items()])
+        return out if keys else out.drop("_all")
     hot = _prefixed(hot_groups(base, group, hot_rows), group, "_h_")
     cool = base.join(hot, _same(base, hot, group, "_h_"), "left_anti")
     warm = base.join(hot, _same(base, hot, group, "_h_"), "left_semi")
@@ -192,7 +200,7 @@ def group_summary(
     return out if keys else out.drop("_all")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Distinct values per group with their count and shared (tie-averaged) rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_tied"))
     scanned = running(counts, keys, [value], {"_end": ("sum", F.col("n_tied"))}, numeric_bucket(value),
