@@ -96,7 +96,7 @@ def greedy_pairs(spark, d):
 
 
 @query("pair_id_assignment_j5", """WITH p AS (SELECT pair_key, min(object_id) FILTER (WHERE timepoint = 't0' AND qc_flag <> 'FAIL') AS a, min(object_id) FILTER (WHERE timepoint = 't7') AS b FROM v_gated GROUP BY pair_key)
-  SELECT object_id, CASE WHEN qc_flag = 'FAIL' THEN 'UNPAIRED' ELSE coalesce(concat(CAST(p.pair_key AS VARCHAR), '_pair1'), 'UNPAIRED') END AS pair_id
+  SELECT object_id, CASE WHEN qc_flag = 'FAIL' THEN 'UNPAIRED' ELSE coalesce(CAST(p.pair_key AS VARCHAR) || '_pair1', 'UNPAIRED') END AS pair_id
   FROM v_gated g LEFT JOIN (SELECT pair_key, a AS oid FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT pair_key, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL) p ON g.object_id = p.oid""", "v_gated")
 def pair_id_assignment(spark, d):
     o = v.gated(spark, d)
@@ -163,10 +163,14 @@ def overlaps_suppressed(spark, d):
 
 @query("elements_claimed_j7")
 def elements_claimed(spark, d):
-    w = v.sets(spark, d)
-    size = w.groupBy("image_id", "cand_id").agg(F.count(F.lit(1)).alias("n"))
-    o = w.join(size, ["image_id", "cand_id"]).withColumn("ord", F.struct(-F.col("n"), F.col("cand_id")))
-    got = s.claim_elements(o, "image_id", "cand_id", "elem", "ord")
+    """Each order line claims a stretch of one raster row of its order, longest first."""
+    li = v.table(spark, d, "lineitem")
+    start = F.col("l_partkey") % 50
+    e = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("cand_id"), F.struct(-F.col("l_quantity"), F.col("l_linenumber")).alias("ord"),
+                  F.explode(F.sequence(start, start + F.col("l_quantity").cast("bigint"))).alias("elem"))
+    first = e.groupBy("image_id", "cand_id").agg(F.min("ord").alias("ord"))
+    e = e.drop("ord").distinct().join(first, ["image_id", "cand_id"])
+    got = s.claim_elements(e, "image_id", "cand_id", "elem", "ord")
     return got.groupBy("image_id", "cand_id").agg(F.count(F.lit(1)).alias("n_claimed"))
 
 

@@ -9,6 +9,7 @@ from replistat.operators import matching as m, rollup as ru
 from replistat.operators.gates import pair_gate, reason_text
 from replistat.params import Inference
 from replistat.plans.growth import condition_summary, pair_population
+from replistat.session import cut_lineage
 
 from . import views as v
 from .columns_q import manifest
@@ -49,6 +50,7 @@ def condition_population(spark, d):
 @query("condition_summary_a2")
 def condition_summary_q(spark, d):
     p, o = growth_pairs(spark, d)
+    p = cut_lineage(p)
     s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA", n_boot=50))
     return s.select("condition", "n_spheroids", "n_gels", r("fold_change_median").alias("fc"), r("log2fc_ci_95_low").alias("lo"), r("log2fc_ci_95_high").alias("hi"),
                     r("p_raw").alias("p_raw"), r("p_adj").alias("p_adj"), "significance", "backend_counts", "ci_method")
@@ -152,7 +154,7 @@ def preflight_audit(spark, d):
     keys = mf.groupBy("pair_key").agg(F.count_distinct("timepoint").alias("t"))
     paths = v.names(spark, d).select(F.concat(F.lit("/in/"), F.col("stem"), F.lit(".tif")).alias("path")).distinct()
     bad = rejected_names(paths)
-    rules = [("no_matched_pairs", "fatal", keys.agg((F.count_if("t >= 2") == 0).cast("int").alias("n"), F.lit(None).alias("sample"))),
+    rules = [("no_matched_pairs", "fatal", keys.agg((F.count_if(F.col("t") >= 2) == 0).cast("int").alias("n"), F.lit(None).alias("sample"))),
              ("single_timepoint", "warning", keys.filter("t < 2").agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("sample"))),
              ("unreadable_names", "warning", bad.agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("sample"))),
              ("control_missing", "warning", mf.agg((F.count_if(F.col("condition") == "Mat") == 0).cast("int").alias("n"), F.lit(None).alias("sample")))]
