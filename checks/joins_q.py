@@ -218,13 +218,13 @@ def run_fingerprints(spark, d):
     return complete_runs(f, f.filter("run <> 'view'"), ["run"])
 
 
-@query("radial_distance_j12", """SELECT object_id, round(sqrt((centroid_x - cx) * (centroid_x - cx) + (centroid_y - cy) * (centroid_y - cy)) / greatest(1.0, rad), 6) AS dist
+@query("radial_distance_j12", """SELECT object_id, round(sqrt((centroid_x - cx) * (centroid_x - cx) + (centroid_y - cy) * (centroid_y - cy)) / greatest(1.0, rad), 9) AS dist
   FROM v_object JOIN (SELECT image_id, (min(centroid_x) + max(centroid_x)) / 2 AS cx, (min(centroid_y) + max(centroid_y)) / 2 AS cy, max(perimeter_px) AS rad FROM v_object GROUP BY 1) USING (image_id)""", "v_object")
 def radial_distance(spark, d):
     o = v.objects(spark, d)
     mid = lambda c: (F.min(c) + F.max(c)) / 2
     e = o.groupBy("image_id").agg(mid("centroid_x").alias("cx"), mid("centroid_y").alias("cy"), F.max("perimeter_px").alias("rad"))
-    return m.radial_distance(o, e, "image_id", "centroid_x", "centroid_y", "cx", "cy", "rad").select("object_id", r("normalized_radial_distance").alias("dist"))
+    return m.radial_distance(o, e, "image_id", "centroid_x", "centroid_y", "cx", "cy", "rad").select("object_id", r("normalized_radial_distance", 9).alias("dist"))
 
 
 @query("first_row_per_key_w3", "SELECT run, image_id, o_orderkey FROM (SELECT o_orderpriority AS run, o_custkey AS image_id, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn = 1")

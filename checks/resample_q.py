@@ -47,20 +47,20 @@ _H = "CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT)"
   dr AS (SELECT s.cond, rep, c.unit, {_H.format("'42', s.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR), CAST(oo AS VARCHAR)")} % n AS xi
     FROM (SELECT s.cond, rep, slot, unit, n, unnest(range(n)) AS oo FROM s JOIN c ON c.cond = s.cond AND c.ci = s.ci) s JOIN c ON c.cond = s.cond AND c.unit = s.unit),
   e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.unit = dr.unit AND o.xi = dr.xi GROUP BY 1, 2)
-  SELECT cond, round(quantile_cont(t, 0.025), 4) AS ci_low, round(quantile_cont(t, 0.975), 4) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""".replace(
+  SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""".replace(
     "SELECT s.cond, rep, c.unit,", "SELECT s.cond, rep, s.unit,").replace(" % n AS xi", " % s.n AS xi"), "v_unit_value")
 def cluster_bootstrap(spark, d):
     b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", n_boot=20)
-    return b.select("cond", r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"), "n_boot")
+    return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
 @query("median_bootstrap_r2", f"""WITH o AS (SELECT cond, value, row_number() OVER (PARTITION BY cond ORDER BY value) - 1 AS xi FROM v_unit_value), k AS (SELECT cond, count(*) AS n FROM o GROUP BY 1),
   dr AS (SELECT cond, rep, {_H.format("'42', cond, CAST(rep AS VARCHAR), '0', CAST(oo AS VARCHAR)")} % n AS xi FROM (SELECT cond, rep, n, unnest(range(n)) AS oo FROM k, range(10) t(rep))),
   e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.xi = dr.xi GROUP BY 1, 2)
-  SELECT cond, round(quantile_cont(t, 0.025), 4) AS ci_low, round(quantile_cont(t, 0.975), 4) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""", "v_unit_value")
+  SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""", "v_unit_value")
 def median_bootstrap(spark, d):
     b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value", n_boot=10)
-    return b.select("cond", r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"), "n_boot")
+    return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
 @query("exact_permutation_r3", _EXACT + " SELECT cond, round(obs, 4) AS obs_diff, round(p_raw, 6) AS p_raw, round(f, 6) AS min_p, 5::BIGINT AS n_ref, 5::BIGINT AS n_treat, 'exact' AS method FROM h", "v_unit_value")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import finite
@@ -18,8 +19,6 @@ TWO_SAMPLE_EXACT_MAX = 8   # own rule: exact without ties when the smaller sampl
 
 
 def _p_values(kind: str):
-    import pandas as pd
-
     def signed(n, w, ties, exact):
         import math
         if n == 0:
