@@ -8,6 +8,7 @@ from replistat.operators import matching as m, sets as s
 from replistat.operators.gates import reason_text
 from replistat.operators.scan import first_per_key
 from replistat.plans.growth import pair
+from replistat.session import cut_lineage
 from replistat.sources.files import channel_inventory
 from replistat.streaming.incremental import complete_runs, pending, run_fingerprint, work_key
 
@@ -134,7 +135,8 @@ def duplicate_edges_q(spark, d):
   SELECT d.a, d.b, d.loser FROM d JOIN l x ON x.n = d.a AND x.fa = d.a AND x.fb = d.b JOIN l y ON y.n = d.b AND y.fa = d.a AND y.fb = d.b""", "v_gated")
 def duplicate_first_losers(spark, d):
     """Edges that come first at both ends: each object keeps only its nearest partner, as an aggregate."""
-    e = duplicate_edges(spark, d).select(F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), "distance", m.loser_id("object_id").alias("loser"))
+    e = cut_lineage(duplicate_edges(spark, d).select(
+        F.col("a_object_id").alias("a"), F.col("b_object_id").alias("b"), "distance", m.loser_id("object_id").alias("loser")))
     rank = F.struct("distance", "a", "b")
     first = e.select(F.explode(F.array("a", "b")).alias("n"), rank.alias("rk")).groupBy("n").agg(F.min("rk").alias("rk"))
     x, y = first.select(F.col("n").alias("xn"), F.col("rk").alias("xr")), first.select(F.col("n").alias("yn"), F.col("rk").alias("yr"))
