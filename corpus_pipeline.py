@@ -1,12 +1,46 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: identify, deduplicate, decontaminate, mix."""
 
 from __future__ import annotations
 
-from replistat.llm import exact
+from pyspark.sql import DataFrame, SparkSession
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact.drop_copies(docs))]
-ORACLE_SQL = None
+from replistat.llm import decontam, exact, langid, mixing, simhash
+from replistat.llm.common import written
 
 
-def run(spark, sf_dir):
-    return exact.drop_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told (operator 5)."""
+    return langid.keep_identified(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (operator 1)."""
+    return exact.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar fingerprints (operator 10)."""
+    return simhash.drop_near_copies(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item (operator 6)."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with the number of copies (operator 3)."""
+    return mixing.mixed(docs)
+
+
+STAGES = [("language ID", identify), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("benchmark decontamination", leaks), ("source mixing", mixture)]
+ORACLE_SQL = None  # language ID, fingerprints and templates have no SQL; tests hold the stages against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -1,9 +1,9 @@
 """All queries of the folder and their SQL."""
 
-from replistat.llm import exact, mixing, warc
+from replistat.llm import decontam, exact, langid, mixing, pagetext, repeats, secrets, simhash, toolchat, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (exact, mixing, warc):
+for _m in (exact, pagetext, mixing, secrets, langid, decontam, repeats, warc, toolchat, simhash):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)

@@ -52,3 +52,8 @@ def word_count(text: Column) -> Column:
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
     """The whole row as struct ``__row`` beside the columns an operator needs, so that no other name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """Identity of a row by id and text, without nulls inside, ordered by id with null ids last."""
+    return F.struct(id_.isNull().alias("missing"), F.coalesce(id_.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"))
