@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from replistat.operators import matching as m, sets as s
 from replistat.operators.gates import reason_text
+from replistat.operators.rollup import merge_tables
 from replistat.operators.scan import first_per_key
 from replistat.plans.growth import pair
 from replistat.session import cut_lineage
@@ -91,9 +92,14 @@ def optimal_pairs(spark, d):
     return p.select("pair_id", "t0_object_id", "t7_object_id", r("centroid_distance_px").alias("distance"), r("fold_change_volume").alias("fc"), "combined_qc_flag", "qc_reasons")
 
 
-@query("greedy_pairs_j4")
+@query("greedy_pairs_j4", _EDGE.replace("SELECT a.object_id AS t0_id", "SELECT a.pair_key, a.object_id AS t0_id").replace("WITH g AS", "WITH RECURSIVE g AS MATERIALIZED") + """, r AS MATERIALIZED (SELECT pair_key, t0_id, row_number() OVER (PARTITION BY pair_key ORDER BY t0_id) AS i, list(struct_pack(d := dist, b := t7_id) ORDER BY dist, t7_id) AS opts
+    FROM e WHERE dist <= lim GROUP BY pair_key, t0_id),
+  w AS (SELECT pair_key, 0::BIGINT AS i, NULL::BIGINT AS t0_id, NULL::STRUCT(d DOUBLE, b BIGINT) AS pick, []::BIGINT[] AS used FROM r WHERE i = 1
+    UNION ALL SELECT pair_key, i, t0_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.b) END
+    FROM (SELECT w.pair_key, r.i, r.t0_id, w.used, list_filter(r.opts, x -> NOT list_contains(w.used, x.b))[1] AS pick FROM w JOIN r ON r.pair_key = w.pair_key AND r.i = w.i + 1))
+  SELECT t0_id AS a_object_id, pick.b AS b_object_id, round(pick.d, 6) AS distance FROM w WHERE pick IS NOT NULL""", "v_gated")
 def greedy_pairs(spark, d):
-    return m.greedy_matching(_edges(spark, d), "a_object_id", "b_object_id", "a_object_id", "b_object_id")
+    return m.greedy_matching(_edges(spark, d), "a_object_id", "b_object_id", "a_object_id", "b_object_id").withColumn("distance", r("distance"))
 
 
 @query("pair_id_assignment_j5", """WITH p AS (SELECT pair_key, min(object_id) FILTER (WHERE timepoint = 't0' AND qc_flag <> 'FAIL') AS a, min(object_id) FILTER (WHERE timepoint = 't7') AS b FROM v_gated GROUP BY pair_key)
@@ -113,12 +119,12 @@ def duplicate_id_check(spark, d):
     return m.duplicate_ids(li)
 
 
-_DUP = """WITH g AS (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL'), e AS (SELECT a.object_id AS a, b.object_id AS b,
+_DUP = """WITH g AS MATERIALIZED (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL'), e AS (SELECT a.object_id AS a, b.object_id AS b, concat_ws('|', a.cond, a.pair_key, a.timepoint) AS grp,
     sqrt((a.centroid_x - b.centroid_x) * (a.centroid_x - b.centroid_x) + (a.centroid_y - b.centroid_y) * (a.centroid_y - b.centroid_y)) AS dist,
     CASE WHEN abs(a.contrast_ratio - b.contrast_ratio) > 0.02 THEN CASE WHEN a.contrast_ratio > b.contrast_ratio THEN b.object_id ELSE a.object_id END
       WHEN a.circularity - b.circularity >= 0 THEN b.object_id ELSE a.object_id END AS loser
   FROM g a JOIN g b ON a.cond = b.cond AND a.pair_key = b.pair_key AND a.timepoint = b.timepoint AND a.plane <> b.plane AND a.object_id < b.object_id),
-  d AS (SELECT * FROM e WHERE dist <= 80 / 1.5)"""
+  d AS MATERIALIZED (SELECT * FROM e WHERE dist <= 80 / 1.5)"""
 
 
 def duplicate_edges(spark, d):
@@ -131,7 +137,7 @@ def duplicate_edges_q(spark, d):
 
 
 @query("duplicate_first_losers_j6", _DUP + """, v AS (SELECT a AS n, dist, a, b FROM d UNION ALL SELECT b, dist, a, b FROM d),
-  l AS (SELECT n, arg_min(a, rn) AS fa, arg_min(b, rn) AS fb FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY dist, a, b) AS rn FROM v) GROUP BY n)
+  l AS MATERIALIZED (SELECT n, arg_min(a, rn) AS fa, arg_min(b, rn) AS fb FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY dist, a, b) AS rn FROM v) GROUP BY n)
   SELECT d.a, d.b, d.loser FROM d JOIN l x ON x.n = d.a AND x.fa = d.a AND x.fb = d.b JOIN l y ON y.n = d.b AND y.fa = d.a AND y.fb = d.b""", "v_gated")
 def duplicate_first_losers(spark, d):
     """Edges that come first at both ends: each object keeps only its nearest partner, as an aggregate."""
@@ -144,26 +150,43 @@ def duplicate_first_losers(spark, d):
     return e.join(x, (F.col("a") == F.col("xn")) & (F.col("rk") == F.col("xr"))).join(y, (F.col("b") == F.col("yn")) & (F.col("rk") == F.col("yr"))).select("a", "b", "loser")
 
 
-@query("duplicates_resolved_j6")
+@query("duplicates_resolved_j6", _DUP.replace("WITH g", "WITH RECURSIVE g") + """, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY dist, a, b) AS i FROM d),
+  w AS (SELECT grp, 0::BIGINT AS i, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS dist, NULL::BIGINT AS loser, []::BIGINT[] AS lost FROM r WHERE i = 1
+    UNION ALL SELECT w.grp, r.i, r.a, r.b, r.dist, CASE WHEN NOT list_has_any(w.lost, [r.a, r.b]) THEN r.loser END, CASE WHEN list_has_any(w.lost, [r.a, r.b]) THEN w.lost ELSE list_append(w.lost, r.loser) END
+    FROM w JOIN r ON r.grp = w.grp AND r.i = w.i + 1)
+  SELECT loser, CASE WHEN loser = a THEN b ELSE a END AS winner, round(dist, 6) AS distance FROM w WHERE loser IS NOT NULL""", "v_gated")
 def duplicates_resolved(spark, d):
     return m.resolve_duplicates(duplicate_edges(spark, d), "object_id", "object_id").select("loser", "winner", r("distance").alias("distance"))
 
 
 @query("overlap_edges_j7", """WITH n AS (SELECT image_id, cand_id, count(*) AS n, md5(string_agg(elem, chr(1) ORDER BY elem)) AS sig FROM v_set GROUP BY 1, 2),
-  rep AS (SELECT image_id, min(cand_id) AS cand_id, any_value(n) AS n FROM n GROUP BY image_id, sig), x AS (SELECT s.* FROM v_set s JOIN rep USING (image_id, cand_id)),
-  i AS (SELECT a.image_id, a.cand_id AS ca, b.cand_id AS cb, count(*) AS k FROM x a JOIN x b ON a.image_id = b.image_id AND a.elem = b.elem AND a.cand_id < b.cand_id GROUP BY 1, 2, 3)
-  SELECT i.image_id, CASE WHEN p.n >= q.n THEN ca ELSE cb END AS first, CASE WHEN p.n >= q.n THEN cb ELSE ca END AS second, k AS n_both, round(k / (p.n + q.n - k), 6) AS iou
-  FROM i JOIN rep p ON p.image_id = i.image_id AND p.cand_id = ca JOIN rep q ON q.image_id = i.image_id AND q.cand_id = cb WHERE k / (p.n + q.n - k) > 0.5""", "v_set")
+  m AS (SELECT image_id, cand_id, n, min(cand_id) OVER (PARTITION BY image_id, sig) AS rep FROM n),
+  i AS (SELECT a.image_id, a.cand_id AS ca, b.cand_id AS cb, count(*) AS k FROM v_set a JOIN v_set b ON a.image_id = b.image_id AND a.elem = b.elem AND a.cand_id < b.cand_id GROUP BY 1, 2, 3),
+  p AS (SELECT i.image_id, k, k / (p.n + q.n - k) AS iou, p.n > q.n OR (p.n = q.n AND p.rep <= q.rep) AS fwd, p.rep AS ra, q.rep AS rb
+    FROM i JOIN m p ON p.image_id = i.image_id AND p.cand_id = ca JOIN m q ON q.image_id = i.image_id AND q.cand_id = cb)
+  SELECT image_id, CASE WHEN fwd THEN ra ELSE rb END AS first, CASE WHEN fwd THEN rb ELSE ra END AS second, any_value(k) AS n_both, round(any_value(iou), 6) AS iou, count(*) AS n_pairs FROM p WHERE iou > 0.5 GROUP BY 1, 2, 3""", "v_set")
 def overlap_edges(spark, d):
-    return s.overlap_edges(v.sets(spark, d), "image_id", "cand_id", "elem").select("image_id", "first", "second", "n_both", r("iou").alias("iou"))
-
-
-@query("overlaps_suppressed_j7")
+    edges, _ = s.overlap_edges(v.sets(spark, d), "image_id", "cand_id", "elem")
+    return edges.select("image_id", "first", "second", "n_both", r("iou").alias("iou"), "n_pairs")
+
+
+@query("overlaps_suppressed_j7", """WITH RECURSIVE n AS (SELECT image_id, cand_id, count(*) AS n, md5(string_agg(elem, chr(1) ORDER BY elem)) AS sig FROM v_set GROUP BY 1, 2),
+  i AS (SELECT a.image_id, a.cand_id AS ca, b.cand_id AS cb, count(*) AS k FROM v_set a JOIN v_set b ON a.image_id = b.image_id AND a.elem = b.elem AND a.cand_id <> b.cand_id GROUP BY 1, 2, 3),
+  p AS (SELECT i.image_id, ca, list(cb) AS near FROM i JOIN n p ON p.image_id = i.image_id AND p.cand_id = ca JOIN n q ON q.image_id = i.image_id AND q.cand_id = cb WHERE k / (p.n + q.n - k) > 0.5 GROUP BY 1, 2),
+  r AS MATERIALIZED (SELECT n.*, coalesce(near, []) AS near, count(*) OVER (PARTITION BY n.image_id, sig) AS n_same, row_number() OVER (PARTITION BY n.image_id ORDER BY n DESC, cand_id) AS i FROM n LEFT JOIN p ON p.image_id = n.image_id AND p.ca = n.cand_id),
+  w AS (SELECT image_id, 0::BIGINT AS i, NULL::BIGINT AS cand_id, NULL::BIGINT AS n_elements, NULL::BIGINT AS n_same, false AS kept, []::BIGINT[] AS have FROM r WHERE i = 1
+    UNION ALL SELECT w.image_id, r.i, r.cand_id, r.n, r.n_same, NOT list_has_any(w.have, r.near), CASE WHEN list_has_any(w.have, r.near) THEN w.have ELSE list_append(w.have, r.cand_id) END
+    FROM w JOIN r ON r.image_id = w.image_id AND r.i = w.i + 1)
+  SELECT image_id, cand_id, n_elements, n_same FROM w WHERE kept""", "v_set")
 def overlaps_suppressed(spark, d):
     return s.suppress_overlaps(v.sets(spark, d), "image_id", "cand_id", "elem")
 
 
-@query("elements_claimed_j7")
+@query("elements_claimed_j7", """WITH RECURSIVE r AS MATERIALIZED (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS cand_id, range(l_partkey % 50, l_partkey % 50 + CAST(l_quantity AS BIGINT) + 1) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS i FROM lineitem),
+  w AS (SELECT image_id, 0::BIGINT AS i, NULL::BIGINT AS cand_id, 0::BIGINT AS n, []::BIGINT[] AS have FROM r WHERE i = 1
+    UNION ALL SELECT image_id, i, cand_id, CASE WHEN (len(s) - len(fresh)) / len(s) < 0.5 THEN len(fresh) ELSE 0 END, CASE WHEN (len(s) - len(fresh)) / len(s) < 0.5 THEN list_concat(have, fresh) ELSE have END
+    FROM (SELECT w.image_id, r.i, r.cand_id, r.s, w.have, list_filter(r.s, x -> NOT list_contains(w.have, x)) AS fresh FROM w JOIN r ON r.image_id = w.image_id AND r.i = w.i + 1))
+  SELECT image_id, cand_id, n AS n_claimed FROM w WHERE n > 0""")
 def elements_claimed(spark, d):
     """Each order line claims a stretch of one raster row of its order, longest first."""
     li = v.table(spark, d, "lineitem")
@@ -181,11 +204,12 @@ def elements_claimed(spark, d):
   LEFT JOIN (SELECT * FROM v_field WHERE run = 'error') c USING (image_id)""", "v_field")
 def merged_tables(spark, d):
     f = v.fields(spark, d)
-    a = f.filter("run = 'click'").select("image_id", "material", "replicate", F.col("n_nuclei").alias("n_qc"))
-    b = f.filter("run = 'view'").select("image_id", "material", "replicate", F.col("n_nuclei").alias("n_feat"))
+    a = f.filter("run = 'click'").select("image_id", "material", "replicate", "n_nuclei")
+    b = f.filter("run = 'view'").select("image_id", "material", "replicate", "n_nuclei")
     c = f.filter("run = 'error'").select("image_id", F.col("flag_summary").alias("fl"))
-    return a.join(b, ["image_id", "material", "replicate"]).join(c, "image_id", "left").select(
-        "image_id", "material", "replicate", "n_qc", "n_feat", F.coalesce("n_feat", "n_qc").alias("n_any"), F.coalesce("fl", F.lit("clean")).alias("flags"))
+    j = merge_tables(a, b, ["image_id", "material", "replicate"], suffix="_feat", prefer={"n_any": ["n_nuclei_feat", "n_counted", "n_nuclei"]})
+    j = merge_tables(j, c, ["image_id"], "left")
+    return j.select("image_id", "material", "replicate", F.col("n_nuclei").alias("n_qc"), F.col("n_nuclei_feat").alias("n_feat"), "n_any", F.coalesce("fl", F.lit("clean")).alias("flags"))
 
 
 @query("mask_agreement_j9", """WITH a AS (SELECT DISTINCT image_id, elem FROM v_set JOIN documents ON doc_id = cand_id WHERE length(source) = 4), b AS (SELECT DISTINCT image_id, elem FROM v_set JOIN documents ON doc_id = cand_id WHERE length(source) <> 4),
@@ -235,16 +259,16 @@ def first_row_per_key(spark, d):
     return first_per_key(o, ["run", "image_id"], ["o_totalprice", "o_orderkey"]).select("run", "image_id", "o_orderkey")
 
 
-@query("image_union_x1", "SELECT image_id FROM v_field WHERE run = 'click' UNION SELECT image_id FROM v_field WHERE run = 'view'", "v_field")
+@query("image_union_x1", "SELECT DISTINCT image_id FROM v_field", "v_field")
 def image_union(spark, d):
-    f = v.fields(spark, d)
-    return f.filter("run = 'click'").select("image_id").union(f.filter("run = 'view'").select("image_id")).distinct()
+    """Every image of any run."""
+    return s.common_members(v.fields(spark, d), "image_id", "run").select("image_id")
 
 
-@query("common_and_dropped_x2", """SELECT image_id, 'common' AS part FROM (SELECT image_id FROM v_field WHERE run = 'click' INTERSECT SELECT image_id FROM v_field WHERE run = 'view')
-  UNION ALL SELECT image_id, 'dropped' FROM (SELECT image_id FROM v_field WHERE run IN ('click', 'view') EXCEPT (SELECT image_id FROM v_field WHERE run = 'click' INTERSECT SELECT image_id FROM v_field WHERE run = 'view'))""", "v_field")
+@query("common_and_dropped_x2", """SELECT image_id, CASE WHEN count(DISTINCT run) = (SELECT count(DISTINCT run) FROM v_field) THEN 'common' ELSE 'dropped' END AS part FROM v_field GROUP BY image_id""", "v_field")
 def common_and_dropped(spark, d):
-    f = s.common_members(v.fields(spark, d).filter("run in ('click', 'view')"), "image_id", "run")
+    """Images present in all runs, and those that some run lacks."""
+    f = s.common_members(v.fields(spark, d), "image_id", "run")
     return f.select("image_id", F.when(F.col("in_all"), "common").otherwise("dropped").alias("part"))
 
 

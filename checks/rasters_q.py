@@ -116,12 +116,12 @@ def blank_correction(spark, d):
     return ra.subtract_blank(p, ra.blank_reference(p)).select("image_id", "y", "x", "corrected", "blank_applied")
 
 
-@query("connected_regions_h12", """WITH RECURSIVE p AS (SELECT image_id, y, x, y * 64 + x AS k FROM v_grey WHERE value >= 170), e AS (SELECT a.image_id, a.k AS a, b.k AS b FROM p a JOIN p b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k),
+@query("connected_regions_h12", """WITH RECURSIVE p AS (SELECT image_id, y, x, y * 64 + x AS k FROM v_grey WHERE value >= 160), e AS (SELECT a.image_id, a.k AS a, b.k AS b FROM p a JOIN p b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.k <> b.k),
   reach AS (SELECT image_id, k AS s, k AS t FROM p UNION SELECT r.image_id, r.s, e.b FROM reach r JOIN e ON e.image_id = r.image_id AND e.a = r.t)
   SELECT image_id, n_regions, n_pixels, largest FROM (SELECT image_id, count(DISTINCT root) AS n_regions, CAST(sum(1) AS BIGINT) AS n_pixels FROM (SELECT image_id, s, min(t) AS root FROM reach GROUP BY 1, 2) GROUP BY 1)
   JOIN (SELECT image_id, max(c) AS largest FROM (SELECT image_id, root, count(*) AS c FROM (SELECT image_id, s, min(t) AS root FROM reach GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) USING (image_id)""", "v_grey")
 def connected_regions(spark, d):
-    c = ra.connected_regions(v.grey(spark, d).filter("value >= 170")).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    c = ra.connected_regions(v.grey(spark, d).filter("value >= 160")).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("n").alias("n_pixels"), F.max("n").alias("largest"))
 
 

@@ -43,23 +43,23 @@ _H = "CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT)"
 
 @query("cluster_bootstrap_r1", f"""WITH o AS (SELECT cond, unit, value, row_number() OVER (PARTITION BY cond, unit ORDER BY value) - 1 AS xi FROM v_unit_value),
   c AS (SELECT cond, unit, count(*) AS n, row_number() OVER (PARTITION BY cond ORDER BY unit) - 1 AS ci FROM o GROUP BY 1, 2), k AS (SELECT cond, count(*) AS k FROM c GROUP BY 1),
-  s AS (SELECT k.cond, rep, slot, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range(20) t(rep), range(100) q(slot) WHERE slot < k),
+  s AS (SELECT k.cond, rep, slot, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range(200) t(rep), range(100) q(slot) WHERE slot < k),
   dr AS (SELECT s.cond, rep, c.unit, {_H.format("'42', s.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR), CAST(oo AS VARCHAR)")} % n AS xi
     FROM (SELECT s.cond, rep, slot, unit, n, unnest(range(n)) AS oo FROM s JOIN c ON c.cond = s.cond AND c.ci = s.ci) s JOIN c ON c.cond = s.cond AND c.unit = s.unit),
   e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.unit = dr.unit AND o.xi = dr.xi GROUP BY 1, 2)
   SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""".replace(
     "SELECT s.cond, rep, c.unit,", "SELECT s.cond, rep, s.unit,").replace(" % n AS xi", " % s.n AS xi"), "v_unit_value")
 def cluster_bootstrap(spark, d):
-    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", n_boot=20)
+    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", n_boot=200)
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
 @query("median_bootstrap_r2", f"""WITH o AS (SELECT cond, value, row_number() OVER (PARTITION BY cond ORDER BY value) - 1 AS xi FROM v_unit_value), k AS (SELECT cond, count(*) AS n FROM o GROUP BY 1),
-  dr AS (SELECT cond, rep, {_H.format("'42', cond, CAST(rep AS VARCHAR), '0', CAST(oo AS VARCHAR)")} % n AS xi FROM (SELECT cond, rep, n, unnest(range(n)) AS oo FROM k, range(10) t(rep))),
+  dr AS (SELECT cond, rep, {_H.format("'42', cond, CAST(rep AS VARCHAR), '0', CAST(oo AS VARCHAR)")} % n AS xi FROM (SELECT cond, rep, n, unnest(range(n)) AS oo FROM k, range(200) t(rep))),
   e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.xi = dr.xi GROUP BY 1, 2)
   SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""", "v_unit_value")
 def median_bootstrap(spark, d):
-    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value", n_boot=10)
+    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value", n_boot=200)
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
@@ -71,23 +71,23 @@ def exact_permutation(spark, d):
 
 @query("sampled_permutation_r4", _UNITS + """, tg AS (SELECT DISTINCT cond AS t FROM u WHERE cond <> 'AFRICA'), pool AS (SELECT t, u.cond, u.unit, x FROM tg JOIN u ON u.cond = t OR u.cond = 'AFRICA'),
   o AS (SELECT t, abs(median(x) FILTER (WHERE cond = t) - median(x) FILTER (WHERE cond <> t)) AS obs FROM pool GROUP BY t),
-  sh AS (SELECT t, rep, x, row_number() OVER (PARTITION BY t, rep ORDER BY md5(concat_ws('|', '42', CAST(rep AS VARCHAR), cond, unit))) AS pos FROM pool, range(200) q(rep)),
+  sh AS (SELECT t, rep, x, row_number() OVER (PARTITION BY t, rep ORDER BY md5(concat_ws('|', '42', CAST(rep AS VARCHAR), cond, unit))) AS pos FROM pool, range(1000) q(rep)),
   dd AS (SELECT t, rep, abs(median(x) FILTER (WHERE pos > 5) - median(x) FILTER (WHERE pos <= 5)) AS diff FROM sh GROUP BY t, rep)
-  SELECT o.t AS cond, round(greatest((count(*) FILTER (WHERE diff >= obs - 1e-12) + 1) / 201.0, 2.0 / 252), 6) AS p_raw, round(2.0 / 252, 6) AS min_p, 'monte_carlo' AS method FROM dd JOIN o ON o.t = dd.t GROUP BY o.t""", "v_unit_value")
+  SELECT o.t AS cond, round(greatest((count(*) FILTER (WHERE diff >= obs - 1e-12) + 1) / 1001.0, 2.0 / 252), 6) AS p_raw, round(2.0 / 252, 6) AS min_p, 'monte_carlo' AS method FROM dd JOIN o ON o.t = dd.t GROUP BY o.t""", "v_unit_value")
 def sampled_permutation(spark, d):
-    t = rs.permutation_test(v.unit_values(spark, d), "cond", "unit", "value", "AFRICA", n_perm=200, exact_limit=10)
+    t = rs.permutation_test(v.unit_values(spark, d), "cond", "unit", "value", "AFRICA", n_perm=1000, exact_limit=10)
     return t.select("cond", r("p_raw").alias("p_raw"), r("min_p").alias("min_p"), "method")
 
 
 @query("observation_permutation_r5", """WITH b AS (SELECT r_name AS cond, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   tg AS (SELECT cond AS t, count(*) AS nt FROM b WHERE cond <> 'AFRICA' GROUP BY 1), pool AS (SELECT t, nt, b.cond, id, x FROM tg JOIN b ON b.cond = t UNION ALL SELECT t, nt, b.cond, id, x FROM tg, b WHERE b.cond = 'AFRICA'),
   o AS (SELECT t, abs(median(x) FILTER (WHERE cond = t) - median(x) FILTER (WHERE cond <> t)) AS obs FROM pool GROUP BY t),
-  sh AS (SELECT t, nt, rep, x, row_number() OVER (PARTITION BY t, rep ORDER BY md5(concat_ws('|', '42', CAST(rep AS VARCHAR), cond, id))) AS pos FROM pool, range(10) q(rep)),
+  sh AS (SELECT t, nt, rep, x, row_number() OVER (PARTITION BY t, rep ORDER BY md5(concat_ws('|', '42', CAST(rep AS VARCHAR), cond, id))) AS pos FROM pool, range(50) q(rep)),
   dd AS (SELECT t, rep, abs(median(x) FILTER (WHERE pos <= nt) - median(x) FILTER (WHERE pos > nt)) AS diff FROM sh GROUP BY t, rep)
-  SELECT o.t AS cond, round(any_value(obs), 4) AS obs_diff, round((count(*) FILTER (WHERE diff >= obs - 1e-12) + 1) / 11.0, 6) AS p_raw FROM dd JOIN o ON o.t = dd.t GROUP BY o.t""")
+  SELECT o.t AS cond, round(any_value(obs), 4) AS obs_diff, round((count(*) FILTER (WHERE diff >= obs - 1e-12) + 1) / 51.0, 6) AS p_raw FROM dd JOIN o ON o.t = dd.t GROUP BY o.t""")
 def observation_permutation(spark, d):
     o = v.located_orders(spark, d).select(F.col("r_name").alias("cond"), "o_orderkey", F.col("o_totalprice").alias("value"))
-    t = rs.observation_test(o, "cond", "value", "AFRICA", n_perm=10, row_id=["o_orderkey"])
+    t = rs.observation_test(o, "cond", "value", "AFRICA", n_perm=50, row_id=["o_orderkey"])
     return t.select("cond", r("obs_diff", 4).alias("obs_diff"), r("p_raw").alias("p_raw"))
 
 
@@ -114,10 +114,9 @@ def benjamini_hochberg(spark, d):
 
 @query("running_extremes_w2", "SELECT o_orderkey, max(o_totalprice) OVER w AS top, min(o_totalprice) OVER w AS low FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
 def running_extremes(spark, d):
-    from replistat.operators.scan import numeric_bucket, running
+    from replistat.operators.scan import running
     x = F.col("o_totalprice")
-    return running(v.table(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], {"top": ("max", x), "low": ("min", x)},
-                   numeric_bucket("o_orderkey")).select("o_orderkey", "top", "low")
+    return running(v.table(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], {"top": ("max", x), "low": ("min", x)}).select("o_orderkey", "top", "low")
 
 
 @query("signed_rank_r8", """WITH d AS (SELECT cond, centroid_y - perimeter_px * 2 AS df FROM v_object), z AS (SELECT cond, df, abs(df) AS a FROM d WHERE df <> 0),

@@ -145,20 +145,51 @@ def distribution_feed(spark, d):
     return f.select("cond", "timepoint", *[r(c, 3).alias(c) for c in ("q1", "med", "q3")], "n", r("low", 3).alias("low"), r("high", 3).alias("high"))
 
 
-@query("preflight_audit_a24", """WITH k AS (SELECT pair_key, count(DISTINCT timepoint) AS t FROM v_manifest GROUP BY 1) SELECT 'no_matched_pairs' AS rule, 'fatal' AS severity, CAST(count(*) FILTER (WHERE t >= 2) = 0 AS BIGINT) AS n FROM k
-  UNION ALL SELECT 'single_timepoint', 'warning', count(*) FILTER (WHERE t < 2) FROM k UNION ALL SELECT 'unreadable_names', 'warning', (SELECT count(DISTINCT stem) FROM v_parsed WHERE error IS NOT NULL)
-  UNION ALL SELECT 'control_missing', 'warning', CAST((SELECT count(*) FROM v_manifest WHERE condition = 'Mat') = 0 AS BIGINT)""", "v_manifest")
+@query("preflight_audit_a24", """WITH i AS (SELECT DISTINCT stem, pair_key, timepoint, condition FROM v_parsed WHERE error IS NULL), f AS (SELECT pair_key, timepoint, count(*) AS k FROM i GROUP BY 1, 2),
+  k AS (SELECT pair_key, bool_or(timepoint = 't0') AS a, bool_or(timepoint = 't7') AS b, sum(k - 1) AS dup FROM f GROUP BY 1)
+  SELECT 'no_first_timepoint' AS rule, 'fatal' AS severity, CAST(count(*) FILTER (WHERE timepoint = 't0') = 0 AS BIGINT) AS n FROM i UNION ALL SELECT 'no_second_timepoint', 'fatal', CAST(count(*) FILTER (WHERE timepoint = 't7') = 0 AS BIGINT) FROM i
+  UNION ALL SELECT 'no_matched_pairs', 'fatal', CAST(count(*) FILTER (WHERE a AND b) = 0 AS BIGINT) FROM k UNION ALL SELECT 'control_missing', 'warning', CAST(count(*) FILTER (WHERE condition = 'Mat') = 0 AS BIGINT) FROM i
+  UNION ALL SELECT 'single_first', 'warning', count(*) FILTER (WHERE a AND NOT b) FROM k UNION ALL SELECT 'single_second', 'warning', count(*) FILTER (WHERE b AND NOT a) FROM k
+  UNION ALL SELECT 'duplicate_keys', 'warning', count(*) FILTER (WHERE dup > 0) FROM k UNION ALL SELECT 'uncalibrated', 'warning', 0 UNION ALL SELECT 'unreadable_names', 'warning', (SELECT count(DISTINCT stem) FROM v_parsed WHERE error IS NOT NULL)""", "v_parsed")
 def preflight_audit(spark, d):
-    from replistat.sources.files import rejected_names
-    mf = manifest(spark, d)
-    keys = mf.groupBy("pair_key").agg(F.count_distinct("timepoint").alias("t"))
+    from replistat.sources.files import parsed_names, rejected_names
     paths = v.names(spark, d).select(F.concat(F.lit("/in/"), F.col("stem"), F.lit(".tif")).alias("path")).distinct()
-    bad = rejected_names(paths)
-    rules = [("no_matched_pairs", "fatal", keys.agg((F.count_if(F.col("t") >= 2) == 0).cast("int").alias("n"), F.lit(None).alias("sample"))),
-             ("single_timepoint", "warning", keys.filter("t < 2").agg(F.count(F.lit(1)).alias("n"), F.min("pair_key").alias("sample"))),
-             ("unreadable_names", "warning", bad.agg(F.count(F.lit(1)).alias("n"), F.min("file_path").alias("sample"))),
-             ("control_missing", "warning", mf.agg((F.count_if(F.col("condition") == "Mat") == 0).cast("int").alias("n"), F.lit(None).alias("sample")))]
-    return ru.preflight_rules(rules).select("rule", "severity", "n")
+    return ru.acquisition_rules(parsed_names(paths), rejected_names(paths)).select("rule", "severity", "n")
+
+
+@query("channel_audit_a24", """SELECT rule, severity, n FROM (SELECT count(*) FILTER (WHERE n_first = 1 AND n_second = 1) = 0 AS np, count(*) FILTER (WHERE n_first > 1 OR n_second > 1) AS am, count(*) FILTER (WHERE n_first <= 1 AND n_second <= 1 AND n_first + n_second = 1) AS un FROM
+    (SELECT base, count(DISTINCT name) FILTER (WHERE channel = '00') AS n_first, count(DISTINCT name) FILTER (WHERE channel = '02') AS n_second FROM v_channel WHERE channel IN ('00', '02') GROUP BY base)),
+  LATERAL (SELECT unnest(['no_paired_fields', 'ambiguous_channel_files', 'unpaired_fields']) AS rule, unnest(['fatal', 'fatal', 'warning']) AS severity, unnest([np::BIGINT, am, un]) AS n)""", "v_channel")
+def channel_audit(spark, d):
+    from replistat.operators import matching as m
+    from replistat.sources.files import channel_inventory
+    f = channel_inventory(v.field_names(spark, d))
+    p = m.pair_channels(f.select("base", "channel", "name").distinct(), "base", "channel", "name")
+    state = F.when((F.col("n_first") > 1) | (F.col("n_second") > 1), "collision").when(F.col("n_first") == 0, "missing_first").when(F.col("n_second") == 0, "missing_second").otherwise("paired")
+    fields = p.select("base", state.alias("state"), F.lit(None).cast("string").alias("material"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("is_calibrated"))
+    return ru.channel_rules(fields).filter("rule in ('no_paired_fields', 'ambiguous_channel_files', 'unpaired_fields')").select("rule", "severity", "n")
+
+
+@query("cohort_changes_a25", """WITH a AS (SELECT material, avg(n_nuclei) AS x FROM v_field WHERE run = 'click' GROUP BY 1), b AS (SELECT material, avg(n_nuclei) AS x FROM v_field WHERE run = 'view' GROUP BY 1)
+  SELECT coalesce(a.material, b.material) AS material, round(a.x, 6) AS pre, round(b.x, 6) AS post, round(b.x - a.x, 6) AS delta, round((b.x - a.x) / a.x, 6) AS rel FROM a FULL JOIN b ON a.material = b.material""", "v_field")
+def cohort_changes(spark, d):
+    m = v.fields(spark, d).groupBy("run", "material").agg(F.avg("n_nuclei").alias("n"))
+    c = ru.cohort_changes(m.filter("run = 'click'"), m.filter("run = 'view'"), ["material"], ["n"])
+    return c.select("material", r("n_pre").alias("pre"), r("n_post").alias("post"), r("n_delta").alias("delta"), r("n_rel").alias("rel"))
+
+
+@query("contrast_histogram_a22", """WITH b AS (SELECT qc_flag, least(43, CAST(floor((contrast_ratio + 0.05) / (0.45 / 44)) AS BIGINT)) AS bin, count(*) AS n FROM v_gated WHERE contrast_ratio BETWEEN -0.05 AND 0.40 GROUP BY 1, 2)
+  SELECT qc_flag, bin, n, round(n / (sum(n) OVER (PARTITION BY qc_flag) * (0.45 / 44)), 6) AS density FROM b""", "v_gated")
+def contrast_histogram(spark, d):
+    h = ru.edge_histogram(v.gated(spark, d), "contrast_ratio", -0.05, 0.40, 44, ["qc_flag"])
+    return h.select("qc_flag", "bin", "n", r("density").alias("density"))
+
+
+@query("circularity_histogram_a22", """WITH b AS (SELECT qc_flag, least(38, CAST(floor((circularity - 0.2) / ((1.0 - 0.2) / 39)) AS BIGINT)) AS bin, count(*) AS n FROM v_gated WHERE circularity BETWEEN 0.2 AND 1.0 GROUP BY 1, 2)
+  SELECT qc_flag, bin, n, round(n / (sum(n) OVER (PARTITION BY qc_flag) * ((1.0 - 0.2) / 39)), 6) AS density FROM b""", "v_gated")
+def circularity_histogram(spark, d):
+    h = ru.edge_histogram(v.gated(spark, d), "circularity", 0.2, 1.0, 39, ["qc_flag"])
+    return h.select("qc_flag", "bin", "n", r("density").alias("density"))
 
 
 @query("image_status_s6", """SELECT image_id, CASE WHEN pair_key % 50 = 0 THEN 'READ_FAIL' WHEN n_pass = 0 THEN 'SEG_FAIL' ELSE 'OK' END AS status, n AS n_objects, n_pass FROM (SELECT image_id, pair_key, count(*) AS n, count(*) FILTER (WHERE qc_flag = 'PASS') AS n_pass FROM v_gated GROUP BY 1, 2)""", "v_gated")
@@ -174,11 +205,11 @@ def run_status(spark, d):
     return ru.run_status(st, failed_steps=1)
 
 
-@query("ordered_methods_a25", """SELECT role, string_agg(w, ',' ORDER BY c, p) AS methods FROM (SELECT role, w, min(k)[1] AS c, min(k)[2] AS p FROM (SELECT role, w, [conv_id * 1000 + turn, i] AS k FROM (SELECT role, conv_id, turn, unnest(string_split(text, ' '))  AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations)) WHERE length(w) = 2 GROUP BY role, w) GROUP BY role""")
+@query("ordered_methods_a25", """SELECT role, w AS method, row_number() OVER (PARTITION BY role ORDER BY k, w) AS place FROM (SELECT role, w, min(k) AS k FROM (SELECT role, w, [conv_id, turn, i] AS k
+  FROM (SELECT role, conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations)) GROUP BY role, w)""")
 def ordered_methods(spark, d):
     c = v.table(spark, d, "conversations").withColumn("items", F.split("text", " "))
-    u = ru.ordered_union(c, ["role"], "items", ["conv_id", "turn"], "methods")
-    return u.select("role", F.concat_ws(",", F.filter("methods", lambda w: F.length(w) == 2)).alias("methods"))
+    return ru.ordered_items(c, ["role"], "items", ["conv_id", "turn"], "method").select("role", "method", "place")
 
 
 @query("control_first_order_w6", "SELECT cond, n, row_number() OVER (ORDER BY cond <> 'EUROPE', cond) AS place FROM (SELECT cond, count(*) AS n FROM v_unit_value GROUP BY 1)", "v_unit_value")
@@ -190,5 +221,5 @@ def control_first_order(spark, d):
 
 @query("pair_numbers_w1", "SELECT object_id, row_number() OVER (PARTITION BY pair_key ORDER BY object_id) AS k FROM v_object", "v_object")
 def pair_numbers(spark, d):
-    from replistat.operators.scan import numeric_bucket, row_numbers
-    return row_numbers(v.objects(spark, d), ["pair_key"], ["object_id"], "k", numeric_bucket("object_id")).select("object_id", "k")
+    from replistat.operators.scan import row_numbers
+    return row_numbers(v.objects(spark, d), ["pair_key"], ["object_id"], "k").select("object_id", "k")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from replistat.functions.geometry import object_measures
 from replistat.operators.gates import morphology_gate, reason_text
-from replistat.operators.scan import numeric_bucket, row_numbers
+from replistat.operators.scan import row_numbers
 from replistat.params import ObjectGate
 
 RUNS = ["click", "error", "purchase", "signup", "view"]
@@ -114,7 +114,7 @@ def pixels(spark, d) -> DataFrame:
 
     Row numbers use the skew-safe scan, since one label may hold a large share of the vectors.
     """
-    e = row_numbers(table(spark, d, "embeddings"), ["label"], ["vec_id"], "y", numeric_bucket("vec_id"))
+    e = row_numbers(table(spark, d, "embeddings"), ["label"], ["vec_id"], "y")
     p = e.select(F.col("label").alias("image_id"), "y", F.posexplode("embedding").alias("x", "v"))
     return p.select(big("image_id").alias("image_id"), big("y").alias("y"), big("x").alias("x"), F.col("v").cast("double").alias("value"))
 

@@ -54,6 +54,13 @@ def known_first(value, known=CONDITION_ORDER) -> Column:
     return F.when(place > 0, place).otherwise(F.lit(len(known) + 1)).cast("bigint")
 
 
+def timepoint_order(value) -> Column:
+    """Sort key of a timepoint: by day number (t0, t7, t10, ...), unreadable names last."""
+    v = _col(value)
+    day = F.regexp_extract(F.lower(v.cast("string")), r"(\d+)", 1).try_cast("bigint")
+    return F.struct(day.isNull().alias("unreadable"), F.coalesce(day, F.lit(0)).alias("day"), v.alias("name"))
+
+
 def flag_severity(flags, sep: str = ";") -> Column:
     """Number of artifact flags in a flag list (outlier flags do not count)."""
     kept = F.filter(F.split(_col(flags), sep), lambda f: f.isin(*ARTIFACT_FLAGS))

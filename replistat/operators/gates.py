@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import finite, num, sphere_volume, disk_diameter
 from ..params import FieldQC, ObjectGate, PairGate, SizeGate
 from ..session import cut_lineage
-from .scan import HOT_ROWS, group_summary, numeric_bucket, row_numbers, running
+from .scan import group_summary, row_numbers, running
 
 REJECTED = ("FAIL", "SEG_FAIL")
 
@@ -94,7 +94,6 @@ def image_limits(
     gate: ObjectGate = ObjectGate(),
     flag: str = "qc_flag",
     codes: str = "qc_codes",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Reject oversized objects, demote objects beyond the per-image limit, renumber the clean ones.
 
@@ -104,8 +103,7 @@ def image_limits(
     out = df.withColumn(flag, F.when(big, F.lit("FAIL")).otherwise(F.col(flag))).withColumn(
         codes, F.when(big, F.concat(F.array(F.lit("exceeds_max_area_limit")), F.col(codes))).otherwise(F.col(codes)))
     clean = ~F.col(flag).isin(*REJECTED)
-    out = running(out, image, [label], {"_k": ("sum", F.when(clean, 1).otherwise(0).cast("bigint"))},
-                  numeric_bucket(label), hot_rows=hot_rows)
+    out = running(out, image, [label], {"_k": ("sum", F.when(clean, 1).otherwise(0).cast("bigint"))})
     out = out.withColumn("clean_label", F.when(clean, F.col("_k"))).drop("_k")
     limit = gate.max_objects_per_image
     if limit > 0:
@@ -155,13 +153,12 @@ def pair_gate(df: DataFrame, gate: PairGate = PairGate(), d0="t0_eq_diameter_um"
     )
 
 
-def size_gate(df: DataFrame, image: Sequence[str], label: str, volume: str, gate: SizeGate,
-              hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def size_gate(df: DataFrame, image: Sequence[str], label: str, volume: str, gate: SizeGate) -> tuple[DataFrame, DataFrame]:
     """Objects inside the volume bounds with compact new labels, and the removal counts per image."""
     b = gate.bounds()
     v = num(volume)
     small, large = v < b["min"], v > b["max"]
-    kept = row_numbers(df.filter(~(small | large)), image, [label], "new_label", numeric_bucket(label), hot_rows=hot_rows)
+    kept = row_numbers(df.filter(~(small | large)), image, [label], "new_label")
     counts = df.groupBy(*image).agg(
         F.count_if(small).alias("n_removed_small"), F.count_if(large).alias("n_removed_large"),
         F.count_if(~(small | large)).alias("n_kept"))
@@ -212,8 +209,7 @@ def analysed(df: DataFrame, include_review: bool = False, value: str | None = "l
 
 
 def balanced_images(manifest: DataFrame, n: int, condition: str = "condition", unit: str = "pair_key",
-                    image: str = "image_id", matched: str = "is_matched_pair",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    image: str = "image_id", matched: str = "is_matched_pair") -> DataFrame:
     """``n`` images taken one unit per condition and round, matched pairs before single images.
 
     The last unit is cut to fit, so exactly ``n`` images come back when there are that many.
@@ -225,23 +221,20 @@ def balanced_images(manifest: DataFrame, n: int, condition: str = "condition", u
     # the ordering value joins "pairs first" and the unit name, so its prefix stays order preserving
     units = units.withColumn("_o", F.concat(F.col("_single").cast("string"), F.lit("|"), F.col("_own")))
     units = cut_lineage(units)   # one row per unit, scanned twice below
-    units = row_numbers(units, [condition], ["_o"], "_round", F.substring("_o", 1, 8), hot_rows=hot_rows)
-    units = running(units, [], ["_round", condition], {"_upto": ("sum", F.col("_size"))},
-                    numeric_bucket("_round"), hot_rows=hot_rows)
+    units = row_numbers(units, [condition], ["_o"], "_round")
+    units = running(units, [], ["_round", condition], {"_upto": ("sum", F.col("_size"))})
     first = units.filter(F.col("_upto") - F.col("_size") < n).select(
         F.col(condition).alias("_c"), F.col("_single").alias("_s"), F.col("_own").alias("_u"),
         (F.lit(n) - (F.col("_upto") - F.col("_size"))).alias("_room"))
     picked = rows.join(first, (F.col(condition) == F.col("_c")) & (F.col("_single") == F.col("_s"))
                        & (F.col("_own") == F.col("_u")))
-    picked = row_numbers(picked, ["_c", "_s", "_u"], [image], "_i", F.substring(F.col(image).cast("string"), 1, 8),
-                         hot_rows=hot_rows)
+    picked = row_numbers(picked, ["_c", "_s", "_u"], [image], "_i")
     return picked.filter(F.col("_i") <= F.col("_room")).select(*manifest.columns)
 
 
-def stratified_sample(df: DataFrame, stratum: str, order: str, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def stratified_sample(df: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     """First ``n`` rows taken round-robin over the sorted strata."""
-    placed = row_numbers(df, [stratum], [order], "_round", F.substring(F.col(order).cast("string"), 1, 8),
-                         hot_rows=hot_rows)
+    placed = row_numbers(df, [stratum], [order], "_round")
     return placed.orderBy("_round", stratum).limit(n).drop("_round")
 
 
@@ -275,10 +268,33 @@ def volumes_from_area(area_px: str, px_um: str) -> Column:
     return sphere_volume(disk_diameter(num(area_px) * s * s))
 
 
+def field_flags(df: DataFrame, qc: FieldQC = FieldQC(), count: str = "n_objects", snr: str = "snr", saturation: Sequence[str] = ("saturation_frac",),
+                duplicates: str | None = "n_duplicates_removed", debris: str = "debris_count", merged: str = "merged_count",
+                edge_share: str = "edge_touching_frac") -> DataFrame:
+    """The flags a field earns by itself, as columns ``flag_<name>``; a missing measurement raises none.
+
+    A field without objects counts as empty only when its signal is good enough to expect some.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = F.coalesce(num(count), F.lit(0))
+    full = [num(c) > qc.saturation_max for c in saturation]
+    return df.withColumns({
+        "flag_empty_seg": yes((n == 0) & (num(snr) >= qc.snr_min)),
+        "flag_dup_masks": yes(num(duplicates) > 0) if duplicates else F.lit(False),
+        "flag_debris_or_merged": yes(num(debris) > 0) | yes(num(merged) > 0),
+        "flag_edge_heavy": yes(num(edge_share) > qc.edge_share_max),
+        "flag_saturated": yes(full[0]) | yes(full[-1]),
+        "flag_low_snr": yes(num(snr) < qc.snr_min),
+    })
+
+
+OWN_FLAGS = ("empty_seg", "dup_masks", "debris_or_merged", "edge_heavy", "saturated", "low_snr")
+
+
 def cohort_flags(df: DataFrame, image: str = "image_id", material: str = "material", laplacian: str = "laplacian_var",
                  density: str = "nuclei_per_mm2", count: str = "n_nuclei", own_flags: Sequence[str] = (),
                  blur_threshold: float | None = None, blur_percentile: float | None = None,
-                 qc: FieldQC = FieldQC(), hot_rows: int = HOT_ROWS) -> DataFrame:
+                 qc: FieldQC = FieldQC()) -> DataFrame:
     """Cohort-relative flags: blur, and outliers of density and count inside a material.
 
     ``own_flags`` are boolean columns ``flag_<name>`` already present. ``flag_any`` leaves the two
@@ -290,7 +306,7 @@ def cohort_flags(df: DataFrame, image: str = "image_id", material: str = "materi
     fences = group_summary(
         df, [material],
         {"_d25": (d, 0.25), "_d75": (d, 0.75), "_c25": (num(count), 0.25), "_c75": (num(count), 0.75)},
-        [F.count(F.lit(1)).alias("_n"), F.count(d).alias("_nd")], hot_rows)
+        [F.count(F.lit(1)).alias("_n"), F.count(d).alias("_nd")])
     fences = fences.withColumnRenamed(material, "_m")
     out = df.join(fences, F.col(material).eqNullSafe(F.col("_m")), "left")
     k = qc.iqr_factor
@@ -305,7 +321,7 @@ def cohort_flags(df: DataFrame, image: str = "image_id", material: str = "materi
     if blur_threshold is not None:
         cut = F.lit(float(blur_threshold))
     else:
-        cut = group_summary(df, [], {"_b": (num(laplacian), blur_percentile / 100.0)}, hot_rows=hot_rows).select("_b").scalar()
+        cut = group_summary(df, [], {"_b": (num(laplacian), blur_percentile / 100.0)}).select("_b").scalar()
     out = out.withColumn("flag_blurry", F.coalesce(num(laplacian) < cut, F.lit(False)))
     # Fixed order of the field flags.
     order = ["empty_seg", "density_outlier", "count_outlier", "dup_masks", "debris_or_merged",

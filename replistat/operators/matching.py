@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .gates import REJECTED, pair_gate
 from .graph import connected_components, greedy_losers
 from .near import near_pairs
-from .scan import HOT_ROWS, numeric_bucket, row_numbers
+from .scan import row_numbers
 
 
 def mark_matched(manifest: DataFrame, key: str, timepoint: str, name: str = "is_matched_pair") -> DataFrame:
@@ -171,7 +171,7 @@ _SIDE_NAMES = {"equivalent_diameter_um": "eq_diameter_um"}
 
 
 def pair_table(t0: DataFrame, t7: DataFrame, matches: DataFrame, order: str = "label_idx",
-               gate: PairGate = PairGate(), hot_rows: int = HOT_ROWS) -> DataFrame:
+               gate: PairGate = PairGate()) -> DataFrame:
     """Full pair rows from matches ``(t0_object_id, t7_object_id, centroid_distance_px)``."""
     def side(df: DataFrame, p: str, more: Sequence[str] = ()) -> DataFrame:
         return df.select(*more, *[F.col(c).alias(f"{p}_{_SIDE_NAMES.get(c, c)}") for c in PAIR_SIDE])
@@ -180,7 +180,7 @@ def pair_table(t0: DataFrame, t7: DataFrame, matches: DataFrame, order: str = "l
                      "t0_object_id").join(side(t7, "t7"), "t7_object_id")
     change = growth("t0_volume_sphere_um3", "t7_volume_sphere_um3", "t0_eq_diameter_um", "t7_eq_diameter_um")
     j = pair_gate(j.withColumns(change), gate)
-    j = row_numbers(j, ["pair_key"], ["_ord", "t0_object_id"], "_n", numeric_bucket("_ord"), hot_rows=hot_rows)
+    j = row_numbers(j, ["pair_key"], ["_ord", "t0_object_id"], "_n")
     return j.withColumn("pair_id", F.concat(F.col("pair_key"), F.lit("_pair"), F.col("_n").cast("string"))).drop("_n", "_ord")
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
 
 def _level(reach: Column) -> Column:
     return F.ceil(F.log2(F.greatest(reach, F.lit(1e-9)))).cast("int")
@@ -43,7 +45,9 @@ def near_pairs(
     share one reach, so one direction of probing is enough. The distance test is part of the join,
     so candidate pairs are never written out.
     """
-    a, b = _tag(left, "a_", keys), _tag(right, "b_", keys)
+    once = cut_lineage(left)     # both sides are read for either direction of probing
+    other = once if right is left else cut_lineage(right)
+    a, b = _tag(once, "a_", keys), _tag(other, "b_", keys)
     parts = [_probe(a, "a_", b, "b_", keys, x, y, reach, limit, extra, strict=False)]
     if not same_reach:
         parts.append(_probe(b, "b_", a, "a_", keys, x, y, reach, limit, extra, strict=True))
@@ -52,16 +56,16 @@ def near_pairs(
 
 def _probe(seek: DataFrame, sp: str, wait: DataFrame, wp: str, keys, x, y, reach, limit, extra, strict) -> DataFrame:
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    level = _level(F.col(sp + reach))
+    # the grid levels in use: a handful of whole numbers, read as a scalar subquery
+    seek = seek.withColumn("_s_lv", _level(F.col(sp + reach)))
+    levels = seek.agg(F.collect_set("_s_lv")).scalar()
     seek = (
-        seek.withColumn("_s_lv", level)
+        seek
         .withColumn("_step", F.explode(around))
         .withColumn("_s_cx", _cell(F.col(sp + x), F.col("_s_lv")) + F.col("_step.dx"))
         .withColumn("_s_cy", _cell(F.col(sp + y), F.col("_s_lv")) + F.col("_step.dy"))
         .drop("_step")
     )
-    # the grid levels in use: a handful of whole numbers, read as a scalar subquery
-    levels = seek.agg(F.collect_set("_s_lv")).scalar()
     wait = (
         wait.withColumn("_levels", levels)
         .withColumn("_w_lv", F.explode("_levels")).drop("_levels")

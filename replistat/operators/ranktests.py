@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import finite
-from .scan import HOT_ROWS, average_ranks, numeric_bucket, running
+from .scan import average_ranks, running
 
-SIGNED_EXACT_MAX = 50      # own rule: exact without ties and zeros up to this many pairs
-TWO_SAMPLE_EXACT_MAX = 8   # own rule: exact without ties when the smaller sample has at most this many
+# Fixed rules for the exact distribution; the column ``p_method`` tells which one a p-value comes from.
+SIGNED_EXACT_MAX = 50           # signed rank: no ties, no zeros, at most this many pairs
+TWO_SAMPLE_EXACT_MAX = 8        # two samples: no ties, the smaller one has at most this many values
+TWO_SAMPLE_TABLE_MAX = 20_000_000   # and the product of the sizes, the length of the table, is at most this
 
 
 def _p_values(kind: str):
@@ -24,11 +27,11 @@ def _p_values(kind: str):
         if n == 0:
             return 1.0
         if exact:
-            ways = [1] + [0] * (n * (n + 1) // 2)
+            ways = np.zeros(n * (n + 1) // 2 + 1)
+            ways[0] = 1.0
             for r in range(1, n + 1):
-                for s in range(len(ways) - 1, r - 1, -1):
-                    ways[s] += ways[s - r]
-            tail = sum(ways[: int(w) + 1]) / 2.0 ** n
+                ways[r:] += ways[:-r].copy()
+            tail = float(ways[: int(w) + 1].sum()) / 2.0 ** n
             return min(1.0, 2.0 * tail)
         mean, var = n * (n + 1) / 4.0, n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
         return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2.0)) if var > 0 else 1.0
@@ -37,17 +40,17 @@ def _p_values(kind: str):
         import math
         big = max(u, n1 * n2 - u)
         if exact:
-            # count[i][s]: ways to pick i of the first ranks with statistic s
-            count = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
-            count[0][0] = 1
-            for rank in range(1, n1 + n2 + 1):
-                for i in range(min(n1, rank), 0, -1):
-                    gain = rank - i
-                    if gain <= n2:
-                        for s in range(n1 * n2, gain - 1, -1):
-                            count[i][s] += count[i - 1][s - gain]
-            total = math.comb(n1 + n2, n1)
-            return min(1.0, 2.0 * sum(count[n1][int(big):]) / total)
+            # numbers of rank sets by statistic are the coefficients of a Gaussian binomial; the lower tail is enough
+            top = int(n1 * n2 - big)
+            k, n = sorted((n1, n2))
+            ways = np.zeros(top + 1)
+            ways[0] = 1.0
+            for i in range(1, k + 1):
+                if n + i <= top:
+                    ways[n + i:] -= ways[:top + 1 - n - i].copy()
+                for r in range(min(i, top + 1)):
+                    ways[r::i] = np.cumsum(ways[r::i])
+            return min(1.0, 2.0 * float(ways.sum()) / math.comb(n1 + n2, n1))
         n = n1 + n2
         var = n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))
         if var <= 0:
@@ -67,12 +70,16 @@ def _p_values(kind: str):
     return run
 
 
-def signed_rank_sums(df: DataFrame, keys: Sequence[str], before: str, after: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _named(df: DataFrame, exact) -> DataFrame:
+    return df.withColumn("p_method", F.when(F.col("p_value").isNull(), "untested").when(exact, "exact").otherwise("normal"))
+
+
+def signed_rank_sums(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Per key: pairs with both values, non-zero pairs, W+ and W-, and the tie term."""
     rows = df.select(*keys, (finite(after) - finite(before)).alias("_d")).filter(F.col("_d").isNotNull())
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
     nz = rows.filter(F.col("_d") != 0).withColumn("_a", F.abs("_d"))
-    ranks = average_ranks(nz, keys, "_a", hot_rows)
+    ranks = average_ranks(nz, keys, "_a")
     # signed counts per distinct size, so that the join and the sums are over distinct values
     signs = nz.groupBy(*keys, "_a").agg(F.count_if(F.col("_d") > 0).alias("_plus"), F.count_if(F.col("_d") < 0).alias("_minus"))
     t = F.col("n_tied")
@@ -82,14 +89,14 @@ def signed_rank_sums(df: DataFrame, keys: Sequence[str], before: str, after: str
     return n.join(sums, list(keys), "left").na.fill(0.0, ["w_plus", "w_minus", "tie_term"]).na.fill(0, ["n_nonzero"])
 
 
-def signed_rank_test(df: DataFrame, keys: Sequence[str], before: str, after: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    s = signed_rank_sums(df, keys, before, after, hot_rows)
+def signed_rank_test(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
+    s = signed_rank_sums(df, keys, before, after)
     exact = (F.col("n_nonzero") <= SIGNED_EXACT_MAX) & (F.col("tie_term") == 0) & (F.col("n_nonzero") == F.col("n_pairs"))
     p = _p_values("signed")(F.col("n_nonzero"), F.least("w_plus", "w_minus"), F.col("tie_term"), exact)
-    return s.withColumn("p_value", F.when(F.col("n_pairs") >= 3, p))
+    return _named(s.withColumn("p_value", F.when(F.col("n_pairs") >= 3, p)), exact)
 
 
-def rank_sums(df: DataFrame, group: str, value: str, control: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_sums(df: DataFrame, group: str, value: str, control: str) -> DataFrame:
     """Each group against the control: sample sizes, U of the group, and the tie term."""
     counts = df.select(F.col(group).alias("_g"), finite(value).alias("_x")).filter(
         F.col("_x").isNotNull() & F.col("_g").isNotNull()).groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_n"))
@@ -98,7 +105,7 @@ def rank_sums(df: DataFrame, group: str, value: str, control: str, hot_rows: int
     mine = counts.filter(F.col("_g") != control).select(F.col("_g").alias("_t"), "_x", F.col("_n").alias("_nt"), F.lit(0).cast("bigint").alias("_nc"))
     shared = targets.join(ctl, F.col("_ctl") == F.col("_g")).select("_t", "_x", F.lit(0).cast("bigint").alias("_nt"), F.col("_n").alias("_nc"))
     both = mine.unionByName(shared).groupBy("_t", "_x").agg(F.sum("_nt").alias("_nt"), F.sum("_nc").alias("_nc"))
-    both = running(both, ["_t"], ["_x"], {"_end": ("sum", F.col("_nt") + F.col("_nc"))}, numeric_bucket("_x"), hot_rows=hot_rows)
+    both = running(both, ["_t"], ["_x"], {"_end": ("sum", F.col("_nt") + F.col("_nc"))})
     tied = F.col("_nt") + F.col("_nc")
     rank = F.col("_end") - (tied - 1) / F.lit(2.0)
     s = both.groupBy(F.col("_t").alias(group)).agg(
@@ -108,21 +115,22 @@ def rank_sums(df: DataFrame, group: str, value: str, control: str, hot_rows: int
     return s.withColumn("u_group", F.col("_r") - n * (n + 1) / F.lit(2.0)).drop("_r")
 
 
-def rank_sum_test(df: DataFrame, group: str, value: str, control: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    s = rank_sums(df, group, value, control, hot_rows)
-    exact = (F.least("n_group", "n_control") <= TWO_SAMPLE_EXACT_MAX) & (F.col("tie_term") == 0)
+def rank_sum_test(df: DataFrame, group: str, value: str, control: str) -> DataFrame:
+    s = rank_sums(df, group, value, control)
+    small = (F.least("n_group", "n_control") <= TWO_SAMPLE_EXACT_MAX) & (F.col("n_group") * F.col("n_control") <= TWO_SAMPLE_TABLE_MAX)
+    exact = small & (F.col("tie_term") == 0)
     p = _p_values("two")(F.col("n_group"), F.col("n_control"), F.col("u_group"), F.col("tie_term"), exact)
-    return s.withColumn("p_value", F.when((F.col("n_group") >= 2) & (F.col("n_control") >= 2), p))
+    return _named(s.withColumn("p_value", F.when((F.col("n_group") >= 2) & (F.col("n_control") >= 2), p)), exact)
 
 
-def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Spearman's rho per key: correlation of tie-averaged ranks."""
     rows = df.select(*keys, finite(x).alias("_x"), finite(y).alias("_y")).filter(
         F.col("_x").isNotNull() & F.col("_y").isNotNull())
     base = rows if keys else rows.withColumn("_all", F.lit(0))
     k = list(keys) or ["_all"]
-    rx = average_ranks(base, k, "_x", hot_rows).select(*k, "_x", F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(base, k, "_y", hot_rows).select(*k, "_y", F.col("avg_rank").alias("_ry"))
+    rx = average_ranks(base, k, "_x").select(*k, "_x", F.col("avg_rank").alias("_rx"))
+    ry = average_ranks(base, k, "_y").select(*k, "_y", F.col("avg_rank").alias("_ry"))
     cells = base.groupBy(*k, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     j = cells.join(rx, [*k, "_x"]).join(ry, [*k, "_y"])
     n, a, b = F.col("_n"), F.col("_rx"), F.col("_ry")
@@ -135,10 +143,10 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, hot_row
     return out if keys else out.drop("_all")
 
 
-def count_agreement(pairs: DataFrame, manual: str, auto: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def count_agreement(pairs: DataFrame, manual: str, auto: str) -> DataFrame:
     """Mean absolute relative bias and rank correlation of automatic against manual counts."""
     ok = pairs.filter(finite(manual).isNotNull() & finite(auto).isNotNull())
     bias = F.avg(F.when(F.col(manual) != 0, F.abs(F.col(auto) - F.col(manual)) / F.col(manual)))
-    rho = rank_correlation(ok, [], manual, auto, hot_rows).select("rho").scalar()
+    rho = rank_correlation(ok, [], manual, auto).select("rho").scalar()
     return ok.agg(F.count(F.lit(1)).alias("n"), bias.alias("mean_abs_relative_bias")).withColumn("spearman_rho", rho)
 

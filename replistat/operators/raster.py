@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import num
+from ..functions.geometry import disk_diameter, num, sphere_volume
 from ..params import MIN_EXTENT_PX
 from .graph import connected_components
-from .scan import HOT_ROWS, group_summary, numeric_bucket, row_numbers
+from .scan import group_summary, row_numbers
 
 
 def zonal_statistics(pixels: DataFrame, keys: Sequence[str] = ("image_id", "label"), y="y", x="x", value="value") -> DataFrame:
@@ -144,11 +144,11 @@ def focus_measures(pixels: DataFrame, image="image_id", y="y", x="x", value="val
         F.avg(value).alias("mean_intensity"), F.stddev_pop(value).alias("std_intensity"))
 
 
-def exposure(pixels: DataFrame, image="image_id", value="value", top: float = 255.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exposure(pixels: DataFrame, image="image_id", value="value", top: float = 255.0) -> DataFrame:
     """Share of pixels at the depth limit and the ratio of the 95th to the 50th percentile."""
     v = num(value)
     s = group_summary(pixels, [image], {"p50": (v, 0.5), "p95": (v, 0.95)},
-                      [F.avg((v >= top).cast("double")).alias("saturation_frac")], hot_rows)
+                      [F.avg((v >= top).cast("double")).alias("saturation_frac")])
     return s.withColumn("snr", (F.col("p95") + 1e-4) / (F.col("p50") + 1e-4))
 
 
@@ -166,14 +166,14 @@ def spot_check(pixels: DataFrame, image="image_id", value="value") -> DataFrame:
 
 
 def percentile_stretch(pixels: DataFrame, low: float, high: float, image="image_id", value="value", sparse: bool = False,
-                       y="y", x="x", name: str = "stretched", hot_rows: int = HOT_ROWS) -> DataFrame:
+                       y="y", x="x", name: str = "stretched") -> DataFrame:
     """Clip to two percentiles of the image and scale to 0..1.
 
     ``sparse`` takes the percentiles on every fourth row and column and maps a flat image to zero.
     """
     v = num(value)
     base = pixels.filter((F.col(y) % 4 == 0) & (F.col(x) % 4 == 0)) if sparse else pixels
-    ends = group_summary(base, [image], {"_lo": (v, low / 100.0), "_hi": (v, high / 100.0)}, hot_rows=hot_rows)
+    ends = group_summary(base, [image], {"_lo": (v, low / 100.0), "_hi": (v, high / 100.0)})
     j = pixels.join(ends.withColumnRenamed(image, "_i"), F.col(image) == F.col("_i"), "left")
     span = F.col("_hi") - F.col("_lo")
     scaled = (F.least(F.greatest(v, F.col("_lo")), F.col("_hi")) - F.col("_lo")) / F.greatest(span, F.lit(1e-6))
@@ -228,7 +228,7 @@ def connected_regions(pixels: DataFrame, image="image_id", y="y", x="x") -> Data
     comp = connected_components(runs.select(node("").alias("_node")), edges, "_node", "_p", "_q")
     heads = comp.select(F.col("component")).distinct().select(F.col("component"), F.col("component.i").alias("_i"),
                                                               F.col("component.r").alias("_r"), F.col("component.c").alias("_c"))
-    heads = row_numbers(heads, ["_i"], ["_r", "_c"], "label", numeric_bucket("_r"))
+    heads = row_numbers(heads, ["_i"], ["_r", "_c"], "label")
     named = comp.join(heads.select("component", "label"), "component").select(
         F.col("_node.i").alias("_i"), F.col("_node.r").alias("_r"), F.col("_node.c").alias("_c"), "label")
     flat = runs.join(named, (F.col(image) == F.col("_i")) & (F.col(y) == F.col("_r")) & (F.col("_x0") == F.col("_c"))).select(
@@ -244,25 +244,37 @@ def largest_region(regions: DataFrame, image="image_id", label="label") -> DataF
 
 
 def field_extent(foreground: DataFrame, nuclei: DataFrame, px_um: float, image="image_id", y="y", x="x",
-                 min_px: int = MIN_EXTENT_PX) -> DataFrame:
-    """Area, centre and radius of each field's main structure.
+                 min_px: int = MIN_EXTENT_PX, method: str = "actin_threshold", fields: DataFrame | None = None) -> DataFrame:
+    """Area, volume, centre and radius of each field's main structure.
 
-    The largest connected region of the thresholded pixels; below ``min_px`` pixels the convex hull
-    of the nuclei replaces it and the fallback is recorded.
+    ``actin_threshold``: the largest connected region of the thresholded pixels; below ``min_px``
+    pixels the convex hull of the nuclei replaces it and the fallback is recorded.
+    ``nuclei_convex_hull``: always the hull. ``fields`` (image, image_h, image_w) adds a row with method
+    ``none`` and the image centre for fields that have neither.
     """
+    if method not in ("actin_threshold", "nuclei_convex_hull"):
+        raise ValueError(f"unknown extent method {method!r}")
+    hull = hull_areas(nuclei, [image], y, x).select(F.col(image).alias("_hi"), "hull_px", "hull_cy", "hull_cx")
     main = largest_region(connected_regions(foreground, image, y, x), image).groupBy(image).agg(
         F.count(F.lit(1)).alias("_a"), F.avg(y).alias("_cy"), F.avg(x).alias("_cx"))
-    hull = hull_areas(nuclei, [image], y, x).select(F.col(image).alias("_hi"), "hull_px", "hull_cy", "hull_cx")
-    j = main.join(hull, F.col(image) == F.col("_hi"), "full_outer")
-    weak = F.coalesce(F.col("_a"), F.lit(0)) < min_px
+    j = main.join(hull, F.col(image) == F.col("_hi"), "full_outer").withColumn("_img", F.coalesce(F.col(image), F.col("_hi"))).drop(image, "_hi")
+    centre_y = centre_x = F.lit(None).cast("double")
+    if fields is not None:
+        j = fields.select(F.col(image).alias("_all"), "image_h", "image_w").join(j, F.col("_all") == F.col("_img"), "left").withColumn("_img", F.col("_all"))
+        centre_y, centre_x = F.col("image_h") / 2.0 * px_um, F.col("image_w") / 2.0 * px_um
+    always = method == "nuclei_convex_hull"
+    weak = F.lit(True) if always else F.coalesce(F.col("_a"), F.lit(0)) < min_px
     use_hull = weak & F.col("hull_px").isNotNull()
-    area = F.when(use_hull, F.col("hull_px")).otherwise(F.col("_a")).cast("double")
+    own = F.lit(None).cast("bigint") if always else F.col("_a")
+    area = F.when(use_hull, F.col("hull_px")).otherwise(own).cast("double")
     um2 = area * px_um * px_um
-    pick = lambda a, b: F.when(use_hull, F.col(b)).otherwise(F.col(a)) * px_um
-    method = F.when(use_hull, "nuclei_convex_hull_fallback").when(F.col("_a") > 0, "actin_threshold").otherwise("none")
-    return j.select(F.coalesce(F.col(image), F.col("_hi")).alias(image), area.cast("bigint").alias("area_px"), um2.alias("area_um2"),
-                    pick("_cy", "hull_cy").alias("centroid_y_um"), pick("_cx", "hull_cx").alias("centroid_x_um"),
-                    F.sqrt(um2 / F.pi()).alias("max_radius_um"), method.alias("method"), use_hull.alias("hull_fallback"))
+    centre = lambda a, b, c: F.when(use_hull, F.col(b) * px_um).when(own > 0, F.col(a) * px_um).otherwise(c)
+    hull_name = "nuclei_convex_hull" if always else "nuclei_convex_hull_fallback"
+    name = F.when(use_hull, hull_name).when(own > 0, "actin_threshold").otherwise("none")
+    return j.select(F.col("_img").alias(image), area.cast("bigint").alias("area_px"), um2.alias("area_um2"),
+                    centre("_cy", "hull_cy", centre_y).alias("centroid_y_um"), centre("_cx", "hull_cx", centre_x).alias("centroid_x_um"),
+                    F.sqrt(um2 / F.pi()).alias("max_radius_um"), sphere_volume(disk_diameter(um2)).alias("volume_um3"), name.alias("method"),
+                    (use_hull & F.lit(not always)).alias("hull_fallback"))
 
 
 def disk_offsets(radius: int, square: bool = False) -> Column:
@@ -270,6 +282,7 @@ def disk_offsets(radius: int, square: bool = False) -> Column:
 
     Its length depends on the radius only.
     """
+    radius = max(1, radius)
     cells = []
     for dy in range(-radius, radius + 1):
         half = radius if square else int(round(radius * max(0.0, 1.0 - (dy / radius) ** 2) ** 0.5))
@@ -278,7 +291,7 @@ def disk_offsets(radius: int, square: bool = False) -> Column:
 
 
 def ring_contrast(pixels: DataFrame, objects: DataFrame, radius: int = 15, square: bool = False, image="image_id",
-                  y="y", x="x", value="value", label="label", hot_rows: int = HOT_ROWS) -> DataFrame:
+                  y="y", x="x", value="value", label="label") -> DataFrame:
     """Mean inside each object, mean of the ring around it and their contrast.
 
     Only boundary pixels need to be grown: a ring pixel is never inside an object, so the nearest
@@ -295,16 +308,16 @@ def ring_contrast(pixels: DataFrame, objects: DataFrame, radius: int = 15, squar
     vals = pixels.select(image, y, x, num(value).alias("_val"))
     outside = ring.join(vals, [image, y, x]).groupBy(image, label).agg(F.avg("_val").alias("mean_ring"), F.count(F.lit(1)).alias("n_ring"))
     inside = objects.select(image, label, y, x).join(vals, [image, y, x]).groupBy(image, label).agg(F.avg("_val").alias("mean_interior"))
-    med = group_summary(pixels, [image], {"_med": (num(value), 0.5)}, hot_rows=hot_rows)
+    med = group_summary(pixels, [image], {"_med": (num(value), 0.5)})
     j = inside.join(outside, [image, label], "left").join(med, image, "left")
     ring_mean = F.coalesce("mean_ring", "_med")
     return j.select(image, label, "mean_interior", ring_mean.alias("mean_ring"), F.coalesce("n_ring", F.lit(0)).cast("bigint").alias("n_ring"),
                     ((ring_mean - F.col("mean_interior")) / F.greatest(ring_mean, F.lit(1e-4))).alias("contrast_ratio"))
 
 
-def blank_reference(blanks: DataFrame, y="y", x="x", value="value", hot_rows: int = HOT_ROWS) -> DataFrame:
+def blank_reference(blanks: DataFrame, y="y", x="x", value="value") -> DataFrame:
     """Median of every pixel position over the blank images."""
-    return group_summary(blanks, [y, x], {"blank": (num(value), 0.5)}, hot_rows=hot_rows)
+    return group_summary(blanks, [y, x], {"blank": (num(value), 0.5)})
 
 
 def subtract_blank(pixels: DataFrame, reference: DataFrame, image="image_id", y="y", x="x", value="value", name: str = "corrected") -> DataFrame:
@@ -322,10 +335,10 @@ def subtract_blank(pixels: DataFrame, reference: DataFrame, image="image_id", y=
         "blank_applied", applied).drop("_i", "_y", "_x", "blank")
 
 
-def compact_labels(pixels: DataFrame, image="image_id", label="label", name: str = "new_label", hot_rows: int = HOT_ROWS) -> DataFrame:
+def compact_labels(pixels: DataFrame, image="image_id", label="label", name: str = "new_label") -> DataFrame:
     """Renumber the labels of each image 1, 2, ... in label order; background (0) stays 0."""
     names = pixels.filter(F.col(label) > 0).select(image, label).distinct()
-    names = row_numbers(names, [image], [label], name, numeric_bucket(label), hot_rows=hot_rows)
+    names = row_numbers(names, [image], [label], name)
     j = pixels.join(names.select(F.col(image).alias("_i"), F.col(label).alias("_l"), name),
                     (F.col(image) == F.col("_i")) & (F.col(label) == F.col("_l")), "left").drop("_i", "_l")
     return j.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))

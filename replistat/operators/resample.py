@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite
 from ..session import cut_lineage
-from .scan import HOT_ROWS, group_summary, numeric_bucket, row_numbers, running, text_bucket
+from .scan import group_summary, row_numbers, running
 
 TOLERANCE = 1e-12
 _BLOCK = 65536
@@ -33,20 +33,18 @@ def _spread(df: DataFrame, count: str, name: str, by: Sequence[str]) -> DataFram
     return blocks.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(last, F.col("_from") + (_BLOCK - 1))))).drop("_from")
 
 
-def unit_summary(df: DataFrame, units: Sequence[str], value: str, agg: str | Callable[[Column], Column] = "median",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def unit_summary(df: DataFrame, units: Sequence[str], value: str, agg: str | Callable[[Column], Column] = "median") -> DataFrame:
     """One row per unit: ``unit_value`` (median, mean or a caller's aggregate) and ``n_obs``."""
     v = finite(value)
     n = F.count(v).alias("n_obs")
     if agg == "median":
-        return group_summary(df, units, {"unit_value": (v, 0.5)}, [n], hot_rows)
+        return group_summary(df, units, {"unit_value": (v, 0.5)}, [n])
     how = F.avg if agg == "mean" else agg
     return df.groupBy(*units).agg(how(v).alias("unit_value"), n)
 
 
 def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None, value: str, n_boot: int = 2000,
-                       level: float = 0.95, seed: int = 42, stat: Callable[[Column], Column] | None = None,
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+                       level: float = 0.95, seed: int = 42, stat: Callable[[Column], Column] | None = None) -> DataFrame:
     """Percentile interval of a statistic (the median) under two-stage resampling.
 
     Draw as many clusters as there are, with replacement; inside each draw as many observations as
@@ -56,12 +54,8 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
     rows = df.select(*group, (F.col(cluster) if cluster else F.lit("all")).cast("string").alias("_c"),
                      finite(value).alias("_x")).filter(F.col("_x").isNotNull() & F.col("_c").isNotNull())
     sizes = rows.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = row_numbers(sizes, group, ["_c"], "_ci", text_bucket("_c", 8), hot_rows=hot_rows)
+    sizes = row_numbers(sizes, group, ["_c"], "_ci")
     sizes = cut_lineage(sizes.withColumn("_ci", F.col("_ci") - 1))    # one row per cluster
-    # the largest cluster and group decide whether the split for hot groups is needed at all
-    top = sizes.groupBy(*group).agg(F.sum("_n").alias("_g"), F.max("_n").alias("_m")).agg(F.max("_g"), F.max("_m")).first()
-    in_group = hot_rows if (top[0] or 0) > hot_rows else None
-    in_cluster = hot_rows if (top[1] or 0) > hot_rows else None
     key = [F.col(g).cast("string") for g in group]
 
     plan = sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
@@ -72,12 +66,15 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
     draws = _spread(chosen.drop("_k", "_ci"), "_n", "_o", [*group, "_rep", "_slot"])
     draws = draws.withColumn("_xi", keyed_draw(F.col("_n"), seed, *key, F.col("_rep"), F.col("_slot"), F.col("_o")))
     # equal values are interchangeable, so the position by value is a complete index
-    placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi", numeric_bucket("_x"), hot_rows=in_cluster)
+    placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi")
     placed = placed.withColumn("_xi", F.col("_xi") - 1)
-    pool = draws.select(*group, "_rep", "_c", "_xi").join(placed, [*group, "_c", "_xi"])
+    draws = draws.select(*group, "_rep", "_c", "_xi")
     if stat is None:
-        est = group_summary(pool, [*group, "_rep"], {"_t": (F.col("_x"), 0.5)}, hot_rows=in_group)
+        # how often each observation is drawn is counted before anything is shuffled or joined
+        times = draws.groupBy(*group, "_rep", "_c", "_xi").agg(F.count(F.lit(1)).alias("_k"))
+        est = group_summary(times.join(placed, [*group, "_c", "_xi"]), [*group, "_rep"], {"_t": (F.col("_x"), 0.5)}, weight=F.col("_k"))
     else:
+        pool = draws.join(placed, [*group, "_c", "_xi"])
         est = pool.groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
     tail = (1.0 - level) / 2.0
     return est.groupBy(*group).agg(
@@ -111,24 +108,24 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def permutation_test(df: DataFrame, group: str, cluster: str, value: str, control: str,
-                     n_perm: int = 10000, seed: int = 42, exact_limit: int = 2000, hot_rows: int = HOT_ROWS) -> DataFrame:
+                     n_perm: int = 10000, seed: int = 42, exact_limit: int = 2000) -> DataFrame:
     """Each group against the control: difference of medians of unit medians under relabelling of units.
 
     Few relabellings are enumerated, otherwise ``n_perm`` keyed ones are drawn. Columns: group,
     ``obs_diff``, ``p_raw``, ``min_p``, ``n_ref``, ``n_treat``, ``method``. Groups with fewer than two
     units, or without a control of two, get NULL p-values.
     """
-    units = unit_summary(df.filter(F.col(cluster).isNotNull()), [group, cluster], value, "median", hot_rows)
+    units = unit_summary(df.filter(F.col(cluster).isNotNull()), [group, cluster], value, "median")
     units = units.filter(F.col("unit_value").isNotNull()).select(
         F.col(group).alias("_g"), F.col(cluster).cast("string").alias("_u"), F.col("unit_value").alias("_x"))
     units = cut_lineage(units)   # one row per unit, read several times below
-    return _permute(df.select(F.col(group).alias("_g")).distinct(), units, group, control, n_perm, seed, exact_limit, hot_rows)
+    return _permute(df.select(F.col(group).alias("_g")).distinct(), units, group, control, n_perm, seed, exact_limit)
 
 
-def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows) -> DataFrame:
+def _permute(groups, units, group, control, n_perm, seed, exact_limit) -> DataFrame:
     ref = units.filter(F.col("_g") == control)
     n_ref = ref.agg(F.count(F.lit(1)).alias("n")).scalar()
-    med = cut_lineage(group_summary(units, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_nt")], hot_rows))
+    med = cut_lineage(group_summary(units, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_nt")]))
     ref_m = med.filter(F.col("_g") == control).select("_m").scalar()
     tests = (
         groups.filter(F.col("_g") != control).join(med.withColumnRenamed("_g", "_gm"), F.col("_g") == F.col("_gm"), "left")
@@ -160,10 +157,9 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows)
 
     many = pool.filter(~F.col("_exact")).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     who = F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_g"), F.col("_u"))
-    # every relabelling has the same number of rows, the units of two groups, so none is hot
-    shuffled = row_numbers(many.withColumn("_h", F.md5(who)), ["_t", "_rep"], ["_h"], "_pos", text_bucket("_h"), hot_rows=None)
+    shuffled = row_numbers(many.withColumn("_h", F.md5(who)), ["_t", "_rep"], ["_h"], "_pos")
     sides = group_summary(shuffled.withColumn("_side", F.when(F.col("_pos") <= F.col("n_ref"), 0).otherwise(1)),
-                          ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")], None)
+                          ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")])
     drawn = sides.groupBy("_t", "_rep").agg(F.abs(F.max(F.when(F.col("_side") == 1, F.col("_sm")))
                                                   - F.max(F.when(F.col("_side") == 0, F.col("_sm")))).alias("_d"),
                                             F.first("obs_diff").alias("obs_diff"))
@@ -183,14 +179,12 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit, hot_rows)
 
 
 def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm: int = 10000, seed: int = 42,
-                     row_id: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+                     row_id: Sequence[str] = ()) -> DataFrame:
     """Monte Carlo permutation of single observations: p of the difference of medians to the control."""
     rows = df.select(F.col(group).alias("_g"), F.concat_ws("|", *[F.col(c).cast("string") for c in row_id]).alias("_u"),
                      finite(value).alias("_x")).filter(F.col("_x").isNotNull())
-    med = group_summary(rows, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_n")], hot_rows)
+    med = group_summary(rows, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_n")])
     med = cut_lineage(med)
-    top = med.agg(F.max("_n")).first()[0] or 0
-    hot_rows = hot_rows if 2 * top > hot_rows else None
     base = med.filter(F.col("_g") == control)
     tests = med.filter(F.col("_g") != control).select(F.col("_g").alias("_t"), F.col("_n").alias("_nt"), "_m").withColumn(
         "_rm", base.select("_m").scalar()).withColumn("obs_diff", F.abs(F.col("_m") - F.col("_rm")))
@@ -198,9 +192,9 @@ def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm
     ctl = tests.withColumn("_ctl", F.lit(control)).join(rows, F.col("_ctl") == F.col("_g")).drop("_ctl")
     many = mine.unionByName(ctl).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     many = many.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_g", "_u")))
-    placed = row_numbers(many, ["_t", "_rep"], ["_h"], "_pos", text_bucket("_h"), hot_rows=hot_rows)
+    placed = row_numbers(many, ["_t", "_rep"], ["_h"], "_pos")
     side = group_summary(placed.withColumn("_side", F.when(F.col("_pos") <= F.col("_nt"), 0).otherwise(1)),
-                         ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")], hot_rows)
+                         ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")])
     drawn = side.groupBy("_t", "_rep").agg(
         F.abs(F.max(F.when(F.col("_side") == 0, F.col("_sm"))) - F.max(F.when(F.col("_side") == 1, F.col("_sm")))).alias("_d"),
         F.first("obs_diff").alias("obs_diff"))
@@ -209,8 +203,7 @@ def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm
         ((F.count_if(F.col("_d") >= F.col("obs_diff") - TOLERANCE) + 1) / F.lit(n_perm + 1.0)).alias("p_raw"))
 
 
-def adjust_pvalues(df: DataFrame, family: Sequence[str], p: str, method: str = "holm", name: str = "p_adj",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def adjust_pvalues(df: DataFrame, family: Sequence[str], p: str, method: str = "holm", name: str = "p_adj") -> DataFrame:
     """Holm or Benjamini-Hochberg adjustment inside each family; NULL stays NULL and does not count."""
     if method not in ("holm", "bh", "fdr_bh"):
         raise ValueError(f"unknown adjustment {method!r}")
@@ -222,14 +215,14 @@ def adjust_pvalues(df: DataFrame, family: Sequence[str], p: str, method: str = "
         tested = tested.join(m, family)
     else:
         tested = tested.withColumn("_m", df.agg(F.count(p).alias("_m")).scalar())
-    ranked = row_numbers(tested, family, [p], "_r", numeric_bucket(p), hot_rows=hot_rows)
+    # equal p-values are adjusted alike, so any order of them will do, as long as a range can cut between them
+    ranked = row_numbers(tested, family, [p, F.xxhash64(*tested.columns)], "_r")
     if method == "holm":
         ranked = ranked.withColumn("_c", (F.col("_m") - F.col("_r") + 1) * F.col(p))
-        done = running(ranked, family, [p, "_r"], {"_a": ("max", F.col("_c"))}, numeric_bucket(p), hot_rows=hot_rows)
+        done = running(ranked, family, [p, "_r"], {"_a": ("max", F.col("_c"))})
     else:
         ranked = ranked.withColumn("_c", F.col("_m") / F.col("_r") * F.col(p))
-        done = running(ranked, family, [F.col(p).desc(), F.col("_r").desc()], {"_a": ("min", F.col("_c"))},
-                       numeric_bucket(p), descending=True, hot_rows=hot_rows)
+        done = running(ranked, family, [F.col(p).desc(), F.col("_r").desc()], {"_a": ("min", F.col("_c"))})
     value = F.when(F.col("_m") <= 1, F.col(p)).otherwise(F.least(F.col("_a"), F.lit(1.0)))
     done = done.withColumn(name, value).drop("_m", "_r", "_c", "_a")
     rest = df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))

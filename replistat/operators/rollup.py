@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite, num
-from .scan import HOT_ROWS, group_summary
+from .scan import group_summary, row_numbers
 
 
 def backend_mix(df: DataFrame, keys: Sequence[str], backend: str, name: str = "backend_counts") -> DataFrame:
@@ -87,15 +88,14 @@ def well_growth(objects: DataFrame, fields: DataFrame, well: Sequence[str] = ("c
 
 def population_summary(objects: DataFrame, p_table: DataFrame | None = None, condition: str = "condition",
                        timepoint: str = "timepoint", volume: str = "volume_sphere_um3",
-                       diameter: str = "equivalent_diameter_um", flag: str = "qc_flag",
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+                       diameter: str = "equivalent_diameter_um", flag: str = "qc_flag") -> DataFrame:
     """Medians of all accepted objects per timepoint and their change, with the p-value's source."""
     at = lambda tp, x: F.when(F.col(timepoint) == tp, num(x))
     s = group_summary(
         objects.filter(F.col(flag) == "PASS"), [condition],
         {"median_v0_um3": (at("t0", volume), 0.5), "median_v7_um3": (at("t7", volume), 0.5),
          "median_d0_um": (at("t0", diameter), 0.5), "median_d7_um": (at("t7", diameter), 0.5)},
-        [F.count(at("t0", volume)).alias("n_t0"), F.count(at("t7", volume)).alias("n_t7")], hot_rows)
+        [F.count(at("t0", volume)).alias("n_t0"), F.count(at("t7", volume)).alias("n_t7")])
     v0, v7 = F.col("median_v0_um3"), F.col("median_v7_um3")
     s = s.withColumn("delta_median_v_um3", v7 - v0).withColumn("pop_fold_change", F.when(v0 > 0, v7 / v0))
     if p_table is None:
@@ -200,20 +200,19 @@ def run_status(statuses: DataFrame, status: str = "status", failed_steps: int =
     return s.withColumn("n_failed", F.col("n_images") - F.col("n_ok")).withColumn("run_status", verdict)
 
 
-def ordered_union(rows: DataFrame, keys: Sequence[str], items: str, order: Sequence[str], name: str) -> DataFrame:
-    """Distinct items of all lists per key in the order of first appearance (a bounded vocabulary)."""
-    first = rows.select(*keys, F.struct(*order).alias("_o"), F.posexplode(items).alias("_p", "_i")).groupBy(*keys, "_i").agg(
+def ordered_items(rows: DataFrame, keys: Sequence[str], items: str, order: Sequence[str], name: str, place: str = "place") -> DataFrame:
+    """Distinct items of all lists per key, one row each, numbered by first appearance."""
+    first = rows.select(*keys, F.struct(*order).alias("_o"), F.posexplode(items).alias("_p", name)).groupBy(*keys, name).agg(
         F.min(F.struct("_o", "_p")).alias("_at"))
-    return first.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_i"))), lambda s: s["_i"]).alias(name))
+    return row_numbers(first, keys, ["_at", name], place).drop("_at")
 
 
-def distribution_feed(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def distribution_feed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Box-plot numbers of the finite positive values per key."""
     v = F.when(finite(value) > 0, finite(value))
     kept = df.filter(v.isNotNull())
     return group_summary(kept, keys, {"q1": (v, 0.25), "med": (v, 0.5), "q3": (v, 0.75)},
-                         [F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")], hot_rows)
+                         [F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")])
 
 
 def preflight_rules(rules: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
@@ -229,6 +228,97 @@ def preflight_rules(rules: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
     return out
 
 
+def _rules_of(df: DataFrame, rules: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Rule rows from one pass: each rule is (name, severity, condition of a hit, sample of a hit)."""
+    one = df.agg(*[x for i, (_, _, hit, show) in enumerate(rules) for x in (F.count_if(hit).alias(f"_n{i}"), F.min(F.when(hit, show.cast("string"))).alias(f"_s{i}"))])
+    rows = [F.struct(F.lit(name).alias("rule"), F.lit(level).alias("severity"), F.col(f"_n{i}").alias("n"), F.col(f"_s{i}").alias("sample")) for i, (name, level, _, _) in enumerate(rules)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _absent(df: DataFrame, name: str, severity: str, wanted: Column) -> DataFrame:
+    """A rule that is hit once when no row is as wanted."""
+    return df.agg((F.count_if(wanted) == 0).cast("bigint").alias("n")).select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "n", F.lit(None).cast("string").alias("sample"))
+
+
+def acquisition_rules(inventory: DataFrame, rejected: DataFrame, control: str = "Mat", images: DataFrame | None = None,
+                      first: str = "t0", second: str = "t7") -> DataFrame:
+    """Audit of a two-timepoint image set before a run.
+
+    ``inventory``: one row per readable file (pair_key, timepoint, condition, file_path and, where known,
+    is_calibrated); ``rejected``: files whose name cannot be read (file_path); ``images``: spot check per
+    image (image_id, is_blank, is_saturated).
+    """
+    calibrated = F.coalesce(F.col("is_calibrated"), F.lit(False)) if "is_calibrated" in inventory.columns else F.lit(None).cast("boolean")
+    files = inventory.groupBy("pair_key", "timepoint").agg(F.count(F.lit(1)).alias("_k"), F.min("file_path").alias("_f"), F.count_if(~calibrated).alias("_u"))
+    keys = files.groupBy("pair_key").agg(
+        F.bool_or(F.col("timepoint") == first).alias("_a"), F.bool_or(F.col("timepoint") == second).alias("_b"),
+        F.sum(F.col("_k") - 1).alias("_dup"), F.sum("_u").alias("_u"), F.min("_f").alias("_f"))
+    parts = [
+        _absent(inventory, "no_first_timepoint", "fatal", F.col("timepoint") == first), _absent(inventory, "no_second_timepoint", "fatal", F.col("timepoint") == second),
+        _absent(keys, "no_matched_pairs", "fatal", F.col("_a") & F.col("_b")), _absent(inventory, "control_missing", "warning", F.col("condition") == control),
+        _rules_of(keys, [("single_first", "warning", F.col("_a") & ~F.col("_b"), F.col("pair_key")), ("single_second", "warning", F.col("_b") & ~F.col("_a"), F.col("pair_key")),
+                         ("duplicate_keys", "warning", F.col("_dup") > 0, F.col("_f")), ("uncalibrated", "warning", F.col("_u") > 0, F.col("_f"))]),
+        _rules_of(rejected, [("unreadable_names", "warning", F.lit(True), F.col("file_path"))]),
+    ]
+    if images is not None:
+        parts.append(_rules_of(images, [("blank_image", "warning", F.col("is_blank"), F.col("image_id")), ("saturated_image", "warning", F.col("is_saturated"), F.col("image_id"))]))
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+def channel_rules(fields: DataFrame, allow_unpaired: bool = True, allow_uncalibrated: bool = True) -> DataFrame:
+    """Audit of a two-channel set: ``fields`` has base, state (see ``field_state``), material, kind
+    (2D, RGB or 3D) and is_calibrated; NULL stands for unknown."""
+    unpaired = F.col("state").isin("missing_first", "missing_second")
+    paired = ~unpaired & (F.col("state") != "collision")
+    base = F.col("base")
+    return _absent(fields, "no_paired_fields", "fatal", paired).unionByName(_rules_of(fields, [
+        ("ambiguous_channel_files", "fatal", F.col("state") == "collision", base),
+        ("unpaired_fields", "warning" if allow_unpaired else "fatal", unpaired, base),
+        ("unrecognised_name", "warning", paired & F.col("material").isNull(), base),
+        ("shape_mismatch", "fatal", F.col("state") == "shape_mismatch", base),
+        ("pixel_size_mismatch", "warning", F.col("state") == "pixel_size_mismatch", base),
+        ("multi_plane", "fatal", paired & (F.col("kind") == "3D"), base),
+        ("rgb_image", "warning", paired & (F.col("kind") == "RGB"), base),
+        ("uncalibrated", "warning" if allow_uncalibrated else "fatal", paired & ~F.coalesce("is_calibrated", F.lit(True)), base),
+    ]))
+
+
+def merge_tables(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", suffix: str = "_right",
+                 prefer: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Join two tables on named keys; columns of the right side that clash get ``suffix``.
+
+    ``prefer`` names columns to add as the first known value of a chain of candidates; candidates
+    that neither table has are skipped, and a chain without any gives NULL.
+    """
+    clash = [c for c in right.columns if c in left.columns and c not in on]
+    j = left.join(right.withColumnsRenamed({c: c + suffix for c in clash}), list(on), how)
+    for name, chain in (prefer or {}).items():
+        known = [F.col(c) for c in chain if c in j.columns]
+        j = j.withColumn(name, F.coalesce(*known) if known else F.lit(None).cast("string"))
+    return j
+
+
+def cohort_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Per key each metric before and after with its difference and relative change; keys of one side only stay with NULL."""
+    a = before.select(*keys, *[F.col(m).alias(m + "_pre") for m in metrics])
+    b = after.select(*keys, *[F.col(m).alias(m + "_post") for m in metrics])
+    j = a.join(b, list(keys), "full_outer")
+    change = lambda m: F.col(m + "_post") - F.col(m + "_pre")
+    return j.withColumns({k: v for m in metrics for k, v in (
+        (m + "_delta", change(m)), (m + "_rel", F.when(F.col(m + "_pre") != 0, change(m) / F.col(m + "_pre"))))})
+
+
+def edge_histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """Counts and density in equal bins of ``low .. high``; the last edge belongs to the last bin, values outside are left out."""
+    v = num(value)
+    width = (high - low) / bins
+    at = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("bigint")
+    cells = df.filter((v >= low) & (v <= high)).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    total = cells.groupBy(*by).agg(F.sum("n").alias("_t")) if by else cells.agg(F.sum("n").alias("_t"))
+    j = cells.join(total, list(by)) if by else cells.withColumn("_t", total.scalar())
+    return j.withColumn("density", F.col("n") / (F.col("_t") * width)).drop("_t")
+
+
 def audit_passed(rule_rows: DataFrame) -> DataFrame:
     return rule_rows.agg(F.count_if((F.col("severity") == "fatal") & (F.col("n") > 0)).alias("n_fatal"),
                          F.count_if((F.col("severity") == "warning") & (F.col("n") > 0)).alias("n_warnings")).withColumn(

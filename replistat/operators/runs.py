@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import areal_density, finite, num
 from ..functions.labels import ARMS, ablation_arm, run_scope
-from .scan import HOT_ROWS, first_per_key, group_summary, numeric_bucket, row_numbers
+from .scan import first_per_key, group_summary, row_numbers
 
 
 def select_runs(rows: DataFrame, run: str = "run", names: Sequence[str] | None = None, scope: str = "full") -> DataFrame:
@@ -25,7 +25,7 @@ def select_runs(rows: DataFrame, run: str = "run", names: Sequence[str] | None =
 
 def image_deltas(per_image: DataFrame, runs: Sequence[str], run: str = "run", image: str = "image_id",
                  material: str = "material", count: str = "n_nuclei", density: str = "nuclei_per_mm2",
-                 flags: str = "flag_summary", order: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+                 flags: str = "flag_summary", order: Sequence[str] = ()) -> DataFrame:
     """One row per image: count and density per run, spreads over the runs that have it, and a rank.
 
     Repeated rows of an image in a run keep the first by ``order``. Images in fewer than two runs
@@ -52,14 +52,14 @@ def image_deltas(per_image: DataFrame, runs: Sequence[str], run: str = "run", im
         "active_flags": F.when(F.size("_fl") == 0, "clean").otherwise(F.concat_ws("; ", F.transform("_fl", lambda s: s["t"]))),
         "missing_in_runs": F.concat_ws(";", F.array_except(F.array(*[F.lit(r) for r in names]), F.col("_have"))),
     }).drop("_cs", "_cm", "_sd", "_ds", "_nd", "_fl", "_have")
-    return disagreement_rank(g, image, hot_rows=hot_rows)
+    return disagreement_rank(g, image)
 
 
 def disagreement_rank(deltas: DataFrame, image: str, spread: str = "count_spread", present: str = "n_runs_present",
-                      name: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+                      name: str = "rank") -> DataFrame:
     """Rank by spread (falling), then image; images in fewer than two runs get NULL."""
     ranked = deltas.filter(F.col(present) >= 2)
-    ranked = row_numbers(ranked, [], [F.col(spread).desc(), F.col(image)], name, numeric_bucket(spread), True, hot_rows)
+    ranked = row_numbers(ranked, [], [F.col(spread).desc(), F.col(image)], name, True)
     rest = deltas.filter(F.col(present) < 2).withColumn(name, F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 
@@ -213,7 +213,7 @@ def identical_runs(per_image: DataFrame, run: str = "run", image: str = "image_i
 
 def material_summary(per_image: DataFrame, material: str = "material", replicate: str = "replicate",
                      density: str = "nuclei_per_mm2", flags: str = "flag_summary", volume: str | None = None,
-                     area: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                     area: str | None = None) -> DataFrame:
     """Descriptive part of the material summary: fields, clean fields, gels, means and deviations.
 
     ``clean`` means that no flag at all is listed, including the two outlier flags.
@@ -229,7 +229,7 @@ def material_summary(per_image: DataFrame, material: str = "material", replicate
     if area:
         aggs.append(F.avg(finite(area)).alias("mean_spheroid_area_um2"))
     if volume:
-        s = group_summary(per_image, [material], {"median_nuclear_volume_um3": (finite(volume), 0.5)}, aggs, hot_rows)
+        s = group_summary(per_image, [material], {"median_nuclear_volume_um3": (finite(volume), 0.5)}, aggs)
     else:
         s = per_image.groupBy(material).agg(*aggs)
     gel = per_image.filter(d.isNotNull() & F.col(replicate).isNotNull()).groupBy(material, replicate).agg(F.avg(d).alias("_g"))
@@ -241,13 +241,13 @@ def material_summary(per_image: DataFrame, material: str = "material", replicate
 
 
 def image_rollup(objects: DataFrame, fields: DataFrame, image: str = "image_id", volume: str = "volume_um3",
-                 excluded: str = "excluded_border", area: str = "density_area_um2", hot_rows: int = HOT_ROWS) -> DataFrame:
+                 excluded: str = "excluded_border", area: str = "density_area_um2") -> DataFrame:
     """Counted, total and border-excluded objects per field, density and median object volume.
 
     The median is over all objects of the field, excluded ones too; a field without objects gets 0.
     """
     s = group_summary(objects, [image], {"_mv": (num(volume), 0.5)},
-                      [F.count_if(~F.col(excluded)).alias("_nv"), F.count(F.lit(1)).alias("_nt")], hot_rows)
+                      [F.count_if(~F.col(excluded)).alias("_nv"), F.count(F.lit(1)).alias("_nt")])
     j = fields.join(s.withColumnRenamed(image, "_img"), F.col(image) == F.col("_img"), "left")
     zero = F.lit(0).cast("bigint")
     j = j.withColumn("n_nuclei", F.coalesce("_nv", zero)).withColumn("n_nuclei_total", F.coalesce("_nt", zero))

@@ -1,11 +1,10 @@
-"""Running totals, positions and exact quantiles inside groups that may be very large.
-
-A window partitioned by the group key sends a whole group to one task. Here a group with more
-than ``hot_rows`` rows is first cut into ordered buckets: each bucket is one window partition,
-bucket totals (a few thousand rows per group) are accumulated separately and added back. Groups
-below the limit keep the plain window, and when no group is hot adaptive execution drops the
-extra branch because its build side is empty. ``hot_rows=None`` leaves the extra branch out: for
-callers that have already checked the size of the largest group.
+"""Running totals, positions and exact quantiles inside groups of any size.
+
+A window partitioned by the group key sends a whole group to one task. Here rows are first dealt by
+range of (group, whole order), so that a group of any size lies in as many partitions as its share of
+the rows asks for, ties included, as the range boundaries are drawn from the whole order. Each partition
+scans its part; one total per (group, partition) is accumulated and added back. The same code
+serves every size.
 """
 
 from __future__ import annotations
@@ -15,24 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 2_000_000
-_RESOLUTION = 512          # buckets per doubling of the value
-_CENTRE = 1100 * _RESOLUTION
-
-
-def numeric_bucket(value) -> Column:
-    """Order-preserving whole number of a numeric value: equal steps of its logarithm, signed."""
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    step = F.floor(F.log2(F.abs(v)) * _RESOLUTION) + _CENTRE
-    return (
-        F.when(v.isNull(), F.lit(-4 * _CENTRE))      # nulls sort first, as in an ascending order
-        .when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("bigint")
-    )
-
-
-def text_bucket(value, width: int = 3) -> Column:
-    """Order-preserving prefix, for order columns that are evenly spread text such as hashes."""
-    return F.substring(F.col(value) if isinstance(value, str) else value, 1, width)
+from ..session import cut_lineage
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -40,16 +22,6 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -
     return reduce(lambda a, b: a & b, parts)
 
 
-def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.select(*[F.col(k).alias(prefix + k) for k in keys],
-                     *[c for c in df.columns if c not in keys])
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-
-
 _COMBINE = {
     "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
     "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
@@ -57,6 +29,7 @@ _COMBINE = {
     "min": lambda before, here: F.least(before, here),
 }
 _AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_REACH = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
 def running(
@@ -64,49 +37,34 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column | str],
     aggs: dict[str, tuple[str, Column]],
-    bucket: Column,
-    descending: bool = False,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add running ``sum``/``count``/``max``/``min`` columns over ``order`` within ``keys``.
 
-    ``bucket`` must not decrease along ``order`` (not increase when ``descending``). With empty
-    ``keys`` the scan is global. ``order`` has to be a total order for a repeatable result.
+    With empty ``keys`` the scan is global. ``order`` has to be a total order for a repeatable result;
+    columns may be descending. The range partition of every row is stored before it is used twice, as
+    boundaries drawn anew would cut elsewhere.
     """
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    group = list(keys) or ["_all"]
-    out_cols = df.columns + list(aggs)
-    if hot_rows is None:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return base.select("*", *[_AGG[f](e).over(w).alias(n) for n, (f, e) in aggs.items()]).select(*out_cols)
-    hot = _prefixed(hot_groups(base, group, hot_rows).withColumn("_hot", F.lit(True)), group, "_h_")
-    cut = (
-        base.join(hot, _same(base, hot, group, "_h_"), "left")
-        .withColumn("_bucket", F.when(F.col("_hot"), bucket))
-        .drop(*["_h_" + k for k in group])
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    cell = [*keys, "_part"]
+    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[_AGG[f](e).over(inside).alias("_w_" + n) for n, (f, e) in aggs.items()])
 
-    totals = cut.filter(F.col("_hot")).groupBy(*group, "_bucket").agg(
-        *[_AGG[f](e).alias("_t_" + n) for n, (f, e) in aggs.items()])
-    step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    reach = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+    totals = cut.groupBy(*cell).agg(*[_AGG[f](e).alias("_t_" + n) for n, (f, e) in aggs.items()])
+    # one row per group and partition; without a group one row per partition
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias("_o_" + k) for k in group], F.col("_bucket").alias("_o__bucket"),
-        *[reach[f](F.col("_t_" + n)).over(before).alias("_b_" + n) for n, (f, e) in aggs.items()])
-    joined = local.join(offsets, _same(local, offsets, group + ["_bucket"], "_o_"), "left")
+        *[F.col(k).alias("_o_" + k) for k in cell],
+        *[_REACH[f](F.col("_t_" + n)).over(before).alias("_b_" + n) for n, (f, e) in aggs.items()])
+    joined = local.join(offsets, _same(local, offsets, cell, "_o_"), "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[_COMBINE[f](F.col("_b_" + n), F.col("_w_" + n)).alias(n) for n, (f, e) in aggs.items()],
-    ).select(*out_cols)
+        *[_COMBINE[f](F.col("_b_" + n), F.col("_w_" + n)).alias(n) for n, (f, e) in aggs.items()])
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
-                bucket: Column, descending: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """Position 1, 2, ... of each row within its group."""
-    return running(df, keys, order, {name: ("count", F.lit(1))}, bucket, descending, hot_rows)
+    return running(df, keys, order, {name: ("count", F.lit(1))})
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -122,12 +80,15 @@ def group_summary(
     keys: Sequence[str],
     quantiles: dict[str, tuple[Column, float]],
     aggs: Sequence[Column] = (),
-    hot_rows: int | None = HOT_ROWS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """One row per key: exact linear quantiles ``{name: (value, share)}`` next to plain aggregates.
 
-    Ordinary groups use one ``groupBy`` with ``percentile``. A hot group is reduced to distinct
-    values with counts, counted per bucket, and only the buckets that hold a wanted rank are sorted.
+    ``weight`` is a whole number of times that a row counts for the quantiles.
+
+    The input is planned twice: for the plain aggregates, and for the distinct values with their
+    counts (a partial aggregate). Quantiles come from running counts over those, so no task holds the
+    values of a group.
     """
     base = df if keys else df.withColumn("_all", F.lit(0))
     group = list(keys) or ["_all"]
@@ -138,72 +99,37 @@ def group_summary(
         if text not in value_names:
             value_names[text] = f"_v{len(value_names)}"
             values.append(col.cast("double").alias(value_names[text]))
-    base = base.select("*", *values)
     spec = {n: (value_names[str(c)], float(p)) for n, (c, p) in quantiles.items()}
-
-    if hot_rows is None:
-        out = base.groupBy(*group).agg(
-            *aggs, *[F.percentile(F.col(v), F.lit(p)).alias(n) for n, (v, p) in spec.items()])
-        return out if keys else out.drop("_all")
-    hot = _prefixed(hot_groups(base, group, hot_rows), group, "_h_")
-    cool = base.join(hot, _same(base, hot, group, "_h_"), "left_anti")
-    warm = base.join(hot, _same(base, hot, group, "_h_"), "left_semi")
-
-    plain = cool.groupBy(*group).agg(
-        *aggs, *[F.percentile(F.col(v), F.lit(p)).alias(n) for n, (v, p) in spec.items()])
+    counted = base.groupBy(*group).agg(*aggs) if aggs else base.select(*group).distinct()
 
     pairs = ", ".join(f"'{v}', `{v}`" for v in value_names.values())
-    long = (
-        warm.select(*group, F.expr(f"stack({len(value_names)}, {pairs}) as (_name, _value)"))
-        .filter(F.col("_value").isNotNull())
-        .groupBy(*group, "_name", "_value").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bucket", numeric_bucket("_value"))
-    )
     cell = [*group, "_name"]
-    up_to = Window.partitionBy(*cell).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (
-        long.groupBy(*cell, "_bucket").agg(F.sum("_c").alias("_bc"))
-        .withColumn("_hi", F.sum("_bc").over(up_to))
-        .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*cell)))
+    counts = (
+        base.select(*group, *values, (F.lit(1) if weight is None else weight).cast("bigint").alias("_times")).select(*group, "_times", F.expr(f"stack({len(value_names)}, {pairs}) as (_name, _value)"))
+        .filter(F.col("_value").isNotNull())
+        .groupBy(*cell, "_value").agg(F.sum("_times").alias("_c"))
     )
-    wanted = F.array(*[
-        F.struct(F.lit(n).alias("q"), F.lit(v).alias("v"), F.lit(p).alias("p")) for n, (v, p) in spec.items()])
-    ranks = (
-        hist.withColumn("_q", F.explode(wanted)).filter(F.col("_q.v") == F.col("_name"))
+    ends = cut_lineage(running(counts, cell, ["_value"], {"_end": ("sum", F.col("_c"))}))
+    sizes = ends.groupBy(*[F.col(k).alias("_n_" + k) for k in cell]).agg(F.max("_end").alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(v).alias("v"), F.lit(p).alias("p")) for n, (v, p) in spec.items()])
+    hits = (
+        ends.join(sizes, _same(ends, sizes, cell, "_n_"))
+        .withColumn("_q", F.explode(F.filter(wanted, lambda q: q["v"] == F.col("_name"))))
         .withColumn("_pos", F.col("_q.p") * (F.col("_n") - 1))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-        .filter((F.col("_rank") >= F.col("_hi") - F.col("_bc")) & (F.col("_rank") < F.col("_hi")))
-        .select(*[F.col(k).alias("_r_" + k) for k in [*cell, "_bucket"]], F.col("_q.q").alias("_q"),
-                "_pos", (F.col("_rank") - (F.col("_hi") - F.col("_bc"))).alias("_at"))
-    )
-    touched = ranks.select("_r_" + cell[0], *["_r_" + k for k in [*cell[1:], "_bucket"]]).distinct()
-    inside = Window.partitionBy(*cell, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_cells = (
-        long.join(touched, _same(long, touched, [*cell, "_bucket"], "_r_"), "left_semi")
-        .withColumn("_end", F.sum("_c").over(inside))
-    )
-    hits = sorted_cells.join(
-        ranks,
-        _same(sorted_cells, ranks, [*cell, "_bucket"], "_r_")
-        & (F.col("_at") >= F.col("_end") - F.col("_c")) & (F.col("_at") < F.col("_end")),
+        .filter((F.ceil("_pos") >= F.col("_end") - F.col("_c")) & (F.floor("_pos") < F.col("_end")))
     )
-    part = hits.groupBy(*group, "_q").agg(
+    part = hits.groupBy(*group, F.col("_q.q").alias("_name_q")).agg(
         F.min("_value").alias("_lo"), F.max("_value").alias("_hi"), F.max("_pos").alias("_pos"))
-    point = part.withColumn(
-        "_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
-    wide = point.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_q") == n, F.col("_x"))).alias(n) for n in spec])
-    counted = warm.groupBy(*group).agg(*aggs) if aggs else warm.select(*group).distinct()
-    wide = _prefixed(wide, group, "_w_")
-    heavy = counted.join(wide, _same(counted, wide, group, "_w_"), "left").drop(*["_w_" + k for k in group])
-    out = plain.unionByName(heavy)
+    point = part.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
+    wide = point.groupBy(*[F.col(k).alias("_w_" + k) for k in group]).agg(
+        *[F.max(F.when(F.col("_name_q") == n, F.col("_x"))).alias(n) for n in spec])
+    out = counted.join(wide, _same(counted, wide, group, "_w_"), "left").drop(*["_w_" + k for k in group])
     return out if keys else out.drop("_all")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with their count and shared (tie-averaged) rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_tied"))
-    scanned = running(counts, keys, [value], {"_end": ("sum", F.col("n_tied"))}, numeric_bucket(value),
-                      hot_rows=hot_rows)
+    scanned = running(counts, keys, [value], {"_end": ("sum", F.col("n_tied"))})
     return scanned.select(*keys, value, "n_tied",
                           (F.col("_end") - (F.col("n_tied") - 1) / F.lit(2.0)).alias("avg_rank"))

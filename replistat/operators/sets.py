@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..params import IOU_LIMIT
 from ..session import cut_lineage
 from .graph import greedy_kept
+from .scan import row_numbers
 
 
 def agreement(auto: DataFrame, manual: DataFrame, image: str, elem: str) -> DataFrame:
@@ -27,56 +28,57 @@ def agreement(auto: DataFrame, manual: DataFrame, image: str, elem: str) -> Data
         "iou", F.when(total == 0, 1.0).otherwise(F.col("n_both") / (total - F.col("n_both"))))
 
 
-def _candidates(elements: DataFrame, image: str, cand: str, elem: str) -> DataFrame:
-    """One row per distinct set: rarest elements first, with the first candidate that holds it."""
-    common = elements.groupBy(image, elem).agg(F.count(F.lit(1)).alias("_df"))
-    sets = (
-        elements.join(common, [image, elem])
-        .groupBy(image, cand).agg(F.sort_array(F.collect_list(F.struct("_df", F.col(elem).alias("_e")))).alias("_s"))
-        .select(image, cand, F.col("_s._e").alias("_set"), F.size("_s").cast("bigint").alias("_n")))
-    return sets.withColumn("_sig", F.sha2(F.to_json(F.array_sort("_set")), 256))
+def overlap_classes(elements: DataFrame, image: str, cand: str, elem: str) -> DataFrame:
+    """Membership of each candidate in its class of identical sets: ``rep`` (first member), ``n``, ``n_same``.
+
+    Sets are told apart by size and two 64-bit sums of their elements, so no set is gathered in a row.
+    """
+    sets = elements.groupBy(image, cand).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(elem).cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(elem, F.lit(1))).alias("_x"))
+    classes = sets.groupBy(image, "n", "_s", "_x").agg(F.min(cand).alias("rep"), F.count(F.lit(1)).alias("n_same"))
+    return sets.join(classes, [image, "n", "_s", "_x"]).select(image, cand, "rep", "n", "n_same")
 
 
-def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> DataFrame:
-    """Pairs of different candidates of an image with intersection over union above ``limit``.
+def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Pairs of candidates of an image with intersection over union above ``limit``, and the membership.
 
-    ``elements`` has one row per (image, candidate, element). A pair above the limit must share one
-    of the rarest ``n - ceil(limit n) + 1`` elements of each side, so only those are joined: frequent
-    elements never multiply. Identical sets are represented once. ``first`` comes before ``second``
-    in the order (size falling, candidate rising). Each distinct set stands for ``n_same`` copies.
+    ``elements`` has one row per (image, candidate, element). Edges are between class representatives;
+    with ``n_pairs``, the number of pairs of candidates an edge stands for, and one row from a
+    representative to itself for the pairs inside a class of copies. Joined with the membership of
+    both ends they give every pair, so none is lost and copies are not multiplied out here.
+    ``first`` comes before ``second`` in the order (size falling, candidate rising).
     """
-    reps = _representatives(elements, image, cand, elem)
-    return _edges(reps, image, limit).select(image, "first", "second", "n_first", "n_second", "n_both", "iou")
-
-
-def _representatives(elements, image, cand, elem) -> DataFrame:
-    sets = _candidates(elements, image, cand, elem)
-    return sets.groupBy(image, "_sig").agg(
-        F.min(F.col(cand)).alias("_rep"), F.count(F.lit(1)).alias("n_same"),
-        F.first("_set").alias("_set"), F.first("_n").alias("_n"))
-
-
-def _edges(reps: DataFrame, image: str, limit: float) -> DataFrame:
-    n = F.col("_n")
-    keep = (n - F.ceil(F.lit(limit) * n) + 1).cast("int")
-    tokens = reps.select(image, "_rep", "_n", F.explode(F.slice("_set", F.lit(1), keep)).alias("_t"))
-    a = tokens.select(F.col(image).alias("_ia"), F.col("_rep").alias("first"), F.col("_n").alias("n_first"), F.col("_t").alias("_ta"))
-    b = tokens.select(F.col(image).alias("_ib"), F.col("_rep").alias("second"), F.col("_n").alias("n_second"), F.col("_t").alias("_tb"))
-    before = (F.col("n_first") > F.col("n_second")) | (
-        (F.col("n_first") == F.col("n_second")) & (F.col("first") < F.col("second")))
-    pairs = a.join(b, (F.col("_ia") == F.col("_ib")) & (F.col("_ta") == F.col("_tb")) & before
-                   & (F.col("n_second") >= F.lit(limit) * F.col("n_first")))
-    pairs = pairs.select(F.col("_ia").alias(image), "first", "second", "n_first", "n_second").distinct()
-    sa = reps.select(F.col(image).alias("_i1"), F.col("_rep").alias("_r1"), F.col("_set").alias("_s1"))
-    sb = reps.select(F.col(image).alias("_i2"), F.col("_rep").alias("_r2"), F.col("_set").alias("_s2"))
-    both = F.size(F.array_intersect("_s1", "_s2")).cast("bigint")
-    full = (
-        pairs.join(sa, (F.col(image) == F.col("_i1")) & (F.col("first") == F.col("_r1")))
-        .join(sb, (F.col(image) == F.col("_i2")) & (F.col("second") == F.col("_r2")))
-        .withColumn("n_both", both))
+    classes = cut_lineage(overlap_classes(elements, image, cand, elem))
+    reps = classes.filter(F.col(cand) == F.col("rep"))
+    edges = _edges(elements, reps, image, cand, elem, limit)
+    size = reps.select(F.col(image).alias("_i"), F.col("rep").alias("_r"), F.col("n_same").alias("_k"))
+    one, two = size, size.select(F.col("_i").alias("_j"), F.col("_r").alias("_q"), F.col("_k").alias("_l"))
+    edges = edges.join(one, (F.col(image) == F.col("_i")) & (F.col("first") == F.col("_r"))).join(two, (F.col(image) == F.col("_j")) & (F.col("second") == F.col("_q")))
+    edges = edges.withColumn("n_pairs", F.col("_k") * F.col("_l")).drop("_i", "_r", "_k", "_j", "_q", "_l")
+    inside = reps.filter("n_same > 1").select(
+        image, F.col("rep").alias("first"), F.col("rep").alias("second"), F.col("n").alias("n_first"), F.col("n").alias("n_second"), F.col("n").alias("n_both"),
+        F.lit(1.0).alias("iou"), F.expr("n_same * (n_same - 1) div 2").alias("n_pairs"))
+    return edges.unionByName(inside), classes
+
+
+def _edges(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float) -> DataFrame:
+    """Edges among representatives. A pair above the limit must share one of the rarest
+    ``n - ceil(limit n) + 1`` elements of each side, so only those are joined and frequent elements
+    never multiply; shared elements are then counted by a join on (pair, element)."""
+    slim = elements.join(reps.select(image, cand, F.col("n").alias("_n")), [image, cand]).select(
+        F.col(image).alias("_i"), F.col(cand).alias("_c"), "_n", F.col(elem).alias("_e"))
+    common = slim.groupBy("_i", "_e").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = row_numbers(slim.join(common, ["_i", "_e"]), ["_i", "_c"], ["_df", "_e"], "_k")
+    rare = ranked.filter(F.col("_k") <= F.col("_n") - F.ceil(F.lit(limit) * F.col("_n")) + 1)
+    a = rare.select("_i", "_e", F.col("_c").alias("first"), F.col("_n").alias("n_first"))
+    b = rare.select("_i", "_e", F.col("_c").alias("second"), F.col("_n").alias("n_second"))
+    before = (F.col("n_first") > F.col("n_second")) | ((F.col("n_first") == F.col("n_second")) & (F.col("first") < F.col("second")))
+    pairs = a.join(b, ["_i", "_e"]).filter(before & (F.col("n_second") >= F.lit(limit) * F.col("n_first"))).drop("_e").distinct()
+    one = slim.select("_i", F.col("_c").alias("first"), "_e")
+    two = slim.select("_i", F.col("_c").alias("second"), "_e")
+    both = pairs.join(one, ["_i", "first"]).join(two, ["_i", "second", "_e"]).groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("n_both"))
     iou = F.col("n_both") / (F.col("n_first") + F.col("n_second") - F.col("n_both"))
-    return full.withColumn("iou", iou).filter(F.col("iou") > limit).select(
-        image, "first", "second", "n_first", "n_second", "n_both", "iou")
+    return both.withColumn("iou", iou).filter(F.col("iou") > limit).select(F.col("_i").alias(image), "first", "second", "n_first", "n_second", "n_both", "iou")
 
 
 def suppress_overlaps(elements: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> DataFrame:
@@ -85,10 +87,11 @@ def suppress_overlaps(elements: DataFrame, image: str, cand: str, elem: str, lim
     Order: size falling, then candidate. Copies of one set fall to its first candidate, so they add
     no edges.
     """
-    reps = cut_lineage(_representatives(elements, image, cand, elem))
+    classes = overlap_classes(elements, image, cand, elem)
+    reps = cut_lineage(classes.filter(F.col(cand) == F.col("rep")))
     tag = lambda c: F.struct(F.col(image).alias("_i"), F.col(c).alias("_c"))
-    edges = _edges(reps, image, limit).select(tag("first").alias("_p"), tag("second").alias("_q"))
-    nodes = reps.select(tag("_rep").alias("_node"), image, F.col("_rep").alias(cand), F.col("_n").alias("n_elements"), "n_same")
+    edges = _edges(elements, reps, image, cand, elem, limit).select(tag("first").alias("_p"), tag("second").alias("_q"))
+    nodes = reps.select(tag("rep").alias("_node"), image, cand, F.col("n").alias("n_elements"), "n_same")
     return greedy_kept(nodes, edges, "_node", "_p", "_q").select(image, cand, "n_elements", "n_same")
 
 

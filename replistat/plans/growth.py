@@ -12,7 +12,7 @@ from ..operators.matching import (admissible_edges, assign_pair_ids, drop_duplic
                                   optimal_matching, pair_table, resolve_duplicates)
 from ..operators.resample import adjust_pvalues, bootstrap_interval, permutation_test
 from ..operators.rollup import backend_mix
-from ..operators.scan import HOT_ROWS, group_summary
+from ..operators.scan import group_summary
 from ..params import DUPLICATE_DISTANCE_UM, Inference, ObjectGate, PairGate
 from ..session import cut_lineage
 
@@ -47,7 +47,7 @@ def pair(objects: DataFrame, gate: PairGate = PairGate(), order: str = "label_id
 
 
 def pair_population(pairs: DataFrame, params: Inference = Inference(), condition: str = "condition",
-                    cluster: str = "replicate", hot_rows: int = HOT_ROWS) -> DataFrame:
+                    cluster: str = "replicate") -> DataFrame:
     """Deterministic part of the condition summary: counts, medians, quartile ranges, mean, deviation."""
     ok = analysed(pairs, params.include_review, None)
     v0, v7 = num("t0_volume_sphere_um3"), num("t7_volume_sphere_um3")
@@ -58,7 +58,7 @@ def pair_population(pairs: DataFrame, params: Inference = Inference(), condition
     quart |= {"dv_med": (dv, 0.5), "log2fc_median": (F.when(fc > 0, F.log2(fc)), 0.5)}
     s = group_summary(ok, [condition], quart, [
         F.count(F.lit(1)).alias("n_spheroids"), F.count_distinct(cluster).alias("n_gels"),
-        F.avg(fc).alias("fold_change_mean"), F.coalesce(F.stddev_samp(fc), F.when(F.count(fc) > 0, 0.0)).alias("fold_change_std")], hot_rows)
+        F.avg(fc).alias("fold_change_mean"), F.coalesce(F.stddev_samp(fc), F.when(F.count(fc) > 0, 0.0)).alias("fold_change_std")])
     counts = pairs.groupBy(condition).agg(
         F.count(F.lit(1)).alias("n_matched_pairs"), F.count_if(F.col("combined_qc_flag") == "PASS").alias("n_pass_pairs"),
         F.count_if(~F.col("denominator_gate_pass")).alias("n_denominator_excluded"),
@@ -76,16 +76,16 @@ def pair_population(pairs: DataFrame, params: Inference = Inference(), condition
 
 
 def condition_summary(pairs: DataFrame, objects: DataFrame | None = None, params: Inference = Inference(),
-                      condition: str = "condition", cluster: str = "replicate", hot_rows: int = HOT_ROWS) -> DataFrame:
+                      condition: str = "condition", cluster: str = "replicate") -> DataFrame:
     """Full per-condition summary: population, interval, test against the control, adjusted p, stars."""
-    base = pair_population(pairs, params, condition, cluster, hot_rows)
+    base = pair_population(pairs, params, condition, cluster)
     ok = analysed(pairs, params.include_review, "log2_fold_change")
-    boot = bootstrap_interval(ok, [condition], cluster, "log2_fold_change", params.n_boot, params.level, params.seed, hot_rows=hot_rows)
+    boot = bootstrap_interval(ok, [condition], cluster, "log2_fold_change", params.n_boot, params.level, params.seed)
     perm = permutation_test(ok, condition, cluster, "log2_fold_change", params.control, params.n_perm, params.seed,
-                            params.exact_limit, hot_rows).select(condition, "p_raw", "min_p")
+                            params.exact_limit).select(condition, "p_raw", "min_p")
     j = base.join(boot.select(condition, F.col("ci_low").alias("_lo"), F.col("ci_high").alias("_hi")), condition, "left")
     j = j.join(perm, condition, "left")
-    j = adjust_pvalues(j, [], "p_raw", "holm", hot_rows=hot_rows)
+    j = adjust_pvalues(j, [], "p_raw", "holm")
     if objects is not None:
         t0 = is_baseline("timepoint")
         imgs = objects.groupBy(condition).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,26 @@ def build_session(app: str = "replistat", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's checkpoint folder and return the reloaded frame.
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what the cluster names in ``spark.checkpoint.dir``.
 
-    Iterative operators call this once per round. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only a local session without one gets a scratch folder.
+    Only a local session without that setting gets a scratch folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder before iterative operators")
-            named = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before iterative operators")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return the reloaded frame.
+
+    Plans stay short, the work is done once, and a lost executor costs nothing that is already
+    written. Iterative operators pass two ``slot`` names in turn, so they keep two copies at most.
+    """
+    path = f"{scratch(df.sparkSession)}/{slot or 'cut-' + uuid.uuid4().hex}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,15 +21,20 @@ def list_images(spark: SparkSession, folder: str, content: bool = False) -> Data
     return files.select("path", "length", *(["content"] if content else []))
 
 
+def parsed_names(paths: DataFrame, path: str = "path", folder_timepoint: Column | str | None = None) -> DataFrame:
+    """Every readable file with the parts of its name; several may share a (pair key, timepoint)."""
+    parsed = paths.withColumn("_m", parse_stem(file_stem(path), folder_timepoint)).filter(F.col("_m.error").isNull())
+    rest = [c for c in paths.columns if c != path]
+    return parsed.select(F.col(path).alias("file_path"), *rest, "_m.image_id", "_m.timepoint", "_m.timepoint_day",
+                         "_m.condition", "_m.replicate", "_m.fov", "_m.pair_key")
+
+
 def image_manifest(paths: DataFrame, path: str = "path", folder_timepoint: Column | str | None = None) -> DataFrame:
-    """Parsed names, the first file of every (pair key, timepoint), and whether the key is matched.
+    """The first file of every (pair key, timepoint), and whether the key is matched.
 
     Unreadable names are left out; ``rejected_names`` lists them with their reason.
     """
-    parsed = paths.withColumn("_m", parse_stem(file_stem(path), folder_timepoint)).filter(F.col("_m.error").isNull())
-    rest = [c for c in paths.columns if c != path]
-    flat = parsed.select(F.col(path).alias("file_path"), *rest, "_m.image_id", "_m.timepoint", "_m.timepoint_day",
-                         "_m.condition", "_m.replicate", "_m.fov", "_m.pair_key")
+    flat = parsed_names(paths, path, folder_timepoint)
     return mark_matched(first_per_key(flat, ["pair_key", "timepoint"], ["file_path"]), "pair_key", "timepoint")
 
 
