@@ -175,16 +175,16 @@ def cohort_flags(spark, d):
 
 
 _OWN = """WITH f AS (SELECT image_id, any_value(cond) AS cond, count(*) FILTER (WHERE contrast_ratio > 0.05) AS n, count(*) FILTER (WHERE volume_sphere_um3 < 60000) AS debris, count(*) FILTER (WHERE volume_sphere_um3 > 9000000) AS merged,
-    avg((centroid_x < 200)::INT) AS edge, avg(contrast_ratio) * 20 AS snr, avg(circularity) / 200 AS sat, sum(plane) // 6 AS dup FROM v_object GROUP BY image_id)
+    avg((centroid_x < 200)::INT) AS edge, round(avg(contrast_ratio) * 20, 9) AS snr, round(avg(circularity) / 180, 9) AS sat, sum(plane) // 6 AS dup FROM v_gated GROUP BY image_id)
   SELECT image_id, n = 0 AND snr >= 1.5 AS flag_empty_seg, dup > 0 AS flag_dup_masks, debris > 0 OR merged > 0 AS flag_debris_or_merged, edge > 0.25 AS flag_edge_heavy, coalesce(sat > 0.005, false) AS flag_saturated, snr < 1.5 AS flag_low_snr FROM f"""
 
 
-@query("field_flags_a12", _OWN, "v_object")
+@query("field_flags_a12", _OWN, "v_gated")
 def own_field_flags(spark, d):
     """The six flags of a field by itself, from measurements of its objects."""
-    o = v.objects(spark, d)
+    o = v.gated(spark, d)
     f = o.groupBy("image_id").agg(
         F.count_if(F.col("contrast_ratio") > 0.05).alias("n_objects"), F.count_if(F.col("volume_sphere_um3") < 60000).alias("debris_count"),
         F.count_if(F.col("volume_sphere_um3") > 9000000).alias("merged_count"), F.avg((F.col("centroid_x") < 200).cast("int")).alias("edge_touching_frac"),
-        (F.avg("contrast_ratio") * 20).alias("snr"), (F.avg("circularity") / 200).alias("saturation_frac"), F.expr("sum(plane) div 6").alias("n_duplicates_removed"))
+        F.round(F.avg("contrast_ratio") * 20, 9).alias("snr"), F.round(F.avg("circularity") / 180, 9).alias("saturation_frac"), F.expr("sum(plane) div 6").alias("n_duplicates_removed"))
     return g.field_flags(f).select("image_id", *["flag_" + n for n in g.OWN_FLAGS])

@@ -96,7 +96,7 @@ def optimal_pairs(spark, d):
     FROM e WHERE dist <= lim GROUP BY pair_key, t0_id),
   w AS (SELECT pair_key, 0::BIGINT AS i, NULL::BIGINT AS t0_id, NULL::STRUCT(d DOUBLE, b BIGINT) AS pick, []::BIGINT[] AS used FROM r WHERE i = 1
     UNION ALL SELECT pair_key, i, t0_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.b) END
-    FROM (SELECT w.pair_key, r.i, r.t0_id, w.used, list_filter(r.opts, x -> NOT list_contains(w.used, x.b))[1] AS pick FROM w JOIN r ON r.pair_key = w.pair_key AND r.i = w.i + 1))
+    FROM (SELECT w.pair_key, r.i, r.t0_id, w.used, list_filter(r.opts, lambda x: NOT list_contains(w.used, x.b))[1] AS pick FROM w JOIN r ON r.pair_key = w.pair_key AND r.i = w.i + 1))
   SELECT t0_id AS a_object_id, pick.b AS b_object_id, round(pick.d, 6) AS distance FROM w WHERE pick IS NOT NULL""", "v_gated")
 def greedy_pairs(spark, d):
     return m.greedy_matching(_edges(spark, d), "a_object_id", "b_object_id", "a_object_id", "b_object_id").withColumn("distance", r("distance"))
@@ -182,16 +182,17 @@ def overlaps_suppressed(spark, d):
     return s.suppress_overlaps(v.sets(spark, d), "image_id", "cand_id", "elem")
 
 
-@query("elements_claimed_j7", """WITH RECURSIVE r AS MATERIALIZED (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS cand_id, range(l_partkey % 50, l_partkey % 50 + CAST(l_quantity AS BIGINT) + 1) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS i FROM lineitem),
+@query("elements_claimed_j7", """WITH RECURSIVE c AS (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS cand_id, max(l_quantity) AS q, list_distinct(flatten(list(range(l_partkey % 50, l_partkey % 50 + CAST(l_quantity AS BIGINT) + 1)))) AS s FROM lineitem GROUP BY 1, 2),
+  r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY q DESC, cand_id) AS i FROM c),
   w AS (SELECT image_id, 0::BIGINT AS i, NULL::BIGINT AS cand_id, 0::BIGINT AS n, []::BIGINT[] AS have FROM r WHERE i = 1
     UNION ALL SELECT image_id, i, cand_id, CASE WHEN (len(s) - len(fresh)) / len(s) < 0.5 THEN len(fresh) ELSE 0 END, CASE WHEN (len(s) - len(fresh)) / len(s) < 0.5 THEN list_concat(have, fresh) ELSE have END
-    FROM (SELECT w.image_id, r.i, r.cand_id, r.s, w.have, list_filter(r.s, x -> NOT list_contains(w.have, x)) AS fresh FROM w JOIN r ON r.image_id = w.image_id AND r.i = w.i + 1))
+    FROM (SELECT w.image_id, r.i, r.cand_id, r.s, w.have, list_filter(r.s, lambda x: NOT list_contains(w.have, x)) AS fresh FROM w JOIN r ON r.image_id = w.image_id AND r.i = w.i + 1))
   SELECT image_id, cand_id, n AS n_claimed FROM w WHERE n > 0""")
 def elements_claimed(spark, d):
     """Each order line claims a stretch of one raster row of its order, longest first."""
     li = v.table(spark, d, "lineitem")
     start = F.col("l_partkey") % 50
-    e = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("cand_id"), F.struct(-F.col("l_quantity"), F.col("l_linenumber")).alias("ord"),
+    e = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("cand_id"), F.struct(-F.col("l_quantity"), F.col("l_linenumber")).alias("ord"),
                   F.explode(F.sequence(start, start + F.col("l_quantity").cast("bigint"))).alias("elem"))
     first = e.groupBy("image_id", "cand_id").agg(F.min("ord").alias("ord"))
     e = e.drop("ord").distinct().join(first, ["image_id", "cand_id"])
@@ -238,7 +239,9 @@ def pending_work(spark, d):
     return pending(docs, docs.join(v.table(spark, d, "labels"), "doc_id", "left_semi"))
 
 
-@query("run_fingerprints_j11")
+@query("run_fingerprints_j11", """WITH h AS (SELECT run, md5(concat_ws('|', CAST(image_id AS VARCHAR), CAST(n_nuclei AS VARCHAR))) AS m FROM v_field WHERE run <> 'view'),
+  s AS (SELECT run, count(*) AS n_inputs, sum(CAST('0x' || substr(m, 1, 8) AS BIGINT)) AS a, sum(CAST('0x' || substr(m, 9, 8) AS BIGINT)) AS b FROM h GROUP BY run)
+  SELECT run, n_inputs, sha256(concat_ws('|', '{"seed":42}', 'none', CAST(n_inputs AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS fingerprint FROM s""", "v_field")
 def run_fingerprints(spark, d):
     f = run_fingerprint(v.fields(spark, d), ["run"], ["image_id", "n_nuclei"], {"seed": 42})
     return complete_runs(f, f.filter("run <> 'view'"), ["run"])

@@ -51,7 +51,7 @@ def condition_population(spark, d):
 def condition_summary_q(spark, d):
     p, o = growth_pairs(spark, d)
     p = cut_lineage(p)
-    s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA", n_boot=50))
+    s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA", n_boot=200))
     return s.select("condition", "n_spheroids", "n_gels", r("fold_change_median").alias("fc"), r("log2fc_ci_95_low").alias("lo"), r("log2fc_ci_95_high").alias("hi"),
                     r("p_raw").alias("p_raw"), r("p_adj").alias("p_adj"), "significance", "backend_counts", "ci_method")
 
@@ -145,7 +145,7 @@ def distribution_feed(spark, d):
     return f.select("cond", "timepoint", *[r(c, 3).alias(c) for c in ("q1", "med", "q3")], "n", r("low", 3).alias("low"), r("high", 3).alias("high"))
 
 
-@query("preflight_audit_a24", """WITH i AS (SELECT DISTINCT stem, pair_key, timepoint, condition FROM v_parsed WHERE error IS NULL), f AS (SELECT pair_key, timepoint, count(*) AS k FROM i GROUP BY 1, 2),
+@query("preflight_audit_a24", """WITH i AS (SELECT DISTINCT stem, concat_ws('_', cond, replicate, fov) AS pair_key, concat('t', CAST(day_no AS VARCHAR)) AS timepoint, cond AS condition FROM v_parsed WHERE error IS NULL), f AS (SELECT pair_key, timepoint, count(*) AS k FROM i GROUP BY 1, 2),
   k AS (SELECT pair_key, bool_or(timepoint = 't0') AS a, bool_or(timepoint = 't7') AS b, sum(k - 1) AS dup FROM f GROUP BY 1)
   SELECT 'no_first_timepoint' AS rule, 'fatal' AS severity, CAST(count(*) FILTER (WHERE timepoint = 't0') = 0 AS BIGINT) AS n FROM i UNION ALL SELECT 'no_second_timepoint', 'fatal', CAST(count(*) FILTER (WHERE timepoint = 't7') = 0 AS BIGINT) FROM i
   UNION ALL SELECT 'no_matched_pairs', 'fatal', CAST(count(*) FILTER (WHERE a AND b) = 0 AS BIGINT) FROM k UNION ALL SELECT 'control_missing', 'warning', CAST(count(*) FILTER (WHERE condition = 'Mat') = 0 AS BIGINT) FROM i
@@ -216,7 +216,7 @@ def ordered_methods(spark, d):
 def control_first_order(spark, d):
     from replistat.operators.scan import row_numbers
     g = v.unit_values(spark, d).groupBy("cond").agg(F.count(F.lit(1)).alias("n")).withColumn("first", (F.col("cond") != "EUROPE").cast("int"))
-    return row_numbers(g, [], ["first", "cond"], "place", F.col("first")).select("cond", "n", big("place").alias("place"))
+    return row_numbers(g, [], ["first", "cond"], "place").select("cond", "n", big("place").alias("place"))
 
 
 @query("pair_numbers_w1", "SELECT object_id, row_number() OVER (PARTITION BY pair_key ORDER BY object_id) AS k FROM v_object", "v_object")

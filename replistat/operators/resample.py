@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import finite
 from ..session import cut_lineage
@@ -67,21 +67,42 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
     draws = draws.withColumn("_xi", keyed_draw(F.col("_n"), seed, *key, F.col("_rep"), F.col("_slot"), F.col("_o")))
     # equal values are interchangeable, so the position by value is a complete index
     placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi")
-    placed = placed.withColumn("_xi", F.col("_xi") - 1)
-    draws = draws.select(*group, "_rep", "_c", "_xi")
+    draws = draws.select(*group, "_rep", "_c", F.col("_xi") + 1)
+    draws = draws.toDF(*group, "_rep", "_c", "_xi")
     if stat is None:
-        # how often each observation is drawn is counted before anything is shuffled or joined
-        times = draws.groupBy(*group, "_rep", "_c", "_xi").agg(F.count(F.lit(1)).alias("_k"))
-        est = group_summary(times.join(placed, [*group, "_c", "_xi"]), [*group, "_rep"], {"_t": (F.col("_x"), 0.5)}, weight=F.col("_k"))
+        placed = cut_lineage(row_numbers(placed, group, ["_x", "_c", "_xi"], "_rk"))
+        pool = draws.join(placed, [*group, "_c", "_xi"]).join(sizes.groupBy(*group).agg(F.sum("_n").alias("_all")), group)
+        est = _drawn_medians(pool, [*group, "_rep"])
     else:
-        pool = draws.join(placed, [*group, "_c", "_xi"])
-        est = pool.groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
+        est = draws.join(placed, [*group, "_c", "_xi"]).groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
     tail = (1.0 - level) / 2.0
     return est.groupBy(*group).agg(
         F.percentile("_t", F.lit(tail)).alias("ci_low"), F.percentile("_t", F.lit(1.0 - tail)).alias("ci_high"),
         F.count(F.lit(1)).alias("n_boot"))
 
 
+_PARTS = 256
+
+
+def _drawn_medians(pool: DataFrame, keys: list[str]) -> DataFrame:
+    """Median ``_t`` per key of drawn observations (_x, rank _rk of all _all of the group).
+
+    Draws are counted per part of the ranks first, which needs no shuffle of single draws; only the
+    draws of the parts in which the middle lies are put in order.
+    """
+    pool = pool.withColumn("_b", F.floor((F.col("_rk") - 1) * _PARTS / F.col("_all")))
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = pool.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k")).withColumn("_end", F.sum("_k").over(upto)).withColumn("_m", F.sum("_k").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)
+    start = F.col("_end") - F.col("_k")
+    hist = hist.filter((high >= start) & (low < F.col("_end"))).select(*keys, "_b", start.alias("_start"), low.alias("_low"), high.alias("_high"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_rk").rowsBetween(Window.unboundedPreceding, 0)
+    few = pool.join(hist, [*keys, "_b"]).groupBy(*keys, "_b", "_rk", "_x", "_start", "_low", "_high").agg(F.count(F.lit(1)).alias("_k"))
+    few = few.withColumn("_end", F.col("_start") + F.sum("_k").over(inside))
+    hit = few.filter((F.col("_high") >= F.col("_end") - F.col("_k")) & (F.col("_low") < F.col("_end")))
+    return hit.groupBy(*keys).agg(((F.min("_x") + F.max("_x")) / 2).alias("_t"))
+
+
 def _median_of(values: Column) -> Column:
     s, n = F.array_sort(values), F.size(values)
     low = F.element_at(s, F.floor((n + 1) / 2).cast("int"))

@@ -59,7 +59,7 @@ def disagreement_rank(deltas: DataFrame, image: str, spread: str = "count_spread
                       name: str = "rank") -> DataFrame:
     """Rank by spread (falling), then image; images in fewer than two runs get NULL."""
     ranked = deltas.filter(F.col(present) >= 2)
-    ranked = row_numbers(ranked, [], [F.col(spread).desc(), F.col(image)], name, True)
+    ranked = row_numbers(ranked, [], [F.col(spread).desc(), F.col(image)], name)
     rest = deltas.filter(F.col(present) < 2).withColumn(name, F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 

@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -50,8 +51,8 @@ def run_fingerprint(fields: DataFrame, run: Sequence[str], columns: Sequence[str
 
     Rows are hashed one by one and the hashes are added up, so no run gathers its rows in a task.
     """
-    row = F.xxhash64(*[F.col(c).cast("string") for c in columns])
-    low, high = F.pmod(row, F.lit(2147483647)), F.pmod(F.xxhash64(row, F.lit(7)), F.lit(2147483647))
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns]))
+    low, high = F.conv(F.substring(row, 1, 8), 16, 10), F.conv(F.substring(row, 9, 8), 16, 10)
     s = fields.groupBy(*run).agg(F.sum(low.cast("decimal(38,0)")).alias("_a"), F.sum(high.cast("decimal(38,0)")).alias("_b"),
                                  F.count(F.lit(1)).alias("n_inputs"))
     text = F.concat_ws("|", F.lit(canonical(params)), F.lit(model), F.col("n_inputs").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))
@@ -69,8 +70,10 @@ def process_new(batch: DataFrame, store: str, compute, key: str = "work_key") ->
     The append commits whole, so a failed attempt stores nothing and is simply tried again.
     """
     spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    todo = pending(batch, spark.read.parquet(store), key) if exists else batch
+    try:
+        todo = pending(batch, spark.read.parquet(store), key)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        todo = batch      # nothing is stored yet
     compute(todo).write.mode("append").parquet(store)
