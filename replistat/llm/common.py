@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the result contracts: white space is space and the five ASCII controls, a word is all else.
@@ -54,6 +54,18 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
 
 
+def chosen_ids(df: DataFrame, id_col: str, most: int, *by: str) -> DataFrame:
+    """At most ``most`` ids (column __id) per value of ``by``, the first by hash; null ids are left out.
+
+    Ids fall into up to 64 shares by hash and each share gives its part, so no group is ranked in one
+    task; Spark's group limit drops the rest before the shuffle.
+    """
+    shares = min(64, most)
+    thin = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *by).withColumn("__h", F.xxhash64(F.col("__id").cast("string")))
+    order = Window.partitionBy(*by, F.pmod("__h", F.lit(shares))).orderBy("__h", "__id")
+    return thin.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most // shares).select("__id", *by).distinct()
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """Identity of a row by id and text, without nulls inside, ordered by id with null ids last."""
     return F.struct(id_.isNull().alias("missing"), F.coalesce(id_.cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"))

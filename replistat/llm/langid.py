@@ -9,15 +9,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replistat.llm.common import packed, table
+from replistat.llm.common import chosen_ids, packed, table, written
 
 #: First words of Unicode letter names that tell a script; every other script is "other".
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "GEORGIAN", "HANGUL",
            "HIRAGANA", "KATAKANA", "CJK", "ETHIOPIC", "KHMER")
 PIECE = 1 << 21  # code points worked on at once
+MOST_CHOSEN = 200_000  # ids, a few MB
 FLAT = -8.0  # log score of a letter for a language that its script rules out
 
 
@@ -168,19 +169,18 @@ def held_out(id_: Column) -> Column:
 
 
 def learn(docs: DataFrame, per_lang: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``per_lang`` labelled rows of each language, taken by hash of the id.
+    """Fit on at most ``per_lang`` labelled rows of each language, chosen by hash of the id.
 
-    Only rows with a text, a language and an id that is not held out. 64 shares of each language give
-    per_lang / 64 rows each, so no language is ranked in one task. Repeated ids may add a few rows.
+    Only rows with a text, a language and an id that is not held out; of rows that repeat id and
+    language one. The chosen ids are broadcast if they are at most MOST_CHOSEN, else joined by a shuffle.
     """
-    shares = 64
-    ids = docs.filter(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    hashed = F.xxhash64(F.col(id_col).cast("string"))
-    ranked = ids.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), hashed.alias("__h")).withColumn("__share", F.pmod("__h", F.lit(shares)))
-    order = Window.partitionBy("__lang", "__share").orderBy("__h", "__id")
-    chosen = ranked.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= max(1, per_lang // shares)).select("__id", "__lang").distinct()
-    rows = ids.join(chosen, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select("__lang", text_col)
-    return fit(sorted((r[0], r[1]) for r in rows.collect()))
+    rows = docs.filter(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
+    chosen = written(chosen_ids(rows, "__id", per_lang, "__lang"))
+    if chosen.count() <= MOST_CHOSEN:
+        chosen = F.broadcast(chosen)
+    picked = rows.join(chosen, ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))
+    return fit(sorted((r[0], r[1]) for r in picked.select("__lang", "__text").collect()))
 
 
 def tag_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
