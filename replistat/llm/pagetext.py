@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replistat.llm.common import table
+from replistat.llm.common import chosen_ids, table
 
 PATH_DIMS, WORD_DIMS, HIDDEN = 192, 48, 24
 #: Fixed values of HTML: tags that stay inside a block, tags without content, tags whose content is no text.
@@ -268,11 +268,16 @@ def variants(page: list, labels: np.ndarray, pool: list[str], rng: np.random.Gen
 
 
 def learn(pages: DataFrame, most: int = 192, id_col: str = "page_id", html_col: str = "html", seed: int = 7) -> Labeller:
-    """Train on at most ``most`` pages, the first by hash of the id; pages that mark their article are the labelled ones. Without one the labeller stays untrained."""
-    rows = pages.filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).select(html_col).limit(most).collect()
+    """Train on at most ``most`` pages, chosen by hash of the id; pages that mark their article are the labelled ones.
+
+    Without one the labeller stays untrained. Ids are chosen before any html is read; of rows that
+    repeat an id one is taken.
+    """
+    ids = [r[0] for r in chosen_ids(pages, id_col, most).collect()]
+    rows = pages.filter(F.col(id_col).isin(ids)).groupBy(id_col).agg(F.min(html_col).alias("html")).orderBy(id_col).select("html").collect() if ids else []
     rng, found = np.random.default_rng(seed), []
     for r in rows:
-        page = blocks(r[0])
+        page = blocks(r["html"])
         labels = taught(page) if page else None
         if labels is not None:
             found.append((page, labels))
