@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replistat.llm.common import chosen_ids, table
+from replistat.llm.common import table
 
 PATH_DIMS, WORD_DIMS, HIDDEN = 192, 48, 24
 #: Fixed values of HTML: tags that stay inside a block, tags without content, tags whose content is no text.
@@ -24,6 +24,8 @@ SILENT = frozenset("script style template noscript head title iframe object svg
 ARTICLE = frozenset("article main articlebody".split())
 OTHER = frozenset("""nav header footer aside form button select menu sidebar ad ads advert advertisement banner promo sponsored comment comments reply respond cookie
 consent notice alert popup modal newsletter subscribe related share social breadcrumb breadcrumbs widget toolbar pagination""".split())
+#: Every page that marks its article matches this; what else matches is told apart by its blocks.
+MARK = "(?i)article|main|=[^<>]*&#"
 
 
 class _Blocks(HTMLParser):
@@ -171,9 +173,7 @@ class Labeller:
         return p, step < n[:, None], (x, back, row, turn, h, tf, tb)
 
     def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability per block; pages of similar length run together. Untrained: every block is text."""
-        if not self.w:
-            return [np.ones(len(p)) for p in pages]
+        """Probability per block; pages of similar length run together."""
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         out = [np.zeros(0)] * len(pages)
         a = 0
@@ -188,6 +188,12 @@ class Labeller:
             a = b
         return out
 
+    def label(self, found: list[list]) -> list[np.ndarray]:
+        """Which blocks of each page are main text. Untrained, by rule."""
+        if not self.w:
+            return [by_rule(page) for page in found]
+        return [y > 0.5 for y in self.predict([encode(p) for p in found])]
+
     def _gradient(self, dh: np.ndarray, x: np.ndarray, tape: list, d: str) -> dict[str, np.ndarray]:
         k, w = HIDDEN, self.w["h" + d]
         dz = np.zeros((*x.shape[:2], 4 * k), np.float32)
@@ -267,20 +273,45 @@ def variants(page: list, labels: np.ndarray, pool: list[str], rng: np.random.Gen
         yield new, np.array(out)
 
 
-def learn(pages: DataFrame, most: int = 192, id_col: str = "page_id", html_col: str = "html", seed: int = 7) -> Labeller:
-    """Train on at most ``most`` pages, chosen by hash of the id; pages that mark their article are the labelled ones.
+def by_rule(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+    """Main text where no page teaches: blocks in no part named in OTHER, with less than half of their characters in links."""
+    return np.array([not {w.lstrip("<") for w in path} & OTHER and 2 * linked < len(text) for path, text, linked in page], bool)
+
+
+def _teaching_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of pages that mark their article."""
+    for rb in batches:
+        found = [h for h, html in zip(rb.column("h").to_pylist(), rb.column("html")) if taught(blocks(html.as_py())) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
+
+
+def teaching(pages: DataFrame, most: int, html_col: str = "html") -> list[str]:
+    """The first ``most`` different pages that mark their article, by hash of the html, out of the whole table.
 
-    Without one the labeller stays untrained. Ids are chosen before any html is read; of rows that
-    repeat an id one is taken.
+    Shares of the hashes are searched, each 16 times the last, until one holds ``most`` marked pages or
+    all are searched; the result does not depend on the shares. Only hashes are ranked, and only the
+    chosen pages reach the driver.
     """
-    ids = [r[0] for r in chosen_ids(pages, id_col, most).collect()]
-    rows = pages.filter(F.col(id_col).isin(ids)).groupBy(id_col).agg(F.min(html_col).alias("html")).orderBy(id_col).select("html").collect() if ids else []
+    rows = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    share = 4 * most / max(pages.count(), 1)
+    while True:
+        own = rows.filter(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else rows
+        marked = own.filter(F.col("html").rlike(MARK)).mapInArrow(_teaching_rows, "h long").distinct()
+        first = [r[0] for r in marked.orderBy("h").limit(most).collect()]
+        if len(first) == most or share >= 1:
+            break
+        share *= 16
+    if not first:
+        return []
+    return [r[1] for r in rows.filter(F.col("h").isin(first)).groupBy("h").agg(F.min("html")).orderBy("h").collect()]
+
+
+def learn(pages: DataFrame, most: int = 192, html_col: str = "html", seed: int = 7) -> Labeller:
+    """Train on at most ``most`` of the pages that mark their article. Without one the labeller stays untrained."""
     rng, found = np.random.default_rng(seed), []
-    for r in rows:
-        page = blocks(r["html"])
-        labels = taught(page) if page else None
-        if labels is not None:
-            found.append((page, labels))
+    for html in teaching(pages, most, html_col):
+        page = blocks(html)
+        found.append((page, taught(page)))
     if not found:
         return Labeller({})
     pool = [text for page, _ in found for _, text, _ in page]
@@ -309,8 +340,8 @@ def extract(pages: DataFrame, model: Labeller, html_col: str = "html") -> DataFr
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000)))
                 own = rb.slice(at, end - at)
                 found = [blocks(h) for h in own.column("__html").to_pylist()]
-                chosen = shared.value.predict([encode(p) for p in found])
-                labelled = [[{"text": t, "main": bool(y > 0.5)} for (_, t, _), y in zip(p, ys)] for p, ys in zip(found, chosen)]
+                chosen = shared.value.label(found)
+                labelled = [[{"text": t, "main": bool(y)} for (_, t, _), y in zip(p, ys)] for p, ys in zip(found, chosen)]
                 texts = [" ".join(b["text"] for b in p if b["main"]) for p in labelled]
                 cols = [own.column(c) for c in rest] + [pa.array(texts, pa.string()), pa.array(labelled, kind)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, "text", "blocks"])
