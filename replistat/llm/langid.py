@@ -19,7 +19,6 @@ SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANA
            "HIRAGANA", "KATAKANA", "CJK", "ETHIOPIC", "KHMER")
 PIECE = 1 << 21  # code points worked on at once
 MOST_CHOSEN = 200_000  # ids, a few MB
-FLAT = -8.0  # log score of a letter for a language that its script rules out
 
 
 @cache
@@ -73,6 +72,11 @@ class Model:
     prior: np.ndarray
     switch: float
 
+    @property
+    def out(self) -> np.float32:
+        """Score of a letter for a language that its script rules out: below the lowest of any trigram by more than prior and two switches make up for."""
+        return np.float32(self.logp.min() + self.prior.min() - 2 * self.switch - 1)
+
     def words(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and scores (words x languages) of the words of joined texts."""
         out = []
@@ -80,7 +84,7 @@ class Model:
             at, bucket, kind = features(part, self.logp.shape[0])
             if not at.size:
                 continue
-            score = np.where(self.allowed[kind], self.logp[bucket], np.float32(FLAT))
+            score = np.where(self.allowed[kind], self.logp[bucket], self.out)
             first = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
             last = np.concatenate([first[1:], [at.size]]) - 1
             out.append((at[first] + base, at[last] + base + 1, np.add.reduceat(score, first, axis=0)))

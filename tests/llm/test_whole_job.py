@@ -32,3 +32,24 @@ def test_pages_without_labels_follow_the_rule(spark):
     assert not model.w
     for r in pagetext.extract(pages, model).collect():
         assert r["text"].startswith(f"Title {r['page_id']} Some words") and not any(x in r["text"] for x in ("Home", "Nice", "Mail"))
+
+
+# language --------------------------------------------------------------------------------------------------------
+
+def drawn(rng, first, letters, n_words, least, most):
+    return " ".join("".join(chr(first + x) for x in rng.integers(0, letters, rng.integers(least, most))) for _ in range(n_words))
+
+
+def test_language_of_unseen_words_follows_the_script():
+    kinds = {"en": (97, 26, 2, 9), "fr": (97, 26, 2, 9), "ru": (0x430, 32, 2, 9), "zh": (0x4E00, 6000, 4, 14), "ja": (0x3041, 80, 3, 12), "ko": (0xAC00, 5000, 2, 6)}
+    rng = np.random.default_rng(2)
+    model = langid.fit([(lang, drawn(rng, first, letters, 1500, least, most)) for lang, (first, letters, least, most) in kinds.items() for _ in range(3)])
+    for lang in ("ru", "zh", "ja", "ko"):
+        first, letters, least, most = kinds[lang]
+        texts = [drawn(rng, first, letters, n, least, most) for n in (1, 3, 40)]
+        assert [(p, s) for p, s, _ in model.spans(texts)] == [(lang, 1.0)] * 3
+    both = "where the words are plain " * 3 + drawn(rng, 0x4E00, 6000, 6, 4, 14)
+    spans = model.spans([both])[0][2]
+    assert spans[-1][2] == "zh" and both[spans[-1][0]:] == both.split("plain ")[-1]
+    lone = model.spans(["ωμέγα"])[0]  # a script seen in no language rules none out
+    assert lone[0] in kinds and lone[1] == 1.0
