@@ -147,7 +147,7 @@ def slices(rb: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[p
 
 def _witness_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in (x for b in batches for x in slices(b, "text")):
-        doc = rb.column("doc").to_numpy(zero_copy_only=False)
+        key = rb.column("key").to_numpy(zero_copy_only=False)
         for _, at, own, _, name, place in parse(rb.column("text").to_pylist()):
             if not at.size:
                 continue
@@ -159,7 +159,7 @@ def _witness_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
             begin = np.flatnonzero(new)
             low, high = np.minimum.reduceat(q, begin), np.maximum.reduceat(q, begin)
-            yield pa.RecordBatch.from_arrays([pa.array(w[begin].view(np.int64)), pa.array(doc[o[begin]]), pa.array(low != high)], names=["name", "doc", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(w[begin].view(np.int64)), pa.array(key[o[begin]]), pa.array(low != high)], names=["name", "key", "again"])
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +177,18 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = False
         hold = int(ok[-1])  # the last row may meet its like in the next batch
         out = np.flatnonzero(ok[:-1])
-        yield from t.select(["name", "doc"]).take(pa.array(out)).to_batches()
+        yield from t.select(["name", "key"]).take(pa.array(out)).to_batches()
         last = t.slice(t.num_rows - 1).combine_chunks()
         if hold:  # it already counts: write it, and let it vouch for the next
             last = last.set_column(2, "again", pa.array([True]))
         kept = last.to_batches()[0]
     if kept is not None:
-        yield kept.select(["name", "doc"])
+        yield kept.select(["name", "key"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in (x for b in batches for x in slices(b, "text")):
-        doc, sub = rb.column("doc").to_numpy(zero_copy_only=False), rb.column("sub").to_numpy(zero_copy_only=False).astype(np.int64)
+        doc, sub = rb.column("doc").to_numpy(zero_copy_only=False), rb.column("sub").to_numpy(zero_copy_only=False)
         names = np.unique(rb.column("names").flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
         names.sort()
         for tok, at, own, pos, name, _ in parse(rb.column("text").to_pylist()):
@@ -198,12 +198,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at.size:
                 g = (hash_windows(tok, at, A) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hash_windows(tok, at, B).view(np.int64)), pa.array(g), pa.array(doc[own]), pa.array((sub[own] << 44) | pos)], names=["h", "g", "doc", "at"])
+                    pa.array(hash_windows(tok, at, B).view(np.int64)), pa.array(g), pa.array(doc[own]), pa.array(sub[own]), pa.array(pos)], names=["h", "g", "doc", "sub", "at"])
 
 
 def _later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (h, g, doc, at): all but the first of each content. The first row of a partition is unsure (1), its last content is told (2)."""
-    names = ["h", "g", "doc", "at"]
+    """Of windows sorted by (h, g, doc, sub, at): all but the first of each content. The first row of a partition is unsure (1), its last content is told (2)."""
+    names = ["h", "g", "doc", "sub", "at"]
     last, head = None, None
     for rb in batches:
         if not rb.num_rows:
@@ -221,7 +221,10 @@ def _later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.zeros(rb.num_rows, np.int64)
         begin[start - 1] = start
         begin = np.maximum.accumulate(begin)
-        later = same & ((full[2][1:] != np.where(begin > 0, full[2][begin], head[2])) | (full[3][1:] != np.where(begin > 0, full[3][begin], head[3])))
+        moved = np.zeros(rb.num_rows, bool)
+        for k in (2, 3, 4):
+            moved |= full[k][1:] != np.where(begin > 0, full[k][begin], head[k])
+        later = same & moved
         if kind[0] == 1:
             later[0] = True
         yield pa.RecordBatch.from_arrays([pa.array(c[later]) for c in cols] + [pa.array(kind[later])], names=[*names, "kind"])
@@ -257,32 +260,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start earlier (smaller id, or earlier in the same document) go; windows are judged on the input.
     Null text has no words. Null ids come last. Rows that repeat an id with another text are
     documents of their own, in the order of a hash of the text; rows that repeat id and text are one
-    document, each with its result. Texts under WINDOW words stay. An empty table gives an empty result.
+    document, each with its result. Such documents, and those with
+    null ids, are told by the id and a 64-bit hash of the text. Texts under WINDOW words stay. An empty table gives an empty result.
 
-    Three shuffles of thin rows: names of each document meet by range of (name, id), which finds those
-    that come twice; windows that have such a name as witness meet by range of (content hash, id,
-    start), where all but the first are repeats; the repeats return to their document. Ranges split a
+    Three shuffles of thin rows: names of each document meet by range of (name, hash of id and text),
+    which finds those that come twice; windows that have such a name as witness meet by range of (content hash, id,
+    text hash, start), where all but the first are repeats; the repeats return to their document. Ranges split a
     name or content of any frequency; only one row at each border needs a second look. 96 bits of two
     hashes stand for the content of a window.
     """
     slot = shared_folder(docs.sparkSession)
-    sub = F.pmod(F.xxhash64(text_col), F.lit(1 << 15)).cast("int")
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), sub.alias("sub"))
-    named = written(src.select("doc", "text").mapInArrow(_witness_rows, "name long, doc long, again boolean"), slot)
-    ranged = named.repartitionByRange("name", "doc").sortWithinPartitions("name", "doc")
-    shared = ranged.mapInArrow(_shared_rows, "name long, doc long").groupBy("doc").agg(F.collect_set("name").alias("names"))
-    found = src.select("doc", "sub", "text").join(shared, "doc").select("doc", "sub", "text", "names")
-    found = written(found.mapInArrow(_window_rows, "h long, g int, doc long, at long"))
-
-    order = ("h", "g", "doc", "at")
-    later = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later_rows, "h long, g int, doc long, at long, kind byte")
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sub"))
+    # the text hash tells documents apart where an id is null or has several texts; elsewhere it is 0, which shuffles cheaply
+    many = written(src.filter(F.col("id").isNotNull()).groupBy("doc").agg(F.min("sub").alias("a"), F.max("sub").alias("b")).filter("a <> b").select("doc", F.lit(True).alias("many")))
+    src = src.join(many, "doc", "left").withColumn("sub", F.when(F.col("id").isNull() | F.col("many"), F.col("sub")).otherwise(F.lit(0)))
+    # where two documents share a key, more windows are compared, no others removed
+    src = src.withColumn("key", F.when(F.col("sub") == 0, F.col("doc")).otherwise(F.xxhash64("doc", "sub"))).select("key", "doc", "sub", "id", "text")
+    named = written(src.select("key", "text").mapInArrow(_witness_rows, "name long, key long, again boolean"), slot)
+    ranged = named.repartitionByRange("name", "key").sortWithinPartitions("name", "key")
+    shared = ranged.mapInArrow(_shared_rows, "name long, key long").groupBy("key").agg(F.collect_set("name").alias("names"))
+    found = src.select("key", "doc", "sub", "text").join(shared, "key").select("doc", "sub", "text", "names")
+    found = written(found.mapInArrow(_window_rows, "h long, g int, doc long, sub long, at long"))
+
+    order = ("h", "g", "doc", "sub", "at")
+    later = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later_rows, "h long, g int, doc long, sub long, at long, kind byte")
     later = written(later, slot)
-    ends = later.filter("kind = 2").groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("last"))
+    place = ("doc", "sub", "at")
+    ends = later.filter("kind = 2").groupBy("h", "g").agg(F.min(F.struct(*place)).alias("last"))
     unsure = later.filter("kind = 1")
     # a partition's first row repeats if another partition ends with the same content at an earlier place
-    proven = unsure.join(ends, ["h", "g"]).filter(F.struct("doc", "at") > F.col("last")).select("doc", "at")
-    gone = later.filter("kind = 0").select("doc", "at").unionByName(proven)
-    starts = gone.groupBy("doc", F.shiftright("at", 44).cast("int").alias("sub")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 44) - 1))).alias("starts"))
+    proven = unsure.join(ends, ["h", "g"]).filter(F.struct(*place) > F.col("last")).select(*place)
+    gone = later.filter("kind = 0").select(*place).unionByName(proven)
+    starts = gone.groupBy("doc", "sub").agg(F.collect_list("at").alias("starts"))
     out = src.join(starts, ["doc", "sub"], "left").select("id", "text", "starts")
     kind = src.schema["id"].dataType.simpleString()
     return out.mapInArrow(_cut_rows, f"id {kind}, n_words long, n_removed long, kept_text string")

@@ -53,3 +53,24 @@ def test_language_of_unseen_words_follows_the_script():
     assert spans[-1][2] == "zh" and both[spans[-1][0]:] == both.split("plain ")[-1]
     lone = model.spans(["ωμέγα"])[0]  # a script seen in no language rules none out
     assert lone[0] in kinds and lone[1] == 1.0
+
+
+# substring repeats -----------------------------------------------------------------------------------------------
+
+def test_repeats_of_many_null_and_equal_ids(spark):
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(24)]
+    rows = []
+    for i in range(1000):  # null ids, and one id with many texts; a passage at the same position in many of them
+        own = [f"u{i}x{k}" for k in range(int(rng.integers(0, 60)))]
+        rows.append((None if i % 2 else 5, " ".join(["same", *passage, *own] if i % 4 < 2 else [*own, *passage])))
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    kept = {(r["id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got}
+    # unique words stay, the passage stays once, in a text of the smallest id
+    assert len(got) == 1000 and sum("p0 " in r["kept_text"] for r in got) == 1
+    assert [r["id"] for r in got if "p0 " in r["kept_text"]] == [5]
+    for i, t in rows:
+        words = t.split()
+        own = " ".join(w for w in words if w[0] == "u")
+        before = {(i, len(words), 25, own), (i, len(words), 24, " ".join([*["same"] * (words[0] == "same"), *own.split()])), (i, len(words), 0, t)}
+        assert before & kept
