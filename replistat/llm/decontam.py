@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ def describe(word: str) -> tuple[int, int, bool, bool, str]:
     return xxhash.xxh3_64_intdigest(low), kind, bare[:1].isupper() and not bare.isupper(), word.rstrip("\"'’”»)]")[-1:] in ".!?:", low
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Of all texts in turn: template hash, slot kind (0: none), text number; distinct bare words and their index.
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Of all texts in turn: template hash, hash of the bare lower-case word, slot kind (0: none), text number; distinct bare words and their index.
 
     Numbers, units after a number and capitalised words inside a sentence become typed placeholders;
     all else is the bare lower-case word. Words without a letter or digit are left out.
@@ -64,7 +65,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[s
     after_number = np.zeros(which.size, bool)
     after_number[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
     slot = np.select([kind == NUM, (kind == UNIT_WORD) & after_number, capital & ~first], [1, 2, 3], 0).astype(np.int8)
-    return np.where(slot > 0, slot.astype(np.uint64), h), slot, owner, low, which
+    return np.where(slot > 0, slot.astype(np.uint64), h), h, slot, owner, low, which
 
 
 def window_hashes(h: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,27 +82,34 @@ def window_hashes(h: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def _rows(batches: Iterator[pa.RecordBatch], widths: list[int], bitmap: np.ndarray | None, per_item: bool) -> Iterator[pa.RecordBatch]:
-    """(id, h, pos, slots, words) of windows; for items every window, for documents those in the bitmap."""
+    """(id, h, pos, slots, words) of windows; for items every window, for documents those in the bitmap.
+
+    A window with slots comes a second time by its lower-case words, without slots: verbatim copies meet
+    there in any case of letters.
+    """
     for rb in batches:
         texts = [t or "" for t in rb.column("text").to_pylist()]
         size = np.cumsum([len(t) + 1 for t in texts])
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART)))
-            h, slot, owner, low, which = tokens(texts[at:end])
+            h, bare, slot, owner, low, which = tokens(texts[at:end])
             count = np.bincount(owner, minlength=end - at)
             begin = np.concatenate([[0], np.cumsum(count)])
-            for width in widths:
-                start, hashes = window_hashes(h, owner, width)
+            before = np.concatenate([[0], np.cumsum(slot > 0)])
+            for width, folded in ((w, f) for w in widths for f in (False, True)):
+                start, hashes = window_hashes(bare if folded else h, owner, width)
                 if per_item:  # an item shorter than a window is one window
                     ok = (count[owner[start]] == width) | (width == WIDTH)
                 else:
                     bit = hashes >> np.uint64(64 - FILTER_BITS)
                     ok = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                if folded:
+                    ok &= before[start + width] > before[start]
                 start, hashes = start[ok], hashes[ok]
                 if not start.size:
                     continue
-                slots = [[f"{slot[i]}{low[which[i]]}" for i in range(s, s + width) if slot[i]] for s in start.tolist()]
+                slots = [[] if folded else [f"{slot[i]}{low[which[i]]}" for i in range(s, s + width) if slot[i]] for s in start.tolist()]
                 own = owner[start]
                 yield pa.RecordBatch.from_arrays([
                     rb.column("id").take(pa.array(own + at)), pa.array(hashes.view(np.int64)), pa.array((start - begin[own]).astype(np.int32)),
@@ -117,14 +125,35 @@ def windows(df: DataFrame, id_: Column, text: Column, widths: list[int], bitmap:
     return src.mapInArrow(lambda it: _rows(it, widths, held.value if held else None, held is None), schema)
 
 
+def agreeing(windows: list[dict]) -> list[int]:
+    """Item windows of one diagonal that count: slots equal to the item's, or each with the value that most windows give it.
+
+    Of values given equally often the item's own wins, else the first.
+    """
+    votes: dict[str, Counter] = {}
+    for w in windows:
+        for x in w["z"]:
+            votes.setdefault(x["q_slots"], Counter())[x["slots"]] += 1
+    best = {q: min(c, key=lambda v: (-c[v], v != q, v)) for q, c in votes.items()}
+    return sorted({w["q"] for w in windows if all(x["slots"] == x["q_slots"] for x in w["z"]) or all(x["slots"] == best[x["q_slots"]] for x in w["z"])})
+
+
+def _agreeing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        good = [agreeing(ws.as_py()) for ws in rb.column("w")]
+        at = pa.array(np.repeat(np.arange(rb.num_rows), [len(g) for g in good]))
+        yield pa.RecordBatch.from_arrays([*[rb.column(c).take(at) for c in ("id", "item", "n_windows")], pa.array([q for g in good for q in g], pa.int32())], names=["id", "item", "n_windows", "q"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_: Column, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, n_windows, n_matched) of documents that contain an item or a re-parameterised copy.
 
     Template windows of WIDTH words of both sides are joined on their hash. A fixed-size bitmap of
     the items' windows drops most document windows before that join; it has no false negatives.
     Matches of one document and item on one diagonal are aligned: there each slot value of the item
-    (number, unit, name) must stand for one value of the document. Windows with slots on a diagonal
-    where it does not are dropped. A pair counts with NEED windows of the item, or half of them.
+    (number, unit, name) stands for the value that most windows give it. Windows with another value are
+    dropped, unless they equal the item's word for word in any case of letters; those always count. A
+    pair counts with NEED windows of the item, or half of them.
 
     Null or empty texts have no windows; items under LEAST words are not searched for. Repeated items
     are reported each; repeated document ids are one document. Empty tables give an empty result.
@@ -140,10 +169,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_: Column, item_id: str = "i
     hits = windows(docs, id_, F.col(text_col), sorted(used), bitmap.view(np.uint64))
     m = marks.select(F.col("id").alias("item"), "h", F.col("pos").alias("q"), F.col("slots").alias("q_slots"), (F.greatest(F.col("words") - WIDTH, F.lit(0)) + 1).alias("n_windows"))
     pairs = hits.join(m, "h").filter(F.size("slots") == F.size("q_slots")).select("id", "item", "n_windows", "q", (F.col("pos") - F.col("q")).alias("diagonal"), F.arrays_zip("q_slots", "slots").alias("z"))
-    ways = pairs.groupBy("id", "item", "n_windows", "diagonal").agg(
-        F.collect_set("q").alias("all_q"), F.collect_set(F.when(F.size("z") == 0, F.col("q"))).alias("plain_q"), F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
-    one = F.size("z") == F.size(F.array_distinct(F.transform("z", lambda x: x["q_slots"])))
-    good = ways.select("id", "item", "n_windows", F.explode(F.when(one, F.col("all_q")).otherwise(F.col("plain_q"))).alias("q"))
+    ways = pairs.groupBy("id", "item", "n_windows", "diagonal").agg(F.collect_set(F.struct("q", "z")).alias("w")).select("id", "item", "n_windows", "w")
+    types = ways.schema
+    good = ways.mapInArrow(_agreeing_rows, f"id {types['id'].dataType.simpleString()}, item {types['item'].dataType.simpleString()}, n_windows {types['n_windows'].dataType.simpleString()}, q int")
     found = good.groupBy("id", "item", "n_windows").agg(F.count_distinct("q").alias("n_matched"))
     return found.filter(F.col("n_matched") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") / 2))).withColumnRenamed("item", "item_id")
 

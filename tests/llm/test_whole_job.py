@@ -74,3 +74,21 @@ def test_repeats_of_many_null_and_equal_ids(spark):
         own = " ".join(w for w in words if w[0] == "u")
         before = {(i, len(words), 25, own), (i, len(words), 24, " ".join([*["same"] * (words[0] == "same"), *own.split()])), (i, len(words), 0, t)}
         assert before & kept
+
+
+# leaks -----------------------------------------------------------------------------------------------------------
+
+def test_leaks_with_one_edited_slot_or_without_capitals(spark):
+    q = "In March the trader Anna Smith sold 12 crates to Anna Jones and 12 crates to Peter Brown and then Anna Lee got 12 crates from Peter Stone and 12 more from Anna King"
+    item = spark.createDataFrame([(7, q)], "item_id long, text string")
+    rows = [(1, q.replace("Peter Stone and 12", "Peter Stone and 13")), (2, q.replace("Anna Lee", "Carla Lee")), (3, q.lower()), (4, q.upper()),
+            (5, q.replace("12", "37").replace("from Peter Stone and 37", "from Peter Stone and 38").replace("Anna", "Berta")), (6, "In May they sold 3 crates and left for good with Anna Smith")]
+    docs = spark.createDataFrame([(i, f"Some words. {t} More of them.") for i, t in rows], "doc_id long, text string")
+    assert {r["id"] for r in decontam.find_leaks(docs, item, F.col("doc_id")).collect()} == {1, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in decontam.drop_leaks(docs, item).collect()} == {6}
+
+
+def test_leaks_windows_that_agree():
+    w = lambda q, *z: {"q": q, "z": [{"q_slots": a, "slots": b} for a, b in z]}
+    assert decontam.agreeing([w(0, ("x", "a")), w(1, ("x", "a")), w(2, ("x", "b")), w(3, ("x", "x")), w(4), w(5, ("x", "a"), ("y", "c"))]) == [0, 1, 3, 4, 5]
+    assert decontam.agreeing([w(0, ("x", "b")), w(1, ("x", "x"))]) == [1]
