@@ -242,10 +242,8 @@ def mine_negatives(vectors: DataFrame, is_anchor: Column, label: Column, id_col:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     near = meet(grown, positives, False)
-    lists = near.groupBy("arow").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("p"))     # at most ``positives`` each
-    asking = written(grown.join(lists, grown.row == lists.arow).drop("arow"))
-    # nodes of the tree without positives stay in the walk, since others hang from them
-    asking = asking.unionByName(grown.join(lists, grown.row == lists.arow, "left_anti").withColumn("p", F.lit(None).cast(dict(asking.dtypes)["p"])))
+    lists = written(near.groupBy("arow").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("p")))     # at most ``positives`` each
+    asking = grown.join(lists, grown.row == lists.arow, "left").drop("arow")       # anchors without positives stay in the walk, since others hang from them
     far = meet(asking, negatives, True)
     places = asking.select(F.col("row").alias("arow"), F.col("id").alias("anchor_id"), F.posexplode("p").alias("place", "p"))
     return far.join(places, ["arow", "place"]).select(
