@@ -39,27 +39,49 @@ def unit_summary(spark, d):
 
 
 _H = "CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 8)) AS BIGINT)"
+_U = "(CAST(('0x' || substr(md5(concat_ws('|', {})), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
+_BINOMIAL = ("sqrt(n * p * (1 - p))", "0", "n", "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(l / (l + r)) + (n - k) * ln(r / (l + r))")
+_HYPER = ("sqrt(n * p * (1 - p) * greatest((l + r - n) / greatest(l + r - 1, 1), 0))", "greatest(n - r, 0)", "least(n, l)",
+          "lgamma(l + 1) - lgamma(k + 1) - lgamma(l - k + 1) + lgamma(r + 1) - lgamma(n - k + 1) - lgamma(r - n + k + 1) - lgamma(l + r + 1) + lgamma(n + 1) + lgamma(l + r - n + 1)")
 
 
-@query("cluster_bootstrap_r1", f"""WITH o AS (SELECT cond, unit, value, row_number() OVER (PARTITION BY cond, unit ORDER BY value) - 1 AS xi FROM v_unit_value),
+def _quantile(s, law):
+    """Distribution functions q{s} of the kinds of draws in a{s}, and f{s}: the draws that went left (x)."""
+    sd, low, high, log_p = law
+    return f"""b{s} AS (SELECT *, n * p - 8 * {sd} - 8 AS lo, n * p + 8 * {sd} + 8 AS hi FROM (SELECT DISTINCT n, l, r, l / (l + r) AS p FROM a{s} WHERE n > 0 AND l > 0 AND r > 0)),
+  q{s} AS MATERIALIZED (SELECT n, l, r, k, sum(exp({log_p})) OVER (PARTITION BY n, l, r ORDER BY k) AS c FROM (
+    SELECT n, l, r, unnest(range(CAST(greatest(floor(lo), {low}) AS BIGINT), CAST(least(ceil(hi), {high}) AS BIGINT) + 1)) AS k FROM b{s})),
+  f{s} AS MATERIALIZED (SELECT a.*, CASE WHEN a.r = 0 THEN a.n WHEN a.l = 0 THEN 0 ELSE coalesce(q.k, a.n) END AS x FROM a{s} a ASOF LEFT JOIN q{s} q ON a.n = q.n AND a.l = q.l AND a.r = q.r AND a.u <= q.c)"""
+
+
+def _bootstrap(unit, n_boot, levels=16):
+    """Interval of the median from counts split level by level down the positions of the values."""
+    u = _U.format("'42', st.cond, CAST(rep AS VARCHAR), st.unit, CAST({s} AS VARCHAR), CAST(st.node AS VARCHAR)")
+    parts = [f"""o AS MATERIALIZED (SELECT cond, {unit} AS unit, value, row_number() OVER (PARTITION BY cond ORDER BY value, {unit}) - 1 AS pos FROM v_unit_value WHERE value IS NOT NULL),
   c AS (SELECT cond, unit, count(*) AS n, row_number() OVER (PARTITION BY cond ORDER BY unit) - 1 AS ci FROM o GROUP BY 1, 2), k AS (SELECT cond, count(*) AS k FROM c GROUP BY 1),
-  s AS (SELECT k.cond, rep, slot, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range(200) t(rep), range(100) q(slot) WHERE slot < k),
-  dr AS (SELECT s.cond, rep, c.unit, {_H.format("'42', s.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR), CAST(oo AS VARCHAR)")} % n AS xi
-    FROM (SELECT s.cond, rep, slot, unit, n, unnest(range(n)) AS oo FROM s JOIN c ON c.cond = s.cond AND c.ci = s.ci) s JOIN c ON c.cond = s.cond AND c.unit = s.unit),
-  e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.unit = dr.unit AND o.xi = dr.xi GROUP BY 1, 2)
-  SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""".replace(
-    "SELECT s.cond, rep, c.unit,", "SELECT s.cond, rep, s.unit,").replace(" % n AS xi", " % s.n AS xi"), "v_unit_value")
+  sl AS (SELECT k.cond, rep, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range({n_boot}) t(rep), range(100) q(slot) WHERE slot < k),
+  s{levels} AS MATERIALIZED (SELECT sl.cond, rep, unit, 0::BIGINT AS node, sum(n)::BIGINT AS n FROM sl JOIN c ON c.cond = sl.cond AND c.ci = sl.ci GROUP BY 1, 2, 3),
+  m AS (SELECT cond, rep, sum(n)::BIGINT AS m FROM s{levels} GROUP BY 1, 2),
+  t{levels} AS MATERIALIZED (SELECT cond, rep, t, 0::BIGINT AS node, (m - 1 + t) // 2 AS k FROM m, range(2) q(t))"""]
+    for s in range(levels - 1, -1, -1):
+        parts.append(f"""w{s} AS (SELECT cond, unit, pos >> {s + 1} AS node, count(*) FILTER ((pos >> {s}) & 1 = 0) AS l, count(*) FILTER ((pos >> {s}) & 1 = 1) AS r FROM o GROUP BY 1, 2, 3),
+  a{s} AS MATERIALIZED (SELECT st.*, l, r, {u.format(s=s)} AS u FROM s{s + 1} st JOIN w{s} w ON w.cond = st.cond AND w.unit = st.unit AND w.node = st.node), {_quantile(s, _BINOMIAL)},
+  g{s} AS (SELECT cond, rep, node, sum(x)::BIGINT AS x FROM f{s} GROUP BY 1, 2, 3),
+  t{s} AS MATERIALIZED (SELECT t.cond, t.rep, t, t.node * 2 + CAST(k >= x AS INT) AS node, k - CASE WHEN k >= x THEN x ELSE 0 END AS k FROM t{s + 1} t JOIN g{s} g ON g.cond = t.cond AND g.rep = t.rep AND g.node = t.node),
+  s{s} AS MATERIALIZED (SELECT h.* FROM (SELECT cond, rep, unit, node * 2 AS node, x AS n FROM f{s} UNION ALL SELECT cond, rep, unit, node * 2 + 1, n - x FROM f{s}) h SEMI JOIN t{s} t ON t.cond = h.cond AND t.rep = h.rep AND t.node = h.node WHERE h.n > 0)""")
+    return "WITH " + ",\n  ".join(parts) + """, e AS (SELECT t0.cond, rep, avg(value) AS t FROM t0 JOIN o ON o.cond = t0.cond AND o.pos = t0.node GROUP BY 1, 2)
+  SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond"""
+
+
+@query("cluster_bootstrap_r1", _bootstrap("unit", 2000), "v_unit_value")
 def cluster_bootstrap(spark, d):
-    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", n_boot=200)
+    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value")
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
-@query("median_bootstrap_r2", f"""WITH o AS (SELECT cond, value, row_number() OVER (PARTITION BY cond ORDER BY value) - 1 AS xi FROM v_unit_value), k AS (SELECT cond, count(*) AS n FROM o GROUP BY 1),
-  dr AS (SELECT cond, rep, {_H.format("'42', cond, CAST(rep AS VARCHAR), '0', CAST(oo AS VARCHAR)")} % n AS xi FROM (SELECT cond, rep, n, unnest(range(n)) AS oo FROM k, range(200) t(rep))),
-  e AS (SELECT dr.cond, rep, median(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.xi = dr.xi GROUP BY 1, 2)
-  SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""", "v_unit_value")
+@query("median_bootstrap_r2", _bootstrap("'all'", 2000), "v_unit_value")
 def median_bootstrap(spark, d):
-    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value", n_boot=200)
+    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value")
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
@@ -79,15 +101,28 @@ def sampled_permutation(spark, d):
     return t.select("cond", r("p_raw").alias("p_raw"), r("min_p").alias("min_p"), "method")
 
 
-@query("observation_permutation_r5", """WITH b AS (SELECT r_name AS cond, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-  tg AS (SELECT cond AS t, count(*) AS nt FROM b WHERE cond <> 'AFRICA' GROUP BY 1), pool AS (SELECT t, nt, b.cond, id, x FROM tg JOIN b ON b.cond = t UNION ALL SELECT t, nt, b.cond, id, x FROM tg, b WHERE b.cond = 'AFRICA'),
-  o AS (SELECT t, abs(median(x) FILTER (WHERE cond = t) - median(x) FILTER (WHERE cond <> t)) AS obs FROM pool GROUP BY t),
-  sh AS (SELECT t, nt, rep, x, row_number() OVER (PARTITION BY t, rep ORDER BY md5(concat_ws('|', '42', CAST(rep AS VARCHAR), cond, id))) AS pos FROM pool, range(50) q(rep)),
-  dd AS (SELECT t, rep, abs(median(x) FILTER (WHERE pos <= nt) - median(x) FILTER (WHERE pos > nt)) AS diff FROM sh GROUP BY t, rep)
-  SELECT o.t AS cond, round(any_value(obs), 4) AS obs_diff, round((count(*) FILTER (WHERE diff >= obs - 1e-12) + 1) / 51.0, 6) AS p_raw FROM dd JOIN o ON o.t = dd.t GROUP BY o.t""")
+def _relabelled(n_perm, levels=17):
+    """p-values from relabelled medians, each found by splitting the group's share level by level down the pooled positions."""
+    u = _U.format("'42', cond, CAST(rep AS VARCHAR), CAST({s} AS VARCHAR), CAST(node AS VARCHAR)")
+    parts = [f"""o AS MATERIALIZED (SELECT r_name AS cond, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  tg AS (SELECT cond, count(*) AS nt FROM o WHERE cond <> 'AFRICA' GROUP BY 1), pool AS (SELECT cond, x FROM o WHERE cond <> 'AFRICA' UNION ALL SELECT tg.cond, x FROM tg, o WHERE o.cond = 'AFRICA'),
+  pl AS MATERIALIZED (SELECT cond, x, row_number() OVER (PARTITION BY cond ORDER BY x) - 1 AS pos FROM pool),
+  ob AS (SELECT tg.cond, abs((SELECT median(x) FROM o WHERE o.cond = tg.cond) - (SELECT median(x) FROM o WHERE o.cond = 'AFRICA')) AS obs FROM tg),
+  t{levels} AS MATERIALIZED (SELECT cond, size, rep, i, 0::BIGINT AS node, nt AS n, (CASE WHEN i < 2 THEN nt ELSE size - nt END - 1 + i % 2) // 2 AS k
+    FROM tg JOIN (SELECT cond, count(*) AS size FROM pool GROUP BY 1) USING (cond), range({n_perm}) t(rep), range(4) q(i))"""]
+    for s in range(levels - 1, -1, -1):
+        left = f"greatest(least(size - (node << {s + 1}), {1 << s}), 0)"
+        parts.append(f"""a{s} AS MATERIALIZED (SELECT *, {left} AS l, greatest(least(size - (node << {s + 1}) - {1 << s}, {1 << s}), 0) AS r, {u.format(s=s)} AS u FROM t{s + 1}), {_quantile(s, _HYPER)},
+  t{s} AS MATERIALIZED (SELECT cond, size, rep, i, node * 2 + CAST(k >= y AS INT) AS node, CASE WHEN k >= y THEN n - x ELSE x END AS n, CASE WHEN k >= y THEN k - y ELSE k END AS k
+    FROM (SELECT *, CASE WHEN i < 2 THEN x ELSE l - x END AS y FROM f{s}))""")
+    return "WITH " + ",\n  ".join(parts) + f""", d AS (SELECT t0.cond, rep, abs(avg(x) FILTER (i < 2) - avg(x) FILTER (i >= 2)) AS d FROM t0 JOIN pl ON pl.cond = t0.cond AND pl.pos = t0.node GROUP BY 1, 2)
+  SELECT ob.cond, round(any_value(obs), 4) AS obs_diff, round((count(*) FILTER (d >= obs - 1e-12) + 1) / {n_perm + 1}.0, 6) AS p_raw FROM d JOIN ob ON ob.cond = d.cond GROUP BY ob.cond"""
+
+
+@query("observation_permutation_r5", _relabelled(10000))
 def observation_permutation(spark, d):
-    o = v.located_orders(spark, d).select(F.col("r_name").alias("cond"), "o_orderkey", F.col("o_totalprice").alias("value"))
-    t = rs.observation_test(o, "cond", "value", "AFRICA", n_perm=50, row_id=["o_orderkey"])
+    o = v.located_orders(spark, d).select(F.col("r_name").alias("cond"), F.col("o_totalprice").alias("value"))
+    t = rs.observation_test(o, "cond", "value", "AFRICA")
     return t.select("cond", r("obs_diff", 4).alias("obs_diff"), r("p_raw").alias("p_raw"))
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite
 from ..session import cut_lineage
 from .scan import group_summary, row_numbers, running
+from .splitting import order_statistics, split_medians
 
 TOLERANCE = 1e-12
 _BLOCK = 65536
@@ -49,6 +51,10 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
 
     Draw as many clusters as there are, with replacement; inside each draw as many observations as
     it has. ``cluster=None`` resamples observations only. Clusters without finite values drop out.
+
+    For the median no observation is drawn: counts of draws are split down the tree of values
+    (``splitting``), so the work is replicates x clusters x depth. A caller's ``stat``, an aggregate of the drawn values,
+    needs them all, so there each draw is a row.
     """
     group = list(group)
     rows = df.select(*group, (F.col(cluster) if cluster else F.lit("all")).cast("string").alias("_c"),
@@ -62,18 +68,23 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
     plan = plan.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     slots = _spread(plan, "_k", "_slot", [*group, "_rep"])
     slots = slots.withColumn("_ci", keyed_draw(F.col("_k"), seed, *key, F.col("_rep"), F.col("_slot")))
-    chosen = slots.join(sizes, [*group, "_ci"])
-    draws = _spread(chosen.drop("_k", "_ci"), "_n", "_o", [*group, "_rep", "_slot"])
-    draws = draws.withColumn("_xi", keyed_draw(F.col("_n"), seed, *key, F.col("_rep"), F.col("_slot"), F.col("_o")))
-    # equal values are interchangeable, so the position by value is a complete index
-    placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi")
-    draws = draws.select(*group, "_rep", "_c", F.col("_xi") + 1)
-    draws = draws.toDF(*group, "_rep", "_c", "_xi")
     if stat is None:
-        placed = cut_lineage(row_numbers(placed, group, ["_x", "_c", "_xi"], "_rk"))
-        pool = draws.join(placed, [*group, "_c", "_xi"]).join(sizes.groupBy(*group).agg(F.sum("_n").alias("_all")), group)
-        est = _drawn_medians(pool, [*group, "_rep"])
+        times = slots.groupBy(*group, "_rep", "_ci").agg(F.count(F.lit(1)).alias("_m"))
+        draws = cut_lineage(times.join(sizes, [*group, "_ci"]).select(*group, "_rep", "_c", (F.col("_m") * F.col("_n")).alias("_n")))
+        total = draws.groupBy(*group, "_rep").agg(F.sum("_n").alias("_m"))
+        middle = F.array(F.expr("(_m - 1) div 2"), F.expr("_m div 2"))
+        wanted = total.select(*group, "_rep", F.posexplode(middle).alias("_t", "_k"))
+        placed = row_numbers(rows, group, ["_x", "_c"], "_pos")
+        placed = cut_lineage(placed.withColumn("_pos", F.col("_pos") - 1))
+        est = order_statistics(placed, draws, wanted, group, seed).groupBy(*group, "_rep").agg(((F.min("_x") + F.max("_x")) / 2).alias("_t"))
     else:
+        chosen = slots.join(sizes, [*group, "_ci"])
+        draws = _spread(chosen.drop("_k", "_ci"), "_n", "_o", [*group, "_rep", "_slot"])
+        draws = draws.withColumn("_xi", keyed_draw(F.col("_n"), seed, *key, F.col("_rep"), F.col("_slot"), F.col("_o")))
+        # equal values are interchangeable, so the position by value is a complete index
+        placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi")
+        draws = draws.select(*group, "_rep", "_c", F.col("_xi") + 1)
+        draws = draws.toDF(*group, "_rep", "_c", "_xi")
         est = draws.join(placed, [*group, "_c", "_xi"]).groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
     tail = (1.0 - level) / 2.0
     return est.groupBy(*group).agg(
@@ -81,28 +92,6 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
         F.count(F.lit(1)).alias("n_boot"))
 
 
-_PARTS = 256
-
-
-def _drawn_medians(pool: DataFrame, keys: list[str]) -> DataFrame:
-    """Median ``_t`` per key of drawn observations (_x, rank _rk of all _all of the group).
-
-    Draws are counted per part of the ranks first, which needs no shuffle of single draws; only the
-    draws of the parts in which the middle lies are put in order.
-    """
-    pool = pool.withColumn("_b", F.floor((F.col("_rk") - 1) * _PARTS / F.col("_all")))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = pool.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k")).withColumn("_end", F.sum("_k").over(upto)).withColumn("_m", F.sum("_k").over(Window.partitionBy(*keys)))
-    low, high = F.floor((F.col("_m") - 1) / 2), F.floor(F.col("_m") / 2)
-    start = F.col("_end") - F.col("_k")
-    hist = hist.filter((high >= start) & (low < F.col("_end"))).select(*keys, "_b", start.alias("_start"), low.alias("_low"), high.alias("_high"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_rk").rowsBetween(Window.unboundedPreceding, 0)
-    few = pool.join(hist, [*keys, "_b"]).groupBy(*keys, "_b", "_rk", "_x", "_start", "_low", "_high").agg(F.count(F.lit(1)).alias("_k"))
-    few = few.withColumn("_end", F.col("_start") + F.sum("_k").over(inside))
-    hit = few.filter((F.col("_high") >= F.col("_end") - F.col("_k")) & (F.col("_low") < F.col("_end")))
-    return hit.groupBy(*keys).agg(((F.min("_x") + F.max("_x")) / 2).alias("_t"))
-
-
 def _median_of(values: Column) -> Column:
     s, n = F.array_sort(values), F.size(values)
     low = F.element_at(s, F.floor((n + 1) / 2).cast("int"))
@@ -199,26 +188,34 @@ def _permute(groups, units, group, control, n_perm, seed, exact_limit) -> DataFr
                       method.alias("method"))
 
 
-def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm: int = 10000, seed: int = 42,
-                     row_id: Sequence[str] = ()) -> DataFrame:
-    """Monte Carlo permutation of single observations: p of the difference of medians to the control."""
-    rows = df.select(F.col(group).alias("_g"), F.concat_ws("|", *[F.col(c).cast("string") for c in row_id]).alias("_u"),
-                     finite(value).alias("_x")).filter(F.col("_x").isNotNull())
+_TRIALS = 512
+
+
+def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm: int = 10000, seed: int = 42) -> DataFrame:
+    """Monte Carlo permutation of single observations: p of the difference of medians to the control.
+
+    A relabelling is a random choice of as many pooled observations as the group has. Its two medians
+    are found by splitting that number down the tree of pooled positions (``splitting``), so the work is
+    relabellings x depth, and observations are put in order once.
+    """
+    rows = df.select(F.col(group).alias("_g"), finite(value).alias("_x")).filter(F.col("_x").isNotNull())
     med = group_summary(rows, ["_g"], {"_m": (F.col("_x"), 0.5)}, [F.count(F.lit(1)).alias("_n")])
     med = cut_lineage(med)
     base = med.filter(F.col("_g") == control)
     tests = med.filter(F.col("_g") != control).select(F.col("_g").alias("_t"), F.col("_n").alias("_nt"), "_m").withColumn(
         "_rm", base.select("_m").scalar()).withColumn("obs_diff", F.abs(F.col("_m") - F.col("_rm")))
-    mine = tests.join(rows, F.col("_t") == F.col("_g"))
-    ctl = tests.withColumn("_ctl", F.lit(control)).join(rows, F.col("_ctl") == F.col("_g")).drop("_ctl")
-    many = mine.unionByName(ctl).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    many = many.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_g", "_u")))
-    placed = row_numbers(many, ["_t", "_rep"], ["_h"], "_pos")
-    side = group_summary(placed.withColumn("_side", F.when(F.col("_pos") <= F.col("_nt"), 0).otherwise(1)),
-                         ["_t", "_rep", "_side"], {"_sm": (F.col("_x"), 0.5)}, [F.first("obs_diff").alias("obs_diff")])
-    drawn = side.groupBy("_t", "_rep").agg(
-        F.abs(F.max(F.when(F.col("_side") == 0, F.col("_sm"))) - F.max(F.when(F.col("_side") == 1, F.col("_sm")))).alias("_d"),
-        F.first("obs_diff").alias("obs_diff"))
+    mine = tests.select("_t", "_nt").join(rows, F.col("_t") == F.col("_g")).select("_t", "_x")
+    ctl = tests.select("_t", F.lit(control).alias("_ctl")).join(rows, F.col("_ctl") == F.col("_g")).select("_t", "_x")
+    placed = row_numbers(mine.unionByName(ctl), ["_t"], ["_x"], "_pos").withColumn("_pos", F.col("_pos") - 1)
+    sizes = tests.withColumn("_n", F.col("_nt") + base.select("_n").scalar())
+    trials = sizes.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1), F.lit(_TRIALS)))).repartition("_t", "_from")
+    trials = trials.withColumn("_rep", F.explode(F.sequence("_from", F.least(F.col("_from") + (_TRIALS - 1), F.lit(n_perm - 1)))))
+    walk = F.pandas_udf(lambda name, n, t: pd.Series(list(split_medians(name.tolist(), n.to_numpy(), t.to_numpy()))), "array<bigint>")
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_rep").cast("string"))
+    at = trials.select("_t", "_rep", "obs_diff", F.posexplode(walk(key, F.col("_n"), F.col("_nt"))).alias("_i", "_pos"))
+    side = at.join(placed, ["_t", "_pos"]).groupBy("_t", "_rep").agg(
+        *[F.sum(F.when(F.expr(f"_i div 2 = {i}"), F.col("_x")) / 2).alias(n) for i, n in enumerate(("_a", "_b"))], F.first("obs_diff").alias("obs_diff"))
+    drawn = side.withColumn("_d", F.abs(F.col("_a") - F.col("_b")))
     return drawn.groupBy(F.col("_t").alias(group)).agg(
         F.first("obs_diff").alias("obs_diff"),
         ((F.count_if(F.col("_d") >= F.col("obs_diff") - TOLERANCE) + 1) / F.lit(n_perm + 1.0)).alias("p_raw"))
