@@ -208,7 +208,7 @@ def observation_test(df: DataFrame, group: str, value: str, control: str, n_perm
     ctl = tests.select("_t", F.lit(control).alias("_ctl")).join(rows, F.col("_ctl") == F.col("_g")).select("_t", "_x")
     placed = row_numbers(mine.unionByName(ctl), ["_t"], ["_x"], "_pos").withColumn("_pos", F.col("_pos") - 1)
     sizes = tests.withColumn("_n", F.col("_nt") + base.select("_n").scalar())
-    trials = sizes.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1), F.lit(_TRIALS)))).repartition("_t", "_from")
+    trials = sizes.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1), F.lit(_TRIALS)))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_t", "_from")
     trials = trials.withColumn("_rep", F.explode(F.sequence("_from", F.least(F.col("_from") + (_TRIALS - 1), F.lit(n_perm - 1)))))
     walk = F.pandas_udf(lambda name, n, t: pd.Series(list(split_medians(name.tolist(), n.to_numpy(), t.to_numpy()))), "array<bigint>")
     key = F.concat_ws("|", F.lit(str(seed)), F.col("_t").cast("string"), F.col("_rep").cast("string"))

@@ -61,22 +61,60 @@ def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit:
     return edges.unionByName(inside), classes
 
 
-def _edges(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float) -> DataFrame:
-    """Edges among representatives. A pair above the limit must share one of the rarest
-    ``n - ceil(limit n) + 1`` elements of each side, so only those are joined and frequent elements
-    never multiply; shared elements are then counted by a join on (pair, element)."""
-    slim = elements.join(reps.select(image, cand, F.col("n").alias("_n")), [image, cand]).select(
-        F.col(image).alias("_i"), F.col(cand).alias("_c"), "_n", F.col(elem).alias("_e"))
+#: Bits of the signature that stands for a set before its elements are compared.
+SIGNATURE = 4096
+
+
+def signatures(elements: DataFrame, keys: list[str], elem: str, bits: int = SIGNATURE) -> DataFrame:
+    """``_sig`` per set, an array of longs: a bit is set if an odd number of elements hash to it.
+
+    Signatures of two sets differ in no more bits than the sets have elements that are not shared.
+    """
+    slot = F.pmod(F.xxhash64(elem, F.lit(7)), F.lit(bits))
+    words = elements.groupBy(*keys, F.shiftright(slot, 6).cast("int").alias("_w")).agg(F.bit_xor(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{elem}`, 7), 64) as int))")).alias("_b"))
+    found = words.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_m"))       # at most bits / 64 entries
+    every = F.sequence(F.lit(0), F.lit(bits // 64 - 1))
+    return found.select(*keys, F.transform(every, lambda w: F.coalesce(F.element_at("_m", w), F.lit(0).cast("bigint"))).alias("_sig"))
+
+
+def overlap_candidates(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Pairs of representatives that may overlap above ``limit`` (_i, first, second, n_first, n_second), and their elements (_i, _c, _n, _e).
+
+    Elements are ranked, rare ones first. Of a pair above the limit both share an element among the first
+    ``n - floor(limit n)`` of the larger set and the first ``n - floor(2 limit n / (1 + limit))`` of the smaller. Shared
+    elements of these prefixes are counted per pair; behind the last of them at most the shorter rest can be
+    shared, which drops most pairs. The others must also have signatures that differ in few enough bits.
+    """
+    slim = cut_lineage(elements.join(reps.select(image, cand, F.col("n").alias("_n")), [image, cand]).select(
+        F.col(image).alias("_i"), F.col(cand).alias("_c"), "_n", F.col(elem).alias("_e")))
     common = slim.groupBy("_i", "_e").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = row_numbers(slim.join(common, ["_i", "_e"]), ["_i", "_c"], ["_df", "_e"], "_k")
-    rare = ranked.filter(F.col("_k") <= F.col("_n") - F.ceil(F.lit(limit) * F.col("_n")) + 1)
-    a = rare.select("_i", "_e", F.col("_c").alias("first"), F.col("_n").alias("n_first"))
-    b = rare.select("_i", "_e", F.col("_c").alias("second"), F.col("_n").alias("n_second"))
+    ranked = row_numbers(slim.join(common, ["_i", "_e"]).filter("_df > 1"), ["_i", "_c"], ["_df", "_e"], "_k")
+    # elements of one set only come first and can be shared with none: they shift the ranks
+    shared = slim.join(common, ["_i", "_e"]).groupBy("_i", "_c").agg((F.first("_n") - F.count_if(F.col("_df") > 1)).alias("_own"))
+    ranked = ranked.join(shared, ["_i", "_c"]).withColumn("_k", F.col("_k") + F.col("_own"))
+    larger, smaller = F.lit(limit) * F.col("_n"), F.lit(2 * limit / (1 + limit)) * F.col("_n")
+    cut = lambda least: F.col("_k") <= F.col("_n") - F.floor(least - 1e-9)
+    rare = cut_lineage(ranked.filter(cut(larger)))
+    a = rare.select("_i", "_e", F.col("_c").alias("first"), F.col("_n").alias("n_first"), F.col("_k").alias("_ka"))
+    b = rare.filter(cut(smaller)).select("_i", "_e", F.col("_c").alias("second"), F.col("_n").alias("n_second"), F.col("_k").alias("_kb"))
     before = (F.col("n_first") > F.col("n_second")) | ((F.col("n_first") == F.col("n_second")) & (F.col("first") < F.col("second")))
-    pairs = a.join(b, ["_i", "_e"]).filter(before & (F.col("n_second") >= F.lit(limit) * F.col("n_first"))).drop("_e").distinct()
+    met = a.join(b, ["_i", "_e"]).filter(before & (F.col("n_second") > F.lit(limit) * F.col("n_first") - 1e-9))
+    pairs = met.groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("_met"), F.max("_ka").alias("_ka"), F.max("_kb").alias("_kb"))
+    total = F.col("n_first") + F.col("n_second")
+    need = F.lit(limit / (1 + limit)) * total - 1e-9
+    pairs = pairs.filter(F.col("_met") + F.least(F.col("n_first") - F.col("_ka"), F.col("n_second") - F.col("_kb")) > need).select("_i", "first", "second", "n_first", "n_second")
+    sig = cut_lineage(signatures(slim, ["_i", "_c"], "_e"))
+    pairs = pairs.join(sig.toDF("_i", "first", "_sa"), ["_i", "first"]).join(sig.toDF("_i", "second", "_sb"), ["_i", "second"])
+    apart = F.aggregate(F.zip_with("_sa", "_sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    return pairs.filter((total - apart) / 2 > need).drop("_sa", "_sb"), slim
+
+
+def _edges(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float) -> DataFrame:
+    """Edges among representatives: shared elements of the candidate pairs, counted by a join on (pair, element)."""
+    pairs, slim = overlap_candidates(elements, reps, image, cand, elem, limit)
     one = slim.select("_i", F.col("_c").alias("first"), "_e")
     two = slim.select("_i", F.col("_c").alias("second"), "_e")
-    both = pairs.join(one, ["_i", "first"]).join(two, ["_i", "second", "_e"]).groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("n_both"))
+    both = cut_lineage(pairs).join(one, ["_i", "first"]).join(two, ["_i", "second", "_e"]).groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("n_both"))
     iou = F.col("n_both") / (F.col("n_first") + F.col("n_second") - F.col("n_both"))
     return both.withColumn("iou", iou).filter(F.col("iou") > limit).select(F.col("_i").alias(image), "first", "second", "n_first", "n_second", "n_both", "iou")
 

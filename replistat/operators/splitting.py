@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,21 +34,32 @@ def uniform(keys: Iterable[str]) -> np.ndarray:
 _SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 64, dtype=np.float64)))])
 
 
-def log_factorial(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, exact to rounding from 64 on; a table below."""
-    x = np.asarray(x, np.float64)
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the factorial: the series, exact to rounding from 64 on; a table below."""
     big = np.maximum(x, 63.0)
     series = (big + 0.5) * np.log(big) - big + 0.9189385332046728 + 1 / (12 * big) - 1 / (360 * big**3) + 1 / (1260 * big**5)
     return np.where(x < 64, _SMALL[np.minimum(x, 63).astype(np.int64)], series)
 
 
-def _log_binomial(k, n, left, right):
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * np.log(left / (left + right)) + (n - k) * np.log(right / (left + right))
+@cache
+def _table(bits: int) -> np.ndarray:
+    return _stirling(np.arange(1 << bits, dtype=np.float64))
+
+
+def log_factorial(x: np.ndarray) -> np.ndarray:
+    """From a table (at most 8 MB) if all numbers are below 2 ** 20."""
+    x = np.asarray(x, np.int64)
+    bits = int(x.max(initial=0)).bit_length()
+    return _table(max(12, bits))[x] if bits <= 20 else _stirling(x.astype(np.float64))
 
 
-def _log_hypergeometric(k, n, left, right):
-    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
-    return choose(left, k) + choose(right, n - k) - choose(left + right, n)
+def _log_terms(n, left, right, replace):
+    """Logarithm of the probability that ``k`` of ``n`` draws go left, as a function of (k, own), own being the row of n, left, right."""
+    if replace:
+        fixed, p, q = log_factorial(n), np.log(left / (left + right)), np.log(right / (left + right))
+        return lambda k, own: fixed[own] - log_factorial(k) - log_factorial(n[own] - k) + k * p[own] + (n[own] - k) * q[own]
+    fixed = log_factorial(left) + log_factorial(right) + log_factorial(n) + log_factorial(left + right - n) - log_factorial(left + right)
+    return lambda k, own: fixed[own] - log_factorial(k) - log_factorial(left[own] - k) - log_factorial(n[own] - k) - log_factorial(right[own] - n[own] + k)
 
 
 def went_left(n: np.ndarray, left: np.ndarray, right: np.ndarray, u: np.ndarray, replace: bool) -> np.ndarray:
@@ -71,7 +83,7 @@ def went_left(n: np.ndarray, left: np.ndarray, right: np.ndarray, u: np.ndarray,
     width = last - first + 1
     order = np.argsort(which, kind="stable")
     bound = np.searchsorted(which[order], np.arange(len(kinds) + 1))
-    log_p = _log_binomial if replace else _log_hypergeometric
+    log_p = _log_terms(kinds[:, 0], kinds[:, 1], kinds[:, 2], replace)
     at = 0
     while at < len(kinds):
         end = max(at + 1, int(np.searchsorted(np.cumsum(width[at:]), CELLS, side="right")) + at)
@@ -79,7 +91,7 @@ def went_left(n: np.ndarray, left: np.ndarray, right: np.ndarray, u: np.ndarray,
         start = np.concatenate([[0], np.cumsum(w)])
         own = np.repeat(np.arange(end - at), w)
         k = np.arange(start[-1]) - start[own] + first[at:end][own]
-        term = np.exp(log_p(k.astype(np.float64), m[at:end][own], a[at:end][own], b[at:end][own]))
+        term = np.exp(log_p(k, own + at))
         total = np.cumsum(term)
         total -= np.concatenate([[0.0], total])[start[:-1]][own]
         rows = order[bound[at]:bound[end]]
@@ -121,6 +133,7 @@ def order_statistics(placed: DataFrame, draws: DataFrame, wanted: DataFrame, gro
     if top is None:
         return wanted.withColumn("_x", F.lit(None).cast("double"))
     shift = -(-max(int(top).bit_length(), 1) // STEP) * STEP
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     here, node = [*group, "_rep"], F.lit(0).cast("bigint").alias("_node")
     state, targets = draws.filter("_n > 0").select(*here, "_c", "_n", node), wanted.select(*here, "_t", "_k", node)
     first = F.concat_ws("|", F.lit(str(seed)), *[F.col(g).cast("string") for g in group], F.col("_rep").cast("string"), "_c")
@@ -129,7 +142,8 @@ def order_statistics(placed: DataFrame, draws: DataFrame, wanted: DataFrame, gro
         weights = placed.groupBy(*group, "_c", F.shiftright("_pos", shift).alias("_node")).agg(
             F.array(*[F.count_if(child == i) for i in range(1 << STEP)]).alias("_w"))
         split = F.pandas_udf(lambda a, b, c, d, s=shift: _children(a, b, c, d, s), "array<bigint>")
-        fallen = state.join(weights, [*group, "_c", "_node"]).select(*here, "_c", "_node", split(first, F.col("_node"), F.col("_n"), F.col("_w")).alias("_s"))
+        # few bytes but much arithmetic: dealt by number, so that adaptive execution does not put the rows together
+        fallen = state.join(weights, [*group, "_c", "_node"]).repartition(parts, *here, "_c", "_node").select(*here, "_c", "_node", split(first, F.col("_node"), F.col("_n"), F.col("_w")).alias("_s"))
         fallen = cut_lineage(fallen.select(*here, "_c", "_node", F.posexplode("_s").alias("_i", "_n")).filter("_n > 0"))
         sums = fallen.groupBy(*here, "_node", "_i").agg(F.sum("_n").alias("_n"))
         sums = sums.groupBy(*here, "_node").agg(F.sort_array(F.collect_list(F.struct("_i", "_n"))).alias("_all"))       # at most 16
