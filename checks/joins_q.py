@@ -86,6 +86,30 @@ def growth_pairs(spark, d):
     return pair(o, order="object_id")
 
 
+_MATCH = _EDGE.replace("SELECT a.object_id AS t0_id", "SELECT a.pair_key, a.object_id AS t0_id").replace("WITH g AS", "WITH RECURSIVE g AS MATERIALIZED") + """, r AS MATERIALIZED (
+    SELECT pair_key, t0_id, dense_rank() OVER (PARTITION BY pair_key ORDER BY t0_id) AS i, t7_id, dist FROM e WHERE dist <= lim), top AS (SELECT pair_key, max(i) AS top FROM r GROUP BY 1),
+  w AS (SELECT pair_key, 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS n, 0.0::DOUBLE AS total, []::STRUCT(a BIGINT, b BIGINT, d DOUBLE)[] AS picks FROM top
+    UNION ALL SELECT pair_key, i, used, any_value(n), min(total), arg_min(picks, total) FROM (
+      SELECT w.pair_key, w.i + 1 AS i, list_sort(list_append(w.used, r.t7_id)) AS used, w.n + 1 AS n, w.total + r.dist AS total, list_append(w.picks, struct_pack(a := r.t0_id, b := r.t7_id, d := r.dist)) AS picks
+      FROM w JOIN r ON r.pair_key = w.pair_key AND r.i = w.i + 1 WHERE NOT list_contains(w.used, r.t7_id)
+      UNION ALL SELECT w.pair_key, w.i + 1, w.used, w.n, w.total, w.picks FROM w JOIN top ON top.pair_key = w.pair_key WHERE w.i < top.top) GROUP BY pair_key, i, used),
+  best AS (SELECT w.pair_key, picks FROM w JOIN top ON top.pair_key = w.pair_key AND w.i = top.top QUALIFY row_number() OVER (PARTITION BY w.pair_key ORDER BY n DESC, total) = 1),
+  mt AS MATERIALIZED (SELECT pair_key, p.a AS t0_id, p.b AS t7_id, p.d AS dist, row_number() OVER (PARTITION BY pair_key ORDER BY p.a) AS pn FROM (SELECT pair_key, unnest(picks) AS p FROM best))"""
+
+
+@query("optimal_matching_j3", _MATCH + " SELECT t0_id, t7_id, round(dist, 6) AS distance FROM mt", "v_gated")
+def optimal_matching_q(spark, d):
+    got = m.optimal_matching(_edges(spark, d), "a_object_id", "b_object_id")
+    return got.select(F.col("a_object_id").alias("t0_id"), F.col("b_object_id").alias("t7_id"), r("distance").alias("distance"))
+
+
+@query("matched_pair_ids_j5", _MATCH + """, p AS (SELECT t0_id AS oid, CAST(pair_key AS VARCHAR) || '_pair' || pn AS pid FROM mt UNION ALL SELECT t7_id, CAST(pair_key AS VARCHAR) || '_pair' || pn FROM mt)
+  SELECT object_id, CASE WHEN qc_flag = 'FAIL' THEN 'UNPAIRED' ELSE coalesce(pid, 'UNPAIRED') END AS pair_id FROM v_gated LEFT JOIN p ON oid = object_id""", "v_gated")
+def matched_pair_ids(spark, d):
+    """Pair ids of all objects, from the optimal matching."""
+    return growth_pairs(spark, d)[1].select("object_id", "pair_id")
+
+
 @query("optimal_pairs_j3")
 def optimal_pairs(spark, d):
     p, _ = growth_pairs(spark, d)

@@ -4,33 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from replistat.functions.geometry import growth
 from replistat.operators import matching as m, rollup as ru
-from replistat.operators.gates import pair_gate, reason_text
 from replistat.params import Inference
 from replistat.plans.growth import condition_summary, pair_population
 from replistat.session import cut_lineage
 
 from . import views as v
 from .columns_q import manifest
-from .joins_q import growth_pairs
+from .joins_q import _MATCH, growth_pairs
 from .registry import query
 from .views import big, r
 
 
-def simple_pairs(spark, d):
-    """One pair per key made of its first accepted object at each timepoint."""
-    o = v.gated(spark, d).filter("qc_flag <> 'FAIL'")
-    at = lambda tp, c: F.min_by(F.col(c), F.when(F.col("timepoint") == tp, F.col("object_id")))
-    g = o.groupBy("cond", "replicate", "pair_key", "fov").agg(*[
-        at(tp, c).alias(f"{tp}_{n}") for tp in ("t0", "t7") for c, n in (("volume_sphere_um3", "volume_sphere_um3"), ("equivalent_diameter_um", "eq_diameter_um"), ("qc_flag", "qc_flag"))])
-    g = g.dropna().withColumns(growth("t0_volume_sphere_um3", "t7_volume_sphere_um3", "t0_eq_diameter_um", "t7_eq_diameter_um"))
-    return pair_gate(g).withColumn("qc_reasons", reason_text("qc_codes")).withColumnRenamed("cond", "condition")
+def matched_pairs(spark, d):
+    """The pairs of the optimal matching with their changes and flags."""
+    return cut_lineage(growth_pairs(spark, d)[0])
 
 
-_PAIR = """WITH k AS (SELECT cond AS condition, replicate, pair_key, fov, arg_min(volume_sphere_um3, object_id) FILTER (WHERE timepoint = 't0') AS v0, arg_min(volume_sphere_um3, object_id) FILTER (WHERE timepoint = 't7') AS v7,
-    arg_min(equivalent_diameter_um, object_id) FILTER (WHERE timepoint = 't0') AS d0, arg_min(qc_flag, object_id) FILTER (WHERE timepoint = 't0') AS f0, arg_min(qc_flag, object_id) FILTER (WHERE timepoint = 't7') AS f7
-  FROM v_gated WHERE qc_flag <> 'FAIL' GROUP BY ALL),
+_PAIR = _MATCH + """, k AS (SELECT a.cond AS condition, a.replicate, a.pair_key, a.volume_sphere_um3 AS v0, b.volume_sphere_um3 AS v7, a.equivalent_diameter_um AS d0, a.qc_flag AS f0, b.qc_flag AS f7
+    FROM mt JOIN v_gated a ON a.object_id = t0_id JOIN v_gated b ON b.object_id = t7_id),
   pr AS (SELECT *, v7 / greatest(v0, 1e-6) AS fc, v7 - v0 AS dv, d0 >= 60 AS ok, CASE WHEN f0 = 'REVIEW' OR f7 = 'REVIEW' OR v7 / v0 < 0.1 OR v7 / v0 > 20 THEN 'REVIEW' ELSE 'PASS' END AS flag,
     v7 / v0 < 0.1 OR v7 / v0 > 20 AS extreme FROM k WHERE v0 IS NOT NULL AND v7 IS NOT NULL)"""
 
@@ -41,7 +33,7 @@ _PAIR = """WITH k AS (SELECT cond AS condition, replicate, pair_key, fov, arg_mi
     round(median(fc), 6) AS fold_change_median, round(quantile_cont(fc, 0.75) - quantile_cont(fc, 0.25), 6) AS fold_change_iqr, round(avg(fc), 6) AS fold_change_mean, round(stddev_samp(fc), 6) AS fold_change_std, round(median(log2(fc)), 6) AS log2fc_median
     FROM pr WHERE ok AND flag = 'PASS' GROUP BY 1) USING (condition)""", "v_gated")
 def condition_population(spark, d):
-    s = pair_population(simple_pairs(spark, d))
+    s = pair_population(matched_pairs(spark, d))
     return s.select("condition", "n_matched_pairs", "n_pass_pairs", "n_denominator_excluded", "n_review_pairs", "n_gels", "n_spheroids",
                     *[r(c, 3).alias(c) for c in ("v0_median_um3", "v0_iqr_um3", "delta_v_median_um3")],
                     *[r(c).alias(c) for c in ("fold_change_median", "fold_change_iqr", "fold_change_mean", "fold_change_std", "log2fc_median")])
@@ -51,7 +43,7 @@ def condition_population(spark, d):
 def condition_summary_q(spark, d):
     p, o = growth_pairs(spark, d)
     p = cut_lineage(p)
-    s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA", n_boot=200))
+    s = condition_summary(p, o.withColumn("seg_backend", F.lit("classical")), Inference(control="AFRICA"))
     return s.select("condition", "n_spheroids", "n_gels", r("fold_change_median").alias("fc"), r("log2fc_ci_95_low").alias("lo"), r("log2fc_ci_95_high").alias("hi"),
                     r("p_raw").alias("p_raw"), r("p_adj").alias("p_adj"), "significance", "backend_counts", "ci_method")
 
@@ -71,7 +63,7 @@ def backend_mix(spark, d):
   SELECT 'E9', 'E9_extreme_trajectory_review', e9 FROM q UNION ALL SELECT 'E10', 'E10_final_pass_pairs', e10 FROM q""", "v_gated")
 def exclusion_audit(spark, d):
     o = v.gated(spark, d).withColumn("pair_id", F.when(F.col("plane") == 0, "UNPAIRED").otherwise("x"))
-    return ru.exclusion_audit(o, simple_pairs(spark, d))
+    return ru.exclusion_audit(o, matched_pairs(spark, d))
 
 
 def _well_fields(o):

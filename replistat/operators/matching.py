@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import growth, num
 from ..params import DUPLICATE_DISTANCE_PX, PairGate
 from ..session import cut_lineage
+from .assignment import best_matching
 from .gates import REJECTED, pair_gate
 from .graph import connected_components, greedy_losers
 from .near import near_pairs
@@ -121,11 +122,12 @@ def _assignment():
     return solve
 
 
-def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance") -> DataFrame:
+def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance", one_task: int = 20_000) -> DataFrame:
     """Best matching of an edge table: as many pairs as possible, then the least total distance.
 
     The optimum splits over connected components. Components of one edge, nearly all in practice,
-    never leave Spark expressions; the others go to a small solver, one component per group.
+    never leave Spark expressions; those of up to ``one_task`` edges go to a small solver, one component per group;
+    larger ones are reduced in rounds over all of Spark (``assignment``).
     """
     edges = edges.select(F.col(a).alias("a_id"), F.col(b).alias("b_id"), F.col(distance).alias("distance"))
     lone, rest = lone_edges(edges, "a_id", "b_id")
@@ -136,7 +138,12 @@ def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance
     comp = connected_components(nodes, tagged, "_node", "_p", "_q")
     rest = rest.join(comp, F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")) == F.col("_node"))
     schema = rest.select("a_id", "b_id", "distance").schema
-    solved = rest.select("component", "a_id", "b_id", "distance").groupBy("component").applyInPandas(_assignment(), schema)
+    rest = cut_lineage(rest.select("component", "a_id", "b_id", "distance"))
+    large = cut_lineage(rest.groupBy("component").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > one_task).select("component"))
+    if not large.isEmpty():
+        reduced = best_matching(rest.join(large, "component", "left_semi"))
+        lone, rest = lone.select("a_id", "b_id", "distance").unionByName(reduced), rest.join(large, "component", "left_anti")
+    solved = rest.groupBy("component").applyInPandas(_assignment(), schema)
     return lone.unionByName(solved).select(F.col("a_id").alias(a), F.col("b_id").alias(b), F.col("distance").alias(distance))
 
 
