@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -17,67 +18,126 @@ EVENT = "conv_id long, turn long, seq int, kind string, role string, call_id str
 KEY = ["conv_id", "call_id"]
 
 
+LONE = re.compile("[\ud800-\udfff]")
+#: Keywords of a schema that say nothing about validity.
+NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"}
+
+
+def storable(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 cannot hold, as escapes."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no spaces, text unescaped where allowed; a value has one form only."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return storable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def loads(text: str | None) -> Any:
-    """A JSON value; NaN and infinities are errors, as canonical JSON has none."""
+    """A JSON value; NaN, infinities and numbers beyond any double are errors, as canonical JSON has none."""
     def refuse(_: str) -> None:
         raise ValueError("no number")
-    return json.loads(text or "", parse_constant=refuse)
 
+    def number(digits: str) -> float:
+        return float(digits) if math.isfinite(float(digits)) else refuse(digits)
+
+    return json.loads(text or "", parse_constant=refuse, parse_float=number)
 
-def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """What ``value`` breaks of a JSON schema: type, enum, required, properties, additionalProperties, items, bounds, lengths, pattern."""
+
+def same(a: Any, b: Any) -> bool:
+    """Equal as JSON: 1 equals 1.0, but not true."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def violations(value: Any, schema: Any, at: str = "$") -> list[str]:
+    """What ``value`` breaks of a JSON schema.
+
+    Read: true and false, type, enum, const, anyOf, allOf, properties, required, additionalProperties, items, minItems, maxItems,
+    minimum, maximum and their exclusive forms, minLength, maxLength, pattern. Any other keyword that is no note is itself an error.
+    """
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-    want = schema.get("type")
-    if want is not None:
-        options = want if isinstance(want, list) else [want]
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if not any(number and (k == "number" or float(value).is_integer()) if k in ("number", "integer") else isinstance(value, kinds.get(k, object)) for k in options):
-            return [f"{at}: not of type {'/'.join(options)}"]
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
     out = []
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at}: not one of the values")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-    elif isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            out += violations(x, schema["items"], f"{at}[{i}]")
-    elif isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-            out.append(f"{at}: length")
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            out.append(f"{at}: pattern")
-    elif isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        out.append(f"{at}: out of bounds")
+    for key, want in schema.items():
+        if key == "type":
+            options = want if isinstance(want, list) else [want]
+            whole = number and (isinstance(value, int) or value.is_integer())
+            if not any(number if k == "number" else whole if k == "integer" else isinstance(value, kinds[k]) for k in options):
+                return [f"{at}: not of type {'/'.join(options)}"]
+        elif key == "enum":
+            out += [] if any(same(value, x) for x in want) else [f"{at}: not one of the values"]
+        elif key == "const":
+            out += [] if same(value, want) else [f"{at}: not the value"]
+        elif key == "anyOf":
+            out += [] if any(not violations(value, x, at) for x in want) else [f"{at}: none of the forms"]
+        elif key == "allOf":
+            out += [e for x in want for e in violations(value, x, at)]
+        elif key == "required":
+            out += [f"{at}.{k}: missing" for k in want if isinstance(value, dict) and k not in value]
+        elif key == "properties":
+            out += [e for k in sorted(want) if isinstance(value, dict) and k in value for e in violations(value[k], want[k], f"{at}.{k}")]
+        elif key == "additionalProperties":
+            for k in sorted(value) if isinstance(value, dict) and want is not True else []:
+                if k not in schema.get("properties", {}):
+                    out += [f"{at}.{k}: unknown"] if want is False else violations(value[k], want, f"{at}.{k}")
+        elif key == "items":
+            out += [e for i, x in enumerate(value if isinstance(value, list) else []) for e in violations(x, want, f"{at}[{i}]")]
+        elif key in ("minItems", "maxItems"):
+            out += [f"{at}: number of items"] if isinstance(value, list) and (len(value) < want if key == "minItems" else len(value) > want) else []
+        elif key in ("minLength", "maxLength"):
+            out += [f"{at}: length"] if isinstance(value, str) and (len(value) < want if key == "minLength" else len(value) > want) else []
+        elif key == "pattern":
+            out += [f"{at}: pattern"] if isinstance(value, str) and not re.search(want, value) else []
+        elif key in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"):
+            beyond = {"minimum": lambda: value < want, "maximum": lambda: value > want, "exclusiveMinimum": lambda: value <= want, "exclusiveMaximum": lambda: value >= want}[key]
+            out += [f"{at}: out of bounds"] if number and beyond() else []
+        elif key not in NOTES:
+            out.append(f"{at}: keyword {key} is not read")
     return out
 
 
+def broken(value: Any, schema: str) -> list[str]:
+    """``violations`` of a schema text, sorted; a schema that cannot be used is an error of its own."""
+    try:
+        return sorted(storable(e) for e in violations(value, loads(schema)))
+    except (ValueError, TypeError, KeyError, AttributeError, RecursionError, re.error):
+        return ["schema: not usable"]
+
+
+def read_call(call: Any) -> dict:
+    """One tool call; name and arguments may stand in a nested ``function``."""
+    call = call if isinstance(call, dict) else {}
+    inner = {**call, **call["function"]} if isinstance(call.get("function"), dict) else call
+    args, after = inner.get("arguments"), call.get("after")
+    text = lambda x: None if x is None else storable(x) if isinstance(x, str) else canonical(x)
+    return {"kind": "call", "call_id": text(call.get("id")), "name": text(inner.get("name")), "body": storable(args) if isinstance(args, str) else canonical(args),
+            "after": [text(x) for x in after if x is not None] if isinstance(after, list) else []}
+
+
 def read_message(role: str | None, text: str | None) -> list[dict]:
-    """The events of one message: tool calls, a tool result, or the message itself."""
+    """The events of one message: what it says, its tool calls, or a tool result.
+
+    A message with calls that also has content, or whose list of calls is empty, is a message event too.
+    """
     try:
         said = loads(text) if (text or "").lstrip()[:1] == "{" else None
     except (ValueError, RecursionError):
         said = None
     if isinstance(said, dict) and isinstance(said.get("tool_calls"), list):
-        out = []
-        for c in said["tool_calls"]:
-            c = c if isinstance(c, dict) else {}
-            args, after = c.get("arguments"), c.get("after")
-            out.append({"kind": "call", "call_id": str(c["id"]) if c.get("id") is not None else None, "name": str(c["name"]) if c.get("name") is not None else None,
-                        "body": args if isinstance(args, str) else canonical(args), "after": [str(x) for x in after] if isinstance(after, list) else []})
-        return out
+        calls = [read_call(c) for c in said["tool_calls"]]
+        spoken = said.get("content") is not None or not calls
+        return [{"kind": "message", "body": canonical(said.get("content")), "after": []}] * spoken + calls
     if isinstance(said, dict) and said.get("tool_call_id") is not None:
-        return [{"kind": "result", "call_id": str(said["tool_call_id"]), "body": canonical(said.get("content")), "after": []}]
+        id_ = said["tool_call_id"]
+        return [{"kind": "result", "call_id": storable(id_) if isinstance(id_, str) else canonical(id_), "body": canonical(said.get("content")), "after": []}]
     return [{"kind": "message", "body": canonical(text), "after": []}]
 
 
@@ -176,7 +236,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
                     if e["schema"] is None:
                         wrong.append("no schema")
                     elif not wrong:
-                        wrong += violations(body, json.loads(e["schema"]))
+                        wrong += broken(body, e["schema"])
                     said = {"type": "call", "id": e["call_id"], "name": e["name"], "arguments": body}
                 elif e["kind"] == "result":
                     said = {"type": "result", "id": e["call_id"], "content": body}
@@ -194,12 +254,19 @@ REPLY = {"type": "object", "properties": {"text": {"type": "string", "minLength"
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
-    """Turns as tool messages: a user turn calls ``reply`` under the id conv:turn, an assistant turn is the result for the turn before it."""
+    """Turns as tool messages, where they hold no tool JSON of their own.
+
+    A user turn calls ``reply`` under the id conv:turn, and an assistant turn is the result for the turn before it. Eight turns
+    make an exchange, in which a call comes after the one two turns before, if there is one.
+    """
     id_ = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     args = F.struct(F.col("text"), F.col("turn"))
-    call = F.to_json(F.struct(F.array(F.struct(id_(F.col("turn")).alias("id"), F.lit("reply").alias("name"), args.alias("arguments"))).alias("tool_calls")), {"ignoreNullFields": "false"})
+    after = F.when(F.floor(F.col("turn") / 2) % 4 > 0, F.array(id_(F.col("turn") - 2)))
+    call = F.to_json(F.struct(F.array(F.struct(id_(F.col("turn")).alias("id"), F.lit("reply").alias("name"), args.alias("arguments"), after.alias("after"))).alias("tool_calls")), {"ignoreNullFields": "false"})
     result = F.to_json(F.struct(id_(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")), {"ignoreNullFields": "false"})
-    return conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+    own = F.coalesce(F.get_json_object("text", "$.tool_calls").isNotNull() | F.get_json_object("text", "$.tool_call_id").isNotNull(), F.lit(False))
+    made = F.when(own, F.col("text")).when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", "role", made.alias("text"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,17 +278,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_chat_format": op9_chat_format}
 ORACLE = {
     "op9_chat_format": """
-WITH e AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+WITH RECURSIVE e AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
        CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id FROM conversations),
-c AS (SELECT call_id, min(struct_pack(turn := turn, text := text)) AS own FROM e WHERE kind = 'call' GROUP BY call_id),
-r AS (SELECT call_id FROM e WHERE kind = 'result' GROUP BY call_id)
+c AS (SELECT call_id, min(struct_pack(turn := turn, text := text)) AS own, any_value(conv_id) AS conv_id, min(turn) AS turn FROM e WHERE kind = 'call' GROUP BY call_id),
+r AS (SELECT call_id FROM e WHERE kind = 'result' GROUP BY call_id),
+l AS (SELECT c.call_id, c.conv_id, c.turn, 0 AS level FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND (c.turn // 2) % 4 > 0 WHERE p.call_id IS NULL
+  UNION ALL SELECT c.call_id, c.conv_id, c.turn, l.level + 2 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 AND (c.turn // 2) % 4 > 0)
 SELECT e.conv_id, e.turn, e.kind, e.call_id,
        CASE e.kind WHEN 'message' THEN 'message' WHEN 'result' THEN CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END
             ELSE CASE WHEN e.text IS DISTINCT FROM c.own.text THEN 'duplicate' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END END AS status,
-       e.turn AS place, CASE WHEN e.kind = 'result' AND c.call_id IS NOT NULL THEN 1 ELSE 0 END AS level,
+       e.turn AS place, CASE WHEN e.kind = 'result' AND c.call_id IS NOT NULL THEN l.level + 1 WHEN e.kind = 'call' THEN l.level ELSE 0 END AS level,
        CASE WHEN e.kind = 'call' AND coalesce(e.text, '') = '' THEN 1 ELSE 0 END AS n_errors,
        CASE e.kind WHEN 'call' THEN '{"arguments":{"text":' || coalesce(to_json(e.text)::VARCHAR, 'null') || ',"turn":' || e.turn || '},"id":"' || e.call_id || '","name":"reply","type":"call"}'
             WHEN 'result' THEN '{"content":' || coalesce(to_json(e.text)::VARCHAR, 'null') || ',"id":"' || e.call_id || '","type":"result"}'
             ELSE '{"content":' || coalesce(to_json(e.text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(e.role)::VARCHAR, 'null') || ',"type":"message"}' END AS line
-FROM e LEFT JOIN c ON e.call_id = c.call_id LEFT JOIN r ON e.call_id = r.call_id""",
+FROM e LEFT JOIN c ON e.call_id = c.call_id LEFT JOIN r ON e.call_id = r.call_id LEFT JOIN l ON e.call_id = l.call_id""",
 }

@@ -145,6 +145,38 @@ def test_chats_link_order_and_validate(spark):
     assert toolchat.format_chats(df.limit(0), schemas).count() == 0
 
 
+def test_chats_with_odd_json_and_schemas(spark):
+    schemas = [("bad", "not json"), ("list", "[1]"), ("pat", '{"properties":{"s":{"pattern":"("}}}'), ("any", '{"anyOf":[{"type":"string"},{"const":1}]}'), ("odd", '{"dependentRequired":{}}'),
+               ("items", '{"type":"array","minItems":2,"items":{"exclusiveMinimum":0}}'), ("no", "false"), ("yes", "true"), ("kind", '{"type":"money"}'), ("enum", '{"enum":[1]}')]
+    call = lambda n, a, i="x": '{"tool_calls":[{"id":"%s","name":"%s","arguments":%s}]}' % (i, n, a)
+    rows = [(1, 0, "assistant", call("bad", "1")), (2, 0, "assistant", call("list", "1")), (3, 0, "assistant", call("pat", '{"s":"a"}')), (4, 0, "assistant", call("any", "2")), (5, 0, "assistant", call("any", "1")),
+            (6, 0, "assistant", call("odd", "{}")), (7, 0, "assistant", call("items", "[0]")), (8, 0, "assistant", call("items", "[1,2]")), (9, 0, "assistant", call("no", "1")), (10, 0, "assistant", call("yes", "1")),
+            (11, 0, "assistant", call("kind", "1")), (12, 0, "assistant", call("enum", "true")), (13, 0, "assistant", call("items", "1" + "0" * 400)),
+            (20, 0, "tool", '{"tool_call_id":"1","content":1e999}'), (21, 0, "user", '{"a":"\\ud800"}'), (22, 0, "tool", '{"tool_call_id":"\\udc00","content":"\\ud800"}'),
+            (23, 0, "assistant", '{"tool_calls":[],"content":"hello"}'), (24, 0, "assistant", '{"content":"aside","tool_calls":[{"id":"q","type":"function","function":{"name":"yes","arguments":"{\\"k\\":1}"}}]}'),
+            (25, 0, "assistant", '{"tool_calls":[{"id":{"a":1},"name":7,"arguments":"\\ud800","after":[null,3]}, null]}')]
+    got = toolchat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), spark.createDataFrame(schemas, "name string, schema string")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["conv_id"], r["seq"])):
+        by.setdefault(r["conv_id"], []).append(r)
+    errors = {c: e[0]["errors"] for c, e in by.items() if c < 20}
+    unusable, fine = ["schema: not usable"], []
+    assert errors == {1: unusable, 2: unusable, 3: unusable, 4: ["$: none of the forms"], 5: fine, 6: ["$: keyword dependentRequired is not read"], 7: ["$: number of items", "$[0]: out of bounds"], 8: fine,
+                      9: ["$: not allowed"], 10: fine, 11: unusable, 12: ["$: not one of the values"], 13: ["$: not of type array"]}
+    assert by[20][0]["kind"] == "message" and by[20][0]["line"] == '{"content":"{\\"tool_call_id\\":\\"1\\",\\"content\\":1e999}","role":"tool","type":"message"}'
+    assert by[22][0]["call_id"] == "\\udc00" and by[22][0]["line"].startswith('{"content":"\\ud800"')
+    assert [(r["kind"], r["line"]) for r in by[23]] == [("message", '{"content":"hello","role":"assistant","type":"message"}')]
+    assert [(r["kind"], r["call_id"]) for r in by[24]] == [("message", None), ("call", "q")] and by[24][1]["line"] == '{"arguments":{"k":1},"id":"q","name":"yes","type":"call"}'
+    assert [(r["kind"], r["call_id"], r["status"]) for r in by[25]] == [("call", '{"a":1}', "unanswered"), ("call", None, "no_id")]
+
+
+def test_own_tool_json_of_turns_is_read(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"own","name":"f","arguments":{}}]}'), (1, 2, "user", "more"), (1, 3, "assistant", "yes"), (1, 4, "user", '{"tool_call_id":"own","content":2}')]
+    got = toolchat.format_chats(toolchat.as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), spark.createDataFrame([("f", "{}")], "name string, schema string")).collect()
+    assert {r["turn"]: (r["kind"], r["call_id"], r["status"], r["level"]) for r in got} == {
+        0: ("call", "1:0", "unanswered", 0), 1: ("call", "own", "linked", 0), 2: ("call", "1:2", "linked", 2), 3: ("result", "1:2", "linked", 3), 4: ("result", "own", "linked", 1)}
+
+
 def test_canonical_json():
     assert toolchat.canonical(toolchat.loads('{ "b": 1.0, "a": "\\u00e9\\n" }')) == '{"a":"é\\n","b":1.0}'
     with pytest.raises(ValueError):
