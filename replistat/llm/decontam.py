@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from replistat.llm.common import packed, row_key, table, written
 
-WIDTH, LEAST = 8, 4  # words of a window; shorter items form one window of their own, down to LEAST words
+WIDTH, LEAST = 8, 4  # words of a window; shorter items form one window of their own, and below LEAST words only a whole document matches
 NEED = 6  # this many windows of an item, or half of them, make a document contaminated
 PART = 4_000_000  # characters worked on at once
 FILTER_BITS = 23  # the window filter is a bitmap of 2**FILTER_BITS bits, 1 MiB, whatever the benchmark's size
@@ -85,7 +85,8 @@ def _rows(batches: Iterator[pa.RecordBatch], widths: list[int], bitmap: np.ndarr
     """(id, h, pos, slots, words) of windows; for items every window, for documents those in the bitmap.
 
     A window with slots comes a second time by its lower-case words, without slots: verbatim copies meet
-    there in any case of letters.
+    there in any case of letters. Where more than half of the words are slots it comes only so, as
+    placeholders alone would meet any table of numbers.
     """
     for rb in batches:
         texts = [t or "" for t in rb.column("text").to_pylist()]
@@ -99,13 +100,15 @@ def _rows(batches: Iterator[pa.RecordBatch], widths: list[int], bitmap: np.ndarr
             before = np.concatenate([[0], np.cumsum(slot > 0)])
             for width, folded in ((w, f) for w in widths for f in (False, True)):
                 start, hashes = window_hashes(bare if folded else h, owner, width)
+                whole = count[owner[start]] == width
                 if per_item:  # an item shorter than a window is one window
-                    ok = (count[owner[start]] == width) | (width == WIDTH)
+                    ok = whole | (width == WIDTH)
                 else:
                     bit = hashes >> np.uint64(64 - FILTER_BITS)
                     ok = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                if folded:
-                    ok &= before[start + width] > before[start]
+                    ok &= whole | (width >= LEAST)  # a shorter item is found only where it is all there is
+                held = before[start + width] - before[start]
+                ok &= held > 0 if folded else 2 * held <= width
                 start, hashes = start[ok], hashes[ok]
                 if not start.size:
                     continue
@@ -155,17 +158,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_: Column, item_id: str = "i
     dropped, unless they equal the item's word for word in any case of letters; those always count. A
     pair counts with NEED windows of the item, or half of them.
 
-    Null or empty texts have no windows; items under LEAST words are not searched for. Repeated items
-    are reported each; repeated document ids are one document. Empty tables give an empty result.
+    Null or empty texts have no windows; an item under LEAST words is found in documents that say nothing
+    else. Repeated items are reported each; rows that repeat ``id_`` are one document, so ids that may be null or
+    repeat are given as ``row_key``. Empty tables give an empty result.
     """
-    widths = list(range(LEAST, WIDTH + 1))
+    widths = list(range(1, WIDTH + 1))
     marks = written(windows(items, F.col(item_id), F.col(text_col), widths))
     bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     words = marks.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 AS INT))")).alias("m"))
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for w, m in words.collect():  # at most 2**17 rows
         bitmap[w] = m
-    used = [r[0] for r in marks.select(F.least("words", F.lit(WIDTH)).alias("n")).distinct().collect()]  # at most five
+    used = [r[0] for r in marks.select(F.least("words", F.lit(WIDTH)).alias("n")).distinct().collect()]  # at most eight
     hits = windows(docs, id_, F.col(text_col), sorted(used), bitmap.view(np.uint64))
     m = marks.select(F.col("id").alias("item"), "h", F.col("pos").alias("q"), F.col("slots").alias("q_slots"), (F.greatest(F.col("words") - WIDTH, F.lit(0)) + 1).alias("n_windows"))
     pairs = hits.join(m, "h").filter(F.size("slots") == F.size("q_slots")).select("id", "item", "n_windows", "q", (F.col("pos") - F.col("q")).alias("diagonal"), F.arrays_zip("q_slots", "slots").alias("z"))
@@ -185,7 +189,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return find_leaks(docs, items, F.col("doc_id")).select(F.col("id").alias("doc_id"), "item_id", "n_windows", "n_matched")
+    found = find_leaks(docs, items, row_key(F.col("doc_id"), F.col("text")))
+    return found.select(F.when(~F.col("id.missing"), F.col("id.id")).alias("doc_id"), "item_id", "n_windows", "n_matched")
 
 
 QUERIES = {"op6_decontamination": op6_decontamination}
