@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "object_gate_g1", "image_limits_and_ids_g3", "admissible_edges_j3", "condition_population_a2",
-    "population_summary_a7", "cohort_flags_a12", "image_deltas_a17", "region_growth_test", "cluster_bootstrap_r1", "holm_r6", "focus_measures_h3",
+    "population_summary_a7", "cohort_flags_a12", "image_deltas_a17", "region_growth_test", "cluster_bootstrap_r1", "median_bootstrap_r2", "observation_permutation_r5", "optimal_matching_j3", "holm_r6", "focus_measures_h3",
     "file_name_parsing_f3", "duplicate_edges_j6", "overlap_edges_j7", "connected_regions_h12",
 ]
 LONG_S = 40

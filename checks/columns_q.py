@@ -259,6 +259,28 @@ def scale_from_pages(spark, d):
     return c.select("image_id", r("pixel_size_um").alias("pixel_size_um"), "scale_source", "is_calibrated")
 
 
+@query("four_sources_c4", """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4.0 AS k FROM events),
+  c AS (SELECT event_id, 1 AS pr, k AS um, 'evos_tag_37510' AS src, false AS screen FROM e WHERE event_id % 2 = 0 AND k > 0
+    UNION ALL SELECT event_id, 2, k * 2, 'OME-XML Tag 270', false FROM e WHERE event_id % 3 = 0
+    UNION ALL SELECT event_id, 3, k / 8, 'ImageJ metadata', false FROM e WHERE event_id % 3 = 1 AND k > 0
+    UNION ALL SELECT event_id, 4, 25400.0 / (k * 12), CASE WHEN abs(k * 12 - 72) < 1 OR abs(k * 12 - 96) < 1 THEN concat(CAST(k * 12 AS BIGINT), ' DPI screen default') ELSE 'TIFF Resolution Tags' END,
+      abs(k * 12 - 72) < 1 OR abs(k * 12 - 96) < 1 FROM e WHERE event_id % 5 < 3 AND k * 12 > 1),
+  g AS (SELECT *, um BETWEEN 0.05 AND 20 AND NOT screen AS good FROM c),
+  b AS (SELECT event_id, arg_min(um, pr) FILTER (WHERE good) AS um, arg_min(src, pr) FILTER (WHERE good) AS src, arg_min(CASE WHEN screen THEN src ELSE src || ' implausible' END, pr) AS refused FROM g GROUP BY 1)
+  SELECT e.event_id AS image_id, round(coalesce(um, 1.518817), 6) AS pixel_size_um, coalesce(src, CASE WHEN refused IS NULL THEN 'config_default_uncalibrated' ELSE 'config_default_uncalibrated (' || refused || ')' END) AS scale_source,
+    um IS NOT NULL AS is_calibrated FROM e LEFT JOIN b ON b.event_id = e.event_id""")
+def four_sources(spark, d):
+    """Vendor JSON, OME-XML or ImageJ text, and TIFF resolution side by side: the first plausible one in order of priority."""
+    k = F.get_json_object("props", "$.k").cast("double") / 4.0
+    n, text = F.col("event_id"), lambda x: x.cast("decimal(20,6)").cast("string")
+    e = v.table(spark, d, "events").select(
+        n.alias("image_id"), F.when(n % 2 == 0, F.concat(F.lit('{"PixelSize": '), text(k), F.lit("}"))).alias("tag_37510"),
+        F.when(n % 3 == 0, F.concat(F.lit('<OME xmlns="x"><Image><Pixels PhysicalSizeX="'), text(k * 2), F.lit('"/></Image></OME>')))
+        .when(n % 3 == 1, F.concat(F.lit("ImageJ=1.53\nunit=um\npixelWidth="), text(k / 8))).alias("tag_270"),
+        F.when(n % 5 < 3, k * 12).alias("x_resolution"), F.lit(2).alias("resolution_unit"))
+    return cal.resolve(e).select("image_id", r("pixel_size_um").alias("pixel_size_um"), "scale_source", "is_calibrated")
+
+
 # ---------------------------------------------------------------- sources
 
 def manifest(spark, d):
