@@ -27,9 +27,11 @@ def zonal_statistics(spark, d):
                     r("sum_value", 3).alias("sum_value"), r("major_axis_px").alias("major_axis_px"), r("minor_axis_px").alias("minor_axis_px"), r("eccentricity").alias("eccentricity"))
 
 
-@query("perimeters_h2")
+@query("perimeters_h2", """WITH p AS (SELECT image_id, y, x FROM v_grey WHERE value >= 140), b AS (SELECT p.* FROM p LEFT JOIN p q ON q.image_id = p.image_id AND abs(q.y - p.y) + abs(q.x - p.x) = 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY ALL HAVING count(q.y) < 4),
+  st AS (SELECT i - 1 AS dy, j - 1 AS dx, [1, 2, 10][abs(i - 1) + abs(j - 1) + 1] AS w FROM range(3) a(i), range(3) c(j)), k AS (SELECT image_id, y + dy AS y, x + dx AS x, sum(w) AS c FROM b, st GROUP BY 1, 2, 3)
+  SELECT image_id, round(count(*) FILTER (c IN (5, 7, 15, 17, 25, 27)) + count(*) FILTER (c IN (21, 33)) * sqrt(2) + count(*) FILTER (c IN (13, 23)) * (1 + sqrt(2)) / 2, 6) AS perimeter_px FROM k GROUP BY 1""", "v_grey")
 def perimeters(spark, d):
-    return ra.perimeters(bright(spark, d), ["image_id"])
+    return ra.perimeters(bright(spark, d), ["image_id"]).select("image_id", r("perimeter_px").alias("perimeter_px"))
 
 
 @query("hull_solidity_h2")
@@ -109,6 +111,16 @@ def ring_contrast(spark, d):
     return c.select("image_id", r("mean_interior").alias("mean_interior"), r("mean_ring").alias("mean_ring"), "n_ring", r("contrast_ratio").alias("contrast"))
 
 
+@query("elliptic_ring_h10", """WITH o AS (SELECT image_id, y, x FROM v_grey WHERE value >= 155), st AS (SELECT i - 3 AS dy, j - 3 AS dx FROM range(7) a(i), range(7) b(j) WHERE abs(j - 3) <= [3, 3, 2, 0][abs(i - 3) + 1]),
+  rg AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM o, st), rr AS (SELECT rg.* FROM rg ANTI JOIN o ON o.image_id = rg.image_id AND o.y = rg.y AND o.x = rg.x), m AS (SELECT g.image_id, avg(value) AS mr, count(*) AS n FROM rr JOIN v_grey g ON g.image_id = rr.image_id AND g.y = rr.y AND g.x = rr.x GROUP BY 1)
+  SELECT image_id, round(mi, 6) AS mean_interior, round(mr, 6) AS mean_ring, n AS n_ring, round((mr - mi) / greatest(mr, 1e-4), 6) AS contrast FROM m JOIN (SELECT image_id, avg(value) AS mi FROM v_grey WHERE value >= 155 GROUP BY 1) USING (image_id)""", "v_grey")
+def elliptic_ring(spark, d):
+    """The ring of rounded rows, as objects are grown by default."""
+    p = v.grey(spark, d)
+    c = ra.ring_contrast(p, p.filter("value >= 155").withColumn("label", F.lit(1)), radius=3)
+    return c.select("image_id", r("mean_interior").alias("mean_interior"), r("mean_ring").alias("mean_ring"), "n_ring", r("contrast_ratio").alias("contrast"))
+
+
 @query("blank_correction_h11", """WITH s AS (SELECT image_id, max(y) AS my, count(*) AS n FROM v_grey GROUP BY 1), b AS (SELECT y, x, median(value) AS blank FROM v_grey GROUP BY 1, 2), ok AS (SELECT image_id FROM s WHERE my = (SELECT max(y) FROM b) AND n = (SELECT count(*) FROM b))
   SELECT g.image_id, g.y, g.x, CASE WHEN ok.image_id IS NOT NULL THEN greatest(value - blank, 0) ELSE value END AS corrected, ok.image_id IS NOT NULL AS blank_applied FROM v_grey g JOIN b ON b.y = g.y AND b.x = g.x LEFT JOIN ok ON ok.image_id = g.image_id""", "v_grey")
 def blank_correction(spark, d):
@@ -130,6 +142,32 @@ def compact_labels(spark, d):
     return ra.compact_labels(v.grey(spark, d), label="value").select("image_id", "y", "x", "new_label")
 
 
+_MASK = "mk AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN value < 160 THEN 0 WHEN image_id % 3 = 0 THEN y % 5 + 1 WHEN image_id % 3 = 1 THEN 255 ELSE value END AS value FROM v_grey)"
+_KIND = """kd AS MATERIALIZED (SELECT *, whole AND k BETWEEN 2 AND 1000 AND first = 1 AND top = k AND top <> 255 AS lab FROM (SELECT image_id, count(DISTINCT value) FILTER (value > 0) AS k, max(value) AS top, count(DISTINCT value) AS nv,
+    min(value) FILTER (value > 0) AS first, bool_and(value = floor(value)) AS whole FROM mk GROUP BY 1))"""
+
+
+def masks(spark, d):
+    """Mask images of three kinds: labels, a drawing in two values, a drawing in grey levels."""
+    n, x = F.col("image_id"), F.col("value")
+    return v.grey(spark, d).withColumn("value", F.when(x < 160, 0.0).when(n % 3 == 0, (F.col("y") % 5 + 1).cast("double")).when(n % 3 == 1, 255.0).otherwise(x))
+
+
+@query("mask_kinds_h12", f"WITH {_MASK}, {_KIND} SELECT image_id, lab AS is_label_image, nv AS n_values, CASE WHEN NOT lab THEN CASE WHEN nv <= 2 THEN 0 ELSE top / 2 END END::DOUBLE AS threshold FROM kd", "v_grey")
+def mask_kinds(spark, d):
+    return ra.mask_kind(masks(spark, d))
+
+
+@query("masks_read_h12", f"""WITH RECURSIVE {_MASK}, {_KIND}, f AS MATERIALIZED (SELECT mk.*, lab, y * 64 + x AS p FROM mk JOIN kd USING (image_id) WHERE value > CASE WHEN lab OR nv <= 2 THEN 0 ELSE top / 2 END),
+  e AS MATERIALIZED (SELECT a.image_id, a.p AS a, b.p AS b FROM f a JOIN f b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.p <> b.p WHERE NOT a.lab),
+  reach AS (SELECT image_id, p AS s, p AS t FROM f WHERE NOT lab UNION SELECT q.image_id, q.s, e.b FROM reach q JOIN e ON e.image_id = q.image_id AND e.a = q.t),
+  lb AS (SELECT image_id, p AS s, value AS root FROM f WHERE lab UNION ALL SELECT image_id, s, min(t) FROM reach GROUP BY 1, 2)
+  SELECT image_id, count(DISTINCT root) AS n_labels, count(*) AS n_pixels, max(n) AS largest FROM (SELECT image_id, root, count(*) OVER (PARTITION BY image_id, root) AS n FROM lb) GROUP BY 1""", "v_grey")
+def masks_read(spark, d):
+    c = ra.read_mask(masks(spark, d)).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("n_pixels"), F.max("n").alias("largest"))
+
+
 @query("caller_segmentation_u3")
 def caller_segmentation(spark, d):
     def above_mean(pdf):
