@@ -137,6 +137,13 @@ def distribution_feed(spark, d):
     return f.select("cond", "timepoint", *[r(c, 3).alias(c) for c in ("q1", "med", "q3")], "n", r("low", 3).alias("low"), r("high", 3).alias("high"))
 
 
+@query("trajectory_feed_a23", _PAIR.replace("a.pair_key, a.volume", "a.pair_key, mt.pn, a.volume") + """ SELECT condition, CAST(pair_key AS VARCHAR) || '_pair' || pn AS pair_id, round(v0, 3) AS first_value, round(v7, 3) AS last_value, v7 >= v0 AS grew, count(*) OVER (PARTITION BY condition) AS n_lines
+  FROM pr WHERE flag = 'PASS' AND v0 > 0 AND v7 > 0""", "v_gated")
+def trajectory_feed(spark, d):
+    f = ru.trajectory_feed(matched_pairs(spark, d))
+    return f.select("condition", "pair_id", r("first_value", 3).alias("first_value"), r("last_value", 3).alias("last_value"), "grew", "n_lines")
+
+
 @query("preflight_audit_a24", """WITH i AS (SELECT DISTINCT stem, concat_ws('_', cond, replicate, fov) AS pair_key, concat('t', CAST(day_no AS VARCHAR)) AS timepoint, cond AS condition FROM v_parsed WHERE error IS NULL), f AS (SELECT pair_key, timepoint, count(*) AS k FROM i GROUP BY 1, 2),
   k AS (SELECT pair_key, bool_or(timepoint = 't0') AS a, bool_or(timepoint = 't7') AS b, sum(k - 1) AS dup FROM f GROUP BY 1)
   SELECT 'no_first_timepoint' AS rule, 'fatal' AS severity, CAST(count(*) FILTER (WHERE timepoint = 't0') = 0 AS BIGINT) AS n FROM i UNION ALL SELECT 'no_second_timepoint', 'fatal', CAST(count(*) FILTER (WHERE timepoint = 't7') = 0 AS BIGINT) FROM i

@@ -75,6 +75,19 @@ def ablation_summary(spark, d):
     return s.select("run", "material", r("mean_final").alias("mean_final"), r("mean_density").alias("mean_density"), r("sd_density").alias("sd_density"), "flag_any", r("flag_rate").alias("flag_rate"), "n_images", "flags_list")
 
 
+_PIVOT = ", ".join(f"round(avg(nuclei_per_mm2) FILTER (WHERE run = '{a}'), 6) AS density_mean_{n}, round(stddev_samp(nuclei_per_mm2) FILTER (WHERE run = '{a}'), 6) AS density_sd_{n}, round(avg(n_nuclei) FILTER (WHERE run = '{a}'), 6) AS mean_count_{n}"
+                   for n, a in (("PP00", "401_PP00_none"), ("PP11", "404_PP11_full")))
+
+
+@query("ablation_pivot_a13", _ARM + f" SELECT 'full' AS scope, material, count(DISTINCT image_id) AS n_images, {_PIVOT} FROM a WHERE run LIKE '%PP%' GROUP BY material", "v_field")
+def ablation_pivot(spark, d):
+    a = armed(spark, d)
+    rows = rn.ablation_rows(a.select("run", "image_id", "material", "replicate", "flag_any", "flag_summary"), a.select("run", "image_id", "material", "replicate", "n_nuclei", "nuclei_per_mm2", "peak"))
+    runs = {"401_PP00_none": "PP00", "404_PP11_full": "PP11"}
+    p = rn.ablation_pivot(rows, list(runs), "nuclei_per_mm2", "n_nuclei")
+    return p.select("scope", "material", "n_images", *[r(F.col(f"`{run}_{c}`")).alias(f"{c}_{n}") for run, n in runs.items() for c in ("density_mean", "density_sd", "mean_count")])
+
+
 _T14 = " UNION ALL ".join(f"SELECT '{n}' AS effect, round({e}, 6) AS value FROM m" for n, e in
                           [(f"mean_count_{a}", f"c{a}") for a in ("PP00", "PP10", "PP01", "PP11")] + [(f"flag_pct_{a}", f"f{a}") for a in ("PP00", "PP10", "PP01", "PP11")] + [
                               ("effect_pre_count", "cPP10 - cPP00"), ("effect_post_count", "cPP01 - cPP00"), ("effect_both_count", "cPP11 - cPP00"), ("interaction_count", "(cPP11 - cPP01) - (cPP10 - cPP00)"),

@@ -215,6 +215,16 @@ def distribution_feed(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
                          [F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")])
 
 
+def trajectory_feed(pairs: DataFrame, condition: str = "condition", first: str = "t0_volume_sphere_um3", last: str = "t7_volume_sphere_um3",
+                    flag: str | None = "combined_qc_flag") -> DataFrame:
+    """Both ends of every accepted pair with positive volumes, whether it grew, and the number of lines of its condition."""
+    v0, v7 = num(first), num(last)
+    kept = pairs.filter((F.col(flag) == "PASS") if flag else F.lit(True)).filter((v0 > 0) & (v7 > 0))
+    lines = kept.select(F.col(condition), "pair_id", v0.alias("first_value"), v7.alias("last_value"), (v7 >= v0).alias("grew"))
+    n = kept.groupBy(F.col(condition).alias("_c")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines.join(n, F.col(condition).eqNullSafe(F.col("_c"))).drop("_c")
+
+
 def preflight_rules(rules: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
     """Union of rule results ``(rule, severity, n, sample)``; ``n > 0`` of a fatal rule fails the audit.
 
