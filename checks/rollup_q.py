@@ -13,6 +13,7 @@ from . import views as v
 from .columns_q import manifest
 from .joins_q import _MATCH, growth_pairs
 from .registry import query
+from .resample_q import _EXACT, _bootstrap
 from .views import big, r
 
 
@@ -39,7 +40,12 @@ def condition_population(spark, d):
                     *[r(c).alias(c) for c in ("fold_change_median", "fold_change_iqr", "fold_change_mean", "fold_change_std", "log2fc_median")])
 
 
-@query("condition_summary_a2")
+@query("condition_summary_a2", _PAIR + ", bs AS (SELECT condition AS cond, replicate AS unit, log2(fc) AS value FROM pr WHERE ok AND flag = 'PASS' AND fc > 0), boot AS (" + _bootstrap("unit", 2000).replace("v_unit_value", "bs")
+       + "), perm AS (" + _EXACT.replace("v_unit_value", "bs") + """ SELECT cond, round(p_raw, 6) AS p_raw, round(p_adj, 6) AS p_adj,
+    CASE WHEN p_adj < 0.0001 THEN '****' WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE 'ns' END AS significance FROM h),
+  pop AS (SELECT condition, count(*) AS n_spheroids, count(DISTINCT replicate) AS n_gels, round(median(fc), 6) AS fc FROM pr WHERE ok AND flag = 'PASS' GROUP BY 1), bk AS (SELECT cond, 'classical:' || count(*) AS backend_counts FROM v_gated GROUP BY 1)
+  SELECT condition, n_spheroids, n_gels, fc, ci_low AS lo, ci_high AS hi, p_raw, p_adj, CASE WHEN condition = 'AFRICA' THEN 'control' ELSE significance END AS significance, backend_counts, 'hierarchical_bootstrap_log2' AS ci_method
+  FROM pop JOIN boot ON boot.cond = condition JOIN bk ON bk.cond = condition LEFT JOIN perm ON perm.cond = condition""", "v_gated")
 def condition_summary_q(spark, d):
     p, o = growth_pairs(spark, d)
     p = cut_lineage(p)
