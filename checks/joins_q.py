@@ -110,7 +110,10 @@ def matched_pair_ids(spark, d):
     return growth_pairs(spark, d)[1].select("object_id", "pair_id")
 
 
-@query("optimal_pairs_j3")
+@query("optimal_pairs_j3", _MATCH + """, k AS (SELECT CAST(mt.pair_key AS VARCHAR) || '_pair' || pn AS pair_id, t0_id, t7_id, dist, b.volume_sphere_um3 / greatest(a.volume_sphere_um3, 1e-6) AS fc, a.qc_flag AS f0, b.qc_flag AS f7, a.equivalent_diameter_um >= 60 AS ok
+    FROM mt JOIN v_gated a ON a.object_id = t0_id JOIN v_gated b ON b.object_id = t7_id)
+  SELECT pair_id, t0_id AS t0_object_id, t7_id AS t7_object_id, round(dist, 6) AS distance, round(fc, 6) AS fc, CASE WHEN f0 = 'REVIEW' OR f7 = 'REVIEW' OR fc < 0.1 OR fc > 20 THEN 'REVIEW' ELSE 'PASS' END AS combined_qc_flag,
+    coalesce(nullif(concat_ws('; ', CASE WHEN f0 = 'REVIEW' THEN 't0_REVIEW' END, CASE WHEN f7 = 'REVIEW' THEN 't7_REVIEW' END, CASE WHEN fc < 0.1 THEN 'extreme_shrinkage' WHEN fc > 20 THEN 'extreme_expansion' END, CASE WHEN NOT ok THEN 'sub_denominator_baseline' END), ''), 'None') AS qc_reasons FROM k""", "v_gated")
 def optimal_pairs(spark, d):
     p, _ = growth_pairs(spark, d)
     return p.select("pair_id", "t0_object_id", "t7_object_id", r("centroid_distance_px").alias("distance"), r("fold_change_volume").alias("fc"), "combined_qc_flag", "qc_reasons")
