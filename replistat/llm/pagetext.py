@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,81 +17,135 @@ from pyspark.sql import functions as F
 
 from replistat.llm.common import table
 
-PATH_DIMS, WORD_DIMS, HIDDEN = 192, 48, 24
+PATH_DIMS, WORD_DIMS, HIDDEN = 512, 48, 24
+#: Blocks encoded at one time; longer pages are read in parts that hand on the state.
+PART = 8192
 #: Fixed values of HTML: tags that stay inside a block, tags without content, tags whose content is no text.
-INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del br".split())
+INLINE = frozenset("""a abbr acronym area b bdi bdo big blink br cite code data del dfn em embed font i img ins kbd map mark nobr param picture q rb rp rt rtc ruby s samp
+small source span strike strong sub sup time track tt u var wbr""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style template noscript head title iframe object svg math canvas audio video textarea".split())
+HEAD = frozenset("html head title base link meta style script noscript template".split())
+#: Fixed values of HTML: what an open item, or an open paragraph, cannot be closed across.
+ITEMS = frozenset("li option tr td th dd dt".split())
+LISTS = ("ul", "ol", "menu", "select", "table", "dl")
+WALLS = ("table", "td", "th", "caption", "button", "object", "template")
 #: What marks the labelled training pages. Containers of the article, and parts that are none of it.
 ARTICLE = frozenset("article main articlebody".split())
-OTHER = frozenset("""nav header footer aside form button select menu sidebar ad ads advert advertisement banner promo sponsored comment comments reply respond cookie
-consent notice alert popup modal newsletter subscribe related share social breadcrumb breadcrumbs widget toolbar pagination""".split())
+OTHER = frozenset("""nav header footer aside form button select menu sidebar ad ads advert advertisement banner promo sponsored comment comments reply replies respond
+responses discussion cookie consent notice alert popup modal newsletter subscribe related share social breadcrumb breadcrumbs widget toolbar pagination""".split())
 #: Every page that marks its article matches this; what else matches is told apart by its blocks.
 MARK = "(?i)article|main|=[^<>]*&#"
+MARKED, FOREIGN = 1, 2
+
+
+@lru_cache(1 << 16)
+def _slot(word: str, dims: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dims
+
+
+@lru_cache(1 << 16)
+def _bit(word: str) -> int:
+    """Bit of a path word; the two lowest bits say that the word names an article or a part that is none of it."""
+    bare = word.removeprefix("<")
+    return 4 << _slot(word, PATH_DIMS - 2) | MARKED * (bare in ARTICLE) | FOREIGN * (bare in OTHER)
+
+
+class Path(NamedTuple):
+    """All words from the root to a block as a set of bits, whatever the depth, with the innermost tag."""
+
+    bag: int = 0
+    leaf: str = ""
+    depth: int = 0
+
+    def down(self, tag: str, words: Iterable[str] = ()) -> Path:
+        bag = self.bag | _bit("<" + tag)
+        for w in words:
+            bag |= _bit(w) & ~FOREIGN if tag in ("html", "body") else _bit(w)  # a page that has a sidebar is no sidebar
+        return Path(bag, tag, self.depth + 1)
+
+
+Block = tuple[Path, str, int]
 
 
 class _Blocks(HTMLParser):
-    """Leaf blocks in page order: (path of tag and attribute words, text, characters inside links)."""
+    """Leaf blocks in page order: (path, text, characters inside links). Time grows with the page, whatever is left unclosed."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
+        self.stack: list[tuple[str, bool]] = []  # open tags outside INLINE, and whether a link was open before
+        self.paths = [Path()]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open in the stack
+        self.found: list[Block] = []
         self.parts: list[str] = []
-        self.silent = self.linked = self.links = 0
+        self.silent = self.linked = 0
+        self.link = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(w for tag, words in self.stack if tag not in INLINE for w in words)
-            self.found.append((path, text, self.linked))
+            self.found.append((self.paths[-1], text, self.linked))
         self.parts, self.linked = [], 0
 
+    def deepest(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        if tag in INLINE:
+            if tag == "a":
+                self.link = True
+            self.parts += [" "] * (tag == "br")
+            return
+        if tag not in SILENT and tag not in HEAD:
+            if self.at["head"]:
+                self.leave("head")
             self.flush()
-            inside = [t for t, _ in self.stack]
-            if tag in ("li", "option", "tr", "td", "th", "dd", "dt"):
-                for t in reversed(inside):  # an open item of the same list ends here
-                    if t == tag:
-                        self.leave(tag)
-                    if t in ("ul", "ol", "select", "table", "dl", tag):
-                        break
-            elif "p" in inside[::-1][:8]:
+            if self.deepest("svg", "math") > self.deepest("foreignobject") and tag in ("p", "div", "ul", "ol", "table", "h1", "h2", "h3", "body"):
+                self.leave("svg" if self.at["svg"] else "math")
+            if tag in ITEMS and self.deepest(tag) > self.deepest(*LISTS):  # an open item of the same list ends here
+                self.leave(tag)
+            if self.deepest("p") > self.deepest(*WALLS):
                 self.leave("p")
         if tag in VOID:
-            self.parts += [" "] * (tag == "br")
             return
-        words = [f"<{tag}"]
+        words: list[str] = []
         for name, value in attrs:
             if name in ("class", "id", "role", "itemprop") and value:
-                words += "".join(c if c.isalnum() else " " for c in value.lower()).split()[:12]
-        self.stack.append((tag, tuple(words)))
+                words += "".join(c if c.isalnum() else " " for c in value.lower()).split()
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, self.link))
+        self.paths.append(self.paths[-1].down(tag, words))
         self.silent += tag in SILENT
-        self.links += tag == "a"
 
     def leave(self, tag: str) -> None:
         while self.stack:
-            t, _ = self.stack.pop()
+            t, self.link = self.stack.pop()
+            self.paths.pop()
+            self.at[t].pop()
             self.silent -= t in SILENT
-            self.links -= t == "a"
             if t == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag == "a":
+            self.link = False
+        if tag in INLINE:
+            return
+        if tag not in SILENT:
             self.flush()
-        if any(t == tag for t, _ in self.stack):
+        if self.at[tag]:
             self.leave(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not data.isspace():
+            self.leave("head")
         if not self.silent:
             self.parts.append(data)
-            if self.links:
+            if self.link:
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+def blocks(html: str | None) -> list[Block]:
     p = _Blocks()
     p.feed(html or "")
     HTMLParser.close(p)
@@ -97,24 +153,25 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return p.found
 
 
-@lru_cache(1 << 16)
-def _slot(word: str, dims: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dims
+@lru_cache(1 << 12)
+def _bits(bag: int, leaf: str) -> np.ndarray:
+    row = np.unpackbits(np.frombuffer(bag.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+    row[:2] *= 3  # the two flags, against all hashed words
+    row[2 + _slot("leaf<" + leaf, PATH_DIMS - 2)] += 1
+    return row
 
 
-def encode(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed words, and a few counts."""
-    x = np.zeros((len(page), PATH_DIMS + WORD_DIMS + 6), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        for w in path[-24:]:
-            x[i, _slot(w, PATH_DIMS)] = 1
-        if path:
-            x[i, _slot("leaf" + path[-1], PATH_DIMS)] += 1
+def encode(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row per block of page[start:stop]: hashed tag path, hashed words, and a few counts."""
+    own = page[start:stop]
+    x = np.zeros((len(own), PATH_DIMS + WORD_DIMS + 6), np.float32)
+    for i, (path, text, linked) in enumerate(own):
+        x[i, :PATH_DIMS] = _bits(path.bag, path.leaf)
         words = text.split(" ")
         at = np.bincount([_slot(w, WORD_DIMS) for w in words], minlength=WORD_DIMS)
         x[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] = at / np.sqrt((at * at).sum())
         marks = sum(map(text.count, ".,;:!?"))
-        x[i, -6:] = (np.log1p(len(words)) / 4, linked / max(len(text), 1), marks / len(words), len(path) / 16, i / len(page), 1)
+        x[i, -6:] = (np.log1p(len(words)) / 4, linked / max(len(text), 1), marks / len(words), min(path.depth, 64) / 16, (start + i) / len(page), 1)
     return x
 
 
@@ -139,11 +196,11 @@ class Labeller:
         w["c"] = np.zeros((1, 1), np.float32)
         return cls(w)
 
-    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (pages, steps, hidden) of one direction over padded input (pages, steps, dims)."""
+    def _run(self, x: np.ndarray, d: str, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """States (pages, steps, hidden) of one direction over padded input (pages, steps, dims), from ``state`` on."""
         pages, steps, _ = x.shape
         z = (x.reshape(pages * steps, -1) @ self.w["x" + d]).reshape(pages, steps, -1)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32),) * 2
         out, tape, k = np.zeros((pages, steps, HIDDEN), np.float32), [], HIDDEN
         for t in range(steps):
             a = z[:, t] + h @ self.w["h" + d]
@@ -155,7 +212,7 @@ class Labeller:
             out[:, t] = h
             if keep:
                 tape.append((gate, new, was, past, bent))
-        return out, tape
+        return out, tape, (h, c)
 
     def _both(self, pages: list[np.ndarray], keep: bool):
         n = np.array([len(p) for p in pages])
@@ -166,8 +223,8 @@ class Labeller:
         turn = np.where(step < n[:, None], n[:, None] - 1 - step, step)  # reverses each page in its own length
         row = np.arange(len(pages))[:, None]
         back = x[row, turn]
-        hf, tf = self._run(x, "f", keep)
-        hb, tb = self._run(back, "b", keep)
+        hf, tf, _ = self._run(x, "f", keep)
+        hb, tb, _ = self._run(back, "b", keep)
         h = np.concatenate([hf, hb[row, turn]], axis=2)
         p = _sigmoid(h @ self.w["o"] + self.w["c"])[:, :, 0]
         return p, step < n[:, None], (x, back, row, turn, h, tf, tb)
@@ -179,7 +236,7 @@ class Labeller:
         a = 0
         while a < len(order):
             b, least = a, len(pages[order[a]])
-            while b < len(order) and len(pages[order[b]]) <= max(1.4 * least, 8) and (b - a + 1) * len(pages[order[b]]) <= 40_000:
+            while b < len(order) and len(pages[order[b]]) <= max(1.4 * least, 8) and (b - a + 1) * len(pages[order[b]]) <= PART:
                 b += 1
             b = max(b, a + 1)
             p, _, _ = self._both([pages[i] for i in order[a:b]], False)
@@ -188,11 +245,33 @@ class Labeller:
             a = b
         return out
 
-    def label(self, found: list[list]) -> list[np.ndarray]:
-        """Which blocks of each page are main text. Untrained, by rule."""
+    def _long(self, page: list[Block]) -> np.ndarray:
+        """Probability per block of one page of any length, read in parts from either end; one number per block is kept."""
+        z, starts = np.full(len(page), self.w["c"][0, 0], np.float32), range(0, len(page), PART)
+        for d, half in (("f", self.w["o"][:HIDDEN, 0]), ("b", self.w["o"][HIDDEN:, 0])):
+            way, state = (1 if d == "f" else -1), None
+            for a in starts[::way]:
+                h, _, state = self._run(encode(page, a, a + PART)[None, ::way], d, False, state)
+                z[a:a + PART] += (h[0] @ half)[::way]
+        return _sigmoid(z)
+
+    def label(self, found: list[list[Block]]) -> list[np.ndarray]:
+        """Which blocks of each page are main text. Untrained, by rule. Pages of similar length are read together."""
         if not self.w:
             return [by_rule(page) for page in found]
-        return [y > 0.5 for y in self.predict([encode(p) for p in found])]
+        out = [np.zeros(0, bool)] * len(found)
+        order, a = sorted(range(len(found)), key=lambda i: len(found[i])), 0
+        while a < len(order):
+            b, held = a, 0
+            while b < len(order) and (b == a or held + len(found[order[b]]) <= PART):
+                held += len(found[order[b]])
+                b += 1
+            own = order[a:b]
+            got = [self._long(found[own[0]])] if held > PART else self.predict([encode(found[i]) for i in own])
+            for i, y in zip(own, got):
+                out[i] = y > 0.5
+            a = b
+        return out
 
     def _gradient(self, dh: np.ndarray, x: np.ndarray, tape: list, d: str) -> dict[str, np.ndarray]:
         k, w = HIDDEN, self.w["h" + d]
@@ -209,7 +288,7 @@ class Labeller:
             back, ch = a @ w.T, c * f
         return {"x" + d: x.reshape(-1, x.shape[2]).T @ dz.reshape(-1, 4 * k), "h" + d: gh}
 
-    def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 7) -> None:
+    def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 20, batch: int = 48, rate: float = 0.01, seed: int = 7) -> None:
         """Adam on the mean log loss of all blocks."""
         rng = np.random.default_rng(seed)
         m, v, step = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}, 0
@@ -237,45 +316,87 @@ class Labeller:
                     self.w[k] = (self.w[k] - fade * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
-def taught(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray | None:
+def taught(page: list[Block]) -> np.ndarray | None:
     """Labels of a page that marks its article: 1 inside it, 0 elsewhere and in parts that are none of it. Others teach nothing."""
-    words = [{w.lstrip("<") for w in path} for path, _, _ in page]
-    if not any(w & ARTICLE for w in words):
+    if not any(path.bag & MARKED for path, _, _ in page):
         return None
-    return np.array([bool(w & ARTICLE) and not w & OTHER for w in words], float)
-
-
-def variants(page: list, labels: np.ndarray, pool: list[str], rng: np.random.Generator) -> Iterator[tuple[list, np.ndarray]]:
-    """The page as it is, and rebuilt: other containers, and foreign parts put between its blocks."""
+    return np.array([path.bag & MARKED and not path.bag & FOREIGN for path, _, _ in page], float)
+
+
+#: What article text stands in on rebuilt pages: containers, and for a run of blocks the tags around each.
+HOLDERS = ("div.content", "div.post", "section.story", "div.entry.body", "main", "article", "div.article", "div.main.text", "div.container div.page", "div", "")
+FORMS = ("p", "p", "p", "div", "ul li", "ol li", "ul li p", "table tr td", "table tbody tr td", "table tr th", "blockquote p", "blockquote", "pre", "h2", "h3", "h4", "figure figcaption",
+         "dl dt", "dl dd", "section p", "section h2", "div p", "details summary", "center", "address")
+SHORT = frozenset("li td th dt dd h2 h3 h4 figcaption summary".split())
+FOREIGN_FORMS = ("p", "p", "li", "ul li", "label", "h3", "div", "div p", "td", "blockquote", "ul li p", "div div p", "span")
+
+
+def _below(path: Path, steps: str) -> Path:
+    """``path`` with steps such as ``div.entry.body p`` below it."""
+    for tag, *words in (s.split(".") for s in steps.split()):
+        path = path.down(tag, words)
+    return path
+
+
+def _foreign(root: Path, pool: list[str], rng: np.random.Generator) -> Iterator[Block]:
+    """Blocks of one part that is no article: named as such, or unnamed and made of links."""
+    name = sorted(OTHER)[rng.integers(len(OTHER))]
+    tags = ("div", "section", "ul", "aside", "ol")
+    if rng.random() < 0.12:
+        own, links = root.down("div", (f"w{rng.integers(99)}",)), 1.0
+    elif name in ("nav", "header", "footer", "aside", "form", "menu", "button", "select") and rng.random() < 0.6:
+        own, links = root.down(name), float(name in ("nav", "menu"))
+    else:
+        own, links = root.down(tags[rng.integers(len(tags))], (name, ("box", "list", "area", "wrap", "inner")[rng.integers(5)])[:rng.integers(1, 3)]), float(rng.random() < 0.3)
+    for _ in range(rng.integers(1, 6)):
+        said = pool[rng.integers(len(pool))].split(" ")
+        said = " ".join(said[:rng.integers(1, 12) if links else rng.integers(2, 60)])
+        yield _below(own, FOREIGN_FORMS[rng.integers(len(FOREIGN_FORMS))]), said, int(len(said) * links)
+
+
+def variants(page: list[Block], labels: np.ndarray, pool: list[str], rng: np.random.Generator, rebuilt: int = 7) -> Iterator[tuple[list[Block], np.ndarray]]:
+    """The page as it is, and rebuilt: other containers, article text in lists, tables, quotes and the like, foreign parts around and inside."""
     yield page, labels
-    holders = [("<div", "content"), ("<div", "post"), ("<section", "story"), ("<div", "entry", "body"), ("<main",), ("<article",), ("<div", "article"), ("<div", "main", "text"), ("<div",)]
-    foreign = sorted(OTHER)
-    for _ in range(3):
-        holder = holders[rng.integers(len(holders))]
-        new, out = [], []
+    for _ in range(rebuilt):
+        body = Path().down("html").down("body")
+        if rng.random() < 0.4:  # wrappers with names that mean nothing
+            for _ in range(rng.integers(1, 4)):
+                body = body.down("div", [f"u{n}" for n in rng.integers(0, 1 << 20, rng.integers(0, 14))])
+        holder = _below(body, HOLDERS[rng.integers(len(HOLDERS))])
+        if rng.random() < 0.3:
+            holder = holder.down("div", [f"u{n}" for n in rng.integers(0, 1 << 20, rng.integers(0, 14))])
+        mixed, plain = rng.random() < 0.7, ("p", "p", "div")[rng.integers(3)]
+        new: list[Block] = []
+        out: list[float] = []
+        left, form, kept = 0, plain, 1.0 if rng.random() < 0.5 else rng.uniform(0.2, 1)  # short articles too
         for i, ((path, text, linked), y) in enumerate(zip(page, labels)):
-            if y and rng.random() < 0.06 or i in (0, len(page) - 1) or (i and y != labels[i - 1]):
-                for _ in range(rng.integers(0, 3)):
-                    name = foreign[rng.integers(len(foreign))]
-                    top = f"<{name}" if name in ("nav", "header", "footer", "aside", "form", "menu", "button", "select") else "<div"
-                    own = (top,) if top != "<div" else (top, name)
-                    root = path[:2] if rng.random() < 0.6 or not y else (*path[:2], *holder)
-                    for _ in range(rng.integers(1, 4)):
-                        said = pool[rng.integers(len(pool))].split(" ")
-                        said = " ".join(said[:rng.integers(2, 40)])
-                        new.append(((*root, *own, ("<p", "<li", "<label", "<h3", "<div")[rng.integers(5)]), said, len(said) if name in ("nav", "menu", "breadcrumb", "related") else 0))
-                        out.append(0.0)
+            edge = i in (0, len(page) - 1) or y != labels[i - 1]
+            for _ in range(rng.integers(0, 3) if edge or y and rng.random() < 0.2 else 0):
+                part = list(_foreign(body if not y or rng.random() < 0.4 else holder, pool, rng))
+                new += part
+                out += [0.0] * len(part)
             if y:
-                cut = next((k for k, w in enumerate(path) if w.lstrip("<") in ARTICLE), 2)
-                path = (*path[:cut], *holder, *[w for w in path[cut:] if w.lstrip("<") not in ARTICLE])
+                if rng.random() > kept:
+                    continue
+                if not left:
+                    left, form = int(rng.integers(1, 7)), FORMS[rng.integers(len(FORMS))] if mixed and rng.random() < 0.6 else plain
+                left -= 1
+                own = form if i == 0 or path.leaf != "h1" or rng.random() < 0.3 else "h1"
+                path = _below(holder, own)
+                if own.split()[-1] in SHORT and rng.random() < 0.7:
+                    said = text.split(" ")
+                    text = " ".join(said[:rng.integers(1, 12)])
+                    linked = min(linked, len(text))
+                if rng.random() < 0.05:
+                    linked = len(text)
             new.append((path, text, linked))
             out.append(y)
         yield new, np.array(out)
 
 
-def by_rule(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def by_rule(page: list[Block]) -> np.ndarray:
     """Main text where no page teaches: blocks in no part named in OTHER, with less than half of their characters in links."""
-    return np.array([not {w.lstrip("<") for w in path} & OTHER and 2 * linked < len(text) for path, text, linked in page], bool)
+    return np.array([not path.bag & FOREIGN and 2 * linked < len(text) for path, text, linked in page], bool)
 
 
 def _teaching_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +436,7 @@ def learn(pages: DataFrame, most: int = 192, html_col: str = "html", seed: int =
     if not found:
         return Labeller({})
     pool = [text for page, _ in found for _, text, _ in page]
-    made = [v for page, labels in found for v in variants(page, labels, pool, rng)]
+    made = [v for page, labels in found for v in variants(page, labels, pool, rng) if v[0]]
     model = Labeller.fresh(seed)
     model.train([encode(p) for p, _ in made], [y for _, y in made], seed=seed)
     return model
