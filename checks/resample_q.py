@@ -44,6 +44,10 @@ _BINOMIAL = ("sqrt(n * p * (1 - p))", "0", "n", "lgamma(n + 1) - lgamma(k + 1) -
 _HYPER = ("sqrt(n * p * (1 - p) * greatest((l + r - n) / greatest(l + r - 1, 1), 0))", "greatest(n - r, 0)", "least(n, l)",
           "lgamma(l + 1) - lgamma(k + 1) - lgamma(l - k + 1) + lgamma(r + 1) - lgamma(n - k + 1) - lgamma(r - n + k + 1) - lgamma(l + r + 1) + lgamma(n + 1) + lgamma(l + r - n + 1)")
 
+#: Levels of the tree that the SQL walks down: positions below 2 ** LEVELS in a group, as many as any table will have.
+#: Nothing is drawn on levels above a group's own size, so all numbers from its size on give the same draws.
+LEVELS = 28
+
 
 def _quantile(s, law):
     """Distribution functions q{s} of the kinds of draws in a{s}, and f{s}: the draws that went left (x)."""
@@ -73,13 +77,13 @@ def _bootstrap(unit, n_boot, levels=16):
   SELECT cond, round(quantile_cont(t, 0.025), 6) AS ci_low, round(quantile_cont(t, 0.975), 6) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond"""
 
 
-@query("cluster_bootstrap_r1", _bootstrap("unit", 2000), "v_unit_value")
+@query("cluster_bootstrap_r1", _bootstrap("unit", 2000, LEVELS), "v_unit_value")
 def cluster_bootstrap(spark, d):
     b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value")
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
 
 
-@query("median_bootstrap_r2", _bootstrap("'all'", 2000), "v_unit_value")
+@query("median_bootstrap_r2", _bootstrap("'all'", 2000, LEVELS), "v_unit_value")
 def median_bootstrap(spark, d):
     b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], None, "value")
     return b.select("cond", r("ci_low", 6).alias("ci_low"), r("ci_high", 6).alias("ci_high"), "n_boot")
@@ -101,7 +105,7 @@ def sampled_permutation(spark, d):
     return t.select("cond", r("p_raw").alias("p_raw"), r("min_p").alias("min_p"), "method")
 
 
-def _relabelled(n_perm, levels=17):
+def _relabelled(n_perm, levels):
     """p-values from relabelled medians, each found by splitting the group's share level by level down the pooled positions."""
     u = _U.format("'42', cond, CAST(rep AS VARCHAR), CAST({s} AS VARCHAR), CAST(node AS VARCHAR)")
     parts = [f"""o AS MATERIALIZED (SELECT r_name AS cond, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -119,7 +123,7 @@ def _relabelled(n_perm, levels=17):
   SELECT ob.cond, round(any_value(obs), 4) AS obs_diff, round((count(*) FILTER (d >= obs - 1e-12) + 1) / {n_perm + 1}.0, 6) AS p_raw FROM d JOIN ob ON ob.cond = d.cond GROUP BY ob.cond"""
 
 
-@query("observation_permutation_r5", _relabelled(10000))
+@query("observation_permutation_r5", _relabelled(10000, LEVELS))
 def observation_permutation(spark, d):
     o = v.located_orders(spark, d).select(F.col("r_name").alias("cond"), F.col("o_totalprice").alias("value"))
     t = rs.observation_test(o, "cond", "value", "AFRICA")
