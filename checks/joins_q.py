@@ -64,8 +64,8 @@ _EDGE = """WITH g AS (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL'), e AS (SELE
 
 
 def _edges(spark, d):
-    o = v.gated(spark, d)
-    return m.admissible_edges(o.filter("timepoint = 't0'"), o.filter("timepoint = 't7'"), "pair_key")
+    o = cut_lineage(v.gated(spark, d).select("object_id", "pair_key", "timepoint", "centroid_x", "centroid_y", "equivalent_diameter_px", "qc_flag"))
+    return m.admissible_edges(o.filter("timepoint = 't0'"), o.filter("timepoint = 't7'"), "pair_key", stored=True)
 
 
 @query("admissible_edges_j3", _EDGE + " SELECT t0_id, t7_id, round(dist, 6) AS distance FROM e WHERE dist <= lim", "v_gated")
@@ -155,7 +155,8 @@ _DUP = """WITH g AS MATERIALIZED (SELECT * FROM v_gated WHERE qc_flag <> 'FAIL')
 
 
 def duplicate_edges(spark, d):
-    return m.duplicate_edges(v.gated(spark, d), ["cond", "pair_key", "timepoint"], "plane", "object_id", "object_id", max_um=80.0)
+    o = v.gated(spark, d).select("cond", "pair_key", "timepoint", "plane", "object_id", "centroid_x", "centroid_y", "pixel_size_um", "contrast_ratio", "circularity", "qc_flag")
+    return m.duplicate_edges(o, ["cond", "pair_key", "timepoint"], "plane", "object_id", "object_id", max_um=80.0)
 
 
 @query("duplicate_edges_j6", _DUP + " SELECT a, b, round(dist, 6) AS distance, loser FROM d", "v_gated")

@@ -34,10 +34,10 @@ def matched_keys(manifest: DataFrame, key: str, timepoint: str, first: str = "t0
 # ----------------------------------------------------------------------------- timepoint matching
 
 def admissible_edges(t0: DataFrame, t7: DataFrame, key: str, gate: PairGate = PairGate(), x="centroid_x",
-                     y="centroid_y", d="equivalent_diameter_px", flag: str | None = "qc_flag") -> DataFrame:
+                     y="centroid_y", d="equivalent_diameter_px", flag: str | None = "qc_flag", stored: bool = False) -> DataFrame:
     """Pairs of a key's two timepoints whose distance is within the displacement limit.
 
-    Columns ``a_*`` and ``b_*`` and ``distance``; rejected objects never compete.
+    Columns ``a_*`` and ``b_*`` and ``distance``; rejected objects never compete. ``stored``: see ``near_pairs``.
     """
     def ready(df: DataFrame) -> DataFrame:
         if flag:
@@ -48,7 +48,7 @@ def admissible_edges(t0: DataFrame, t7: DataFrame, key: str, gate: PairGate = Pa
     def limit(a, b) -> Column:
         return F.greatest(F.lit(gate.min_displacement_px), (a(d) + b(d)) / 4.0 * gate.radius_factor)
 
-    return near_pairs(ready(t0), ready(t7), [key], x, y, "_reach", limit).drop("a__reach", "b__reach")
+    return near_pairs(ready(t0), ready(t7), [key], x, y, "_reach", limit, stored=stored).drop("a__reach", "b__reach")
 
 
 def lone_edges(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +230,7 @@ def duplicate_edges(objects: DataFrame, group: Sequence[str], field: str, object
     def different(a, b) -> Column:
         return (a(field) != b(field)) & (F.struct(a(order), a(object_id)) < F.struct(b(order), b(object_id)))
 
-    return near_pairs(ready, ready, group, x, y, "_reach", limit, different, same_reach=max_um is None)
+    return near_pairs(ready, ready, group, x, y, "_reach", limit, different)
 
 
 def loser_id(object_id: str, contrast: str = "contrast_ratio", circularity: str = "circularity",

@@ -38,7 +38,8 @@ def pair(objects: DataFrame, gate: PairGate = PairGate(), order: str = "label_id
     """Pairs, and the objects with their pair id. Any day other than 0 is the later timepoint."""
     t0 = objects.filter(is_baseline("timepoint"))
     t7 = objects.filter(~is_baseline("timepoint"))
-    edges = admissible_edges(t0, t7, "pair_key", gate)
+    ends = cut_lineage(objects.select("object_id", "pair_key", "timepoint", "centroid_x", "centroid_y", "equivalent_diameter_px", "qc_flag"))
+    edges = admissible_edges(ends.filter(is_baseline("timepoint")), ends.filter(~is_baseline("timepoint")), "pair_key", gate, stored=True)
     m = optimal_matching(edges, "a_object_id", "b_object_id").select(
         F.col("a_object_id").alias("t0_object_id"), F.col("b_object_id").alias("t7_object_id"),
         F.col("distance").alias("centroid_distance_px"))
