@@ -85,7 +85,8 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
         placed = row_numbers(rows, [*group, "_c"], ["_x"], "_xi")
         draws = draws.select(*group, "_rep", "_c", F.col("_xi") + 1)
         draws = draws.toDF(*group, "_rep", "_c", "_xi")
-        est = draws.join(placed, [*group, "_c", "_xi"]).groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
+        # all observations, in few compressed bytes: never a broadcast
+        est = draws.join(placed.hint("merge"), [*group, "_c", "_xi"]).groupBy(*group, "_rep").agg(stat(F.col("_x")).alias("_t"))
     tail = (1.0 - level) / 2.0
     return est.groupBy(*group).agg(
         F.percentile("_t", F.lit(tail)).alias("ci_low"), F.percentile("_t", F.lit(1.0 - tail)).alias("ci_high"),
