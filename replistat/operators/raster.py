@@ -328,7 +328,7 @@ def subtract_blank(pixels: DataFrame, reference: DataFrame, image="image_id", y=
         (F.col("_my") == F.col("_r.a")) & (F.col("_mx") == F.col("_r.b")) & (F.col("_np") == F.col("_r.n"))).select(
         F.col(image).alias("_i"))
     j = pixels.join(fits, F.col(image) == F.col("_i"), "left").join(
-        reference.select(F.col(y).alias("_y"), F.col(x).alias("_x"), "blank"), (F.col(y) == F.col("_y")) & (F.col(x) == F.col("_x")), "left")
+        reference.select(F.col(y).alias("_y"), F.col(x).alias("_x"), "blank").hint("merge"), (F.col(y) == F.col("_y")) & (F.col(x) == F.col("_x")), "left")
     applied = F.col("_i").isNotNull()
     v = num(value)
     return j.withColumn(name, F.when(applied, F.greatest(v - F.col("blank"), F.lit(0.0))).otherwise(v)).withColumn(

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, unless_large
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -56,6 +56,8 @@ def running(
     offsets = totals.select(
         *[F.col(k).alias("_o_" + k) for k in cell],
         *[_REACH[f](F.col("_t_" + n)).over(before).alias("_b_" + n) for n, (f, e) in aggs.items()])
+    # only the first group of a partition can have begun in an earlier one: fewer rows than partitions
+    offsets = F.broadcast(offsets.filter(reduce(lambda p, q: p | q, [F.col("_b_" + n).isNotNull() for n in aggs])))
     joined = local.join(offsets, _same(local, offsets, cell, "_o_"), "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -110,7 +112,7 @@ def group_summary(
         .groupBy(*cell, "_value").agg(F.sum("_times").alias("_c"))
     )
     ends = cut_lineage(running(counts, cell, ["_value"], {"_end": ("sum", F.col("_c"))}))
-    sizes = ends.groupBy(*[F.col(k).alias("_n_" + k) for k in cell]).agg(F.max("_end").alias("_n"))
+    sizes = unless_large(cut_lineage(ends.groupBy(*[F.col(k).alias("_n_" + k) for k in cell]).agg(F.max("_end").alias("_n"))))
     wanted = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(v).alias("v"), F.lit(p).alias("p")) for n, (v, p) in spec.items()])
     hits = (
         ends.join(sizes, _same(ends, sizes, cell, "_n_"))
@@ -123,7 +125,7 @@ def group_summary(
     point = part.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
     wide = point.groupBy(*[F.col(k).alias("_w_" + k) for k in group]).agg(
         *[F.max(F.when(F.col("_name_q") == n, F.col("_x"))).alias(n) for n in spec])
-    out = counted.join(wide, _same(counted, wide, group, "_w_"), "left").drop(*["_w_" + k for k in group])
+    out = counted.join(wide.hint("merge"), _same(counted, wide, group, "_w_"), "left").drop(*["_w_" + k for k in group])
     return out if keys else out.drop("_all")
 
 

@@ -47,3 +47,11 @@ def cut_lineage(df: DataFrame, slot: str | None = None) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{slot or 'cut-' + uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unless_large(stored: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A stored table that Spark may broadcast only if it has at most ``rows`` rows.
+
+    Size checks go by the compressed files, which says little about rows in memory. The count comes from file footers.
+    """
+    return stored if stored.count() <= rows else stored.hint("merge")
