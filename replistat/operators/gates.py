@@ -159,10 +159,17 @@ def size_gate(df: DataFrame, image: Sequence[str], label: str, volume: str, gate
     v = num(volume)
     small, large = v < b["min"], v > b["max"]
     kept = row_numbers(df.filter(~(small | large)), image, [label], "new_label")
-    counts = df.groupBy(*image).agg(
+    return kept, size_gate_counts(df, image, volume, gate)
+
+
+def size_gate_counts(df: DataFrame, image: Sequence[str], volume: str, gate: SizeGate) -> DataFrame:
+    """The removal counts of ``size_gate`` alone, without numbering the objects."""
+    b = gate.bounds()
+    v = num(volume)
+    small, large = v < b["min"], v > b["max"]
+    return df.groupBy(*image).agg(
         F.count_if(small).alias("n_removed_small"), F.count_if(large).alias("n_removed_large"),
         F.count_if(~(small | large)).alias("n_kept"))
-    return kept, counts
 
 
 def border_touch(box: Sequence[str], shape: Sequence[str], margin) -> Column:
