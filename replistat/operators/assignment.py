@@ -21,7 +21,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage as written, unless_large
 from .graph import connected_components
 
 NEVER = -(1 << 40)
@@ -29,6 +29,11 @@ CASES = ((0, 0), (1, 0), (0, 1), (1, 1))
 FLAGS = "e long, x int"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Written once; many rows are never broadcast, however small their files."""
+    return unless_large(written(df))
+
+
 def _add(*parts: Column) -> Column:
     return F.struct(*[reduce(lambda p, q: p + q, [w[f] for w in parts]).alias(f) for f in ("c", "d")])
 

@@ -9,7 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, unless_large
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once; joined by merge when it has many rows, as its compressed files would pass for a small table."""
+    return unless_large(cut_lineage(df))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
@@ -17,14 +22,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str,
 
     Each round takes the smallest label among the neighbours and then follows labels one hop
     further (pointer jumping), so the number of rounds grows with the logarithm of the diameter.
+    Only nodes with an edge take part in the rounds.
     """
     both = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).filter(F.col("_from") != F.col("_to"))
-    both = cut_lineage(both.unionByName(both.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))).distinct())
-    labels = nodes.select(F.col(node).alias("_node")).distinct().withColumn("_label", F.col("_node"))
+    both = _stored(both.unionByName(both.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))).distinct())
+    every = _stored(nodes.select(F.col(node).alias("_node")).distinct())
     first = both.groupBy("_from").agg(F.min("_to").alias("_m"))
-    labels = labels.join(first, F.col("_node") == F.col("_from"), "left").select(
-        "_node", F.least("_label", "_m").alias("_label"))
-    labels = cut_lineage(labels)
+    labels = _stored(every.join(first, F.col("_node") == F.col("_from")).select("_node", F.least("_node", "_m").alias("_label")))
     while True:
         known = labels.select(F.col("_node").alias("_n2"), F.col("_label").alias("_l2"))
         near = (
@@ -38,12 +42,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, a: str,
         moved = hooked.join(roots, F.col("_old") == F.col("_o2")).select(
             "_node", "_old", F.least("_new", "_root").alias("_mid"))
         jump = moved.select(F.col("_node").alias("_n3"), F.col("_mid").alias("_l3"))
-        done = cut_lineage(moved.join(jump, F.col("_mid") == F.col("_n3")).select(
+        done = _stored(moved.join(jump, F.col("_mid") == F.col("_n3")).select(
             "_node", "_old", F.least("_mid", "_l3").alias("_label")))
         open_rows = done.filter(F.col("_label") != F.col("_old")).count()
         labels = done.select("_node", "_label")
         if open_rows == 0:
-            return labels.select(F.col("_node").alias(node), F.col("_label").alias("component"))
+            linked = labels.select(F.col("_node").alias("_n2"), "_label")
+            return every.join(linked, F.col("_node") == F.col("_n2"), "left").select(
+                F.col("_node").alias(node), F.coalesce("_label", "_node").alias("component"))
 
 
 def greedy_losers(edges: DataFrame, a: str, b: str, order: list[str | Column], loser: Column,
@@ -55,20 +61,20 @@ def greedy_losers(edges: DataFrame, a: str, b: str, order: list[str | Column], l
     the column ``loser``; the outcome equals the one-by-one loop over the total order.
     """
     rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    todo = cut_lineage(edges.withColumn("_rank", rank).withColumn("loser", loser))
+    todo = _stored(edges.withColumn("_rank", rank).withColumn("loser", loser))
     resolved = todo.limit(0)
     while True:
         ends = todo.select(F.col(a).alias("_v"), "_rank").unionByName(todo.select(F.col(b).alias("_v"), "_rank"))
         lead = ends.groupBy("_v").agg(F.min("_rank").alias("_lead"))
         at_a = lead.select(F.col("_v").alias("_va"), F.col("_lead").alias("_la"))
         at_b = lead.select(F.col("_v").alias("_vb"), F.col("_lead").alias("_lb"))
-        now = cut_lineage(
+        now = _stored(
             todo.join(at_a, (F.col(a) == F.col("_va")) & (F.col("_rank") == F.col("_la")))
             .join(at_b, (F.col(b) == F.col("_vb")) & (F.col("_rank") == F.col("_lb")))
             .select(*todo.columns))
         resolved = resolved.unionByName(now)
         gone = now.select(F.col("loser").alias("_gone"))
-        todo = cut_lineage(
+        todo = _stored(
             todo.join(gone, F.col(a) == F.col("_gone"), "left_anti")
             .join(gone, F.col(b) == F.col("_gone"), "left_anti"))
         if todo.isEmpty():
@@ -81,15 +87,15 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, node: str, first: str, secon
     ``edges`` point from the earlier to the later node. A node without an open earlier neighbour is
     kept, its later neighbours are dropped, and both leave; repeat until nothing is open.
     """
-    open_edges = cut_lineage(edges.select(F.col(first).alias("_e"), F.col(second).alias("_l")).distinct())
+    open_edges = _stored(edges.select(F.col(first).alias("_e"), F.col(second).alias("_l")).distinct())
     dropped = open_edges.select(F.col("_l").alias("_d")).limit(0)
     while not open_edges.isEmpty():
         late = open_edges.select(F.col("_l").alias("_x")).distinct()
         leaders = open_edges.join(late, F.col("_e") == F.col("_x"), "left_anti").select(F.col("_e").alias("_k")).distinct()
-        out = cut_lineage(open_edges.join(leaders, F.col("_e") == F.col("_k"), "left_semi")
+        out = _stored(open_edges.join(leaders, F.col("_e") == F.col("_k"), "left_semi")
                           .select(F.col("_l").alias("_d")).distinct())
         dropped = dropped.unionByName(out)
-        open_edges = cut_lineage(
+        open_edges = _stored(
             open_edges.join(out, F.col("_e") == F.col("_d"), "left_anti")
             .join(out, F.col("_l") == F.col("_d"), "left_anti"))
     return nodes.join(dropped, F.col(node) == F.col("_d"), "left_anti")

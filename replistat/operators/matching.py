@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import growth, num
 from ..params import DUPLICATE_DISTANCE_PX, PairGate
-from ..session import cut_lineage
+from ..session import cut_lineage, unless_large
 from .assignment import best_matching
 from .gates import REJECTED, pair_gate
 from .graph import connected_components, greedy_losers
@@ -53,26 +53,53 @@ def admissible_edges(t0: DataFrame, t7: DataFrame, key: str, gate: PairGate = Pa
 
 def lone_edges(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """Split edges into those that are a whole component on their own and the rest."""
-    edges = cut_lineage(edges)      # read three times below
-    da = edges.groupBy(a).agg(F.count(F.lit(1)).alias("_da")).withColumnRenamed(a, "_ka")
-    db = edges.groupBy(b).agg(F.count(F.lit(1)).alias("_db")).withColumnRenamed(b, "_kb")
-    both = edges.join(da, F.col(a) == F.col("_ka")).join(db, F.col(b) == F.col("_kb")).drop("_ka", "_kb")
+    both = _degrees(edges, a, b)
     lone = (F.col("_da") == 1) & (F.col("_db") == 1)
     return both.filter(lone).drop("_da", "_db"), both.filter(~lone).drop("_da", "_db")
 
 
+def _degrees(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges with the number of edges at each end, ``_da`` and ``_db``."""
+    edges = unless_large(cut_lineage(edges))      # read three times below; many rows are never broadcast
+    da = edges.groupBy(a).agg(F.count(F.lit(1)).alias("_da")).withColumnRenamed(a, "_ka")
+    db = edges.groupBy(b).agg(F.count(F.lit(1)).alias("_db")).withColumnRenamed(b, "_kb")
+    return edges.join(da, F.col(a) == F.col("_ka")).join(db, F.col(b) == F.col("_kb")).drop("_ka", "_kb")
+
+
+def _stars(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best edge of every component whose edges share one end, and all edges of the other components.
+
+    Such a component offers one pair: its shortest edge, the smaller id at equal distances.
+    """
+    best = [c for c in edges.columns if c not in ("_da", "_db")]
+    marked = unless_large(cut_lineage(_degrees(edges, "a_id", "b_id")))
+    over_a = marked.groupBy("a_id").agg(F.max("_db").alias("_m"), F.min(F.struct("distance", "b_id")).alias("_e")).filter("_m = 1")
+    over_b = marked.groupBy("b_id").agg(F.max("_da").alias("_m"), F.count(F.lit(1)).alias("_k"), F.min(F.struct("distance", "a_id")).alias("_e")).filter("_m = 1 AND _k > 1")
+    picked = over_a.select("a_id", F.col("_e.b_id").alias("b_id"), F.col("_e.distance").alias("distance")).unionByName(
+        over_b.select(F.col("_e.a_id").alias("a_id"), "b_id", F.col("_e.distance").alias("distance")))
+    rest = marked.join(over_a.select("a_id"), "a_id", "left_anti").join(over_b.select("b_id"), "b_id", "left_anti")
+    return picked.select(*best), rest.select(*best)
+
+
 def _assignment():
-    """Grouped function: most pairs first, then least total distance, on one small component."""
+    """Grouped function: most pairs first, then least total distance, on every small component of a group."""
     def solve(pdf):
-        import heapq
+        from itertools import groupby
 
         import pandas as pd
 
-        pdf = pdf.sort_values(["a_id", "b_id"])
-        left = {v: i for i, v in enumerate(pdf["a_id"].unique())}
-        right = {v: i for i, v in enumerate(sorted(pdf["b_id"].unique()))}
+        pdf = pdf.sort_values(["component", "a_id", "b_id"])
+        rows = zip(pdf["component"], pdf["a_id"], pdf["b_id"], pdf["distance"])
+        hits = [hit for _, part in groupby(rows, key=lambda r: r[0]) for hit in one([r[1:] for r in part])]
+        return pd.DataFrame(hits, columns=["a_id", "b_id", "distance"])
+
+    def one(edges):
+        import heapq
+
+        left = {v: i for i, v in enumerate(dict.fromkeys(a for a, _, _ in edges))}
+        right = {v: i for i, v in enumerate(sorted({b for _, b, _ in edges}))}
         rows = [dict() for _ in left]
-        for a, b, d in zip(pdf["a_id"], pdf["b_id"], pdf["distance"]):
+        for a, b, d in edges:
             rows[left[a]][right[b]] = d
         row_of, col_of = [-1] * len(right), [-1] * len(left)
         pot_l, pot_r = [0.0] * len(left), [0.0] * len(right)
@@ -116,35 +143,39 @@ def _assignment():
                 col_of[i], row_of[node[1]] = node[1], i
                 node = (1, previous) if previous >= 0 else None
         names_l, names_r = list(left), sorted(right, key=right.get)
-        hits = [(names_l[i], names_r[j], rows[i][j]) for i, j in enumerate(col_of) if j >= 0]
-        return pd.DataFrame(hits, columns=["a_id", "b_id", "distance"])
+        return [(names_l[i], names_r[j], rows[i][j]) for i, j in enumerate(col_of) if j >= 0]
 
     return solve
 
 
+#: Edges of small components that one call of the solver gets, about.
+SOLVER_ROWS = 5_000
+
+
 def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance", one_task: int = 20_000) -> DataFrame:
     """Best matching of an edge table: as many pairs as possible, then the least total distance.
 
-    The optimum splits over connected components. Components of one edge, nearly all in practice,
-    never leave Spark expressions; those of up to ``one_task`` edges go to a small solver, one component per group;
+    The optimum splits over connected components. Those whose edges share one end, nearly all in practice,
+    never leave Spark expressions; those of up to ``one_task`` edges go to a small solver, many components in a call;
     larger ones are reduced in rounds over all of Spark (``assignment``).
     """
     edges = edges.select(F.col(a).alias("a_id"), F.col(b).alias("b_id"), F.col(distance).alias("distance"))
-    lone, rest = lone_edges(edges, "a_id", "b_id")
-    tagged = rest.select(
-        F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")).alias("_p"),
-        F.struct(F.lit(1).alias("side"), F.col("b_id").alias("id")).alias("_q"))
+    plain, rest = _stars(edges)
+    rest = unless_large(cut_lineage(rest))
+    tag = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
+    tagged = rest.select(tag(0, "a_id").alias("_p"), tag(1, "b_id").alias("_q"))
     nodes = tagged.select(F.col("_p").alias("_node")).unionByName(tagged.select(F.col("_q").alias("_node")))
     comp = connected_components(nodes, tagged, "_node", "_p", "_q")
-    rest = rest.join(comp, F.struct(F.lit(0).alias("side"), F.col("a_id").alias("id")) == F.col("_node"))
-    schema = rest.select("a_id", "b_id", "distance").schema
-    rest = cut_lineage(rest.select("component", "a_id", "b_id", "distance"))
-    large = cut_lineage(rest.groupBy("component").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > one_task).select("component"))
+    comp = comp.filter("_node.side = 0").select(F.col("_node.id").alias("_a"), F.col("component.id").alias("component"))
+    rest = unless_large(cut_lineage(rest.join(comp, F.col("a_id") == F.col("_a")).select("component", "a_id", "b_id", "distance")))
+    large = unless_large(cut_lineage(rest.groupBy("component").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > one_task).select("component")))
     if not large.isEmpty():
         reduced = best_matching(rest.join(large, "component", "left_semi"))
-        lone, rest = lone.select("a_id", "b_id", "distance").unionByName(reduced), rest.join(large, "component", "left_anti")
-    solved = rest.groupBy("component").applyInPandas(_assignment(), schema)
-    return lone.unionByName(solved).select(F.col("a_id").alias(a), F.col("b_id").alias(b), F.col("distance").alias(distance))
+        plain, rest = plain.unionByName(reduced), rest.join(large, "component", "left_anti")
+    calls = rest.count() // SOLVER_ROWS + 1
+    dealt = rest.withColumn("_call", F.pmod(F.xxhash64("component"), F.lit(calls))).repartition(calls, "_call")
+    solved = dealt.groupBy("_call").applyInPandas(_assignment(), plain.schema)
+    return plain.unionByName(solved).select(F.col("a_id").alias(a), F.col("b_id").alias(b), F.col("distance").alias(distance))
 
 
 def greedy_matching(edges: DataFrame, a: str, b: str, a_order: str, b_order: str, distance: str = "distance") -> DataFrame:
@@ -153,22 +184,22 @@ def greedy_matching(edges: DataFrame, a: str, b: str, a_order: str, b_order: str
     A row is settled when no earlier open row could still take the column it wants; all such rows
     are settled in one round, so no group is ever walked row by row.
     """
-    todo = cut_lineage(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(a_order).alias("_ao"),
-                                    F.col(b_order).alias("_bo"), F.col(distance).alias("_d")))
+    todo = unless_large(cut_lineage(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(a_order).alias("_ao"),
+                                    F.col(b_order).alias("_bo"), F.col(distance).alias("_d"))))
     taken = todo.limit(0)
     while not todo.isEmpty():
         want = todo.groupBy("_a").agg(F.min(F.struct("_d", "_bo", "_b")).alias("_w")).select(
             F.col("_a").alias("_wa"), F.col("_w._b").alias("_wb"))
         earliest = todo.groupBy("_b").agg(F.min(F.struct("_ao", "_a")).alias("_e")).select(
             F.col("_b").alias("_eb"), F.col("_e._a").alias("_ea"))
-        now = cut_lineage(
+        now = unless_large(cut_lineage(
             todo.join(want, (F.col("_a") == F.col("_wa")) & (F.col("_b") == F.col("_wb")))
             .join(earliest, (F.col("_b") == F.col("_eb")) & (F.col("_a") == F.col("_ea")))
-            .select(*todo.columns))
+            .select(*todo.columns)))
         taken = taken.unionByName(now)
         used = now.select(F.col("_a").alias("_ua"), F.col("_b").alias("_ub"))
-        todo = cut_lineage(todo.join(used, F.col("_a") == F.col("_ua"), "left_anti")
-                           .join(used, F.col("_b") == F.col("_ub"), "left_anti"))
+        todo = unless_large(cut_lineage(todo.join(used, F.col("_a") == F.col("_ua"), "left_anti")
+                           .join(used, F.col("_b") == F.col("_ub"), "left_anti")))
     return taken.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_d").alias(distance))
 
 

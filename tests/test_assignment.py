@@ -86,3 +86,35 @@ def test_small_solver_by_enumeration():
         chosen = assignment.heaviest_matching([(a, b, w) for (a, b), w in es.items()])
         assert len({a for a, _ in chosen}) == len({b for _, b in chosen}) == len(chosen)
         assert sum(es[k] for k in chosen) == pytest.approx(best[0])
+
+
+def test_components_that_share_one_end_need_no_solver(spark, monkeypatch):
+    """Stars, with ties settled by ids, never reach the grouped function."""
+    monkeypatch.setattr(matching, "_assignment", lambda: lambda pdf: 1 / 0)
+    rows = [(1, 10, 2.0), (1, 11, 1.0), (1, 12, 1.0), (2, 20, 3.0), (3, 20, 3.0), (4, 20, 5.0), (5, 30, 1.0)]
+    edges = spark.createDataFrame(rows, "a_id long, b_id long, distance double")
+    got = {(r["a_id"], r["b_id"]) for r in matching.optimal_matching(edges, "a_id", "b_id").collect()}
+    assert got == {(1, 11), (2, 20), (5, 30)}
+
+
+def test_many_rows_are_never_broadcast(spark, monkeypatch):
+    """Stored tables of the rounds stay small files but may hold many rows: none goes through the driver."""
+    from replistat import session
+    from replistat.operators import graph
+
+    seen = []
+    write = session.cut_lineage
+
+    def watched(df, slot=None):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, slot)
+
+    for module in (matching, graph):
+        monkeypatch.setattr(module, "cut_lineage", watched)
+        monkeypatch.setattr(module, "unless_large", lambda df: session.unless_large(df, rows=50))
+    ids = spark.range(2000)
+    edges = ids.selectExpr("id div 2 a_id", "(id + 1) div 2 b_id", "cast(id % 7 as double) distance").filter("a_id % 3 > 0 OR b_id % 3 > 0")
+    got = matching.optimal_matching(edges, "a_id", "b_id")
+    seen.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == edges.select("a_id").distinct().count()
+    assert len(seen) > 5 and not any("BroadcastHashJoin" in p for p in seen)
