@@ -8,8 +8,11 @@ from replistat.functions.geometry import object_measures
 from replistat.operators.gates import morphology_gate, reason_text
 from replistat.operators.scan import row_numbers
 from replistat.params import ObjectGate
+from replistat.session import unless_large
 
 RUNS = ["click", "error", "purchase", "signup", "view"]
+#: Order lines in a part of the object view, about.
+PART_ROWS = 200_000
 GATE = ObjectGate(min_d_um=40.0, max_d_um=115.0, min_pass_d_um=45.0, max_pass_d_um=110.0, ring_contrast_factor=0.97)
 
 
@@ -26,7 +29,7 @@ def big(c) -> Column:
 
 
 def located_orders(spark, d) -> DataFrame:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o, c = table(spark, d, "orders"), unless_large(table(spark, d, "customer"))
     n, g = table(spark, d, "nation"), table(spark, d, "region")
     return (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
             .join(g, n.n_regionkey == g.r_regionkey))
@@ -40,12 +43,16 @@ def unit_values(spark, d) -> DataFrame:
 def objects(spark, d) -> DataFrame:
     """One object per (order, line); the smallest row stands for lines that repeat the key.
 
-    Both the deduplication and the join run on the order key, so the lines are shuffled once.
+    Both the deduplication and the join run on the order key, so the lines are shuffled once, to a number of
+    parts that follows the rows: merged by compressed size, parts would grow with the input.
     """
-    li = table(spark, d, "lineitem").repartition("l_orderkey")
+    li = table(spark, d, "lineitem")
+    rows = li.count()
+    li = li.repartition(max(spark.sparkContext.defaultParallelism, rows // PART_ROWS + 1), "l_orderkey")
     cols = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
     li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*cols)).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
-    j = li.join(located_orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = located_orders(spark, d)
+    j = li.join(orders.hint("merge") if rows > 100_000 else orders, F.col("l_orderkey") == F.col("o_orderkey"))    # orders are small as files only
     early = F.col("l_shipdate") < F.lit("1998-06-01 00:00:00").cast("timestamp")
     return j.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("object_id"), F.when(early, "t0").otherwise("t7").alias("timepoint"),
