@@ -9,7 +9,7 @@ from replistat.operators.gates import reason_text
 from replistat.operators.rollup import merge_tables
 from replistat.operators.scan import first_per_key
 from replistat.plans.growth import pair
-from replistat.session import cut_lineage
+from replistat.session import cut_lineage, unless_large
 from replistat.sources.files import channel_inventory
 from replistat.streaming.incremental import complete_runs, pending, run_fingerprint, work_key
 
@@ -20,7 +20,8 @@ from .views import big, r
 
 @query("matched_pairs_j1", "SELECT pair_key, count(DISTINCT timepoint) >= 2 AS matched, count(*) AS n FROM v_object GROUP BY pair_key", "v_object")
 def matched_pairs(spark, d):
-    o = m.mark_matched(v.objects(spark, d), "pair_key", "timepoint", "matched")
+    o = unless_large(cut_lineage(v.objects(spark, d).select("pair_key", "timepoint")))      # read twice
+    o = m.mark_matched(o, "pair_key", "timepoint", "matched")
     return o.groupBy("pair_key", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
