@@ -296,14 +296,23 @@ def drop_duplicates_across_fields(objects: DataFrame, losers: DataFrame, object_
     ).drop("_l")
 
 
+def _field_counts(objects: DataFrame, well: Sequence[str], field: str, other_field: Column) -> DataFrame:
+    """Objects per well, field and other field (``_of``), in one pass; many rows are never broadcast."""
+    return unless_large(cut_lineage(objects.groupBy(*well, field, other_field.alias("_of")).agg(F.count(F.lit(1)).alias("_n"))))
+
+
 def field_links(objects: DataFrame, well: Sequence[str], field: str, other_field: Column,
                 min_share: float = 0.65, min_links: int = 3) -> DataFrame:
     """Pairs of fields of a well joined by enough duplicates (columns ``f1 < f2``)."""
-    size = objects.groupBy(*well, field).agg(F.count(F.lit(1)).alias("_n"))
+    return _links(_field_counts(objects, well, field, other_field), well, field, min_share, min_links)
+
+
+def _links(counts: DataFrame, well: Sequence[str], field: str, min_share: float = 0.65, min_links: int = 3) -> DataFrame:
+    size = counts.groupBy(*well, field).agg(F.sum("_n").alias("_n"))
     links = (
-        objects.withColumn("_of", other_field).filter(F.col("_of").isNotNull() & (F.col("_of") != F.col(field)))
+        counts.filter(F.col("_of").isNotNull() & (F.col("_of") != F.col(field)))
         .groupBy(*well, F.least(field, "_of").alias("f1"), F.greatest(field, "_of").alias("f2"))
-        .agg(F.count(F.lit(1)).alias("n_links")))
+        .agg(F.sum("_n").alias("n_links")))
     n1 = size.withColumnRenamed(field, "f1").withColumnRenamed("_n", "_n1")
     n2 = size.withColumnRenamed(field, "f2").withColumnRenamed("_n", "_n2")
     j = links.join(n1, [*well, "f1"]).join(n2, [*well, "f2"])
@@ -313,10 +322,10 @@ def field_links(objects: DataFrame, well: Sequence[str], field: str, other_field
 
 def effective_fields(objects: DataFrame, well: Sequence[str], field: str, other_field: Column) -> DataFrame:
     """Number of distinct physical fields per well: linked fields count once."""
-    links = field_links(objects, well, field, other_field)
+    counts = _field_counts(objects, well, field, other_field)
     tag = lambda f: F.struct(*[F.col(w) for w in well], F.col(f).alias("_f"))
-    nodes = objects.select(*well, field).distinct().select(tag(field).alias("_node"))
-    comp = connected_components(nodes, links.select(tag("f1").alias("_p"), tag("f2").alias("_q")), "_node", "_p", "_q")
+    nodes = counts.select(*well, field).distinct().select(tag(field).alias("_node"))
+    comp = connected_components(nodes, _links(counts, well, field).select(tag("f1").alias("_p"), tag("f2").alias("_q")), "_node", "_p", "_q")
     return comp.groupBy(*[F.col("_node")[w].alias(w) for w in well]).agg(
         F.count_distinct("component").alias("n_fields"))
 
