@@ -14,7 +14,7 @@ from ..operators.resample import adjust_pvalues, bootstrap_interval, permutation
 from ..operators.rollup import backend_mix
 from ..operators.scan import group_summary
 from ..params import DUPLICATE_DISTANCE_UM, Inference, ObjectGate, PairGate
-from ..session import cut_lineage
+from ..session import cut_lineage, unless_large
 
 
 def measure(regions: DataFrame, gate: ObjectGate = ObjectGate(), image_area: str = "image_area_px") -> DataFrame:
@@ -40,9 +40,9 @@ def pair(objects: DataFrame, gate: PairGate = PairGate(), order: str = "label_id
     t7 = objects.filter(~is_baseline("timepoint"))
     ends = cut_lineage(objects.select("object_id", "pair_key", "timepoint", "centroid_x", "centroid_y", "equivalent_diameter_px", "qc_flag"))
     edges = admissible_edges(ends.filter(is_baseline("timepoint")), ends.filter(~is_baseline("timepoint")), "pair_key", gate, stored=True)
-    m = optimal_matching(edges, "a_object_id", "b_object_id").select(
+    m = unless_large(cut_lineage(optimal_matching(edges, "a_object_id", "b_object_id").select(
         F.col("a_object_id").alias("t0_object_id"), F.col("b_object_id").alias("t7_object_id"),
-        F.col("distance").alias("centroid_distance_px"))
+        F.col("distance").alias("centroid_distance_px"))))
     pairs = pair_table(t0, t7, m, order, gate).withColumn("qc_reasons", reason_text("qc_codes"))
     return pairs, assign_pair_ids(objects, pairs)
 
