@@ -100,7 +100,8 @@ def effective_fields(spark, d):
   round(median(volume_sphere_um3) FILTER (WHERE timepoint = 't7') / median(volume_sphere_um3) FILTER (WHERE timepoint = 't0'), 6) AS fc, CASE WHEN cond = 'ASIA' THEN 'unadjusted' WHEN cond = 'EUROPE' THEN 'Holm-adjusted' ELSE '—' END AS p_type, 'ns' AS significance FROM v_gated WHERE qc_flag = 'PASS' GROUP BY cond""", "v_gated")
 def population_summary(spark, d):
     reg = v.table(spark, d, "region").select(F.col("r_name").alias("cond"), F.when(F.col("r_name") == "EUROPE", 0.2).alias("p_adj"), F.when(F.col("r_name") == "ASIA", 0.1).alias("p_raw"), F.lit(None).cast("string").alias("significance"))
-    s = ru.population_summary(v.gated(spark, d), reg, "cond")
+    o = cut_lineage(v.gated(spark, d).filter("qc_flag = 'PASS'").select("cond", "timepoint", "volume_sphere_um3", "equivalent_diameter_um", "qc_flag"))      # read twice
+    s = ru.population_summary(o, reg, "cond")
     return s.select("cond", "n_t0", "n_t7", r("median_v0_um3", 3).alias("v0"), r("median_v7_um3", 3).alias("v7"), r("pop_fold_change").alias("fc"), "p_type", "significance")
 
 
@@ -139,7 +140,8 @@ def diameter_histogram(spark, d):
 @query("distribution_feed_a23", """SELECT cond, timepoint, round(quantile_cont(volume_sphere_um3, 0.25), 3) AS q1, round(median(volume_sphere_um3), 3) AS med, round(quantile_cont(volume_sphere_um3, 0.75), 3) AS q3, count(*) AS n, round(min(volume_sphere_um3), 3) AS low, round(max(volume_sphere_um3), 3) AS high
   FROM v_gated WHERE qc_flag = 'PASS' AND volume_sphere_um3 > 0 GROUP BY 1, 2""", "v_gated")
 def distribution_feed(spark, d):
-    f = ru.distribution_feed(v.gated(spark, d).filter("qc_flag = 'PASS'"), ["cond", "timepoint"], "volume_sphere_um3")
+    o = cut_lineage(v.gated(spark, d).filter("qc_flag = 'PASS'").select("cond", "timepoint", "volume_sphere_um3"))      # read twice
+    f = ru.distribution_feed(o, ["cond", "timepoint"], "volume_sphere_um3")
     return f.select("cond", "timepoint", *[r(c, 3).alias(c) for c in ("q1", "med", "q3")], "n", r("low", 3).alias("low"), r("high", 3).alias("high"))
 
 
