@@ -219,14 +219,12 @@ def overlaps_suppressed(spark, d):
   SELECT image_id, cand_id, n AS n_claimed FROM w WHERE n > 0""")
 def elements_claimed(spark, d):
     """Each order line claims a stretch of one raster row of its order, longest first."""
-    li = v.table(spark, d, "lineitem")
+    li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("cand_id"), "l_quantity", "l_linenumber", "l_partkey")
+    first = li.groupBy("image_id", "cand_id").agg(F.max("l_quantity").alias("q")).hint("merge")
     start = F.col("l_partkey") % 50
-    e = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("cand_id"), F.struct(-F.col("l_quantity"), F.col("l_linenumber")).alias("ord"),
-                  F.explode(F.sequence(start, start + F.col("l_quantity").cast("bigint"))).alias("elem"))
-    first = e.groupBy("image_id", "cand_id").agg(F.min("ord").alias("ord"))
-    e = e.drop("ord").distinct().join(first, ["image_id", "cand_id"])
-    got = s.claim_elements(e, "image_id", "cand_id", "elem", "ord")
-    return got.groupBy("image_id", "cand_id").agg(F.count(F.lit(1)).alias("n_claimed"))
+    e = li.join(first, ["image_id", "cand_id"]).select(
+        "image_id", "cand_id", F.struct(-F.col("q"), F.col("l_linenumber")).alias("ord"), F.explode(F.sequence(start, start + F.col("l_quantity").cast("bigint"))).alias("elem"))
+    return s.claimed_sizes(e, "image_id", "cand_id", "elem", "ord")
 
 
 @query("merged_tables_j8", """SELECT a.image_id, a.material, a.replicate, a.n_nuclei AS n_qc, b.n_nuclei AS n_feat, coalesce(b.n_nuclei, a.n_nuclei) AS n_any, coalesce(c.flag_summary, 'clean') AS flags

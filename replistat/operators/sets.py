@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..params import IOU_LIMIT
-from ..session import cut_lineage
+from ..session import cut_lineage, unless_large
 from .graph import greedy_kept
 from .scan import row_numbers
 
@@ -133,33 +135,53 @@ def suppress_overlaps(elements: DataFrame, image: str, cand: str, elem: str, lim
     return greedy_kept(nodes, edges, "_node", "_p", "_q").select(image, cand, "n_elements", "n_same")
 
 
-def claim_elements(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float = IOU_LIMIT) -> DataFrame:
-    """Candidates in order claim unclaimed elements; one with too large a claimed share is rejected.
+def _claimed_atoms(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Claimed atoms (_i, _c, _x, _y, _w), and the atom (_x, _y) of every element (_i, _e).
 
-    Settled in rounds: a candidate is decided once every earlier candidate it shares an element with
-    is decided. Returns one row per claimed element with the accepted candidate.
+    Elements of an image with the same candidates stay together whatever is decided: such an atom is one row per
+    candidate with its number of elements, ``_w``. Sets of candidates are told apart by two 64-bit sums.
     """
-    rows = cut_lineage(elements.select(
-        F.col(image).alias("_i"), F.col(cand).alias("_c"), F.col(elem).alias("_e"), F.col(order).alias("_o")).distinct())
-    size = rows.groupBy("_i", "_c").agg(F.count(F.lit(1)).alias("_size"))
-    todo = rows.join(size, ["_i", "_c"]).withColumn("_taken", F.lit(False))
-    todo = cut_lineage(todo)
-    claimed = todo.select("_i", "_c", "_e").limit(0)
+    rows = elements.select(F.col(image).alias("_i"), F.col(cand).alias("_c"), F.col(elem).alias("_e"), F.col(order).alias("_o"))
+    rows = rows.repartition("_i", "_e").distinct()      # one shuffle for the copies, the atoms and their join
+    atom = rows.groupBy("_i", "_e").agg(F.bit_xor(F.xxhash64("_c")).alias("_x"), F.bit_xor(F.xxhash64("_c", F.lit(1))).alias("_y"))
+    todo = cut_lineage(rows.join(atom.hint("merge"), ["_i", "_e"]).groupBy("_i", "_c", "_o", "_x", "_y").agg(F.count(F.lit(1)).alias("_w")))
+    size = todo.groupBy("_i", "_c").agg(F.sum("_w").alias("_size"))
+    todo = unless_large(cut_lineage(todo.join(size.hint("merge"), ["_i", "_c"]).withColumn("_taken", F.lit(False))))
+    slot, turn = f"claim-{uuid.uuid4().hex}", 0
+    claimed = todo.select("_i", "_c", "_x", "_y", "_w").limit(0)
     while not todo.isEmpty():
-        lead = todo.groupBy("_i", "_e").agg(F.min(F.struct("_o", "_c")).alias("_lead"))
-        seen = todo.join(lead, ["_i", "_e"])
+        lead = todo.groupBy("_i", "_x", "_y").agg(F.min(F.struct("_o", "_c")).alias("_lead"))
+        seen = todo.join(lead, ["_i", "_x", "_y"])
         ready = seen.groupBy("_i", "_c").agg(
             F.bool_and(F.col("_lead._c") == F.col("_c")).alias("_ready"),
-            (F.count_if(F.col("_taken")) / F.first("_size") < limit).alias("_ok"))
-        now = cut_lineage(todo.join(ready.filter("_ready"), ["_i", "_c"]).select(*todo.columns, "_ok"))
-        got = now.filter(F.col("_ok") & ~F.col("_taken")).select("_i", "_c", "_e")
+            (F.sum(F.when(F.col("_taken"), F.col("_w")).otherwise(0)) / F.first("_size") < limit).alias("_ok"))
+        now = unless_large(cut_lineage(todo.join(ready.filter("_ready"), ["_i", "_c"]).select("_i", "_c", "_x", "_y", "_w", "_taken", "_ok")))
+        got = now.filter(F.col("_ok") & ~F.col("_taken")).select("_i", "_c", "_x", "_y", "_w")
         claimed = claimed.unionByName(got)
         out = now.select("_i", "_c").distinct()
-        fresh = got.select("_i", "_e", F.lit(True).alias("_new"))
-        todo = cut_lineage(
-            todo.join(out, ["_i", "_c"], "left_anti").join(fresh, ["_i", "_e"], "left")
-            .withColumn("_taken", F.col("_taken") | F.coalesce(F.col("_new"), F.lit(False))).drop("_new"))
-    return claimed.select(F.col("_i").alias(image), F.col("_c").alias(cand), F.col("_e").alias(elem))
+        fresh = got.select("_i", "_x", "_y", F.lit(True).alias("_new"))
+        turn += 1
+        todo = unless_large(cut_lineage(
+            todo.join(out, ["_i", "_c"], "left_anti").join(fresh, ["_i", "_x", "_y"], "left")
+            .withColumn("_taken", F.col("_taken") | F.coalesce(F.col("_new"), F.lit(False))).drop("_new"), f"{slot}-{turn % 2}"))
+    return claimed, atom
+
+
+def claim_elements(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float = IOU_LIMIT) -> DataFrame:
+    """Candidates in order claim unclaimed elements; one with too large a claimed share is rejected.
+
+    Settled in rounds: a candidate is decided once every earlier candidate it shares an element with
+    is decided. Returns one row per claimed element with the accepted candidate.
+    """
+    claimed, atom = _claimed_atoms(elements, image, cand, elem, order, limit)
+    got = atom.join(claimed, ["_i", "_x", "_y"])
+    return got.select(F.col("_i").alias(image), F.col("_c").alias(cand), F.col("_e").alias(elem))
+
+
+def claimed_sizes(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float = IOU_LIMIT) -> DataFrame:
+    """Accepted candidates with the number of elements that ``claim_elements`` gives them, ``n_claimed``."""
+    claimed, _ = _claimed_atoms(elements, image, cand, elem, order, limit)
+    return claimed.groupBy(F.col("_i").alias(image), F.col("_c").alias(cand)).agg(F.sum("_w").alias("n_claimed"))
 
 
 def common_members(rows: DataFrame, member: str, source: str) -> DataFrame:
