@@ -195,7 +195,7 @@ def duplicates_resolved(spark, d):
     FROM i JOIN m p ON p.image_id = i.image_id AND p.cand_id = ca JOIN m q ON q.image_id = i.image_id AND q.cand_id = cb)
   SELECT image_id, CASE WHEN fwd THEN ra ELSE rb END AS first, CASE WHEN fwd THEN rb ELSE ra END AS second, any_value(k) AS n_both, round(any_value(iou), 6) AS iou, count(*) AS n_pairs FROM p WHERE iou > 0.5 GROUP BY 1, 2, 3""", "v_set")
 def overlap_edges(spark, d):
-    edges, _ = s.overlap_edges(v.sets(spark, d), "image_id", "cand_id", "elem")
+    edges, _ = s.overlap_edges(v.set_rows(spark, d), "image_id", "cand_id", "elem")
     return edges.select("image_id", "first", "second", "n_both", r("iou").alias("iou"), "n_pairs")
 
 
@@ -208,7 +208,7 @@ def overlap_edges(spark, d):
     FROM w JOIN r ON r.image_id = w.image_id AND r.i = w.i + 1)
   SELECT image_id, cand_id, n_elements, n_same FROM w WHERE kept""", "v_set")
 def overlaps_suppressed(spark, d):
-    return s.suppress_overlaps(v.sets(spark, d), "image_id", "cand_id", "elem")
+    return s.suppress_overlaps(v.set_rows(spark, d), "image_id", "cand_id", "elem")
 
 
 @query("elements_claimed_j7", """WITH RECURSIVE c AS (SELECT l_orderkey AS image_id, l_linenumber::BIGINT AS cand_id, max(l_quantity) AS q, list_distinct(flatten(list(range(l_partkey % 50, l_partkey % 50 + CAST(l_quantity AS BIGINT) + 1)))) AS s FROM lineitem GROUP BY 1, 2),

@@ -8,7 +8,7 @@ from replistat.functions.geometry import object_measures
 from replistat.operators.gates import morphology_gate, reason_text
 from replistat.operators.scan import row_numbers
 from replistat.params import ObjectGate
-from replistat.session import unless_large
+from replistat.session import cut_lineage, unless_large
 
 RUNS = ["click", "error", "purchase", "signup", "view"]
 #: Order lines in a part of the object view, about.
@@ -139,6 +139,16 @@ def sets(spark, d) -> DataFrame:
     return w.filter(F.col("elem") != "").distinct()
 
 
+def set_rows(spark, d) -> DataFrame:
+    """The same sets, one row per document with its different words; documents that repeat a key are put together."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("cand_id"), F.col("lang").alias("image_id"), "text").filter("cand_id is not null and image_id is not null")
+    again = unless_large(cut_lineage(docs.groupBy("cand_id", "image_id").count().filter("count > 1").drop("count")))
+    words = lambda w: w.select("cand_id", "image_id", F.array_distinct(F.filter(F.split("text", " "), lambda x: x != "")).alias("elem"))
+    keys = ["cand_id", "image_id"]
+    more = words(docs.join(again, keys, "left_semi")).select(*keys, F.explode("elem").alias("elem")).groupBy(*keys).agg(F.collect_set("elem").alias("elem"))
+    return words(docs.join(again, keys, "left_anti")).filter("elem is not null").unionByName(more)
+
+
 def tags(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("image_id"), F.col("event_type").alias("source"),
                                             (F.get_json_object("props", "$.k").cast("double") / 4.0).alias("um_per_px"))

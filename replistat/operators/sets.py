@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..params import IOU_LIMIT
 from ..session import cut_lineage, unless_large
 from .graph import greedy_kept
-from .scan import row_numbers
+from .parity import close_pairs, parity, runs, shared, signature_bits
 
 
 def agreement(auto: DataFrame, manual: DataFrame, image: str, elem: str) -> DataFrame:
@@ -30,29 +35,65 @@ def agreement(auto: DataFrame, manual: DataFrame, image: str, elem: str) -> Data
         "iou", F.when(total == 0, 1.0).otherwise(F.col("n_both") / (total - F.col("n_both"))))
 
 
-def overlap_classes(elements: DataFrame, image: str, cand: str, elem: str) -> DataFrame:
-    """Membership of each candidate in its class of identical sets: ``rep`` (first member), ``n``, ``n_same``.
+def set_rows(elements: DataFrame, image: str, cand: str, elem: str) -> DataFrame:
+    """One row per candidate with its different elements, ``_e``; rows that hold an array already are taken as they are."""
+    if isinstance(elements.schema[elem].dataType, ArrayType):
+        return elements.filter(F.size(elem) > 0).select(image, cand, F.col(elem).alias("_e"))
+    return elements.groupBy(image, cand).agg(F.collect_set(elem).alias("_e"))
+
+
+def signatures(elements: DataFrame, keys: list[str], elem: str, bits: int | None = None, limit: float = IOU_LIMIT) -> DataFrame:
+    """``_sig`` per set, an array of longs: a bit is set if an odd number of elements hash to it.
 
-    Sets are told apart by size and two 64-bit sums of their elements, so no set is gathered in a row.
+    Signatures of two sets differ in no more bits than the sets have elements that are not shared. Without ``bits`` their
+    number follows the size, a power of two; folded to half its width, a signature is that of half as many bits.
     """
-    sets = elements.groupBy(image, cand).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(elem).cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(elem, F.lit(1))).alias("_x"))
+    rows = set_rows(elements.withColumn("_none", F.lit(0)), "_none", keys[0], elem) if len(keys) == 1 else set_rows(elements, *keys, elem)
+
+    @F.pandas_udf("array<bigint>")
+    def sign(hashes: pd.Series) -> pd.Series:
+        return pd.Series([parity(h, bits or signature_bits(len(h), limit)) for h in hashes])
+
+    return rows.select(*keys, F.size("_e").cast("bigint").alias("n"), *_prints(), sign(F.transform("_e", lambda x: F.xxhash64(x, F.lit(7)))).alias("_sig"))
+
+
+def _prints() -> list[Column]:
+    """Two 64-bit sums by which sets of equal size are told apart."""
+    total = lambda seed: F.aggregate("_e", F.lit(0).cast("bigint"), lambda t, x: t.bitwiseXOR(F.xxhash64(x, F.lit(seed))))
+    return [total(1).alias("_s"), total(2).alias("_x")]
+
+
+def _classes(sets: DataFrame, image: str, cand: str) -> DataFrame:
     classes = sets.groupBy(image, "n", "_s", "_x").agg(F.min(cand).alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    return sets.join(classes, [image, "n", "_s", "_x"]).select(image, cand, "rep", "n", "n_same")
+    return sets.select(image, cand, "n", "_s", "_x").join(classes, [image, "n", "_s", "_x"]).select(image, cand, "rep", "n", "n_same")
+
+
+def overlap_classes(elements: DataFrame, image: str, cand: str, elem: str) -> DataFrame:
+    """Membership of each candidate in its class of identical sets: ``rep`` (first member), ``n``, ``n_same``."""
+    rows = set_rows(elements, image, cand, elem)
+    return _classes(rows.select(image, cand, F.size("_e").cast("bigint").alias("n"), *_prints()), image, cand)
+
+
+def _found(elements: DataFrame, image: str, cand: str, elem: str, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Edges between representatives, and the stored membership. The signatures come from one pass over the sets."""
+    signed = cut_lineage(signatures(elements, [image, cand], elem, limit=limit))
+    classes = cut_lineage(_classes(signed, image, cand))
+    reps = classes.filter(F.col(cand) == F.col("rep"))
+    return _edges(set_rows(elements, image, cand, elem), signed, reps, image, cand, limit), classes
 
 
 def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Pairs of candidates of an image with intersection over union above ``limit``, and the membership.
 
-    ``elements`` has one row per (image, candidate, element). Edges are between class representatives;
+    ``elements`` has one row per (image, candidate, element), or one per (image, candidate) with an array of its different
+    elements. Edges are between class representatives;
     with ``n_pairs``, the number of pairs of candidates an edge stands for, and one row from a
     representative to itself for the pairs inside a class of copies. Joined with the membership of
     both ends they give every pair, so none is lost and copies are not multiplied out here.
     ``first`` comes before ``second`` in the order (size falling, candidate rising).
     """
-    classes = cut_lineage(overlap_classes(elements, image, cand, elem))
+    edges, classes = _found(elements, image, cand, elem, limit)
     reps = classes.filter(F.col(cand) == F.col("rep"))
-    edges = _edges(elements, reps, image, cand, elem, limit)
     size = reps.select(F.col(image).alias("_i"), F.col("rep").alias("_r"), F.col("n_same").alias("_k"))
     one, two = size, size.select(F.col("_i").alias("_j"), F.col("_r").alias("_q"), F.col("_k").alias("_l"))
     edges = edges.join(one, (F.col(image) == F.col("_i")) & (F.col("first") == F.col("_r"))).join(two, (F.col(image) == F.col("_j")) & (F.col("second") == F.col("_q")))
@@ -63,62 +104,114 @@ def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit:
     return edges.unionByName(inside), classes
 
 
-#: Bits of the signature that stands for a set before its elements are compared.
-SIGNATURE = 4096
+#: Sets and bytes of signatures in a tile, at most; tiles that a task reads from each side, about.
+TILE, TILE_BYTES, TILES = 5_000, 16_000_000, 16
+#: Pairs that are counted in one call, at most.
+CALL = 1_000_000
 
 
-def signatures(elements: DataFrame, keys: list[str], elem: str, bits: int = SIGNATURE) -> DataFrame:
-    """``_sig`` per set, an array of longs: a bit is set if an odd number of elements hash to it.
+def _tiles(reps: DataFrame) -> DataFrame:
+    """Sets (_i, _c, n, _sig) in order of image, size and candidate, cut into rows of at most ``TILE`` sets."""
+    order = ["_i", "n", "_c"]
+    parts = reps.count() // (4 * TILE) + 1
+    kind = {f.name: f.dataType.simpleString() for f in reps.schema}
+    dealt = reps.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
 
-    Signatures of two sets differ in no more bits than the sets have elements that are not shared.
-    """
-    slot = F.pmod(F.xxhash64(elem, F.lit(7)), F.lit(bits))
-    words = elements.groupBy(*keys, F.shiftright(slot, 6).cast("int").alias("_w")).agg(F.bit_xor(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{elem}`, 7), 64) as int))")).alias("_b"))
-    found = words.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_m"))       # at most bits / 64 entries
-    every = F.sequence(F.lit(0), F.lit(bits // 64 - 1))
-    return found.select(*keys, F.transform(every, lambda w: F.coalesce(F.element_at("_m", w), F.lit(0).cast("bigint"))).alias("_sig"))
+    def cut(batches):
+        turn = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = max(-(-b.num_rows // TILE), -(-b.nbytes // TILE_BYTES))
+            for at in np.array_split(np.arange(b.num_rows), min(n, b.num_rows)):
+                t = b.slice(int(at[0]), len(at))
+                turn += 1
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(t["_part"][0].as_py() << 32) + turn], pa.int64()), t["_i"].slice(0, 1), t["_i"].slice(len(at) - 1), t["n"].slice(0, 1), t["n"].slice(len(at) - 1),
+                     one(t["_i"]), one(t["_c"]), one(t["n"]), one(t["_sig"].flatten())], names=["t", "i0", "i1", "n0", "n1", "i", "c", "n", "sig"])
 
+    return cut_lineage(dealt.mapInArrow(cut, f"t bigint, i0 {kind['_i']}, i1 {kind['_i']}, n0 bigint, n1 bigint, i array<{kind['_i']}>, c array<{kind['_c']}>, n array<bigint>, sig array<bigint>"))
 
-def overlap_candidates(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Pairs of representatives that may overlap above ``limit`` (_i, first, second, n_first, n_second), and their elements (_i, _c, _n, _e).
 
-    Elements are ranked, rare ones first. Of a pair above the limit both share an element among the first
-    ``n - floor(limit n)`` of the larger set and the first ``n - floor(2 limit n / (1 + limit))`` of the smaller. Shared
-    elements of these prefixes are counted per pair; behind the last of them at most the shorter rest can be
-    shared, which drops most pairs. The others must also have signatures that differ in few enough bits.
+def _meetings(tiles: DataFrame, limit: float) -> DataFrame:
+    """Pairs of sets whose signatures allow an overlap above ``limit``: a row per meeting of two tiles (or part of one).
+
+    ``i``, ``c`` and ``n`` list the sets that take part, ``p`` and ``q`` the pairs by their places there, ``p`` being first.
+    Every tile meets itself and the later ones of its image with sets of fitting size. Tasks read parts of the
+    tiles from both sides; nothing is written for a meeting but what it finds.
     """
-    slim = cut_lineage(elements.join(reps.select(image, cand, F.col("n").alias("_n")), [image, cand]).select(
-        F.col(image).alias("_i"), F.col(cand).alias("_c"), "_n", F.col(elem).alias("_e")))
-    common = slim.groupBy("_i", "_e").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = row_numbers(slim.join(common, ["_i", "_e"]).filter("_df > 1"), ["_i", "_c"], ["_df", "_e"], "_k")
-    # elements of one set only come first and can be shared with none: they shift the ranks
-    shared = slim.join(common, ["_i", "_e"]).groupBy("_i", "_c").agg((F.first("_n") - F.count_if(F.col("_df") > 1)).alias("_own"))
-    ranked = ranked.join(shared, ["_i", "_c"]).withColumn("_k", F.col("_k") + F.col("_own"))
-    larger, smaller = F.lit(limit) * F.col("_n"), F.lit(2 * limit / (1 + limit)) * F.col("_n")
-    cut = lambda least: F.col("_k") <= F.col("_n") - F.floor(least - 1e-9)
-    rare = cut_lineage(ranked.filter(cut(larger)))
-    a = rare.select("_i", "_e", F.col("_c").alias("first"), F.col("_n").alias("n_first"), F.col("_k").alias("_ka"))
-    b = rare.filter(cut(smaller)).select("_i", "_e", F.col("_c").alias("second"), F.col("_n").alias("n_second"), F.col("_k").alias("_kb"))
-    before = (F.col("n_first") > F.col("n_second")) | ((F.col("n_first") == F.col("n_second")) & (F.col("first") < F.col("second")))
-    met = a.join(b, ["_i", "_e"]).filter(before & (F.col("n_second") > F.lit(limit) * F.col("n_first") - 1e-9))
-    pairs = met.groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("_met"), F.max("_ka").alias("_ka"), F.max("_kb").alias("_kb"))
-    total = F.col("n_first") + F.col("n_second")
-    need = F.lit(limit / (1 + limit)) * total - 1e-9
-    pairs = pairs.filter(F.col("_met") + F.least(F.col("n_first") - F.col("_ka"), F.col("n_second") - F.col("_kb")) > need).select("_i", "first", "second", "n_first", "n_second")
-    sig = cut_lineage(signatures(slim, ["_i", "_c"], "_e"))
-    pairs = pairs.join(sig.toDF("_i", "first", "_sa"), ["_i", "first"]).join(sig.toDF("_i", "second", "_sb"), ["_i", "second"])
-    apart = F.aggregate(F.zip_with("_sa", "_sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
-    return pairs.filter((total - apart) / 2 > need).drop("_sa", "_sb"), slim
-
-
-def _edges(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float) -> DataFrame:
-    """Edges among representatives: shared elements of the candidate pairs, counted by a join on (pair, element)."""
-    pairs, slim = overlap_candidates(elements, reps, image, cand, elem, limit)
-    one = slim.select("_i", F.col("_c").alias("first"), "_e")
-    two = slim.select("_i", F.col("_c").alias("second"), "_e")
-    both = cut_lineage(pairs).join(one, ["_i", "first"]).join(two, ["_i", "second", "_e"]).groupBy("_i", "first", "second", "n_first", "n_second").agg(F.count(F.lit(1)).alias("n_both"))
+    kind = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    n, cores = tiles.count(), tiles.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(n, max(math.ceil(math.sqrt(8 * cores)), -(-n // TILES))))
+    a = tiles.repartition(parts)
+    b = a.toDF(*[f"{c}_" for c in tiles.columns]).hint("shuffle_replicate_nl")
+    met = a.join(b, (F.col("t") == F.col("t_")) | ((F.col("t") < F.col("t_")) & (F.col("i1") == F.col("i0_")) & (F.col("n1") > limit * F.col("n0_") - 1e-9)))
+
+    def meet(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = lambda s: [batch[c + s].slice(at, 1).flatten() for c in ("i", "c", "n", "sig")]  # noqa: E731, B023
+                same = batch["t"][at].as_py() == batch["t_"][at].as_py()
+                (ia, ca, na, sa), (ib, cb, nb, sb) = row(""), row("_")
+                p, q = close_pairs(runs(ia), na.to_numpy(), sa.to_numpy(), runs(ib), nb.to_numpy(), sb.to_numpy(), same, limit)
+                for k in range(0, len(p), CALL):
+                    x, y = p[k:k + CALL], q[k:k + CALL] + len(ca)
+                    used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    u, w = used[used < len(ca)], used[used >= len(ca)] - len(ca)
+                    size = np.concatenate([na.to_numpy()[u], nb.to_numpy()[w]])
+                    x, y = place[:len(x)], place[len(x):]
+                    turned = size[y] > size[x]              # the larger set comes first
+                    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                    both = lambda l, r: pa.concat_arrays([l.take(pa.array(u)), r.take(pa.array(w))])  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{batch['t'][at]} {batch['t_'][at]} {k}"]), one(both(ia, ib)), one(both(ca, cb)), one(pa.array(size, pa.int64())),
+                         one(pa.array(np.where(turned, y, x), pa.int32())), one(pa.array(np.where(turned, x, y), pa.int32()))], names=["g", "i", "c", "n", "p", "q"])
+
+    cols = [c + s for s in ("", "_") for c in ("t", "i", "c", "n", "sig")]
+    return met.select(*cols).mapInArrow(meet, f"g string, i {kind['i']}, c {kind['c']}, n array<bigint>, p array<int>, q array<int>")
+
+
+def _candidates(signed: DataFrame, reps: DataFrame, image: str, cand: str, limit: float) -> DataFrame:
+    chosen = signed.select(F.col(image).alias("_i"), F.col(cand).alias("_c"), "n", "_sig").join(
+        reps.select(F.col(image).alias("_i"), F.col("rep").alias("_c")).hint("merge"), ["_i", "_c"])
+    return cut_lineage(_meetings(_tiles(chosen), limit))
+
+
+def overlap_candidates(elements: DataFrame, reps: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Pairs of representatives that may overlap above ``limit`` (_i, first, second, n_first, n_second), and their meetings."""
+    met = _candidates(signatures(elements, [image, cand], elem, limit=limit), reps, image, cand, limit)
+    of = lambda name, at: F.element_at(name, F.col(f"_z.{at}") + 1)
+    pairs = met.select("i", "c", "n", F.explode(F.arrays_zip("p", "q")).alias("_z")).select(
+        of("i", "p").alias("_i"), of("c", "p").alias("first"), of("c", "q").alias("second"), of("n", "p").alias("n_first"), of("n", "q").alias("n_second"))
+    return pairs, met
+
+
+def _edges(rows: DataFrame, signed: DataFrame, reps: DataFrame, image: str, cand: str, limit: float) -> DataFrame:
+    """Edges among representatives. A meeting gets each set that it needs once, and counts the shared elements of its pairs."""
+    met = _candidates(signed, reps, image, cand, limit)
+    needed = met.select("g", F.posexplode(F.arrays_zip("i", "c")).alias("at", "_z")).select("g", "at", F.col("_z.i").alias(image), F.col("_z.c").alias(cand))
+    given = needed.hint("merge").join(rows, [image, cand]).select(F.col("g").alias("h"), "at", "_e")
+    kind = {c: met.schema[c].dataType.elementType.simpleString() for c in ("i", "c")}
+
+    def count(one, two):
+        names = ["i", "first", "second", "n_first", "n_second", "n_both"]
+        if not one.num_rows:
+            return pa.table({"i": pa.array([], one["i"].type.value_type), "first": pa.array([], one["c"].type.value_type), "second": pa.array([], one["c"].type.value_type),
+                             "n_first": pa.array([], pa.int64()), "n_second": pa.array([], pa.int64()), "n_both": pa.array([], pa.int64())})
+        i, c, n, p, q = (one[x].combine_chunks().flatten() for x in ("i", "c", "n", "p", "q"))
+        lists = two.sort_by("at")["_e"].combine_chunks()
+        codes = lists.flatten().dictionary_encode()
+        size = n.to_numpy()
+        p, q = p.to_numpy(), q.to_numpy()
+        n_both = shared(codes.indices.to_numpy(), np.concatenate([[0], np.cumsum(size)]), len(codes.dictionary), p, q)
+        kept = n_both / (size[p] + size[q] - n_both) > limit
+        p, q, n_both = p[kept], q[kept], n_both[kept]
+        return pa.table([i.take(pa.array(p)), c.take(pa.array(p)), c.take(pa.array(q)), pa.array(size[p], pa.int64()), pa.array(size[q], pa.int64()), pa.array(n_both, pa.int64())], names=names)
+
+    both = met.groupBy("g").cogroup(given.groupBy("h")).applyInArrow(count, f"i {kind['i']}, first {kind['c']}, second {kind['c']}, n_first bigint, n_second bigint, n_both bigint")
     iou = F.col("n_both") / (F.col("n_first") + F.col("n_second") - F.col("n_both"))
-    return both.withColumn("iou", iou).filter(F.col("iou") > limit).select(F.col("_i").alias(image), "first", "second", "n_first", "n_second", "n_both", "iou")
+    return both.withColumn("iou", iou).select(F.col("i").alias(image), "first", "second", "n_first", "n_second", "n_both", "iou")
 
 
 def suppress_overlaps(elements: DataFrame, image: str, cand: str, elem: str, limit: float = IOU_LIMIT) -> DataFrame:
@@ -127,10 +220,10 @@ def suppress_overlaps(elements: DataFrame, image: str, cand: str, elem: str, lim
     Order: size falling, then candidate. Copies of one set fall to its first candidate, so they add
     no edges.
     """
-    classes = overlap_classes(elements, image, cand, elem)
-    reps = cut_lineage(classes.filter(F.col(cand) == F.col("rep")))
+    edges, classes = _found(elements, image, cand, elem, limit)
+    reps = classes.filter(F.col(cand) == F.col("rep"))
     tag = lambda c: F.struct(F.col(image).alias("_i"), F.col(c).alias("_c"))
-    edges = _edges(elements, reps, image, cand, elem, limit).select(tag("first").alias("_p"), tag("second").alias("_q"))
+    edges = edges.select(tag("first").alias("_p"), tag("second").alias("_q"))
     nodes = reps.select(tag("rep").alias("_node"), image, cand, F.col("n").alias("n_elements"), "n_same")
     return greedy_kept(nodes, edges, "_node", "_p", "_q").select(image, cand, "n_elements", "n_same")
 
