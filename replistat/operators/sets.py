@@ -105,7 +105,7 @@ def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit:
 
 
 #: Sets and bytes of signatures in a tile, at most; tiles that a task reads from each side, about.
-TILE, TILE_BYTES, TILES = 5_000, 16_000_000, 16
+TILE, TILE_BYTES, TILES = 5_000, 2_000_000, 16
 #: Pairs that are counted in one call, at most.
 CALL = 1_000_000
 
