@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bits of a signature, at least and at most; both are powers of two.
 LEAST, MOST = 256, 65_536
@@ -80,6 +81,40 @@ def close_pairs(runs_a: dict, n_a: np.ndarray, sig_a: np.ndarray, runs_b: dict,
     return np.concatenate([none, *found_p]), np.concatenate([none, *found_q])
 
 
+def packed(table: pa.RecordBatch | pa.Table, sets: str) -> bytes:
+    """Rows as compressed bytes. The elements of the arrays ``sets`` are written once each, in order, with the first row.
+
+    An array is the numbers of its elements there, rising and as differences; its own order is not kept.
+    """
+    table = pa.table(table).combine_chunks()
+    lists = table[sets].combine_chunks() if table.num_rows else pa.array([], table.schema.field(sets).type)
+    size = pc.list_value_length(lists).to_numpy()
+    codes = lists.flatten().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(codes.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    owner = np.repeat(np.arange(len(size)), size) * max(len(order), 1)
+    rising = np.sort(owner + rank[codes.indices.to_numpy()]) - owner
+    numbers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.diff(rising, prepend=0), pa.int32()))
+    words = pa.ListArray.from_arrays(pa.array([0, *[len(order)] * len(size)], pa.int32()), codes.dictionary.take(order))
+    table = table.set_column(table.schema.get_field_index(sets), sets, numbers).append_column("_words", words)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(blobs: list[bytes], sets: str) -> pa.Table:
+    """The rows of all ``blobs`` with plain arrays again."""
+    out = []
+    for blob in blobs:
+        table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        numbers, words = (table[c].combine_chunks() for c in (sets, "_words"))
+        plain = pa.ListArray.from_arrays(numbers.offsets, words.flatten().take(pa.array(np.cumsum(numbers.values.to_numpy(), dtype=np.int64))))
+        out.append(table.drop_columns("_words").set_column(table.schema.get_field_index(sets), sets, plain))
+    return pa.concat_tables(out)
+
+
 def shared(codes: np.ndarray, ends: np.ndarray, n_codes: int, p: np.ndarray, q: np.ndarray, at_once: int = 4_000_000) -> np.ndarray:
     """Number of shared elements of sets ``p`` and ``q``; set s has the codes from ``ends[s]`` up to ``ends[s + 1]``."""
     out, here = np.zeros(len(p), np.int64), np.zeros(n_codes, bool)

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType
 from ..params import IOU_LIMIT
 from ..session import cut_lineage, unless_large
 from .graph import greedy_kept
-from .parity import close_pairs, parity, runs, shared, signature_bits
+from .parity import close_pairs, packed, parity, runs, shared, signature_bits, unpacked
 
 
 def agreement(auto: DataFrame, manual: DataFrame, image: str, elem: str) -> DataFrame:
@@ -108,6 +108,8 @@ def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit:
 TILE, TILE_BYTES, TILES = 5_000, 2_000_000, 16
 #: Pairs that are counted in one call, at most.
 CALL = 1_000_000
+#: Elements of the packed sets in a bucket, about.
+BUCKET = 4_000_000
 
 
 def _tiles(reps: DataFrame) -> DataFrame:
@@ -187,11 +189,50 @@ def overlap_candidates(elements: DataFrame, reps: DataFrame, image: str, cand: s
     return pairs, met
 
 
+def _given(met: DataFrame, rows: DataFrame, signed: DataFrame, image: str, cand: str) -> DataFrame:
+    """The sets that meetings need, packed: (h, sets) with the place ``at`` of each set and its elements ``_e``.
+
+    Sets never travel as rows of elements: those of a bucket go there in packs, and from there to the meetings in packs.
+    A bucket holds sets of about one size, as tiles do, so that a meeting gets its sets from few of them.
+    """
+    steps = max(1, min(64, (signed.agg(F.sum("n")).first()[0] or 0) // (8 * BUCKET)))        # classes while the size doubles
+    kind = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * steps).cast("int")
+    full = {r["k"]: r["w"] for r in signed.groupBy(kind.alias("k")).agg(F.ceil(F.sum("n") / BUCKET).alias("w")).collect()}
+    ways = F.lit([max(1, full.get(k, 1)) for k in range(max(full, default=0) + 1)])
+    bucket = (F.shiftleft(kind.cast("bigint"), 32) + F.pmod(F.xxhash64("i", "c"), F.element_at(ways, kind + 1))).alias("b")
+    held = rows.select(F.col(image).alias("i"), F.col(cand).alias("c"), "_e", F.size("_e").alias("n")).select(bucket, "i", "c", "_e")
+    needed = met.select("g", F.posexplode(F.arrays_zip("i", "c", "n")).alias("at", "_z")).select("g", "at", "_z.*").select(bucket, "g", "at", "i", "c")
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots = batch["b"].to_numpy()
+            order = np.argsort(slots, kind="stable")
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(slots[order])) + 1, [len(order)]])
+            sets = [packed(batch.select(["i", "c", "_e"]).take(pa.array(order[x:y])), "_e") for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots[order[ends[:-1]]], pa.int64()), pa.array(sets, pa.binary())], names=["b", "sets"])
+
+    def give(one, two):
+        out = []
+        if one.num_rows and two.num_rows:
+            have = unpacked(two["sets"].to_pylist(), "_e")
+            place = {k: x for x, k in enumerate(zip(have["i"].to_pylist(), have["c"].to_pylist(), strict=True))}
+            lists, one = have["_e"].combine_chunks(), one.sort_by("g").combine_chunks()
+            at = np.array([place[k] for k in zip(one["i"].to_pylist(), one["c"].to_pylist(), strict=True)])
+            g = one["g"].combine_chunks().dictionary_encode()
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(g.indices.to_numpy())) + 1, [len(g)]])
+            out = [(g[int(x)].as_py(), packed(pa.table({"at": one["at"].slice(x, y - x), "_e": lists.take(pa.array(at[x:y]))}), "_e")) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table([pa.array([h for h, _ in out], pa.string()), pa.array([s for _, s in out], pa.binary())], names=["h", "sets"])
+
+    packs = held.mapInArrow(pack, "b bigint, sets binary")
+    return needed.groupBy("b").cogroup(packs.groupBy("b")).applyInArrow(give, "h string, sets binary")
+
+
 def _edges(rows: DataFrame, signed: DataFrame, reps: DataFrame, image: str, cand: str, limit: float) -> DataFrame:
     """Edges among representatives. A meeting gets each set that it needs once, and counts the shared elements of its pairs."""
     met = _candidates(signed, reps, image, cand, limit)
-    needed = met.select("g", F.posexplode(F.arrays_zip("i", "c")).alias("at", "_z")).select("g", "at", F.col("_z.i").alias(image), F.col("_z.c").alias(cand))
-    given = needed.hint("merge").join(rows, [image, cand]).select(F.col("g").alias("h"), "at", "_e")
+    given = _given(met, rows, signed, image, cand)
     kind = {c: met.schema[c].dataType.elementType.simpleString() for c in ("i", "c")}
 
     def count(one, two):
@@ -200,7 +241,7 @@ def _edges(rows: DataFrame, signed: DataFrame, reps: DataFrame, image: str, cand
             return pa.table({"i": pa.array([], one["i"].type.value_type), "first": pa.array([], one["c"].type.value_type), "second": pa.array([], one["c"].type.value_type),
                              "n_first": pa.array([], pa.int64()), "n_second": pa.array([], pa.int64()), "n_both": pa.array([], pa.int64())})
         i, c, n, p, q = (one[x].combine_chunks().flatten() for x in ("i", "c", "n", "p", "q"))
-        lists = two.sort_by("at")["_e"].combine_chunks()
+        lists = unpacked(two["sets"].to_pylist(), "_e").sort_by("at")["_e"].combine_chunks()
         codes = lists.flatten().dictionary_encode()
         size = n.to_numpy()
         p, q = p.to_numpy(), q.to_numpy()
