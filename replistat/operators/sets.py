@@ -108,8 +108,8 @@ def overlap_edges(elements: DataFrame, image: str, cand: str, elem: str, limit:
 TILE, TILE_BYTES, TILES = 5_000, 2_000_000, 16
 #: Pairs that are counted in one call, at most.
 CALL = 1_000_000
-#: Elements of the packed sets in a bucket, about.
-BUCKET = 4_000_000
+#: Elements of the packed sets in a bucket, about; a set counts as so many more, which bounds the sets of a bucket too.
+BUCKET, EACH = 4_000_000, 50
 
 
 def _tiles(reps: DataFrame) -> DataFrame:
@@ -195,9 +195,10 @@ def _given(met: DataFrame, rows: DataFrame, signed: DataFrame, image: str, cand:
     Sets never travel as rows of elements: those of a bucket go there in packs, and from there to the meetings in packs.
     A bucket holds sets of about one size, as tiles do, so that a meeting gets its sets from few of them.
     """
-    steps = max(1, min(64, (signed.agg(F.sum("n")).first()[0] or 0) // (8 * BUCKET)))        # classes while the size doubles
+    weight = F.sum(F.col("n") + EACH)
+    steps = max(1, min(64, (signed.agg(weight).first()[0] or 0) // (8 * BUCKET)))        # classes while the size doubles
     kind = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * steps).cast("int")
-    full = {r["k"]: r["w"] for r in signed.groupBy(kind.alias("k")).agg(F.ceil(F.sum("n") / BUCKET).alias("w")).collect()}
+    full = {r["k"]: r["w"] for r in signed.groupBy(kind.alias("k")).agg(F.ceil(weight / BUCKET).alias("w")).collect()}
     ways = F.lit([max(1, full.get(k, 1)) for k in range(max(full, default=0) + 1)])
     bucket = (F.shiftleft(kind.cast("bigint"), 32) + F.pmod(F.xxhash64("i", "c"), F.element_at(ways, kind + 1))).alias("b")
     held = rows.select(F.col(image).alias("i"), F.col(cand).alias("c"), "_e", F.size("_e").alias("n")).select(bucket, "i", "c", "_e")
