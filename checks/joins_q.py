@@ -219,11 +219,14 @@ def overlaps_suppressed(spark, d):
   SELECT image_id, cand_id, n AS n_claimed FROM w WHERE n > 0""")
 def elements_claimed(spark, d):
     """Each order line claims a stretch of one raster row of its order, longest first."""
-    li = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("cand_id"), "l_quantity", "l_linenumber", "l_partkey")
-    first = li.groupBy("image_id", "cand_id").agg(F.max("l_quantity").alias("q")).hint("merge")
+    li = v.table(spark, d, "lineitem")
+    # lines are dealt by order before their stretches are made: the elements are never shuffled
+    li = li.repartition(max(spark.sparkContext.defaultParallelism, li.count() // v.PART_ROWS + 1), "l_orderkey")
+    li = li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("cand_id"), "l_quantity", "l_partkey")
     start = F.col("l_partkey") % 50
-    e = li.join(first, ["image_id", "cand_id"]).select(
-        "image_id", "cand_id", F.struct(-F.col("q"), F.col("l_linenumber")).alias("ord"), F.explode(F.sequence(start, start + F.col("l_quantity").cast("bigint"))).alias("elem"))
+    stretch = F.struct(start.alias("a"), (start + F.col("l_quantity").cast("bigint")).alias("b"))
+    c = li.groupBy("image_id", "cand_id").agg(F.max("l_quantity").alias("q"), F.collect_list(stretch).alias("r"))
+    e = c.select("image_id", "cand_id", F.struct(-F.col("q"), "cand_id").alias("ord"), F.flatten(F.array_compact(F.transform("r", lambda x: F.sequence(x["a"], x["b"])))).alias("elem"))
     return s.claimed_sizes(e, "image_id", "cand_id", "elem", "ord")
 
 

@@ -313,10 +313,47 @@ def claim_elements(elements: DataFrame, image: str, cand: str, elem: str, order:
     return got.select(F.col("_i").alias(image), F.col("_c").alias(cand), F.col("_e").alias(elem))
 
 
-def claimed_sizes(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float = IOU_LIMIT) -> DataFrame:
-    """Accepted candidates with the number of elements that ``claim_elements`` gives them, ``n_claimed``."""
-    claimed, _ = _claimed_atoms(elements, image, cand, elem, order, limit)
-    return claimed.groupBy(F.col("_i").alias(image), F.col("_c").alias(cand)).agg(F.sum("_w").alias("n_claimed"))
+def _fold_claims(rows: DataFrame, limit: float) -> DataFrame:
+    """Claims of images that fit in a row (_i, _c, n_claimed): candidates one after another, in Spark expressions.
+
+    Nothing but the given rows is shuffled, and not even those if they are dealt by image already.
+    """
+    sets = rows.groupBy("_i", "_c").agg(F.min("_o").alias("_o"), F.array_distinct(F.array_compact(F.flatten(F.collect_list("_e")))).alias("_s"))
+    whole = sets.groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("_o", "_c", "_s"))).alias("_all"))
+    kind = sets.schema["_s"].dataType.simpleString()
+    counts = f"array<struct<_c:{sets.schema['_c'].dataType.simpleString()},n:bigint>>"
+
+    def claim(acc: Column, x: Column) -> Column:
+        fresh = F.array_except(x["_s"], acc["have"])
+        n, size = F.size(fresh), F.size(x["_s"])
+        got = F.struct(F.concat(acc["have"], fresh).alias("have"), F.array_append(acc["out"], F.struct(x["_c"].alias("_c"), n.cast("bigint").alias("n"))).alias("out"))
+        return F.when((n > 0) & ((size - n) / size < limit), got).otherwise(acc)
+
+    start = F.struct(F.array().cast(kind).alias("have"), F.array().cast(counts).alias("out"))
+    return whole.select("_i", F.inline(F.aggregate("_all", start, claim)["out"])).select("_i", "_c", F.col("n").alias("n_claimed"))
+
+
+#: Rows times elements of an image that is worked on in one row, at most.
+ONE_ROW = 1_000_000
+
+
+def claimed_sizes(elements: DataFrame, image: str, cand: str, elem: str, order: str, limit: float = IOU_LIMIT, one_row: int = ONE_ROW) -> DataFrame:
+    """Accepted candidates with the number of elements that ``claim_elements`` gives them, ``n_claimed``.
+
+    ``elem`` may hold arrays of elements; ``order`` is the same in all rows of a candidate. Images up to ``one_row`` (rows times elements)
+    are settled whole, without a row per element; only larger ones go through rounds.
+    """
+    given = elements if isinstance(elements.schema[elem].dataType, ArrayType) else elements.withColumn(elem, F.when(F.col(elem).isNotNull(), F.array(elem)))
+    rows = given.select(F.col(image).alias("_i"), F.col(cand).alias("_c"), F.col(order).alias("_o"), F.col(elem).alias("_e")).filter(
+        "_i is not null and _c is not null and _e is not null")
+    work = F.sum(F.size("_e").cast("double")) * F.count(F.lit(1))
+    large = unless_large(cut_lineage(rows.groupBy("_i").agg(work.alias("_w")).filter(F.col("_w") > one_row).select("_i")))
+    if large.isEmpty():
+        return _fold_claims(rows, limit).toDF(image, cand, "n_claimed")
+    spread = rows.join(large, "_i", "left_semi").select("_i", "_c", "_o", F.explode("_e").alias("_e"))
+    claimed, _ = _claimed_atoms(spread, "_i", "_c", "_e", "_o", limit)
+    settled = claimed.groupBy("_i", "_c").agg(F.sum("_w").alias("n_claimed"))
+    return settled.unionByName(_fold_claims(rows.join(large, "_i", "left_anti"), limit)).toDF(image, cand, "n_claimed")
 
 
 def common_members(rows: DataFrame, member: str, source: str) -> DataFrame:
