@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import finite
 from ..session import cut_lineage
+from .draws import drawn_sums
 from .scan import group_summary, row_numbers, running
 from .splitting import order_statistics, split_medians
 
@@ -54,14 +55,14 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
 
     For the median no observation is drawn: counts of draws are split down the tree of values
     (``splitting``), so the work is replicates x clusters x depth. A caller's ``stat``, an aggregate of the drawn values,
-    needs them all, so there each draw is a row.
+    needs them all, so there each draw is a row; of the mean (``F.avg``) only sums are kept (``draws``).
     """
     group = list(group)
     rows = df.select(*group, (F.col(cluster) if cluster else F.lit("all")).cast("string").alias("_c"),
                      finite(value).alias("_x")).filter(F.col("_x").isNotNull() & F.col("_c").isNotNull())
     sizes = rows.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"))
     sizes = row_numbers(sizes, group, ["_c"], "_ci")
-    sizes = cut_lineage(sizes.withColumn("_ci", F.col("_ci") - 1))    # one row per cluster
+    sizes = cut_lineage(sizes.withColumns({"_ci": F.col("_ci") - 1, "_id": F.monotonically_increasing_id()}))    # one row per cluster
     key = [F.col(g).cast("string") for g in group]
 
     plan = sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
@@ -77,6 +78,10 @@ def bootstrap_interval(df: DataFrame, group: Sequence[str], cluster: str | None,
         placed = row_numbers(rows, group, ["_x", "_c"], "_pos")
         placed = cut_lineage(placed.withColumn("_pos", F.col("_pos") - 1))
         est = order_statistics(placed, draws, wanted, group, seed).groupBy(*group, "_rep").agg(((F.min("_x") + F.max("_x")) / 2).alias("_t"))
+    elif stat in (F.avg, F.mean):
+        chosen = slots.join(sizes, [*group, "_ci"])
+        prefix = F.concat_ws("|", F.lit(str(seed)), *key, F.col("_rep").cast("string"), F.col("_slot").cast("string"), F.lit(""))
+        est = drawn_sums(rows, sizes, chosen, group, prefix).withColumn("_t", F.col("_s") / F.col("_m"))
     else:
         chosen = slots.join(sizes, [*group, "_ci"])
         draws = _spread(chosen.drop("_k", "_ci"), "_n", "_o", [*group, "_rep", "_slot"])
