@@ -206,12 +206,12 @@ def custom_statistic(spark, d):
 
 @query("bootstrap_mean_u1", f"""WITH o AS (SELECT cond, unit, value, row_number() OVER (PARTITION BY cond, unit ORDER BY value) - 1 AS xi FROM v_unit_value),
   c AS (SELECT cond, unit, count(*) AS n, row_number() OVER (PARTITION BY cond ORDER BY unit) - 1 AS ci FROM o GROUP BY 1, 2), k AS (SELECT cond, count(*) AS k FROM c GROUP BY 1),
-  s AS (SELECT k.cond, rep, slot, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range(20) t(rep), range(100) q(slot) WHERE slot < k),
+  s AS (SELECT k.cond, rep, slot, {_H.format("'42', k.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR)")} % k AS ci FROM k, range(2000) t(rep), range(100) q(slot) WHERE slot < k),
   dr AS (SELECT s.cond, rep, s.unit, {_H.format("'42', s.cond, CAST(rep AS VARCHAR), CAST(slot AS VARCHAR), CAST(oo AS VARCHAR)")} % s.n AS xi
     FROM (SELECT s.cond, rep, slot, unit, n, unnest(range(n)) AS oo FROM s JOIN c ON c.cond = s.cond AND c.ci = s.ci) s),
   e AS (SELECT dr.cond, rep, avg(value) AS t FROM dr JOIN o ON o.cond = dr.cond AND o.unit = dr.unit AND o.xi = dr.xi GROUP BY 1, 2)
   SELECT cond, round(quantile_cont(t, 0.025), 4) AS ci_low, round(quantile_cont(t, 0.975), 4) AS ci_high, count(*) AS n_boot FROM e GROUP BY cond""", "v_unit_value")
 def bootstrap_mean(spark, d):
-    """A caller's statistic, the mean: it needs every drawn value, so 20 replicates here."""
-    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", n_boot=20, stat=F.avg)
+    """A caller's statistic, the mean, which needs every drawn value."""
+    b = rs.bootstrap_interval(v.unit_values(spark, d), ["cond"], "unit", "value", stat=F.avg)
     return b.select("cond", r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"), "n_boot")

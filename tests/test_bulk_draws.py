@@ -1,4 +1,4 @@
-"""The mean's bootstrap keeps sums instead of drawn values, with the same keyed draws."""
+"""The mean's bootstrap keeps sums instead of drawn values, with the same keyed draws; its query draws all replicates."""
 
 import hashlib
 
@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import catalogue, resample_q
 from replistat.operators import draws, resample
 
 
@@ -24,3 +25,10 @@ def test_sums_agree_with_a_row_per_draw(spark):
     assert [(r["g"], r["n_boot"]) for r in one] == [("a", 30), ("b", 30), ("ü|", 30)]
     for a, b in zip(one, two, strict=True):
         assert tuple(a)[1:] == pytest.approx(tuple(b)[1:], rel=1e-12)
+
+
+def test_the_query_draws_all_replicates(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("'A' AS cond", "concat('u', id % 3) AS unit", "cast(id AS double) AS value")
+    monkeypatch.setattr(resample_q.v, "unit_values", lambda spark, d: rows)
+    assert catalogue.QUERIES["bootstrap_mean_u1"](spark, "").first()["n_boot"] == 2000
+    assert "range(2000) t(rep)" in catalogue.ORACLE["bootstrap_mean_u1"]
