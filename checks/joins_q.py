@@ -100,7 +100,7 @@ _MATCH = _EDGE.replace("SELECT a.object_id AS t0_id", "SELECT a.pair_key, a.obje
 
 @query("optimal_matching_j3", _MATCH + " SELECT t0_id, t7_id, round(dist, 6) AS distance FROM mt", "v_gated")
 def optimal_matching_q(spark, d):
-    got = m.optimal_matching(_edges(spark, d), "a_object_id", "b_object_id")
+    got = m.optimal_matching(_edges(spark, d), "a_object_id", "b_object_id", last=True)
     return got.select(F.col("a_object_id").alias("t0_id"), F.col("b_object_id").alias("t7_id"), r("distance").alias("distance"))
 
 

@@ -66,15 +66,16 @@ def _degrees(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.join(da, F.col(a) == F.col("_ka")).join(db, F.col(b) == F.col("_kb")).drop("_ka", "_kb")
 
 
-def _stars(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stars(edges: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """The best edge of every component whose edges share one end, and all edges of the other components.
 
-    Such a component offers one pair: its shortest edge, the smaller id at equal distances.
+    Such a component offers one pair: its shortest edge, the smaller id at equal distances (``last``: the larger ``a_id``).
     """
     best = [c for c in edges.columns if c not in ("_da", "_db")]
     marked = unless_large(cut_lineage(_degrees(edges, "a_id", "b_id")))
     over_a = marked.groupBy("a_id").agg(F.max("_db").alias("_m"), F.min(F.struct("distance", "b_id")).alias("_e")).filter("_m = 1")
-    over_b = marked.groupBy("b_id").agg(F.max("_da").alias("_m"), F.count(F.lit(1)).alias("_k"), F.min(F.struct("distance", "a_id")).alias("_e")).filter("_m = 1 AND _k > 1")
+    nearest = F.max(F.struct((-F.col("distance")).alias("_near"), "distance", "a_id")) if last else F.min(F.struct("distance", "a_id"))
+    over_b = marked.groupBy("b_id").agg(F.max("_da").alias("_m"), F.count(F.lit(1)).alias("_k"), nearest.alias("_e")).filter("_m = 1 AND _k > 1")
     picked = over_a.select("a_id", F.col("_e.b_id").alias("b_id"), F.col("_e.distance").alias("distance")).unionByName(
         over_b.select(F.col("_e.a_id").alias("a_id"), "b_id", F.col("_e.distance").alias("distance")))
     rest = marked.join(over_a.select("a_id"), "a_id", "left_anti").join(over_b.select("b_id"), "b_id", "left_anti")
@@ -148,19 +149,82 @@ def _assignment():
     return solve
 
 
+def _latest(solve):
+    """The solver's matching, changed to later ``a_id`` as long as the total, added up in their order, stays the same.
+
+    A free end takes the place of the earliest one it can push out along a path that costs nothing.
+    """
+    def again(pdf):
+        import pandas as pd
+
+        out, back = {}, {}
+        for a, b, d in zip(pdf["a_id"], pdf["b_id"], pdf["distance"]):
+            out.setdefault(a, {})[b] = d
+            back.setdefault(b, []).append(a)
+        found = solve(pdf)
+        mate = dict(zip(found["a_id"], found["b_id"]))
+        owner = {b: a for a, b in mate.items()}
+        for free in sorted(out, reverse=True):
+            if free in mate:
+                continue
+            cost, via, queue = {free: 0.0}, {}, [free]
+            for a in queue:
+                for b, d in out[a].items():
+                    o = owner.get(b)
+                    if o is not None and o != a and o != free and cost[a] + d - out[o][b] < cost.get(o, float("inf")) - 1e-9:
+                        cost[o], via[o] = cost[a] + d - out[o][b], (a, b)
+                        queue.append(o)
+            could = sorted(o for o, c in cost.items() if abs(c) < 1e-9 and o < free)
+            part = _reached(free, out, back) if could else set()
+            for gone in could:
+                new, o = {}, gone
+                while o != free:
+                    a, b = via[o]
+                    new[a] = b
+                    o = a
+                if _total({**{a: mate[a] for a in part if a in mate and a != gone}, **new}, out) <= _total({a: mate[a] for a in part if a in mate}, out):
+                    del mate[gone]
+                    mate.update(new)
+                    owner.update({b: a for a, b in new.items()})
+                    break
+        return pd.DataFrame([(a, b, out[a][b]) for a, b in mate.items()], columns=["a_id", "b_id", "distance"])
+
+    return again
+
+
+def _total(mate: dict, out: dict) -> float:
+    total = 0.0
+    for a in sorted(mate):
+        total += out[a][mate[a]]
+    return total
+
+
+def _reached(a, out: dict, back: dict) -> set:
+    """All first ends in the component of ``a``."""
+    seen, todo = {a}, [a]
+    for x in todo:
+        for b in out[x]:
+            new = [y for y in back[b] if y not in seen]
+            seen.update(new)
+            todo += new
+    return seen
+
+
 #: Edges of small components that one call of the solver gets, about.
 SOLVER_ROWS = 5_000
 
 
-def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance", one_task: int = 20_000) -> DataFrame:
+def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance", one_task: int = 20_000, last: bool = False) -> DataFrame:
     """Best matching of an edge table: as many pairs as possible, then the least total distance.
 
     The optimum splits over connected components. Those whose edges share one end, nearly all in practice,
     never leave Spark expressions; those of up to ``one_task`` edges go to a small solver, many components in a call;
     larger ones are reduced in rounds over all of Spark (``assignment``).
+
+    ``last``: where equal optima pair different ``a`` with the same ``b``, the later ``a`` (not in the rounds).
     """
     edges = edges.select(F.col(a).alias("a_id"), F.col(b).alias("b_id"), F.col(distance).alias("distance"))
-    plain, rest = _stars(edges)
+    plain, rest = _stars(edges, last)
     rest = unless_large(cut_lineage(rest))
     tag = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
     tagged = rest.select(tag(0, "a_id").alias("_p"), tag(1, "b_id").alias("_q"))
@@ -174,7 +238,7 @@ def optimal_matching(edges: DataFrame, a: str, b: str, distance: str = "distance
         plain, rest = plain.unionByName(reduced), rest.join(large, "component", "left_anti")
     calls = rest.count() // SOLVER_ROWS + 1
     dealt = rest.withColumn("_call", F.pmod(F.xxhash64("component"), F.lit(calls))).repartition(calls, "_call")
-    solved = dealt.groupBy("_call").applyInPandas(_assignment(), plain.schema)
+    solved = dealt.groupBy("_call").applyInPandas(_latest(_assignment()) if last else _assignment(), plain.schema)
     return plain.unionByName(solved).select(F.col("a_id").alias(a), F.col("b_id").alias(b), F.col("distance").alias(distance))
 
 

@@ -34,13 +34,13 @@ def remove_duplicates(objects: DataFrame, max_um: float = DUPLICATE_DISTANCE_UM)
     return out.withColumn("qc_reasons", reason_text("qc_codes"))
 
 
-def pair(objects: DataFrame, gate: PairGate = PairGate(), order: str = "label_idx") -> tuple[DataFrame, DataFrame]:
-    """Pairs, and the objects with their pair id. Any day other than 0 is the later timepoint."""
+def pair(objects: DataFrame, gate: PairGate = PairGate(), order: str = "label_idx", last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and the objects with their pair id. Any day other than 0 is the later timepoint. ``last``: see ``optimal_matching``."""
     t0 = objects.filter(is_baseline("timepoint"))
     t7 = objects.filter(~is_baseline("timepoint"))
     ends = cut_lineage(objects.select("object_id", "pair_key", "timepoint", "centroid_x", "centroid_y", "equivalent_diameter_px", "qc_flag"))
     edges = admissible_edges(ends.filter(is_baseline("timepoint")), ends.filter(~is_baseline("timepoint")), "pair_key", gate, stored=True)
-    m = unless_large(cut_lineage(optimal_matching(edges, "a_object_id", "b_object_id").select(
+    m = unless_large(cut_lineage(optimal_matching(edges, "a_object_id", "b_object_id", last=last).select(
         F.col("a_object_id").alias("t0_object_id"), F.col("b_object_id").alias("t7_object_id"),
         F.col("distance").alias("centroid_distance_px"))))
     pairs = pair_table(t0, t7, m, order, gate).withColumn("qc_reasons", reason_text("qc_codes"))
