@@ -84,7 +84,7 @@ def single_edge_matches(spark, d):
 def growth_pairs(spark, d):
     o = v.gated(spark, d).withColumnsRenamed({"cond": "condition"}).withColumn("volume_ellipsoid_um3", F.col("volume_sphere_um3"))
     o = o.withColumn("pair_key", F.col("pair_key").cast("string"))
-    return pair(o, order="object_id")
+    return pair(o, order="object_id", last=True)
 
 
 _MATCH = _EDGE.replace("SELECT a.object_id AS t0_id", "SELECT a.pair_key, a.object_id AS t0_id").replace("WITH g AS", "WITH RECURSIVE g AS MATERIALIZED") + """, r AS MATERIALIZED (

@@ -46,3 +46,13 @@ def test_the_queries_take_the_later_end(spark, monkeypatch):
                               "object_id long, pair_key long, timepoint string, centroid_x double, centroid_y double, equivalent_diameter_px double, qc_flag string")
     monkeypatch.setattr(joins_q.v, "gated", lambda spark, d: o)
     assert [tuple(r) for r in joins_q.optimal_matching_q(spark, "").collect()] == [(2, 3, 5.0)]
+
+
+def test_pairs_take_the_later_end_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    o = spark.createDataFrame([(1, 7, "t0", 0.0), (2, 7, "t0", 0.0), (3, 7, "t7", 5.0)], "object_id long, pair_key long, timepoint string, centroid_x double")
+    o = o.withColumns({c: F.lit(40.0) for c in ("centroid_y", "equivalent_diameter_px", "equivalent_diameter_um", "volume_sphere_um3", "circularity")}).withColumns(
+        {"qc_flag": F.lit("PASS"), "cond": F.lit("A"), "replicate": F.lit("r"), "fov": F.lit(1)})
+    monkeypatch.setattr(joins_q.v, "gated", lambda spark, d: o)
+    assert {tuple(r) for r in joins_q.matched_pair_ids(spark, "").collect()} == {(1, "UNPAIRED"), (2, "7_pair1"), (3, "7_pair1")}
